@@ -14,134 +14,129 @@ digest, so that likeness is exact: common pieces to all pieces, repetitions coun
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, whole_text
 
-#: Cells of the fingerprint, and of the sub-sketches tried one after the other.
+#: Cells of the fingerprint, and of the sub-sketches tried one after the other; three rows of a power of two.
 FIRST_CELLS, RETRY_CELLS = 12, (12, 24, 48, 96)
-#: Expected digests of a sub-sketch, rounds of peeling, and most buckets of the order by id.
-PART_KEYS, ROUNDS, MOST_BUCKETS = 4, 10, 8192
+#: Expected digests of a sub-sketch, and most buckets of the order by id.
+PART_KEYS, MOST_BUCKETS = 4, 8192
 #: Words of a piece by the text's length in code points: up to the bound, so many.
-PIECE_WORDS = ((128, 2), (512, 4), (2048, 8), (8192, 16), (32768, 32))
-LONGEST_PIECE = 64
-_CELL = "struct<n:int,key:bigint,check:bigint>"
-
+PIECE_WORDS = ((128, 2), (512, 5), (2048, 10), (8192, 24), (32768, 64))
+LONGEST_PIECE = 160
+_NAMES = itertools.count()
 
-def piece_words(n_chars: Column) -> Column:
-    out = F.lit(LONGEST_PIECE)
-    for bound, words in reversed(PIECE_WORDS):
-        out = F.when(n_chars <= bound, F.lit(words)).otherwise(out)
-    return out
 
+def _fresh(stem: str) -> str:
+    return f"{stem}_{next(_NAMES)}"
 
-def digests(text: Column, words: Column) -> Column:
-    """Sorted digests of the text's pieces of ``words`` words."""
-    pieces = F.regexp_extract_all(text, F.concat(F.lit(r"(?:[^ \n]++ *+){1,"), words.cast("string"), F.lit("}")), F.lit(0))
-    plain = F.array_sort(F.transform(pieces, lambda x: F.xxhash64(x, F.lit(31))))
-    return _let(plain, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, F.array_position(a, x) - i)))
 
-
-def _let(value: Column, body) -> Column:
+def _let(value: str, body: Callable[[str], str]) -> str:
     """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(77))
-
-
-def _spots(key: Column, cells: int) -> Column:
-    """The cells of a digest, one in each of three rows."""
-    row = cells // 3
-    h = F.xxhash64(key, F.lit(cells))
-    return F.array(*[(F.shiftrightunsigned(h, 16 * j).bitwiseAND(F.lit(row - 1)) + j * row).cast("int") for j in range(3)])
+    x = _fresh("v")
+    return f"get(transform(array({value}), {x} -> {body(x)}), 0)"
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """The cells of a set of digests; ``cells`` is three times a power of two."""
-    placed = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), _spots(k, cells).alias("at")))
-    row = cells // 3
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("check")).cast(_CELL)
+def piece_words(n_chars: str) -> str:
+    cases = " ".join(f"when {n_chars} <= {bound} then {words}" for bound, words in PIECE_WORDS)
+    return f"case {cases} else {LONGEST_PIECE} end"
 
-    def cell(a, c):
-        inside = F.filter(a, lambda k: F.get(k["at"], F.floor(c / row).cast("int")) == c)
-        return F.aggregate(inside, none, lambda s, k: F.struct((s["n"] + 1).alias("n"), s["key"].bitwiseXOR(k["key"]).alias("key"), s["check"].bitwiseXOR(k["check"]).alias("check")).cast(_CELL))
 
-    return _let(placed, lambda a: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: cell(a, c)))
+def digests(text: str, words: str) -> str:
+    """Sorted digests of the text's pieces of ``words`` words; the n-th of equal pieces has its own."""
+    pieces = f"regexp_extract_all({text}, concat(r'(?:[^ \n]++ *+){{1,', {words}, '}}'), 0)"
+    x, i = _fresh("x"), _fresh("i")
+    return _let(f"array_sort(transform({pieces}, {x} -> xxhash64({x}, 31)))", lambda a: f"transform({a}, ({x}, {i}) -> xxhash64({x}, {i} - array_position({a}, {x})))")
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")).cast(_CELL))
+def _placed(keys: str, cells: int, sign: int) -> str:
+    """Each digest with its sign, its check hash and its cells, one in each row."""
+    row, k, h = cells // 3, _fresh("k"), _fresh("h")
+    at = _let(f"xxhash64({k}, {cells})", lambda h: "array(" + ", ".join(f"cast(shiftrightunsigned({h}, {16 * j}) & {row - 1} as int) + {j * row}" for j in range(3)) + ")")
+    return f"transform({keys}, {k} -> named_struct('n', {sign}, 'key', {k}, 'check', xxhash64({k}, 77), 'at', {at}))"
 
 
-def peel(cells: Column, size: int) -> Column:
-    """Differing digests (key, sign) of a subtracted sketch, or null if some can't be recovered."""
-    kind = f"struct<cells:array<{_CELL}>,found:array<struct<key:bigint,sign:int>>>"
-    begin = F.struct(cells.alias("cells"), F.array().alias("found")).cast(kind)
+def _cells(placed: str, cells: int) -> str:
+    """Of every cell: signed count, xor of digests and xor of check hashes."""
+    c, k, s, row = _fresh("c"), _fresh("k"), _fresh("s"), cells // 3
+    add = f"named_struct('n', {s}.n + {k}.n, 'key', {s}.key ^ {k}.key, 'check', {s}.check ^ {k}.check)"
+    empty = "named_struct('n', 0, 'key', 0L, 'check', 0L)"
+    return _let(placed, lambda a: f"transform(sequence(0, {cells - 1}), {c} -> aggregate(filter({a}, {k} -> get({k}.at, {c} div {row}) = {c}), {empty}, ({s}, {k}) -> {add}))")
 
-    def clean(pure, c, i):
-        hit = F.filter(pure, lambda p: F.array_contains(_spots(p["key"], size), i))
-        return F.aggregate(hit, c, lambda s, p: F.struct((s["n"] - p["sign"]).alias("n"), s["key"].bitwiseXOR(p["key"]).alias("key"), s["check"].bitwiseXOR(_check(p["key"])).alias("check")).cast(_CELL))
 
-    def step(state, _):
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"]))
-        pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("sign"))))
-        after = lambda p: F.struct(F.transform(state["cells"], lambda c, i: clean(p, c, i)).alias("cells"), F.concat(state["found"], p).alias("found")).cast(kind)
-        return _let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(after(p)))
+def sketch(keys: str, cells: int) -> str:
+    return _cells(_placed(keys, cells, 1), cells)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step)
-    done = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
-    return _let(end, lambda s: F.when(done(s), s["found"]))
 
+def subtract(a: str, b: str) -> str:
+    x, y = _fresh("x"), _fresh("y")
+    return f"zip_with({a}, {b}, ({x}, {y}) -> named_struct('n', {x}.n - {y}.n, 'key', {x}.key ^ {y}.key, 'check', {x}.check ^ {y}.check))"
 
-def _signed(a: Column, b: Column) -> Column:
-    """Differing digests by comparison: the way out for what no sketch recovers."""
-    kind = "array<struct<key:bigint,sign:int>>"
-    left = F.transform(F.array_except(a, b), lambda k: F.struct(k.alias("key"), F.lit(1).alias("sign"))).cast(kind)
-    right = F.transform(F.array_except(b, a), lambda k: F.struct(k.alias("key"), F.lit(-1).alias("sign"))).cast(kind)
-    return F.concat(left, right)
 
+def peel(cells: str, size: int) -> str:
+    """How many digests of a subtracted sketch are only in its left and only in its right side; null if some can't be recovered.
 
-def _parted(a: Column, b: Column) -> Column:
-    """How many digests are only in a, and only in b, by sub-sketches."""
-    bits = F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b)).cast("double") / PART_KEYS))).cast("int")
-    kind = "struct<a:int,b:int>"
-
-    def part(g, n):
-        inside = lambda k: F.call_function("shiftrightunsigned", k, F.lit(64) - n).cast("int") == g
-
-        def one(x, y):
-            tried = [peel(subtract(sketch(x, m), sketch(y, m)), m) for m in RETRY_CELLS]
-            return _let(F.coalesce(*tried, _signed(x, y)), lambda f: F.struct(F.size(F.filter(f, lambda p: p["sign"] > 0)).alias("a"), F.size(F.filter(f, lambda p: p["sign"] < 0)).alias("b")).cast(kind))
-
-        pick = lambda keys: F.when(n == 0, keys).otherwise(F.filter(keys, inside))
-        return _let(F.struct(pick(a).alias("x"), pick(b).alias("y")), lambda s: F.when(s["x"] == s["y"], F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")).cast(kind)).otherwise(one(s["x"], s["y"])))
-
-    parts = _let(bits, lambda n: F.transform(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), n) - 1), lambda g: part(g, n)))
-    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")).cast(kind)
-    return F.aggregate(parts, zero, lambda s, x: F.struct((s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b")).cast(kind))
-
-
-def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    A round takes the cells of one row that hold a single digest (a digest has one cell in a row,
+    so none is taken twice) and removes those from all rows.
+    """
+    row = size // 3
+    state, r, c, i, p, s, g, h = (_fresh(x) for x in ("state", "r", "c", "i", "p", "s", "g", "h"))
+    at = _let(f"xxhash64({c}.key, {size})", lambda h: "array(" + ", ".join(f"cast(shiftrightunsigned({h}, {16 * j}) & {row - 1} as int) + {j * row}" for j in range(3)) + ")")
+    alone = f"filter(slice({state}.cells, ({r} % 3) * {row} + 1, {row}), {c} -> abs({c}.n) = 1 and xxhash64({c}.key, 77) = {c}.check)"
+    pure = f"transform({alone}, {c} -> named_struct('n', {c}.n, 'key', {c}.key, 'check', {c}.check, 'at', {at}))"
+    remove = f"named_struct('n', {s}.n - {g}.n, 'key', {s}.key ^ {g}.key, 'check', {s}.check ^ {g}.check)"
+
+    def after(pure: str) -> str:
+        left = f"transform({state}.cells, ({c}, {i}) -> aggregate(filter({pure}, {g} -> get({g}.at, {i} div {row}) = {i}), {c}, ({s}, {g}) -> {remove}))"
+        count = lambda sign: f"size(filter({pure}, {g} -> {g}.n = {sign}))"
+        return f"if(size({pure}) = 0, {state}, named_struct('cells', {left}, 'a', {state}.a + {count(1)}, 'b', {state}.b + {count(-1)}))"
+
+    begin = f"named_struct('cells', {cells}, 'a', 0, 'b', 0)"
+    rounds = 3 * (2 + size // 12)
+    end = f"aggregate(sequence(0, {rounds - 1}), {begin}, ({state}, {r}) -> {_let(pure, after)})"
+    done = lambda x: f"if(exists({x}.cells, {p} -> {p}.n <> 0 or {p}.key <> 0 or {p}.check <> 0), null, named_struct('a', {x}.a, 'b', {x}.b))"
+    return _let(end, done)
+
+
+def _parted(a: str, b: str) -> str:
+    """How many digests are only in a, and only in b, by sub-sketches of the digests' leading bits."""
+    bits = f"greatest(0, cast(ceil(log2((size({a}) + size({b})) / {PART_KEYS}D)) as int))"
+
+    def one(x: str, y: str) -> str:
+        tried = [peel(_cells(f"concat({_placed(x, m, 1)}, {_placed(y, m, -1)})", m), m) for m in RETRY_CELLS]
+        rest = f"named_struct('a', size(array_except({x}, {y})), 'b', size(array_except({y}, {x})))"  # what no sketch recovers
+        return f"coalesce({', '.join(tried)}, {rest})"
+
+    def part(g: str, n: str) -> str:
+        k = _fresh("k")
+        pick = lambda keys: f"if({n} = 0, {keys}, filter({keys}, {k} -> cast(shiftrightunsigned({k}, 64 - {n}) as int) = {g}))"
+        same = "named_struct('a', 0, 'b', 0)"
+        return _let(f"named_struct('x', {pick(a)}, 'y', {pick(b)})", lambda s: f"if({s}.x = {s}.y, {same}, {one(s + '.x', s + '.y')})")
+
+    g, s, x = _fresh("g"), _fresh("s"), _fresh("x")
+    parts = _let(bits, lambda n: f"transform(sequence(0, shiftleft(1, {n}) - 1), {g} -> {part(g, n)})")
+    return f"aggregate({parts}, named_struct('a', 0, 'b', 0), ({s}, {x}) -> named_struct('a', {s}.a + {x}.a, 'b', {s}.b + {x}.b))"
+
+
+def differences(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
     """struct(a, b): digests only in a, only in b. First by the fingerprints, then by larger sketches."""
-    kind = "struct<a:int,b:int>"
-    first = peel(subtract(sketch_a, sketch_b), FIRST_CELLS)
-    counted = _let(first, lambda f: F.when(f.isNotNull(), F.struct(F.size(F.filter(f, lambda p: p["sign"] > 0)).alias("a"), F.size(F.filter(f, lambda p: p["sign"] < 0)).alias("b")).cast(kind)))
-    return F.coalesce(counted, _parted(a, b))
+    return f"coalesce({peel(subtract(sketch_a, sketch_b), FIRST_CELLS)}, {_parted(a, b)})"
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     """Common digests to all digests of both; two texts without pieces are alike."""
-    out = lambda d: F.when(F.size(a) + d["b"] == 0, F.lit(1.0)).otherwise((F.size(a) - d["a"]).cast("double") / (F.size(a) + d["b"]))
-    return _let(differences(a, b, sketch_a, sketch_b), out)
+    out = lambda d: f"if(size({a}) + {d}.b = 0, 1D, cast(size({a}) - {d}.a as double) / (size({a}) + {d}.b))"
+    return F.expr(_let(differences(a, b, sketch_a, sketch_b), out))
 
 
-def as_text(words: Column, keys: Column, cells: Column) -> Column:
+def as_text(words: str, keys: str, cells: str) -> Column:
     """A fingerprint: words of a piece, pieces, and the cells in hexadecimal."""
-    show = F.transform(cells, lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(c["check"].bitwiseAND(F.lit(0xFFFF)))))
-    return F.lower(F.concat(words.cast("string"), F.lit(":"), F.size(keys).cast("string"), F.lit(":"), F.array_join(show, ",")))
+    return F.expr(f"lower(concat({words}, ':', size({keys}), ':', array_join(transform({cells}, c -> concat(hex(c.n), '.', hex(c.key), '.', hex(c.check & 65535L))), ',')))")
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -195,25 +190,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.withColumn("edited", edited)
-    rows = rows.withColumns({"u": piece_words(F.col("n_chars")), "u_edited": piece_words(F.length("edited")), "u_pair": piece_words(F.greatest(F.col("n_chars"), F.length("next_text")))})
-    rows = rows.withColumns({"a": digests(F.col("text"), F.col("u")), "e": digests(F.col("edited"), F.col("u_edited")), "b": digests(F.col("next_text"), F.col("u_pair"))})
-    rows = rows.withColumns({
-        "a_pair": F.when(F.col("u") == F.col("u_pair"), F.col("a")).otherwise(digests(F.col("text"), F.col("u_pair"))),
-        "e_pair": F.when(F.col("u") == F.col("u_edited"), F.col("e")).otherwise(digests(F.col("edited"), F.col("u"))),
-        "sketch_a": sketch(F.col("a"), FIRST_CELLS),
-        "sketch_e": sketch(F.col("e"), FIRST_CELLS),
-        "sketch_b": sketch(F.col("b"), FIRST_CELLS),
-    })
-    rows = rows.withColumns({
-        "sketch_a_pair": F.when(F.col("u") == F.col("u_pair"), F.col("sketch_a")).otherwise(sketch(F.col("a_pair"), FIRST_CELLS)),
-        "sketch_e_pair": F.when(F.col("u") == F.col("u_edited"), F.col("sketch_e")).otherwise(sketch(F.col("e_pair"), FIRST_CELLS)),
-    })
+    steps = [
+        {"u": piece_words("n_chars"), "u_e": piece_words("length(edited)"), "u_p": piece_words("greatest(n_chars, length(next_text))")},
+        {"a": digests("text", "u"), "e": digests("edited", "u_e"), "b": digests("next_text", "u_p")},
+        {"a_p": f"if(u = u_p, a, {digests('text', 'u_p')})", "e_p": f"if(u = u_e, e, {digests('edited', 'u')})"},
+        {"s_a": sketch("a", FIRST_CELLS), "s_e": sketch("e", FIRST_CELLS), "s_b": sketch("b", FIRST_CELLS)},
+        {"s_ap": f"if(u = u_p, s_a, {sketch('a_p', FIRST_CELLS)})", "s_ep": f"if(u = u_e, s_e, {sketch('e_p', FIRST_CELLS)})"},
+    ]
+    for step in steps:  # the pieces of a pair are as long as its longer text asks for
+        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("u"), F.col("a"), F.col("sketch_a")).alias("fingerprint"),
-        as_text(F.col("u_edited"), F.col("e"), F.col("sketch_e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e_pair"), F.col("sketch_a"), F.col("sketch_e_pair")).alias("near_edited"),
-        likeness(F.col("a_pair"), F.col("b"), F.col("sketch_a_pair"), F.col("sketch_b")).alias("near_next"),
+        as_text("u", "a", "s_a").alias("fingerprint"),
+        as_text("u_e", "e", "s_e").alias("edited_fingerprint"),
+        likeness("a", "e_p", "s_a", "s_ep").alias("near_edited"),
+        likeness("a_p", "b", "s_ap", "s_b").alias("near_next"),
     )
