@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, mixing, quality, toxicity, urls
+from . import bpe, exact, fingerprints, html_wrappers, mixing, quality, toxicity, urls
 from .common import read_table
 
 #: Fixed: host and path rules and their verdicts.
@@ -24,6 +24,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,6 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
