@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, html_wrappers, mixing, quality, toxicity, urls
+from . import bpe, exact, fingerprints, html_wrappers, mixing, quality, suffix, toxicity, urls
 from .common import read_table
 
 #: Fixed: host and path rules and their verdicts.
@@ -36,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(read_table(spark, sf_dir, "pages"), rules)
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_html": op1_html,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality": op8_quality,
