@@ -112,6 +112,11 @@ def min_cost_flow(capacity: dict, quota: dict, copies: int) -> dict:
     }
 
 
+def seeded_hash(seed: int) -> Column:
+    """The order of documents: 63 bits of a hash of doc_id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(whole_text())), 1)
+
+
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
     """Of one candidate for each power of two of sizes, largest first, those that still fit."""
     left, chosen = int(group["left"].iloc[0]), []
@@ -167,7 +172,7 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
     ``members``: array of the sources that a row belongs to (null elements are a source of their
     own; an empty or null array belongs to none and is not taken). ``size``: its words.
     ``targets``: {source: words}, or a function from {source: words there are} to that.
-    Returns doc_id, pattern (sorted array as text), size, copies, and rid, in the order of ``docs``.
+    Returns doc_id, rid (place in ``docs``), h (place in the seeded order), pattern, size and copies.
 
     * Rows of size 0 are never taken (0 copies beyond those that the whole pattern gets).
     * Ties: the order is that of a seeded hash of doc_id and text; rows that repeat both follow
@@ -182,7 +187,7 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
             F.monotonically_increasing_id().alias("rid"),
             F.array_sort(F.array_distinct(mark)).alias("pattern"),
             size.cast("bigint").alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(whole_text())), 1).alias("h"),
+            seeded_hash(seed).alias("h"),
         ),
         "sizes",
     )
@@ -211,24 +216,42 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
     planned = _with_plan(_with_plan(rows, plan.select("pattern", "full"), patterns, "left"), cuts, patterns, "left")
     planned = planned.join(fill, "rid", "left")
     once_more = F.coalesce((F.col("cut_h").isNotNull() & ~above) | F.col("filled"), F.lit(False))
-    return planned.select("doc_id", "rid", "pattern", "size", (F.col("full") + once_more.cast("bigint")).alias("copies"))
-
+    return planned.select("doc_id", "rid", "h", "pattern", "size", (F.col("full") + once_more.cast("bigint")).alias("copies"))
 
-def mix_by_source(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Mix ``docs`` (doc_id, text, source) by their one source; the contract of op3.
 
-    Returns doc_id, size, source_size, target and taken (words, repeats counted). A null text has
-    size 0, a null source is a source, last in order.
-    """
+def _plan_by_source(docs: DataFrame, seed: int) -> tuple[DataFrame, dict]:
+    """The mix by the one source of each row, and {source: (words there are, target)}."""
     seen: dict = {}
 
     def targets(have):
         seen.update({s: (have[s], t) for s, t in targets_for(have).items()})
         return {s: t for s, (_, t) in seen.items()}
 
-    mixed = mix(docs, F.array(F.col("source").cast("string")), n_words(whole_text()), targets, MOST_COPIES, seed)
+    return mix(docs, F.array(F.col("source").cast("string")), n_words(whole_text()), targets, MOST_COPIES, seed), seen
+
+
+def mix_by_source(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Mix ``docs`` (doc_id, text, source) by their one source; the contract of op3.
+
+    Returns doc_id, size, source_size, target and taken (words, repeats counted). A null text has
+    size 0, a null source is a source, last in order.
+    """
+    mixed, seen = _plan_by_source(docs, seed)
     facts = mixed.sparkSession.createDataFrame(
         [(["n" if s is None else f"s{s}"], have, float(t)) for s, (have, t) in seen.items()], "pattern array<string>, source_size bigint, target double"
     )
-    mixed = mixed.withColumn("h", F.col("rid"))
     return _with_plan(mixed, facts, len(seen), "left").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def repeat_by_source(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` with all their columns, each row as often as :func:`mix_by_source` takes it.
+
+    Rows that repeat doc_id, text and source are taken alike, as often as the first of them.
+    """
+    names = docs.columns
+    mixed, _ = _plan_by_source(docs, seed)
+    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), F.col("pattern").alias("m_pattern")).agg(F.max("copies").alias("copies"))
+    mark = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), seeded_hash(seed).alias("own_h"), F.array(mark).alias("own_pattern"))
+    joined = own.join(copies, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("own_h") == F.col("m_h")) & (F.col("own_pattern") == F.col("m_pattern")))
+    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, html_wrappers, mixing, quality, suffix, toxicity, urls
+from . import bpe, exact, fingerprints, html_wrappers, mixing, ngram_join, quality, suffix, toxicity, urls
 from .common import read_table
 
 #: Fixed: host and path rules and their verdicts.
@@ -49,6 +49,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents")).drop("k2")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "source", "lang", "quality.*")
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
