@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -26,17 +27,21 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import stage_table, whole_text
 
 #: Most words in the lexicon, and least count of a word in it.
-LEXICON_WORDS, LEAST_COUNT = 1 << 17, 2
+LEXICON_WORDS, LEAST_COUNT = 1 << 18, 2
 #: A worker's counts and memo are emptied beyond so many words, and texts are taken in slices of so many characters.
-WORDS_HELD, SLICE_CHARS = 1 << 18, 1 << 22
+WORDS_HELD, SLICE_CHARS = 400_000, 1 << 22
+_NONE = 1 << 60
 #: Fixed: the pattern of byte-level BPE that splits text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same split for texts of Latin letters, where the standard library's classes agree with the pattern's; all other texts take the pattern.
+_LATIN = re.compile(r"[\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+_LATIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -58,41 +63,43 @@ class Merges:
             self.pieces[i] = text.encode()
         of = {p: i for i, p in self.pieces.items() if i not in self.special.values()}
         self.single = [of.get(bytes([b])) for b in range(256)]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            x, y = (bytes(stands[c] for c in t) for t in (a, b))
-            self.ranks[of[x], of[y]] = rank, of[x + y]
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # by rank
+        for pair in model["merges"]:
+            x, y = (bytes(stands[c] for c in t) for t in (pair.split(" ") if isinstance(pair, str) else pair))
+            self.rank[of[x], of[y]] = len(self.made)
+            self.made.append(of[x + y])
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: always the pair of lowest rank, leftmost first. A heap keeps long words near-linear."""
-        ids, ranks = [self.single[b] for b in word], self.ranks
-        if len(ids) <= 48:
-            while len(ids) > 1:
-                best, at = None, -1
-                for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                    if (r := ranks.get(pair)) and (best is None or r[0] < best[0]):
-                        best, at = r, i
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
+        ids, get, made = [self.single[b] for b in word], self.rank.get, self.made
+        if len(ids) <= 64:
+            ranks = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+            while ranks and (least := min(ranks)) < _NONE:
+                i = ranks.index(least)
+                ids[i] = made[least]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)
+                if i < len(ranks):
+                    ranks[i] = get((ids[i], ids[i + 1]), _NONE)
             return ids
         after, before = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := get(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j] = ranks[a, b][1], None
+            ids[i], ids[j] = made[rank], None
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := ranks.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i is not None]
 
 
@@ -211,7 +218,7 @@ def word_pieces(text: str, merges: Merges, pattern) -> Iterator[list[str] | int]
         if k % 2:
             yield merges.special[part]
         elif part:
-            yield pattern.findall(part)
+            yield (_LATIN_PATTERN if _LATIN.fullmatch(part) else pattern).findall(part)
 
 
 def _slices(column: pa.Array) -> Iterator[list[str]]:
@@ -251,10 +258,17 @@ def _counter(spec: dict):
 
 
 def frequent_words(docs: DataFrame, spec: dict, most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent words of all texts (ties by word); counted in the tasks before the shuffle."""
+    """At most ``most`` of the most frequent words of all texts; counted in the tasks before the shuffle.
+
+    All words from a certain count on: steps of counts, not words, are ordered in one place.
+    """
     counts = docs.select(whole_text().alias("text")).mapInArrow(_counter(_small(spec)), "word string, n bigint")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]
+    counts = stage_table(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT), "words")
+    steps = counts.groupBy("n").agg(F.count("*").alias("words"))
+    total = F.sum("words").over(Window.orderBy(F.desc("n")))
+    fit = steps.withColumn("step", F.floor(F.log2("n") * 64)).groupBy("step").agg(F.sum("words").alias("words"), F.min("n").alias("n"))  # some thousand steps at most
+    least = fit.withColumn("total", total).where(F.col("total") <= most).agg(F.min("n")).first()[0]
+    return [] if least is None else [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()]
 
 
 def _small(spec: dict) -> dict:
@@ -313,14 +327,16 @@ def prepare(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) ->
     return name
 
 
-_LOADED: dict[str, tuple[Merges, Lexicon]] = {}
+_LOADED: dict[str, tuple[Encoder, Decoder]] = {}
 
 
-def _load(name: str) -> tuple[Merges, Lexicon]:
+def _load(name: str) -> tuple[Encoder, Decoder]:
+    """A worker's encoder and decoder; its later tasks find the memo filled."""
     if name not in _LOADED:
         _LOADED.clear()
         with open(SparkFiles.get(f"{name}.json"), encoding="utf-8") as f:
-            _LOADED[name] = Merges(json.load(f)), Lexicon(SparkFiles.get(name))
+            merges = Merges(json.load(f))
+        _LOADED[name] = Encoder(merges, Lexicon(SparkFiles.get(name))), Decoder(merges)
     return _LOADED[name]
 
 
@@ -336,8 +352,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
     name = prepare(docs, tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, lexicon = _load(name)
-        encoder, decoder = Encoder(merges, lexicon), Decoder(merges)
+        encoder, decoder = _load(name)
         for batch in batches:
             done = 0
             for texts in _slices(batch.column(1)):
