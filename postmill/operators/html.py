@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, split_before_capitals
+from ..functions.text import blank_to_null, split_before_capitals, strip_all
 
 # Words of tags that don't count, employment types, work modes, names of the country, classes of the detail page.
 SKIPPED_TAG_WORDS = ("translat", "arabic", "original", "show", "عربي")
@@ -36,7 +36,7 @@ def plain_text(fragment: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(fragment, r"(?is)<(script|style)\b.*?</\1>", "\n"), r"<[^>]+>", "\n")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return strip_all(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
 
 
 def element_text(page: Column, tag: str) -> Column:
