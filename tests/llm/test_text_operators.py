@@ -307,6 +307,8 @@ def test_html_blocks():
     text = lambda page: html_wrappers.main_text(html_wrappers.blocks_of(page), {})
     assert text(PAGE.format("article", 5, "<script>var a='<p>x</p>'</script>")) == "Title 5\nOne & two 5 three\nFour"
     assert text("") == "" and text("plain &lt;b&gt;") == "plain <b>"
+    assert text("<article><div class='post-header'><h1>T</h1><p>by me</p></div><p>x</p></article>") == text("<article><header>by me<h1>T</h1></header><p>x</article>") == "T\nx"
+    assert text("<header><h1>Site</h1></header><div class=header><h2>n</h2></div><p>x") == "x"
     assert text("<div><p>a</p><form>f<p>g</p></form><p hidden>h</p><p>i<!-- <p>c</p> -->j</div>") == "a\nij"
 
 
