@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, stage_table, whole_text
-from .suffix import MAP_BITS, blend, mix
+from .suffix import CHUNK, MAP_BITS, Names, mix
 
 #: Words of a shingle; least similarity in percent.
 WORDS, PERCENT = 5, 80
@@ -40,32 +40,57 @@ WORDS, PERCENT = 5, 80
 FREQUENT, LEAST_SEEN, SMALL, RUN_ROWS, HOT = 1 << 18, 4, 6, 250_000, 200_000
 #: Rounds in which sets that no leader is linked with meet again, and the similarity in percent at 0.4 of distance.
 ROUNDS, NEAR = 3, 60
-_SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-WORDS_HELD = 400_000
-
-
-class Shingler:
-    """Sets of shingles as sorted 64-bit hashes."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, and the six separators only
-        if not words:
-            return np.zeros(0, np.uint64)
-        memo = self.memo
-        if len(memo) > WORDS_HELD:
-            memo.clear()
-        for w in {w for w in words if w not in memo}:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        if len(h) < WORDS:
-            return blend(np.full(1, len(h), np.uint64), *[h[i : i + 1] for i in range(len(h))])
-        out = np.zeros(len(h) - WORDS + 1, np.uint64)
-        for i in range(WORDS):
-            out = mix((out ^ h[i : len(h) - WORDS + 1 + i]) * _SEEDS[i] + np.uint64(i))
-        return np.unique(out)
+_SEEDS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+_SIMPLE = np.arange(256, dtype=np.uint8)  # A-Z lower-cased, the six separators as spaces
+_SIMPLE[65:91] += 32
+_SIMPLE[9:14] = 32
+
+
+def shingles(texts: list[str]) -> list[np.ndarray]:
+    """Of each text its set of shingles, as sorted 64-bit names; texts are hashed together, CHUNK bytes at once."""
+    out, group, size = [], [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "replace")
+        if group and size + len(raw) > CHUNK:
+            out += _shingles(group)
+            group, size = [], 0
+        group.append(raw)
+        size += len(raw) + 1
+    return out + (_shingles(group) if group else [])
+
+
+def _shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """A shingle is the bytes from its first word to its last, with one space between words."""
+    simple = _SIMPLE[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    letter = simple != 32
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    place = np.flatnonzero(kept)
+    flat, letter = simple[place], letter[place]
+    edge = np.diff(np.r_[False, letter, False].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    first = np.searchsorted(place[starts] if len(starts) else starts, begin)
+    names = np.zeros(max(0, len(starts) - WORDS + 1), np.uint64)
+    at = 0
+    while at < len(names):
+        stop = max(at + 1, min(len(names), int(np.searchsorted(ends, starts[at] + CHUNK)) - WORDS + 1))
+        base = starts[at]
+        block = Names(flat[base : ends[stop + WORDS - 2]])
+        names[at:stop] = block(starts[at:stop] - base, ends[at + WORDS - 1 : stop + WORDS - 1] - starts[at:stop])
+        at = stop
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= WORDS:
+            out.append(np.unique(names[a : b - WORDS + 1]))
+        elif b > a:  # fewer words: all of them are the only shingle
+            whole = flat[starts[a] : ends[b - 1]]
+            out.append(Names(whole)(np.zeros(1, np.int64), np.array([len(whole)])))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -93,7 +118,6 @@ _SETS = "doc_id bigint, k2 bigint, n bigint, sid bigint, token bigint, seen bigi
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its set; then the tokens that several sets of those read at once have, with counts."""
     names = _SETS.replace(",", "").split()[::2]
-    shingler = Shingler()
     held: dict[int, np.ndarray] = {}
     size = 0
 
@@ -105,8 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        for i, text in enumerate(batch.column(2)):
-            tokens = shingler(text.as_py())
+        for i, tokens in enumerate(shingles(batch.column(2).to_pylist())):
             n[i], sid[i] = len(tokens), set_id(tokens)
             if len(tokens) and sid[i] not in held:
                 held[int(sid[i])] = tokens
@@ -149,11 +172,10 @@ def _prefixes(table, only=None):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _PREFIX.replace(",", "").split()[::2]
         often, seen = table.value
-        shingler, done = Shingler(), set()
+        done: set[int] = set()
         for batch in batches:
             parts = []
-            for text in batch.column(0):
-                tokens = shingler(text.as_py())
+            for tokens in shingles(batch.column(0).to_pylist()):
                 if not len(tokens) or (sid := set_id(tokens)) in done:
                     continue
                 done.add(sid)
@@ -176,7 +198,7 @@ def _prefixes(table, only=None):
 
 
 def in_bitmap(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    spot = (mix(tokens ^ _SEEDS[2]) % np.uint64(MAP_BITS)).astype(np.int64)
+    spot = (mix(tokens ^ _SEEDS[0]) % np.uint64(MAP_BITS)).astype(np.int64)
     return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -184,7 +206,7 @@ def _bitmap_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """One fixed-size bitmap of the values that a task reads, in blocks."""
     bits = np.zeros(MAP_BITS // 8, np.uint8)
     for batch in batches:
-        spot = (mix(batch.column(0).to_numpy().view(np.uint64) ^ _SEEDS[2]) % np.uint64(MAP_BITS)).astype(np.int64)
+        spot = (mix(batch.column(0).to_numpy().view(np.uint64) ^ _SEEDS[0]) % np.uint64(MAP_BITS)).astype(np.int64)
         np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
     words = bits.view(np.int64)
     at = np.flatnonzero(words)
@@ -304,49 +326,48 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, kind, close) for (a, b, kind, text_a, text_b)."""
-    shingler = Shingler()
     memo: dict[int, np.ndarray] = {}
     for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         close = np.zeros(batch.num_rows, np.int32)
-        for i in range(batch.num_rows):
-            sets = []
-            for sid, texts in ((int(a[i]), batch.column(3)), (int(b[i]), batch.column(4))):
-                if sid not in memo:
-                    if len(memo) > 200:
-                        memo.clear()
-                    memo[sid] = shingler(texts[i].as_py())
-                sets.append(memo[sid])
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            close[i] = closeness(len(sets[0]), len(sets[1]), both)
+        ids = [batch.column(i).to_pylist() for i in (0, 1)]
+        for begin in range(0, batch.num_rows, 50):  # so many pairs at once
+            rows = range(begin, min(begin + 50, batch.num_rows))
+            if len(memo) > 200:
+                memo.clear()
+            new = {ids[side][i]: (side, i) for i in rows for side in (0, 1) if ids[side][i] not in memo}
+            memo.update(zip(new, shingles([batch.column(3 + side)[i].as_py() for side, i in new.values()]), strict=True))
+            for i in rows:
+                x, y = memo[ids[0][i]], memo[ids[1][i]]
+                close[i] = closeness(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(close)], ["a", "b", "kind", "close"])
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, text) of the sets in ``wanted`` (sid): one text of each."""
-    bits = _bitmap(wanted.select("sid"))
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of the sets in ``wanted`` (sid): one text of each, found by its hash without making sets again."""
+    found = sets.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("k2").alias("k2"))
+    found = stage_table(found, "wanted")
+    bits = _bitmap(found.select("k2"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
-            sid = np.array([set_id(shingler(t.as_py())) for t in batch.column(0)], np.int64)
-            take = pa.array(in_bitmap(sid.view(np.uint64), bits.value)) if len(sid) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(sid), batch.column(0)], ["sid", "text"]).filter(take)
+            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy().view(np.uint64), bits.value)))
 
-    found = docs.select("text").mapInArrow(some, "sid bigint, text string")
-    return found.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("text").alias("text"))
+    own = docs.select("k2", "text").mapInArrow(some, "k2 bigint, text string")
+    return stage_table(own.join(found, "k2").groupBy("sid").agg(F.min("text").alias("text")), "texts")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, kind, close) of the pairs of sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    texts = stage_table(_texts(docs, wanted), "texts")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, kind, close) of the pairs of sets; ``texts`` has all of them."""
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "kind", "text_a", "text_b")
     return stage_table(both.mapInArrow(_verify, "a bigint, b bigint, kind int, close int"), "verified")
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of linked sets: the least id of the component, by alternating large and small stars."""
     edges = stage_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -385,20 +406,26 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = spark.sparkContext.broadcast((often, seen))
     met = _runs(docs.select("text").mapInArrow(_prefixes(table), _PREFIX))
     hot = bool((seen > HOT).any())
-    verified = [_verified(docs, _paired(met))]
     unfit = met.where(F.col("kind") == UNFIT).select("a")
+    pairs = [_paired(met)]
     if hot:  # the leaders of a token's salts meet: few rows for each hot token
         leaders = met.where(F.col("kind") == LEADER).select("token", F.lit(-1).alias("salt"), "gid", "n", "rank", F.col("a").alias("sid"))
         again = _runs(leaders)
-        verified.append(_verified(docs, _paired(again)))
+        pairs.append(_paired(again))
         unfit = unfit.unionByName(again.where(F.col("kind") == UNFIT).select("a"))
+    wanted = _sides(pairs[0])
+    for more in pairs[1:]:
+        wanted = wanted.unionByName(_sides(more))
+    texts = _texts(docs, sets, wanted)
+    verified = [_verified(p, texts) for p in pairs]
     last = verified[0]
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS):  # all that meets again has its text here
         apart = last.where((F.col("kind") == LED) & (F.col("close") < 2)).select(F.col("b").alias("sid")).distinct()
         if not apart.limit(1).count():
             break
-        met = _runs(_texts(docs, apart).select("text").mapInArrow(_prefixes(table), _PREFIX))
-        last = _verified(docs, _paired(met))
+        own = texts.join(apart, "sid", "left_semi").select("text")
+        met = _runs(own.mapInArrow(_prefixes(table), _PREFIX))
+        last = _verified(_paired(met), texts)
         verified.append(last)
         unfit = unfit.unionByName(met.where(F.col("kind") == UNFIT).select("a"))
     every = verified[0]
@@ -413,7 +440,8 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         open_sets = open_sets.unionByName(_outside(docs, table, often[seen > HOT], roots))
     open_sets = stage_table(open_sets.select(F.col("b").alias("sid")).distinct(), "open")
     if open_sets.limit(1).count():
-        rest = _verified(docs, _rest(docs, open_sets, roots, table))
+        rest = stage_table(_rest(docs, sets, open_sets, roots, table), "rest")
+        rest = _verified(rest, _texts(docs, sets, _sides(rest)))
         roots = components(links.unionByName(rest.where("close = 2").select("a", "b")))
     return sets, roots
 
@@ -428,9 +456,9 @@ def _outside(docs: DataFrame, table, hot: np.ndarray, roots: DataFrame) -> DataF
     return rows.join(most, "token").where("root <> most").select(F.col("sid").alias("b"))
 
 
-def _rest(docs: DataFrame, open_sets: DataFrame, roots: DataFrame, table) -> DataFrame:
+def _rest(docs: DataFrame, sets: DataFrame, open_sets: DataFrame, roots: DataFrame, table) -> DataFrame:
     """Pairs of an open set with each set of another component that shares a prefix token and fits its size."""
-    texts = _texts(docs, open_sets).select("text")
+    texts = _texts(docs, sets, open_sets).select("text")
     own = stage_table(texts.mapInArrow(_prefixes(table), _PREFIX).select("token", F.col("sid").alias("x"), F.col("n").alias("n_x")), "open_prefixes")
     only = _bitmap(own.select("token"))
     every = docs.select("text").mapInArrow(_prefixes(table, only), _PREFIX).select("token", "sid", "n").distinct()
