@@ -269,7 +269,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     own = _keyed(docs).select("k1", "k2", "text")
     anchors = stage_table(own.mapInArrow(_anchors, _ANCHOR), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), (F.min("hull1") != F.max("hull1")).alias("contested"))
-    shared = stage_table(anchors.join(grams.where("n > 1").drop("n"), "gram"), "shared")  # buckets of two suffixes and more
+    grams = stage_table(grams.where("n > 1").drop("n"), "grams")  # buckets of two suffixes and more; a table of its own, so that the join can split a hot one
+    shared = stage_table(anchors.join(grams, "gram"), "shared")
     done = shared.where("not contested").select("k1", "k2", "s", "e")
     key = ["gram", "hull1", "hull2"]
     member = F.struct("k1", "k2", "s", "e", "a")
