@@ -36,8 +36,8 @@ from .suffix import CHUNK, MAP_BITS, Names, mix
 
 #: Words of a shingle; least similarity in percent.
 WORDS, PERCENT = 5, 80
-#: Tokens in the table of frequent ones (4 MB), least documents of one read at once, longest run that gives all its pairs, rows of a run held at once, and from which count a token is salted.
-FREQUENT, LEAST_SEEN, SMALL, RUN_ROWS, HOT = 1 << 18, 4, 6, 250_000, 200_000
+#: Tokens in the table of frequent ones (6 MB), least documents of one read at once, longest run that gives all its pairs, rows of a run held at once, and from which count a token is salted.
+FREQUENT, LEAST_SEEN, SMALL, RUN_ROWS, HOT = 1 << 19, 2, 6, 250_000, 200_000
 #: Rounds in which sets that no leader is linked with meet again, and the similarity in percent at 0.4 of distance.
 ROUNDS, NEAR = 3, 60
 _SEEDS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -112,7 +112,14 @@ def fits(n_a, n_b):
     return (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)) & (np.minimum(n_a, n_b) > 0)
 
 
-_SETS = "doc_id bigint, k2 bigint, n bigint, sid bigint, token bigint, seen bigint"
+#: Buckets of a set's histogram, which bounds overlaps before sets are compared.
+BUCKETS = 512
+_SETS = "doc_id bigint, k2 bigint, n bigint, sid bigint, token bigint, seen bigint, counts binary"
+
+
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each bucket, 255 for as many or more."""
+    return np.bincount((tokens % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +132,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
         often = counts >= LEAST_SEEN
         none = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(len(none), pa.binary())], names)
 
     for batch in batches:
-        n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        n, sid, counts = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
         for i, tokens in enumerate(shingles(batch.column(2).to_pylist())):
             n[i], sid[i] = len(tokens), set_id(tokens)
+            counts.append(histogram(tokens))
             if len(tokens) and sid[i] not in held:
                 held[int(sid[i])] = tokens
                 size += len(tokens)
@@ -138,7 +146,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 held, size = {}, 0
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sid), none, none], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sid), none, none, pa.array(counts, pa.binary())], names)
     if held:
         yield frequent()
 
@@ -149,12 +157,20 @@ def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     steps = counts.groupBy(F.floor(F.log2("seen") * 32).alias("step")).agg(F.count("*").alias("n"), F.min("seen").alias("least"))
     total = steps.withColumn("total", F.sum("n").over(Window.orderBy(F.desc("step"))))  # some hundred steps
     least = total.where(F.col("total") <= FREQUENT).agg(F.min("least")).first()[0]
-    table = counts.where(F.col("seen") >= (least or 1 << 62)).toPandas()
-    tokens, seen = table["token"].to_numpy(np.int64).view(np.uint64), table["seen"].to_numpy(np.int64)
+    packed = counts.where(F.col("seen") >= (least or 1 << 62)).mapInArrow(_pack, "tokens binary, seen binary").collect()  # 12 bytes a token
+    tokens = np.frombuffer(b"".join(r["tokens"] for r in packed), np.uint64)
+    seen = np.frombuffer(b"".join(r["seen"] for r in packed), np.int32).astype(np.int64)
     order = np.argsort(tokens)
     return tokens[order], seen[order]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (token, seen) as bytes, one row each."""
+    for batch in batches:
+        tokens, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy().clip(max=2**31 - 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([tokens.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["tokens", "seen"])
+
+
 def prefix(tokens: np.ndarray, often: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """The first tokens of a set in the common order, their counts in the table, and the share of the set in the table."""
     at = np.minimum(np.searchsorted(often, tokens), max(0, len(often) - 1))
@@ -356,12 +372,30 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage_table(own.join(found, "k2").groupBy("sid").agg(F.min("text").alias("text")), "texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, kind, close) of the pairs of sets; ``texts`` has all of them."""
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, kind, maybe) for (a, b, kind, n_a, n_b, counts_a, counts_b): whether the pair can be at most 0.4 apart.
+
+    Sets share at most the sum of the smaller counts of each bucket; full buckets bound nothing.
+    """
+    for batch in batches:
+        n_a, n_b = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (5, 6))
+        most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        maybe = (100 * most >= NEAR * (n_a + n_b - most)) | ((x == 255) & (y == 255)).any(axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(maybe)], ["a", "b", "kind", "maybe"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, kind, close) of the pairs of sets; ``texts`` has all of them. Pairs that their histograms tell apart aren't compared."""
+    side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}"))
+    bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "kind", "n_a", "n_b", "counts_a", "counts_b")
+    bounded = stage_table(bounded.mapInArrow(_bounds, "a bigint, b bigint, kind int, maybe boolean"), "bounded")
+    far = bounded.where("not maybe").select("a", "b", "kind", F.lit(0).alias("close"))
+    pairs = bounded.where("maybe").select("a", "b", "kind")
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "kind", "text_a", "text_b")
-    return stage_table(both.mapInArrow(_verify, "a bigint, b bigint, kind int, close int"), "verified")
+    return stage_table(far.unionByName(both.mapInArrow(_verify, "a bigint, b bigint, kind int, close int")), "verified")
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
@@ -402,6 +436,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     found = stage_table(docs.select("doc_id", "k2", "text").mapInArrow(_sets, _SETS), "sets")
     sets = found.where("sid is not null").select("doc_id", "k2", "n", "sid")
+    once = stage_table(found.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("counts").alias("counts")), "histograms")
     often, seen = _frequent(found.where("token is not null"))
     table = spark.sparkContext.broadcast((often, seen))
     met = _runs(docs.select("text").mapInArrow(_prefixes(table), _PREFIX))
@@ -417,7 +452,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for more in pairs[1:]:
         wanted = wanted.unionByName(_sides(more))
     texts = _texts(docs, sets, wanted)
-    verified = [_verified(p, texts) for p in pairs]
+    verified = [_verified(p, texts, once) for p in pairs]
     last = verified[0]
     for _ in range(ROUNDS):  # all that meets again has its text here
         apart = last.where((F.col("kind") == LED) & (F.col("close") < 2)).select(F.col("b").alias("sid")).distinct()
@@ -425,7 +460,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         own = texts.join(apart, "sid", "left_semi").select("text")
         met = _runs(own.mapInArrow(_prefixes(table), _PREFIX))
-        last = _verified(_paired(met), texts)
+        last = _verified(_paired(met), texts, once)
         verified.append(last)
         unfit = unfit.unionByName(met.where(F.col("kind") == UNFIT).select("a"))
     every = verified[0]
@@ -441,7 +476,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_sets = stage_table(open_sets.select(F.col("b").alias("sid")).distinct(), "open")
     if open_sets.limit(1).count():
         rest = stage_table(_rest(docs, sets, open_sets, roots, table), "rest")
-        rest = _verified(rest, _texts(docs, sets, _sides(rest)))
+        rest = _verified(rest, _texts(docs, sets, _sides(rest)), once)
         roots = components(links.unionByName(rest.where("close = 2").select("a", "b")))
     return sets, roots
 
