@@ -8,8 +8,10 @@ patterns, sources and their sums are on the driver.
 A pattern then takes all its documents some number of times, and once more those first in seeded
 order up to a cut. The cut is found by radix descent over the seeded hash (4096 buckets, then
 4096 of one bucket, then rows), so that no task sorts a pattern that holds a third of all rows.
-What is left below the first document that doesn't fit is filled from later ones, one of each
-power of two of sizes.
+What is left below the first document that doesn't fit is filled by going on through the order:
+every later document that fits is taken. The descent is repeated over the later documents no
+longer than what is left, so that each round skips a document or ends; a pattern with few of them
+is gone through in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.5, 2, 20_240_601
 BROADCAST_PATTERNS = 10_000
 #: Salts of the join above that bound.
 SALTS = 32
+#: A pattern with up to so many documents that may still fit is gone through in one task; with more, the descent is repeated.
+FILL_ROWS = 20_000
+#: Before and after every row in (h, rid).
+FIRST, LAST = (-1, -1), (2**63 - 1, 2**63 - 1)
 
 
 def n_words(text: Column) -> Column:
@@ -118,9 +124,9 @@ def seeded_hash(seed: int) -> Column:
 
 
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one candidate for each power of two of sizes, largest first, those that still fit."""
+    """Of the candidates in seeded order each that still fits."""
     left, chosen = int(group["left"].iloc[0]), []
-    for rid, words in group.sort_values(["size", "rid"], ascending=[False, True])[["rid", "size"]].itertuples(index=False):
+    for rid, words in group.sort_values(["h", "rid"])[["rid", "size"]].itertuples(index=False):
         if words <= left:
             left -= words
             chosen.append(rid)
@@ -166,6 +172,49 @@ def _cut(rows: DataFrame, plan: DataFrame, patterns: int) -> DataFrame:
     )
 
 
+def _take(rows: DataFrame, extra: dict) -> tuple[dict, DataFrame]:
+    """Go through each pattern's rows in seeded order and take what fits into ``extra`` ({pattern: words}, below its sum).
+
+    Returns the runs of each pattern (after, up to, longest: rows behind the first place, not behind
+    the second, no longer than the third) and the rows (rid) taken beside them.
+    """
+    spark = rows.sparkSession
+    runs: dict = defaultdict(list)
+    few: dict = {}  # patterns for one task each
+    at = {p: (FIRST, left) for p, left in extra.items() if left > 0}
+
+    def later(patterns: dict) -> DataFrame:
+        state = spark.createDataFrame([(list(p), *place, left) for p, (place, left) in patterns.items()], "pattern array<string>, after_h bigint, after_rid bigint, left bigint")
+        behind = (F.col("h") > F.col("after_h")) | ((F.col("h") == F.col("after_h")) & (F.col("rid") > F.col("after_rid")))
+        return _with_plan(rows, state, len(patterns)).where(behind & (F.col("size") > 0) & (F.col("size") <= F.col("left"))).select("pattern", "rid", "h", "size", "left")
+
+    many = at
+    found, longest = rows, {p: LAST[0] for p in at}
+    while many:
+        plan = spark.createDataFrame([(list(p), left) for p, (_, left) in many.items()], "pattern array<string>, extra bigint")
+        cuts = {tuple(r["pattern"]): ((r["cut_h"], r["cut_rid"]), r["left"]) for r in _cut(found, plan, len(many)).collect()}
+        for p, (place, _) in cuts.items():
+            runs[p].append((many[p][0], place, longest[p]))
+        at = {p: x for p, x in cuts.items() if x[1] > 0}
+        many = {}
+        if not at:
+            break
+        fit = later(at).groupBy("pattern").agg(F.count("*").alias("rows"), F.sum("size").alias("words")).collect()
+        for r in fit:  # patterns with nothing left that fits are missing
+            p = tuple(r["pattern"])
+            if r["words"] <= at[p][1]:
+                runs[p].append((at[p][0], LAST, at[p][1]))
+            elif r["rows"] <= FILL_ROWS:
+                few[p] = at[p]
+            else:
+                many[p] = at[p]
+        if many:
+            found, longest = later(many).drop("left"), {p: left for p, (_, left) in many.items()}
+    if not few:
+        return runs, spark.createDataFrame([], "rid bigint")
+    return runs, later(few).groupBy("pattern").applyInPandas(_fill, "rid bigint")
+
+
 def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """Copies of each row of ``docs`` (doc_id, text, ...) that the mix takes.
 
@@ -207,15 +256,21 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
         plan_rows.append((list(p), full, extra))
     plan = spark.createDataFrame(plan_rows, "pattern array<string>, full bigint, extra bigint")
     patterns = len(plan_rows)
-    cuts = stage_table(_cut(rows, plan, patterns), "cuts")
-    above = (F.col("h") > F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("rid") > F.col("cut_rid")))
-    later = _with_plan(rows, cuts, patterns).where(above & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
-    class_ = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
-    candidates = later.groupBy("pattern", "left", class_.alias("class")).agg(F.min(F.struct("h", "rid", "size")).alias("c")).select("pattern", "left", "c.rid", "c.size")
-    fill = candidates.groupBy("pattern").applyInPandas(_fill, "rid bigint").withColumn("filled", F.lit(True))
+    runs, beside = _take(rows, {tuple(p): extra for p, _, extra in plan_rows})
+    fill = beside.withColumn("filled", F.lit(True))
+    taken_runs = [(list(p), [(*after, *upto, longest) for after, upto, longest in found]) for p, found in runs.items()]
+    run_type = "struct<after_h: bigint, after_rid: bigint, upto_h: bigint, upto_rid: bigint, longest: bigint>"
+    cuts = spark.createDataFrame(taken_runs, f"pattern array<string>, runs array<{run_type}>")
     planned = _with_plan(_with_plan(rows, plan.select("pattern", "full"), patterns, "left"), cuts, patterns, "left")
+    place = F.struct("h", "rid")
+
+    def in_run(run: Column) -> Column:
+        behind = place > F.struct(run["after_h"].alias("h"), run["after_rid"].alias("rid"))
+        counts = (F.col("size") > 0) | (run["after_h"] < 0)  # behind the first cut only rows with words are gone through
+        return behind & (place <= F.struct(run["upto_h"].alias("h"), run["upto_rid"].alias("rid"))) & (F.col("size") <= run["longest"]) & counts
+
     planned = planned.join(fill, "rid", "left")
-    once_more = F.coalesce((F.col("cut_h").isNotNull() & ~above) | F.col("filled"), F.lit(False))
+    once_more = F.coalesce(F.exists("runs", in_run), F.lit(False)) | F.coalesce(F.col("filled"), F.lit(False))
     return planned.select("doc_id", "rid", "h", "pattern", "size", (F.col("full") + once_more.cast("bigint")).alias("copies"))
 
 

@@ -230,6 +230,25 @@ def test_mixing(spark):
     assert mixing.mix_by_source(frame(spark, [])).count() == 0
 
 
+def test_mixing_goes_on_behind_a_long_document(spark, monkeypatch):
+    """A document of half a source's words at the cut hides no later one that fits: the choice is the fold's, row by row."""
+    rnd = random.Random(12)
+    sizes = {"a": [100_000] + [100] * 1000, "b": [rnd.choice([0, 1, 3, 50, 900, 20_000]) for _ in range(500)], "c": [5, 5, 5]}
+    table = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, all_ in sizes.items() for n in all_)]
+    docs = spark.createDataFrame(table, "doc_id bigint, source string, words bigint").withColumn("text", F.col("source"))
+    extra = {"a": 100_000, "b": sum(sizes["b"]) // 2, "c": 7}
+    for bound, seed in ((20_000, 1), (20_000, 2), (0, 3)):
+        monkeypatch.setattr(mixing, "FILL_ROWS", bound, raising=False)
+        got = mixing.mix(docs, F.array("source"), F.col("words"), {s: sum(sizes[s]) + extra[s] for s in sizes}, 2, seed).collect()
+        for s in sizes:
+            left = extra[s]
+            for r in sorted((r for r in got if r.pattern == [f"s{s}"]), key=lambda r: (r.h, r.rid)):
+                fits = r["size"] <= left
+                assert r.copies == 1 + fits or r["size"] == 0
+                left -= r["size"] * fits
+            assert left == {"a": 0, "b": left, "c": 2}[s]
+
+
 def test_flow_with_overlapping_sources():
     flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 4}, {"a": 12, "b": 16}, 2)
     into = Counter()
