@@ -10,6 +10,7 @@ evidence is then moved by how much its path's posterior differs from the global
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +42,13 @@ def features_of(text: str) -> list[float]:
     letters = counts[65:91].sum() + counts[97:123].sum()
     lines = [x for x in text.split("\n") if x.strip()]
     n = len(words)
-    distinct = len(set(words))
+    count = Counter(words)
+    distinct = len(count)
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     marked = (_SYMBOL | _MARK)[raw]
     marked[raw == 124] = True
     upper = (raw >= 65) & (raw <= 90)
     bad = np.add.reduceat(marked + 0.5 * upper, ends := np.r_[0, np.flatnonzero(raw == 10) + 1][: max(1, int(counts[10]) + 1)].clip(max=size - 1)) / np.maximum(1, np.diff(np.r_[ends, size]))
-    first = {}
-    for w in words[:: max(1, n // 2000)]:  # share of the commonest word
-        first[w] = first.get(w, 0) + 1
     return [
         counts[_SYMBOL].sum() / size,
         counts[65:91].sum() / max(1, letters),
@@ -64,7 +63,7 @@ def features_of(text: str) -> list[float]:
         math.log(n / max(1, len(lines))),
         1 - len(set(lines)) / max(1, len(lines)),
         sum(len(x) < 30 for x in lines) / max(1, len(lines)),
-        max(first.values()) / sum(first.values()) * math.log(n + 2),
+        max(count.values()) / n * math.log(n + 2),
         float(bad.max()),
     ]
 

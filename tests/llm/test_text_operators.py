@@ -319,6 +319,13 @@ def test_quality_keeps_the_good(spark):
     assert quality.keep_good(df.limit(0), table).count() == 0
 
 
+def test_quality_counts_all_words():
+    at = quality.FEATURES.index("most_common")
+    for text in ("buy now " * 2500, "now buy " * 2500, "".join(f"w{i} junk " for i in range(5000)), "a b b"):
+        found = Counter(text.split())
+        assert quality.features_of(text)[at] == pytest.approx(max(found.values()) / found.total() * np.log(found.total() + 2))
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><ul><li>Home</li><li>News</li></ul></nav><div class=promo>buy</div><{0}><h1>Title {1}</h1><p>One &amp; <b>two\n {1}</b><br>three<p>Four<aside>no</aside>{2}</{0}><div class='comments'><p>me</p></div><footer>f {1}</footer>"
 
 
