@@ -353,6 +353,23 @@ def test_wrappers(spark):
     assert html_wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = lambda i: f"<body><div id=top><p>Same line everywhere</p></div><div id=main><h1>Title {i}</h1><p>Body {i}</p></div>"
+    pages = [(i, "http://copies.org/", page(0)) for i in range(12)]  # copies only
+    pages += [(100 + i, "http://half.org/", page(max(0, i - 9))) for i in range(14)]  # 10 copies, 4 others: 5 distinct
+    pages += [(200 + i, "http://few.org/", page(max(0, i - 9))) for i in range(13)]  # 4 distinct
+    pages += [(300 + i, "http://one.org/", "<body><div><p>All there is</p></div>" if i < 6 else f"<body><div><p>All there is</p></div><table><tr><td>{i}</td></tr></table>") for i in range(12)]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(5, "page_id")
+    by = {r.page_id: r.text for r in html_wrappers.extract(rows).collect()}
+    for i in range(12):
+        assert by[i] == "Same line everywhere\nTitle 0\nBody 0"
+        assert by[300 + i].startswith("All there is") if i < 6 else by[300 + i]
+    for i in range(14):
+        assert by[100 + i] == f"Title {max(0, i - 9)}\nBody {max(0, i - 9)}"
+    for i in range(13):
+        assert by[200 + i].endswith(f"Title {max(0, i - 9)}\nBody {max(0, i - 9)}")
+
+
 def test_wrapper_alignment():
     item = lambda p, d=0: [p, False, False, d, 1, 10]
     one = html_wrappers.fold([item("a", 1), item("p", 2), item("p", 3), item("z", 4)])
