@@ -370,6 +370,21 @@ def test_copies_of_a_page_are_one_page(spark):
         assert by[200 + i].endswith(f"Title {max(0, i - 9)}\nBody {max(0, i - 9)}")
 
 
+def test_template_texts_inside_article(spark):
+    body = lambda i: "".join(f"<p>Text {i} {k}</p>" for k in range(1 + i % 3))
+    pages = [(i, "http://a.org/", f"<article><h1>Title {i}</h1>{body(i)}<p>Read our app</p><section><p>All rights reserved</p></section></article>") for i in range(30)]
+    pages += [(100 + i, "http://b.org/", f"<main><p>Buy now</p><h2>Title {i}</h2></main>") for i in range(8)]
+    pages += [(200 + i, "http://c.org/", f"<article><p>Text {i}</p><p>{'Some pages' if i % 2 else 'have this'}</p><p>Text {i}</p></article>") for i in range(8)]
+    pages += [(300 + i, "http://d.org/", "<article><h1>Copy</h1><p>One</p><p>Two</p></article>") for i in range(8)]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(5, "page_id")
+    by = {r.page_id: r.text for r in html_wrappers.extract(rows).collect()}
+    for i in range(30):
+        assert by[i] == "\n".join([f"Title {i}", *[f"Text {i} {k}" for k in range(1 + i % 3)]])
+    for i in range(8):
+        assert by[100 + i] == f"Title {i}" and by[300 + i] == "Copy\nOne\nTwo"
+        assert by[200 + i] == f"Text {i}\n{'Some pages' if i % 2 else 'have this'}\nText {i}"
+
+
 def test_wrapper_alignment():
     item = lambda p, d=0: [p, False, False, d, 1, 10]
     one = html_wrappers.fold([item("a", 1), item("p", 2), item("p", 3), item("z", 4)])
