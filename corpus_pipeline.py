@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, with their digests."""
-    return bpe.encode_documents(docs, tokenizer_path())
+    return bpe.encode_documents(docs, tokenizer_path(), with_ids=True, with_decoded=False)
 
 
 #: (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame.

@@ -340,16 +340,18 @@ def _load(name: str) -> tuple[Encoder, Decoder]:
     return _LOADED[name]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, with_decoded: bool | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    ``with_ids`` adds ids (binary, little-endian unsigned 32-bit) and decoded (string).
+    ``with_ids`` adds ids (binary, little-endian unsigned 32-bit), ``with_decoded`` decoded (string);
+    if that isn't said, both or none.
 
     * A null or empty text has no ids; special tokens' strings in a text give their ids.
     * doc_id is passed through, nulls and repeated ones too. No rows in, no rows out.
     * Texts of any length are encoded whole. Other columns of ``docs`` are ignored.
     """
     name = prepare(docs, tokenizer_path)
+    with_decoded = with_ids if with_decoded is None else with_decoded
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _load(name)
@@ -366,12 +368,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array(ids, pa.binary()))
+                    names.append("ids")
+                if with_decoded:
+                    columns.append(pa.array(decoded, pa.string()))
+                    names.append("decoded")
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded string" * with_decoded
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).mapInArrow(encode, schema)
 
 

@@ -53,3 +53,15 @@ def test_pipeline(spark, tmp_path):
     want = Counter((r.doc_id, hashlib.sha256(np.array(library.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for r in seen["mixing"])
     assert Counter((r.doc_id, r.ids_sha256) for r in seen["encoding"]) == want
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["encoding"])
+
+
+def test_encoding_stage_gives_the_ids(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    from postmill.llm.queries import tokenizer_path
+
+    docs = [(1, "One and two"), (2, ""), (3, None), (3, "Grüße, 世界! " * 40), (None, "again again"), (1, "One and two")]
+    got = dict(corpus_pipeline.STAGES)["encoding"](spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path)).collect()
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t in docs)
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    assert all(r.n_tokens * 4 == len(r.ids) and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in got)
