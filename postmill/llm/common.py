@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,21 +30,91 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables staged by the operators that are running, innermost last.
+_scopes: list[list[str]] = []
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Cuts the lineage: later readers survive the loss of executors and see the same rows.
-    The files go when the application ends.
+    The files go when the operator that staged them has no more need of them (see :func:`releasing`),
+    at the latest when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _hadoop_path(spark, path)
+    files.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _roots_read(df: DataFrame) -> set[str]:
+    """Last parts of the folders that the plan of ``df`` reads."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            found |= {x.rstrip("/").rpartition("/")[2] for x in leaf.relation().location().rootPaths().mkString("\n").split("\n")}
+    return found
+
+
+def releasing(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that deletes the tables it has staged, but for those that its lazy result still reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _scopes.append([])
+        try:
+            result = operator(*args, **kwargs)
+        finally:
+            staged = _scopes.pop()
+        read = _roots_read(result)
+        for path in staged:
+            if path.rpartition("/")[2] not in read:
+                files, target = _hadoop_path(result.sparkSession, path)
+                files.delete(target, True)
+            elif _scopes:
+                _scopes[-1].append(path)
+        return result
+
+    return run
+
+
+#: Bits of the bitmaps of documents, at least and at most (1 MB to 8 MB).
+MAP_BITS, MOST_MAP_BITS = 1 << 23, 1 << 26
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2, spot): id and a hash of the text as a key, and the place of the key in bitmaps."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    rows = rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63))), "k2": F.xxhash64("text")})
+    return rows.withColumn("spot", F.pmod(F.xxhash64("k1", "k2"), F.lit(MOST_MAP_BITS)))
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the (k1, k2) of ``keys``: sixteen for each key, within the fixed bounds."""
+    bits = min(max(MAP_BITS, 1 << (16 * keys.count()).bit_length()), MOST_MAP_BITS)
+    spot = F.pmod(F.xxhash64("k1", "k2"), F.lit(MOST_MAP_BITS)) % bits
+    words = keys.select(F.floor(spot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int")).alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
+def in_bitmap(spot: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    spot = spot % (64 * len(bits))
+    return (bits[spot >> 6].view(np.uint64) >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

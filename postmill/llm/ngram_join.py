@@ -1,24 +1,27 @@
 """Near duplicates: an exact Jaccard self-join of word shingles by grouped prefixes.
 
-A document's set is its distinct shingles of WORDS words. Two sets that link share a token among
-the first n - ceil(0.8 n) + 1 of either, in any order of tokens that all agree on; the order here
-puts tokens that occur often last (a bounded table of counts over all documents; which tokens it
-holds changes the work, never the result).
-
-1. Documents with equal sets are one; sets with the same size and prefix form a group.
-2. The prefix tokens meet by token, sorted by size, and a run's sets collapse to their groups. A run
-   of up to SMALL groups gives its pairs of fitting sizes. A longer run is cut into overlapping bands
-   of sizes, and each band gives only the pairs of one leader with the others: as many as groups.
-3. Pairs of groups expand to their members and are verified on the whole sets. Links join to components.
-4. What isn't linked with its leader meets again, in runs of its own, for some rounds. Jaccard
-   distance is a metric: a set farther than 0.4 from a leader can't link with a set linked to that
-   leader, so only those between 0.2 and 0.4, and what the last round leaves, are open. An open set
-   is paired with every set of another component with which it shares a prefix token.
-
-So every two sets that could link are verified, are kept apart by the triangle inequality, or are in
-one component already. Tokens that more than HOT sets have are salted by group; the leaders of the
-salts meet, and sets outside a token's commonest component are open. Links, components and sets
-never leave the executors.
+A document's set is its distinct shingles of WORDS words, as 64-bit names. Let a be the least overlap
+that links a set of n tokens with any other, ceil(0.8 n), and p = n - a + 1. Of two sets that link, the
+first p tokens of either share one, in any order of tokens that all agree on.
+
+1. Sieve. Of the first SIEVE n tokens in the order of names (p at least), a set that links with another
+   one shares a token for each beyond p. Tokens meet in buckets, packed as arrays; what several sets
+   have that one task holds is combined there, so a token that a third of all documents have costs one
+   entry a task. Each set gets back how many of those tokens another set has, and no pair arises.
+2. Equal sets are one. For what the sieve leaves, tokens are counted exactly; the order is now rarest
+   first. A set with fewer than a tokens that another has links with nothing and is out.
+3. Sets with the same size, number of shared tokens and prefix are one group. A group's entry at a token
+   says how many shared tokens stand from it on: the overlap of two groups whose first common token it
+   is can't be larger, which decides on size and position before a pair exists.
+4. Leaders. Of a token's groups the one with the fewest unshared tokens leads; the members of the others
+   are verified against one member of it, and a group's members against one of their own. That is linear
+   in entries, however large a group of near copies is. Links join to components.
+5. Rest. A group is open at a token if its component isn't the token's commonest and the bound of 3
+   leaves it any partner there. Open groups have leaders of their own for some rounds; then each is
+   joined with all groups of other components that the bound allows, expanded to members and verified.
+
+So every two sets that could link are verified, can't reach the overlap, or are in one component
+already. Links, components and sets never leave the executors.
 """
 
 from __future__ import annotations
@@ -28,19 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stage_table, whole_text
-from .suffix import CHUNK, MAP_BITS, Names, mix
+from .common import in_bitmap, key_bitmap, keyed, releasing, shuffle_width, stage_table, whole_text
+from .suffix import CHUNK, Names, blend
 
-#: Words of a shingle; least similarity in percent.
-WORDS, PERCENT = 5, 80
-#: Tokens in the table of frequent ones (6 MB), least documents of one read at once, longest run that gives all its pairs, rows of a run held at once, and from which count a token is salted.
-FREQUENT, LEAST_SEEN, SMALL, RUN_ROWS, HOT = 1 << 19, 2, 6, 250_000, 200_000
-#: Rounds in which sets that no leader is linked with meet again, and the similarity in percent at 0.4 of distance.
-ROUNDS, NEAR = 3, 60
-_SEEDS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Words of a shingle; least similarity in percent; share of a set that the sieve looks at, in percent.
+WORDS, PERCENT, SIEVE = 5, 80, 30
+#: Rounds of leaders before the rest is joined. Changes the work, never the result.
+ROUNDS = 2
+#: Tokens that a task of the sieve holds at once, and bytes of input for each bucket of the sieve.
+HELD, BUCKET_BYTES = 1_000_000, 1 << 24
 
 
 _SIMPLE = np.arange(256, dtype=np.uint8)  # A-Z lower-cased, the six separators as spaces
@@ -62,344 +65,229 @@ def shingles(texts: list[str]) -> list[np.ndarray]:
 
 
 def _shingles(texts: list[bytes]) -> list[np.ndarray]:
-    """A shingle is the bytes from its first word to its last, with one space between words."""
-    simple = _SIMPLE[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    letter = simple != 32
-    kept = letter.copy()
-    kept[1:] |= letter[:-1]
-    place = np.flatnonzero(kept)
-    flat, letter = simple[place], letter[place]
-    edge = np.diff(np.r_[False, letter, False].astype(np.int8))
+    """A shingle's name blends those of its words; under WORDS words all of them are the only shingle."""
+    flat = _SIMPLE[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    edge = np.diff(np.r_[False, flat != 32, False].astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    first = np.searchsorted(place[starts] if len(starts) else starts, begin)
-    names = np.zeros(max(0, len(starts) - WORDS + 1), np.uint64)
+    words = np.zeros(len(starts), np.uint64)
     at = 0
-    while at < len(names):
-        stop = max(at + 1, min(len(names), int(np.searchsorted(ends, starts[at] + CHUNK)) - WORDS + 1))
-        base = starts[at]
-        block = Names(flat[base : ends[stop + WORDS - 2]])
-        names[at:stop] = block(starts[at:stop] - base, ends[at + WORDS - 1 : stop + WORDS - 1] - starts[at:stop])
+    while at < len(words):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK)))
+        words[at:stop] = Names(flat[starts[at] : ends[stop - 1]])(starts[at:stop] - starts[at], ends[at:stop] - starts[at:stop])
         at = stop
+    runs = [words[i : len(words) - WORDS + 1 + i] for i in range(WORDS)] if len(words) >= WORDS else []
+    names = blend(np.full(len(runs[0]), WORDS, np.uint64), *runs) if runs else words[:0]
+    first = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= WORDS:
             out.append(np.unique(names[a : b - WORDS + 1]))
-        elif b > a:  # fewer words: all of them are the only shingle
-            whole = flat[starts[a] : ends[b - 1]]
-            out.append(Names(whole)(np.zeros(1, np.int64), np.array([len(whole)])))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(blend(np.full(min(1, b - a), b - a, np.uint64), *[words[i : i + 1] for i in range(a, b)]))
     return out
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def least_overlap(n):
+    """Tokens that a set of ``n`` shares at least with any set it is linked with."""
+    return -(-PERCENT * n // 100)
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def sieve_size(n: int) -> int:
+    """How many tokens of a set of ``n`` the sieve looks at."""
+    return max(n - least_overlap(n) + 1, -(-SIEVE * n // 100))
 
 
-def closeness(n_a: int, n_b: int, both: int) -> int:
-    """2: linked; 1: not linked, but at most 0.4 apart; 0: farther."""
-    return sum(100 * both >= percent * (n_a + n_b - both) for percent in (PERCENT, NEAR))
+def must_share(n: int) -> int:
+    """Of those tokens, how many a set that it's linked with has among its own: one is given up for rounding, the other set's size may differ."""
+    return max(1, sieve_size(n) - (n - least_overlap(n)) - 1)
 
 
-def fits(n_a, n_b):
-    """Whether sets of these sizes can be similar at all."""
-    return (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)) & (np.minimum(n_a, n_b) > 0)
+_PACKED = "bucket int, flush bigint, kind int, blob binary"
+_DOCS = 8  # doc_id, whether it is null, k2, n, the set's two names, tokens that must be shared, those that the task knows to be shared
 
 
-#: Buckets of a set's histogram, which bounds overlaps before sets are compared.
-BUCKETS = 512
-_SETS = "doc_id bigint, k2 bigint, n bigint, sid bigint, token bigint, seen bigint, counts binary"
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    names = _PACKED.replace(",", "").split()[::2]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
 
 
-def histogram(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each bucket, 255 for as many or more."""
-    return np.bincount((tokens % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(max=255).astype(np.uint8).tobytes()
+def _first_tokens(buckets: int, held_tokens: int):
+    """Of the texts of a task, about ``held_tokens`` tokens at once: a row of the documents (kind 0), and one a bucket of their first tokens (kind 1)."""
 
+    def flush(number: int, docs: list[tuple], sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        own = np.array(docs, np.int64).reshape(-1, _DOCS)
+        flush_id = (TaskContext.get().partitionId() << 24) + number
+        keys = np.fromiter(sets, np.int64, len(sets))
+        held = [t[: sieve_size(len(t))] for t in sets.values()]
+        tokens, owner = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.arange(len(held)), [len(t) for t in held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        new = np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)]
+        begin = np.flatnonzero(new)
+        many = np.diff(np.r_[begin, len(tokens)]) > 1  # several sets of this flush have it
+        known = np.bincount(owner[many[np.cumsum(new) - 1]], minlength=len(held)) if len(tokens) else np.zeros(len(held), np.int64)
+        by_key = dict(zip(keys.tolist(), known.tolist(), strict=True))
+        own[:, -1] = [by_key.get(k, 0) for k in own[:, 4].tolist()]
+        tokens, holder = tokens[begin], np.where(many, 0, keys[owner[begin]]) if len(begin) else keys[:0]
+        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        tokens, holder, bucket = tokens[order], holder[order], bucket[order]
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True][: len(bucket) + 1]) if len(bucket) else []
+        rows = [(int(flush_id % buckets), flush_id, 0, own.tobytes())]
+        rows += [(int(bucket[a]), flush_id, 1, tokens[a:b].tobytes() + holder[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return _packed(rows)
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document its set; then the tokens that several sets of those read at once have, with counts."""
-    names = _SETS.replace(",", "").split()[::2]
-    held: dict[int, np.ndarray] = {}
-    size = 0
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[tuple] = []
+        sets: dict[int, np.ndarray] = {}
+        size = number = 0
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            for doc_id, k2, tokens in zip(columns[0], columns[1], shingles(columns[2]), strict=True):
+                n = len(tokens)
+                name = xxhash.xxh3_128_intdigest(tokens.tobytes())
+                d1, d2 = ((name >> 64) - (1 << 63)) or 1, (name & ((1 << 64) - 1)) - (1 << 63)  # 0 says: several sets
+                docs.append((doc_id or 0, doc_id is None, k2, n, d1, d2, must_share(n), 0))
+                if n and d1 not in sets:
+                    sets[d1] = tokens
+                    size += sieve_size(n)
+                if size > held_tokens or len(docs) > held_tokens // 8:
+                    yield flush(number, docs, sets)
+                    docs, sets, size, number = [], {}, 0, number + 1
+        if docs:
+            yield flush(number, docs, sets)
 
-    def frequent():
-        tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
-        often = counts >= LEAST_SEEN
-        none = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(len(none), pa.binary())], names)
+    return emit
 
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: for each flush the sets of its tokens that another set has (kind 2); kind 0 passes."""
+
+    def shared(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        half = [len(x) // 2 for _, x in parts]
+        tokens = np.concatenate([x[:h] for (_, x), h in zip(parts, half, strict=True)])
+        holder = np.concatenate([x[h:] for (_, x), h in zip(parts, half, strict=True)])
+        flush = np.repeat(np.array([f for f, _ in parts]), half)
+        order = np.argsort(tokens, kind="stable")
+        tokens, holder, flush = tokens[order], holder[order], flush[order]
+        new = np.r_[True, tokens[1:] != tokens[:-1]]
+        begin, run = np.flatnonzero(new), np.cumsum(new) - 1
+        other = np.logical_or.reduceat(holder != holder[begin][run], begin) | (holder[begin] == 0)
+        found = other[run] & (holder != 0)
+        holder, flush = holder[found], flush[found]
+        order = np.argsort(flush, kind="stable")
+        holder, flush = holder[order], flush[order]
+        edges = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1], True]) if len(flush) else np.zeros(1, np.int64)
+        return _packed([(0, int(flush[a]), 2, holder[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+    at, parts = None, []
     for batch in batches:
-        n, sid, counts = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-        for i, tokens in enumerate(shingles(batch.column(2).to_pylist())):
-            n[i], sid[i] = len(tokens), set_id(tokens)
-            counts.append(histogram(tokens))
-            if len(tokens) and sid[i] not in held:
-                held[int(sid[i])] = tokens
-                size += len(tokens)
-            if size > 4_000_000:
-                yield frequent()
-                held, size = {}, 0
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sid), none, none, pa.array(counts, pa.binary())], names)
-    if held:
-        yield frequent()
-
-
-def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens (FREQUENT at most) and their counts."""
-    counts = stage_table(found.groupBy("token").agg(F.sum("seen").alias("seen")), "tokens")
-    steps = counts.groupBy(F.floor(F.log2("seen") * 32).alias("step")).agg(F.count("*").alias("n"), F.min("seen").alias("least"))
-    total = steps.withColumn("total", F.sum("n").over(Window.orderBy(F.desc("step"))))  # some hundred steps
-    least = total.where(F.col("total") <= FREQUENT).agg(F.min("least")).first()[0]
-    packed = counts.where(F.col("seen") >= (least or 1 << 62)).mapInArrow(_pack, "tokens binary, seen binary").collect()  # 12 bytes a token
-    tokens = np.frombuffer(b"".join(r["tokens"] for r in packed), np.uint64)
-    seen = np.frombuffer(b"".join(r["seen"] for r in packed), np.int32).astype(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], seen[order]
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (token, seen) as bytes, one row each."""
-    for batch in batches:
-        tokens, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy().clip(max=2**31 - 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([tokens.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["tokens", "seen"])
+        for bucket, flush, kind, blob in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            if kind == 0:
+                yield _packed([(0, flush, 0, blob)])
+                continue
+            if bucket != at and parts:
+                yield shared(parts)
+                parts = []
+            at = bucket
+            parts.append((flush, np.frombuffer(blob, np.int64)))
+    if parts:
+        yield shared(parts)
 
 
-def prefix(tokens: np.ndarray, often: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """The first tokens of a set in the common order, their counts in the table, and the share of the set in the table."""
-    at = np.minimum(np.searchsorted(often, tokens), max(0, len(often) - 1))
-    count = np.where(often[at] == tokens, seen[at], 0) if len(often) else np.zeros(len(tokens), np.int64)
-    order = np.lexsort((mix(tokens), count))[: prefix_size(len(tokens))]
-    return tokens[order], count[order], float((count > 0).mean())
+_ROWS = "doc_id bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, open boolean"
 
 
-_PREFIX = "token bigint, salt int, gid bigint, n int, rank bigint, sid bigint"
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by flush: the documents, and whether their sets share enough to stay."""
 
+    def rows(own: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
+        holder = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
+        found = np.searchsorted(holder, own[:, 4], "right") - np.searchsorted(holder, own[:, 4], "left") + own[:, 7]
+        columns = [pa.array(own[:, 0], mask=own[:, 1] == 1), *[pa.array(own[:, i]) for i in (2, 3, 4, 5)], pa.array((own[:, 3] > 0) & (found >= own[:, 6]))]
+        return pa.RecordBatch.from_arrays(columns, _ROWS.replace(",", "").split()[::2])
 
-def _prefixes(table, only=None):
-    """Prefix rows of each distinct set that is read; of those whose token is in the bitmap ``only``, if given."""
+    at, own, held = None, np.zeros((0, _DOCS), np.int64), []
+    for batch in batches:
+        for flush, kind, blob in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if flush != at:
+                if len(own):
+                    yield rows(own, held)
+                at, own, held = flush, np.zeros((0, _DOCS), np.int64), []
+            if kind == 0:
+                own = np.frombuffer(blob, np.int64).reshape(-1, _DOCS)
+            else:
+                held.append(np.frombuffer(blob, np.int64))
+    if len(own):
+        yield rows(own, held)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _PREFIX.replace(",", "").split()[::2]
-        often, seen = table.value
-        done: set[int] = set()
-        for batch in batches:
-            parts = []
-            for tokens in shingles(batch.column(0).to_pylist()):
-                if not len(tokens) or (sid := set_id(tokens)) in done:
-                    continue
-                done.add(sid)
-                if len(done) > 1_000_000:
-                    done.clear()
-                first, count, common = prefix(tokens, often, seen)
-                gid = xxhash.xxh3_64_intdigest(np.append(first, np.uint64(len(tokens))).tobytes()) - (1 << 63)
-                if only is not None:
-                    take = in_bitmap(first, only.value)
-                    first, count = first[take], count[take]
-                kind = (first % np.uint64(4)).astype(np.int64)  # a quarter of the runs is led by the set with most common tokens, the others by three hashes
-                rank = np.where(kind == 0, int((1 - common) * 1e9), (mix(np.uint64(gid & (2**64 - 1)) ^ _SEEDS[1] * kind.astype(np.uint64)) >> np.uint64(2)).astype(np.int64))
-                salt = np.where(count > HOT, gid % np.maximum(1, -(-count // HOT)), -1).astype(np.int32)
-                k = len(first)
-                parts.append((first.view(np.int64), salt, np.full(k, gid), np.full(k, len(tokens), np.int32), rank, np.full(k, sid)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
-    return emit
+def _sieved(docs: DataFrame, held_tokens: int) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, k2, text): doc_id, k2, n, the set's names d1 and d2, and whether it may link with another set."""
+    bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(max(shuffle_width(docs.sparkSession), bytes_in // BUCKET_BYTES), 1 << 20)
+    first = docs.select("doc_id", "k2", "text").mapInArrow(_first_tokens(buckets, held_tokens), _PACKED)
+    met = first.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _PACKED)
+    back = met.select("flush", "kind", "blob").repartition("flush").sortWithinPartitions("flush")
+    return stage_table(back.mapInArrow(_decide, _ROWS), "sieved")
 
 
-def in_bitmap(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    spot = (mix(tokens ^ _SEEDS[0]) % np.uint64(MAP_BITS)).astype(np.int64)
-    return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+_SETS = "sid bigint, n bigint, tokens array<bigint>"
 
 
-def _bitmap_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One fixed-size bitmap of the values that a task reads, in blocks."""
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spot = (mix(batch.column(0).to_numpy().view(np.uint64) ^ _SEEDS[0]) % np.uint64(MAP_BITS)).astype(np.int64)
-        np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-    words = bits.view(np.int64)
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], ["w", "b"])
-
-
-def _bitmap(values: DataFrame):
-    """A broadcast bitmap (MAP_BITS bits) of a column of 64-bit values."""
-    words = np.zeros(MAP_BITS // 64, np.int64)
-    found = values.mapInArrow(_bitmap_parts, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    words[found["w"].to_numpy()] = found["b"].to_numpy()
-    return values.sparkSession.sparkContext.broadcast(words.view(np.uint8))
-
-
-_PAIRS = "a bigint, b bigint, kind int, token bigint, gid bigint, n int, rank bigint"
-#: Kinds of rows out of a run: a pair of a run that gives all of them, a pair of a leader (a) and another (b), a set that a leader's size doesn't fit, a leader of a salt.
-ALL, LED, UNFIT, LEADER = 0, 1, 2, 3
-
-
-def _run_pairs(n: np.ndarray, rank: np.ndarray) -> list[tuple[int, int, int]]:
-    """(i, j, kind) of one run of groups, sorted by size."""
-    m, out = len(n), []
-    if m <= SMALL:
-        return [(i, j, ALL) for i in range(m) for j in range(i + 1, m) if fits(n[i], n[j])]
-    if fits(n[0], n[-1]):
-        i = int(np.argmin(rank))
-        return [(i, j, LED) for j in range(m) if j != i] + [(i, i, LEADER)]
-    ratio = np.log(100 / PERCENT)
-    band = np.floor(np.log(n) / ratio).astype(np.int64)  # sizes that fit are in one band or in neighbours
-    found = sorted(set(band.tolist()))
-    cells = [(k, k + 1) for k in found if k + 1 in found] + [(k, k) for k in found if k + 1 not in found and k - 1 not in found]
-    for low, high in cells:
-        inside = np.flatnonzero((band == low) | (band == high))
-        i = int(inside[np.lexsort((rank[inside], np.abs(np.log(n[inside]) / ratio - low - (low < high) / 2 - 0.5).round(1)))[0]])
-        out += [(i, j, LED) if fits(n[i], n[j]) else (j, j, UNFIT) for j in inside.tolist() if j != i]
-        out.append((i, i, LEADER))
-    return out
+        found = shingles(batch.column(1).to_pylist())
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+        columns = [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+        yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "tokens"])
 
 
-def _expanded(gid: np.ndarray, sid: np.ndarray, n: np.ndarray, rank: np.ndarray, salted: bool) -> list[tuple[int, int, int]]:
-    """Pairs of rows of a run: its rows collapse to groups, pairs of groups expand to members."""
-    order = np.lexsort((sid, gid))
-    first = np.ones(len(gid), bool)
-    first[1:] = gid[order][1:] != gid[order][:-1]
-    heads = np.sort(order[first])
-    if len(heads) == len(gid):
-        return [x for x in _run_pairs(n, rank) if x[2] != LEADER or salted]
-    members: dict[int, list[int]] = {}
-    for i in order.tolist():
-        group = members.setdefault(int(gid[i]), [])
-        if not group or sid[i] != sid[group[-1]]:
-            group.append(i)
-    out = [(g[0], i, LED) for g in members.values() for i in g[1:]]
-    for i, j, kind in _run_pairs(n[heads], rank[heads]):
-        a, b = members[int(gid[heads[i]])], members[int(gid[heads[j]])]
-        if kind == LEADER:
-            out += [(a[0], a[0], LEADER)] if salted else []
-        elif kind == UNFIT:
-            out += [(x, x, UNFIT) for x in a]
-        else:
-            kind = kind if len(a) == len(b) == 1 else LED
-            out += [(a[0], x, kind) for x in b] + [(b[0], x, kind) for x in a[1:]]
-    return out
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the sets of each run of (token, salt); the rows come sorted by token, salt and size."""
-    names = _PAIRS.replace(",", "").split()[::2]
-    held: list[np.ndarray] | None = None
-
-    def pairs(c: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None]:
-        token, salt, gid, n, rank, sid = c
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(token))
-        rest, out = None, []
-        if not last:
-            at = int(starts[-1])
-            if len(token) - at < RUN_ROWS:
-                rest = [x[at:] for x in c]
-                starts, ends = starts[:-1], ends[:-1]
-            else:  # a longer run is taken in parts; sets that fit over the border are open
-                out += [(at + i, at + i, UNFIT) for i in np.flatnonzero(fits(n[at:], n[-1])).tolist()]
-                rest = [x[-1:] for x in c]
-        several = ends - starts > 1
-        for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-            if sid[s] != sid[e - 1] or (sid[s:e] != sid[s]).any():
-                out += [(s + i, s + j, kind) for i, j, kind in _expanded(gid[s:e], sid[s:e], n[s:e], rank[s:e], salt[s] >= 0)]
-        if not out:
-            return None, rest
-        i, j, kind = (np.array(x) for x in zip(*out, strict=True))
-        plain = kind != LEADER
-        columns = [sid[i], sid[j], kind.astype(np.int32), *[np.where(plain, 0, x[i]).astype(x.dtype) for x in (token, gid, n, rank)]]
-        once = np.unique(np.stack([c.astype(np.int64) for c in columns[:4]]), axis=1, return_index=True)[1]
-        return pa.RecordBatch.from_arrays([pa.array(x[once]) for x in columns], names), rest
-
-    for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(6)]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        if len(columns[0]):
-            made, held = pairs(columns, False)
-            if made is not None:
-                yield made
-    if held is not None:
-        made, _ = pairs(held, True)
-        if made is not None:
-            yield made
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    width = shuffle_width(rows.sparkSession)
-    met = rows.repartition(width, "token", "salt").sortWithinPartitions("token", "salt", "n").mapInArrow(_meet, _PAIRS)
-    return stage_table(met.distinct(), "met")
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, kind, close) for (a, b, kind, text_a, text_b)."""
-    memo: dict[int, np.ndarray] = {}
-    for batch in batches:
-        close = np.zeros(batch.num_rows, np.int32)
-        ids = [batch.column(i).to_pylist() for i in (0, 1)]
-        for begin in range(0, batch.num_rows, 50):  # so many pairs at once
-            rows = range(begin, min(begin + 50, batch.num_rows))
-            if len(memo) > 200:
-                memo.clear()
-            new = {ids[side][i]: (side, i) for i in rows for side in (0, 1) if ids[side][i] not in memo}
-            memo.update(zip(new, shingles([batch.column(3 + side)[i].as_py() for side, i in new.values()]), strict=True))
-            for i in rows:
-                x, y = memo[ids[0][i]], memo[ids[1][i]]
-                close[i] = closeness(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(close)], ["a", "b", "kind", "close"])
-
-
-def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, text) of the sets in ``wanted`` (sid): one text of each, found by its hash without making sets again."""
-    found = sets.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("k2").alias("k2"))
-    found = stage_table(found, "wanted")
-    bits = _bitmap(found.select("k2"))
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets ``wanted`` (sid, k1, k2), from the texts of ``docs``."""
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy().view(np.uint64), bits.value)))
+            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bits.value)))
 
-    own = docs.select("k2", "text").mapInArrow(some, "k2 bigint, text string")
-    return stage_table(own.join(found, "k2").groupBy("sid").agg(F.min("text").alias("text")), "texts")
+    own = keyed(docs).select("spot", "k1", "k2", "text").mapInArrow(some, "spot bigint, k1 bigint, k2 bigint, text string")
+    own = own.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["sid"])
+    return stage_table(own.select("sid", "text").mapInArrow(_tokens, _SETS), "sets")
 
 
-def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, kind, maybe) for (a, b, kind, n_a, n_b, counts_a, counts_b): whether the pair can be at most 0.4 apart.
+def enough(most: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether an overlap of ``most`` links sets of these sizes."""
+    return most * (100 + PERCENT) >= (n_a + n_b) * PERCENT
 
-    Sets share at most the sum of the smaller counts of each bucket; full buckets bound nothing.
-    """
-    for batch in batches:
-        n_a, n_b = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (5, 6))
-        most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        maybe = (100 * most >= NEAR * (n_a + n_b - most)) | ((x == 255) & (y == 255)).any(axis=1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(maybe)], ["a", "b", "kind", "maybe"])
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Sets that share enough tokens: sid, n, c (shared tokens), tokens (the shared ones, rarest first), prefix, gid (the group's least sid)."""
+    entries = sets.select("sid", "n", F.explode("tokens").alias("token"))
+    often = stage_table(entries.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1"), "shared")
+    kept = entries.join(often, "token").groupBy("sid", "n").agg(F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("t"))
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    kept = kept.where(F.col("c") >= least).withColumn("tokens", F.col("t.token"))
+    kept = kept.withColumn("prefix", F.slice("tokens", F.lit(1), (F.col("c") - least + 1).cast("int")))
+    kept = stage_table(kept.select("sid", "n", "c", "tokens", "prefix", F.xxhash64("prefix").alias("h1"), F.xxhash64(F.lit(1), "prefix").alias("h2")), "candidates")
+    key = ["n", "c", "h1", "h2"]
+    groups = kept.groupBy(*key).agg(F.min("sid").alias("gid"))
+    return stage_table(kept.join(groups, key).select("sid", "gid", "n", "c", "tokens", "prefix"), "grouped")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, kind, close) of the pairs of sets; ``texts`` has all of them. Pairs that their histograms tell apart aren't compared."""
-    side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}"))
-    bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "kind", "n_a", "n_b", "counts_a", "counts_b")
-    bounded = stage_table(bounded.mapInArrow(_bounds, "a bigint, b bigint, kind int, maybe boolean"), "bounded")
-    far = bounded.where("not maybe").select("a", "b", "kind", F.lit(0).alias("close"))
-    pairs = bounded.where("maybe").select("a", "b", "kind")
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "kind", "text_a", "text_b")
-    return stage_table(far.unionByName(both.mapInArrow(_verify, "a bigint, b bigint, kind int, close int")), "verified")
+def _entries(grouped: DataFrame) -> DataFrame:
+    """(token, gid, n, c, r): prefix tokens of groups that another group has too; r: shared tokens from that one on."""
+    rows = grouped.where("sid = gid").select("gid", "n", "c", F.posexplode("prefix").alias("pos", "token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
+    return stage_table(rows.join(often, "token").select("token", "gid", "n", "c", (F.col("c") - F.col("pos")).alias("r")), "entries")
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+def _linked(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked, by their whole sets."""
+    side = lambda s: grouped.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(enough(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -421,111 +309,86 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("sid").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    return pairs.withColumns({f"root_{s}": F.coalesce(f"root_{s}", s) for s in "ab"})
-
-
-def _paired(met: DataFrame) -> DataFrame:
-    return met.where(F.col("kind").isin(ALL, LED) & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.max("kind").alias("kind"))
-
-
-def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of ``docs`` (doc_id, k2, n, sid for each row), and (sid, root) of those that are linked."""
-    spark = docs.sparkSession
-    found = stage_table(docs.select("doc_id", "k2", "text").mapInArrow(_sets, _SETS), "sets")
-    sets = found.where("sid is not null").select("doc_id", "k2", "n", "sid")
-    once = stage_table(found.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("counts").alias("counts")), "histograms")
-    often, seen = _frequent(found.where("token is not null"))
-    table = spark.sparkContext.broadcast((often, seen))
-    met = _runs(docs.select("text").mapInArrow(_prefixes(table), _PREFIX))
-    hot = bool((seen > HOT).any())
-    unfit = met.where(F.col("kind") == UNFIT).select("a")
-    pairs = [_paired(met)]
-    if hot:  # the leaders of a token's salts meet: few rows for each hot token
-        leaders = met.where(F.col("kind") == LEADER).select("token", F.lit(-1).alias("salt"), "gid", "n", "rank", F.col("a").alias("sid"))
-        again = _runs(leaders)
-        pairs.append(_paired(again))
-        unfit = unfit.unionByName(again.where(F.col("kind") == UNFIT).select("a"))
-    wanted = _sides(pairs[0])
-    for more in pairs[1:]:
-        wanted = wanted.unionByName(_sides(more))
-    texts = _texts(docs, sets, wanted)
-    verified = [_verified(p, texts, once) for p in pairs]
-    last = verified[0]
-    for _ in range(ROUNDS):  # all that meets again has its text here
-        apart = last.where((F.col("kind") == LED) & (F.col("close") < 2)).select(F.col("b").alias("sid")).distinct()
-        if not apart.limit(1).count():
+def _rooted(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sid, gid, n, root, whole): members with their components; whole: the group's only component, or null."""
+    rows = grouped.select("sid", "gid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    whole = rows.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(whole.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole")), "gid")
+
+
+def _open(entries: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries with their groups' components, and those that may link outside their component at that token."""
+    rows = stage_table(entries.join(rooted.where("sid = gid").select("gid", "whole"), "gid"), "rooted")
+    most = rows.groupBy("token", "whole").agg(F.count("*").alias("many"), F.max("r").alias("r"), F.min("n").alias("n"))
+    most = most.groupBy("token").agg(F.max(F.struct("many", "whole")).alias("m"), F.max("r").alias("most_r"), F.min("n").alias("least_n"))
+    outside = F.col("whole").isNull() | ~F.col("whole").eqNullSafe(F.col("m.whole"))
+    found = rows.join(most, "token").where(outside & enough(F.least("r", "most_r"), F.col("n"), F.col("least_n")))
+    return rows, stage_table(found.select(*rows.columns), "open")
+
+
+def _led(entries: DataFrame) -> DataFrame:
+    """Pairs (gid, lead) of a token's groups with its leader, if their shared tokens suffice."""
+    lead = entries.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("alone"), F.col("gid").alias("lead"), F.col("n").alias("n_l"), F.col("c").alias("c_l"))).alias("l"))
+    met = entries.join(lead.select("token", "l.*"), "token").where((F.col("gid") != F.col("lead")) & enough(F.least("c", "c_l"), F.col("n"), F.col("n_l")))
+    return met.select("gid", "lead").distinct()
+
+
+def _rest(rows: DataFrame, open_rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of different components: of open groups with all that the bound allows, and inside mixed groups."""
+    x = open_rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "r", "whole")])
+    fit = (F.col("gid") != F.col("gid_x")) & ~F.coalesce(F.col("whole") == F.col("whole_x"), F.lit(False)) & enough(F.least("r", "r_x"), F.col("n"), F.col("n_x"))
+    met = x.join(rows, "token").where(fit).select(F.least("gid", "gid_x").alias("g"), F.greatest("gid", "gid_x").alias("h"))
+    mixed = rooted.where("whole is null and sid = gid").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    met = met.distinct().unionByName(mixed)
+    side = lambda g, s: rooted.select(F.col("gid").alias(g), F.col("sid").alias(s), F.col("root").alias(f"root_{s}"))
+    return met.join(side("g", "a"), "g").join(side("h", "b"), "h").where("root_a <> root_b").select("a", "b").distinct()
+
+
+def link_sets(docs: DataFrame, rounds: int = ROUNDS, held_tokens: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """The sets of ``docs`` (doc_id, k2, n, d1, d2 for each row), and (d1, d2, r1, r2): the set that stands for a linked one's component."""
+    rows = _sieved(keyed(docs), held_tokens)
+    wanted = rows.where("open").groupBy("d1", "d2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), "k2")).alias("k"))
+    wanted = stage_table(wanted.select(F.monotonically_increasing_id().alias("sid"), "d1", "d2", "k.*"), "wanted")
+    grouped = _candidates(_sets(docs, wanted.select("sid", "k1", "k2")))
+    entries = _entries(grouped)
+    members = grouped.select("gid", F.col("sid").alias("a"))
+    led = _led(entries).select("gid", F.col("lead").alias("b")).unionByName(grouped.where("sid = gid").select("gid", F.col("gid").alias("b")))
+    links = stage_table(_linked(members.join(led, "gid").where("a <> b").select("a", "b"), grouped), "links")
+    for turn in range(rounds + 1):
+        rooted = stage_table(_rooted(grouped, components(links)), "members")
+        all_rows, open_rows = _open(entries, rooted)
+        if turn == rounds or open_rows.isEmpty():
             break
-        own = texts.join(apart, "sid", "left_semi").select("text")
-        met = _runs(own.mapInArrow(_prefixes(table), _PREFIX))
-        last = _verified(_paired(met), texts, once)
-        verified.append(last)
-        unfit = unfit.unionByName(met.where(F.col("kind") == UNFIT).select("a"))
-    every = verified[0]
-    for more in verified[1:]:
-        every = every.unionByName(more)
-    links = every.where("close = 2").select("a", "b")
-    roots = components(links)
-    near = _with_roots(every.where((F.col("kind") == LED) & (F.col("close") == 1)).select("a", "b"), roots).where("root_a <> root_b").select("b")
-    left = last.where((F.col("kind") == LED) & (F.col("close") < 2)).select("b")
-    open_sets = near.unionByName(left).unionByName(unfit.toDF("b"))
-    if hot:
-        open_sets = open_sets.unionByName(_outside(docs, table, often[seen > HOT], roots))
-    open_sets = stage_table(open_sets.select(F.col("b").alias("sid")).distinct(), "open")
-    if open_sets.limit(1).count():
-        rest = stage_table(_rest(docs, sets, open_sets, roots, table), "rest")
-        rest = _verified(rest, _texts(docs, sets, _sides(rest)), once)
-        roots = components(links.unionByName(rest.where("close = 2").select("a", "b")))
-    return sets, roots
-
-
-def _outside(docs: DataFrame, table, hot: np.ndarray, roots: DataFrame) -> DataFrame:
-    """Sets with a hot token whose component isn't that token's commonest."""
-    tokens = docs.sparkSession.createDataFrame([(int(t),) for t in hot.view(np.int64)], "token bigint")  # FREQUENT at most
-    rows = docs.select("text").mapInArrow(_prefixes(table, _bitmap(tokens)), _PREFIX).join(tokens, "token", "left_semi").select("token", "sid").distinct()
-    rows = rows.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    counts = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m")).select("token", F.col("m.root").alias("most"))
-    return rows.join(most, "token").where("root <> most").select(F.col("sid").alias("b"))
-
-
-def _rest(docs: DataFrame, sets: DataFrame, open_sets: DataFrame, roots: DataFrame, table) -> DataFrame:
-    """Pairs of an open set with each set of another component that shares a prefix token and fits its size."""
-    texts = _texts(docs, sets, open_sets).select("text")
-    own = stage_table(texts.mapInArrow(_prefixes(table), _PREFIX).select("token", F.col("sid").alias("x"), F.col("n").alias("n_x")), "open_prefixes")
-    only = _bitmap(own.select("token"))
-    every = docs.select("text").mapInArrow(_prefixes(table, only), _PREFIX).select("token", "sid", "n").distinct()
-    root_of = lambda side, name: roots.select(F.col("sid").alias(side), F.col("root").alias(name))
-    own = own.join(root_of("x", "root_x"), "x", "left").withColumn("root_x", F.coalesce("root_x", "x"))
-    every = every.join(root_of("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    fit = (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * PERCENT) & (F.col("root") != F.col("root_x"))
-    met = own.join(every, "token").where(fit).select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"))
-    return met.distinct().withColumn("kind", F.lit(ALL))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn("k2", F.xxhash64("text"))
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+        more = members.join(_led(open_rows), "gid").select("a", F.col("lead").alias("b"))
+        links = stage_table(links.unionByName(_linked(more, grouped)), "links")
+    rest = stage_table(_linked(_rest(all_rows, open_rows, rooted), grouped), "rest")
+    roots = rooted.select("sid", "root")
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    names = roots.where("sid <> root").join(wanted.select("sid", "d1", "d2"), "sid")
+    return rows, names.join(wanted.select(F.col("sid").alias("root"), F.col("d1").alias("r1"), F.col("d2").alias("r2")), "root").select("d1", "d2", "r1", "r2")
+
+
+@releasing
+def near_duplicates(docs: DataFrame, rounds: int = ROUNDS, held_tokens: int = HELD) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, k2 (a hash of the text).
 
     ``component_id`` is the least doc_id that links reach; ``kept`` marks one row of each component
     (the one with that id; of rows that repeat the id, one text's).
 
+    ``rounds`` and ``held_tokens`` (of a task at once) change the work, never the result.
+
     * A null text is the empty text. Without words the set is empty, links with nothing, and the
       row is its own component; under five words the whole sequence is the only shingle.
     * A null doc_id gets the least other id that it reaches, or null; it is kept only if nothing else is.
     * Rows that repeat doc_id and text are kept or dropped together.
     * Other columns of ``docs`` are ignored. No rows in, no rows out.
     """
-    sets, roots = link_sets(_keyed(docs))
-    rows = sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows, linked = link_sets(docs, rounds, held_tokens)
+    rows = rows.join(stage_table(linked, "linked"), ["d1", "d2"], "left").withColumns({"r1": F.coalesce("r1", "d1"), "r2": F.coalesce("r2", "d2")})
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "k2")
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(order).alias("first"))
-    rows = rows.join(least, "root", "left")
+    least = rows.where("n > 0").groupBy("r1", "r2").agg(F.min("doc_id").alias("least"), F.min(order).alias("first"))
+    rows = rows.join(least, ["r1", "r2"], "left")
     alone = F.col("n") == 0
     return rows.select(
         "doc_id",
@@ -536,9 +399,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+@releasing
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
     names = docs.columns
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("k_id"), F.col("k2").alias("k_hash")).distinct()
+    kept = stage_table(near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("k_id"), F.col("k2").alias("k_hash")).distinct(), "kept")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("k1"), F.xxhash64(whole_text()).alias("k2"))
     return own.join(kept, F.col("k1").eqNullSafe(F.col("k_id")) & (F.col("k2") == F.col("k_hash")), "left_semi").select("row.*")

@@ -3,7 +3,7 @@
 Which strings of LENGTH bytes start at two places is a question about suffixes sorted by their
 first LENGTH bytes. As in bucket-pointer refinement, suffixes first fall into buckets of a q-gram,
 and a bucket is refined by what stands at later offsets, named by bucket identifiers instead of
-compared byte by byte. Here an identifier is a 128-bit polynomial name of the bytes, so that
+compared byte by byte. Here an identifier is a 128-bit polynomial name of the bytes (modulo a prime), so that
 tasks agree on it without a global sort.
 
 1. Each window of LENGTH bytes belongs to the q-gram with the least hash in it (rightmost on a
@@ -31,17 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, whole_text
+from .common import in_bitmap, key_bitmap, keyed, releasing, stage_table
 
 #: Bytes of a repeated string, of a q-gram, offsets of a block in each round, bytes that are hashed at once.
 LENGTH, Q, BLOCK_SIZES, CHUNK = 400, 32, (64, 8, 1), 1 << 19
-#: Bits of the bitmaps of documents (1 MB).
-MAP_BITS = 1 << 23
 _MASK = np.uint64((1 << 20) - 1)
 
 
+#: The prime that names are sums modulo of, and the bases of their polynomials.
+_PRIME = (1 << 31) - 1
+_BASES = (1_234_567_891, 1_987_654_321, 1_105_023_703, 1_772_938_409)
+
+
 class Names:
-    """128-bit names of all substrings of some bytes, by two polynomial prefix sums modulo 2**64."""
+    """128-bit names of all substrings of some bytes: polynomial prefix sums modulo a prime, two for each 64 bits.
+
+    The prime matters: modulo a power of two, sequences such as Thue and Morse's collapse for every base.
+    """
 
     _tables: dict = {}
 
@@ -50,24 +56,39 @@ class Names:
         if cls._tables.get("n", 0) < n:
             n = max(n, CHUNK + 2 * LENGTH)
             rng = np.random.default_rng(20_240_607)
-            made: dict = {"n": n}
-            for k, base in (("1", 0x9E3779B97F4A7C15), ("2", 0xD1B54A32D192ED03)):
-                made["t" + k] = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                for name, p in (("p", base), ("i", pow(base, -1, 1 << 64))):
-                    powers = np.full(n + 1, p, np.uint64)
-                    powers[0] = 1
-                    made[name + k] = np.multiply.accumulate(powers)
+            made: dict = {"n": n, "letter": [], "power": [], "inverse": []}
+            for base in _BASES:
+                made["letter"].append(rng.integers(1, _PRIME, 256, dtype=np.uint64))
+                made["power"].append(_powers(base, n))
+                made["inverse"].append(_powers(pow(base, -1, _PRIME), n))
             cls._tables = made
         return cls._tables
 
     def __init__(self, raw: np.ndarray):
-        t = self.tables(len(raw))
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t["t" + k][raw] * t["p" + k][: len(raw)], dtype=np.uint64)]) for k in "12"]
-        self.inverse = [t["i1"], t["i2"]]
+        self.raw, self.sums = raw, {}
+
+    def _sums(self, j: int) -> np.ndarray:
+        if j not in self.sums:
+            t = self.tables(len(self.raw))
+            terms = t["letter"][j][self.raw] * t["power"][j][: len(self.raw)] % np.uint64(_PRIME)
+            self.sums[j] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])  # no overflow: 2**33 letters
+        return self.sums[j]
 
     def __call__(self, start: np.ndarray, length, k: int = 0) -> np.ndarray:
         """Names number ``k`` (0 or 1) of the substrings."""
-        return mix((self.sums[k][start + length] - self.sums[k][start]) * self.inverse[k][start])
+        part = []
+        for j in (2 * k, 2 * k + 1):
+            sums = self._sums(j)
+            part.append((sums[start + length] - sums[start]) % np.uint64(_PRIME) * self._tables["inverse"][j][start] % np.uint64(_PRIME))
+        return mix(part[0] << np.uint64(32) | part[1])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**n modulo the prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)])
+    return out[: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -163,37 +184,15 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the (k1, k2) of ``keys``; of fixed size."""
-    spot = F.pmod(F.xxhash64("k1", "k2"), F.lit(MAP_BITS))
-    words = keys.select(F.floor(spot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int")).alias("b"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out[found["w"].to_numpy()] = found["b"].to_numpy()
-    return out
-
-
-def _in_bitmap(spot: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (bits[spot >> 6].view(np.uint64) >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key: id and a hash of the text; rows that repeat both are one for the matching."""
-    text = whole_text()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63))), "k2": F.xxhash64("text")})
-    return rows.withColumn("spot", F.pmod(F.xxhash64("k1", "k2"), F.lit(MAP_BITS)))
-
-
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (k1, k2, s, e, ...) with ctx, the bytes that the windows s to e cover."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(batch.column(0).to_numpy(), bits.value)))
+            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bits.value)))
 
-    own = _keyed(docs).select("spot", "k1", "k2", "text").mapInArrow(some, "spot bigint, k1 bigint, k2 bigint, text string").drop("spot")
+    own = keyed(docs).select("spot", "k1", "k2", "text").mapInArrow(some, "spot bigint, k1 bigint, k2 bigint, text string").drop("spot")
     own = own.withColumn("raw", F.col("text").cast("binary")).drop("text").dropDuplicates(["k1", "k2"])
     span = F.substring("raw", F.col("s") + 1, F.col("e") - F.col("s") + LENGTH)
     return wanted.join(own, ["k1", "k2"]).withColumn("ctx", span).drop("raw")
@@ -266,7 +265,7 @@ def _refine(contexts: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(k1, k2, s, e): windows of LENGTH bytes starting at s to e occur elsewhere too."""
-    own = _keyed(docs).select("k1", "k2", "text")
+    own = keyed(docs).select("k1", "k2", "text")
     anchors = stage_table(own.mapInArrow(_anchors, _ANCHOR), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), (F.min("hull1") != F.max("hull1")).alias("contested"))
     grams = stage_table(grams.where("n > 1").drop("n"), "grams")  # buckets of two suffixes and more; a table of its own, so that the join can split a hot one
@@ -297,6 +296,7 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 _FULL = _RESULT + ", spans array<struct<begin:int,end:int>>, kept binary"
 
 
+@releasing
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     * Other columns of ``docs`` are ignored. No rows in, no rows out.
     """
     spans = stage_table(repeated_windows(docs).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("w")), "spans")
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(spans))
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(spans))
     names = [f.split()[0] for f in (_FULL if with_kept else _RESULT).split(", ")]
 
     def result(ids: pa.Array, texts: list[bytes], windows: list) -> pa.RecordBatch:
@@ -328,19 +328,19 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(~_in_bitmap(batch.column(0).to_numpy(), bits.value)))
+            batch = batch.filter(pa.array(~in_bitmap(batch.column(0).to_numpy(), bits.value)))
             yield result(batch.column(1), [x.as_py().encode("utf-8", "replace") for x in batch.column(2)], [None] * batch.num_rows)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(batch.column(0).to_numpy(), bits.value)))
+            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bits.value)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield result(batch.column(0), [x.as_py().encode("utf-8", "replace") for x in batch.column(1)], batch.column(2).to_pylist())
 
     schema = _FULL if with_kept else _RESULT
-    own = _keyed(docs)
+    own = keyed(docs)
     without = own.select("spot", "doc_id", "text").mapInArrow(plain, schema)
     some = own.select("spot", "doc_id", "text", "k1", "k2").mapInArrow(marked, "spot bigint, doc_id bigint, text string, k1 bigint, k2 bigint")
     some = some.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "w").mapInArrow(cut, schema)

@@ -86,18 +86,67 @@ def test_near_duplicates(spark, rows):
     assert set(ngram_join.keep_one(frame(spark, rows).withColumn("root", F.lit(1))).columns) == {"doc_id", "text", "lang", "source", "root"}
 
 
-def test_long_runs_give_leaders_not_pairs():
-    n = np.sort(np.random.default_rng(0).integers(100, 300, 500))
-    out = ngram_join._run_pairs(n, np.arange(500))
-    assert len(out) < 3 * 500
-    paired = {(min(i, j), max(i, j)) for i, j, k in out if k == ngram_join.LED}
-    open_ = {i for i, _, k in out if k == ngram_join.UNFIT}
-    leaders = {i for i, _, k in out if k == ngram_join.LEADER}
-    led = lambda i: {x for x in leaders if x == i or (min(i, x), max(i, x)) in paired}
-    for i in range(0, 500, 7):
-        for j in range(i + 1, 500, 11):
-            if ngram_join.fits(n[i], n[j]):
-                assert led(i) & led(j) or {i, j} & open_
+def components_of(texts):
+    """Of each text the place of the first one that links reach, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both and 100 * both >= 80 * (len(a) + len(b) - both):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("rounds", "held"), [(0, 1), (2, 300), (2, 1_000_000)])
+def test_near_copies_of_large_groups(spark, rounds, held):
+    """Two large groups of near copies around the threshold, a passage that many others share, sets of two to nine words."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    bases, common, texts = [word(90), word(60)], word(40), []
+    for base in bases:
+        for _ in range(110):
+            own = list(base)
+            for at in rng.integers(0, len(own), rng.integers(0, 4)):
+                own[at : at + int(rng.integers(0, 3))] = word(int(rng.integers(0, 3)))
+            texts.append(" ".join(own))
+    texts += [" ".join(common + word(int(rng.integers(5, 60)))) for _ in range(60)]
+    texts += [" ".join(["a", "b", "c", "d", "e", "f", "g", "h", "i"][: int(k)]) for k in rng.integers(1, 10, 20)]
+    texts += texts[:30]
+    want = components_of(texts)
+    got = ngram_join.near_duplicates(frame(spark, list(enumerate(texts))).repartition(7), rounds=rounds, held_tokens=held).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_complements_of_thue_morse_have_names_of_their_own(spark, n):
+    x, y = thue_morse(n)
+    got = ngram_join.near_duplicates(frame(spark, [(1, x), (2, y)])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
+    names = suffix.Names(np.frombuffer((x + y).encode(), np.uint8))
+    for k in (0, 1):
+        assert names(np.array([0]), n, k) != names(np.array([n]), n, k)
+    half, texts = "0123456789" * 20, [x, y]
+    texts = [half[:150] + x[:512] + "left", half[50:] + y[:512] + "right"]
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    gone = [len({j for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for j in range(i, i + 400)}) for t in texts]
+    got = suffix.remove_repeats(frame(spark, list(enumerate(texts)))).collect()
+    assert [r.n_removed for r in sorted(got)] == gone
 
 
 def test_repeats(spark, rows):
