@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Most rows of an Arrow batch where a staged table is written through Python.
+ARROW_ROWS, _ARROW_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Paths of the tables staged by the operators that are running, innermost last.
 _scopes: list[list[str]] = []
 
@@ -48,7 +50,12 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(rows), ARROW_ROWS)))  # whole texts: few at once in a worker's memory
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, rows)
     files, target = _hadoop_path(spark, path)
     files.deleteOnExit(target)
     if _scopes:

@@ -43,7 +43,7 @@ WORDS, PERCENT, SIEVE = 5, 80, 30
 #: Rounds of leaders before the rest is joined. Changes the work, never the result.
 ROUNDS = 2
 #: Tokens that a task of the sieve holds at once, and bytes of input for each bucket of the sieve.
-HELD, BUCKET_BYTES = 1_000_000, 1 << 24
+HELD, BUCKET_BYTES = 500_000, 1 << 24
 
 
 _SIMPLE = np.arange(256, dtype=np.uint8)  # A-Z lower-cased, the six separators as spaces
@@ -118,7 +118,7 @@ def _first_tokens(buckets: int, held_tokens: int):
         own = np.array(docs, np.int64).reshape(-1, _DOCS)
         flush_id = (TaskContext.get().partitionId() << 24) + number
         keys = np.fromiter(sets, np.int64, len(sets))
-        held = [t[: sieve_size(len(t))] for t in sets.values()]
+        held = list(sets.values())
         tokens, owner = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.arange(len(held)), [len(t) for t in held])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
@@ -149,7 +149,7 @@ def _first_tokens(buckets: int, held_tokens: int):
                 d1, d2 = ((name >> 64) - (1 << 63)) or 1, (name & ((1 << 64) - 1)) - (1 << 63)  # 0 says: several sets
                 docs.append((doc_id or 0, doc_id is None, k2, n, d1, d2, must_share(n), 0))
                 if n and d1 not in sets:
-                    sets[d1] = tokens
+                    sets[d1] = tokens[: sieve_size(n)].copy()
                     size += sieve_size(n)
                 if size > held_tokens or len(docs) > held_tokens // 8:
                     yield flush(number, docs, sets)
