@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, whole_text
+from .common import releasing, stage_table, whole_text
 from .mixing import BROADCAST_PATTERNS, SALTS
 from .toxicity import logistic
 
@@ -151,42 +151,60 @@ def path_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return joined.withColumn("path_rate", (F.col("bad") + s2 * F.col("host_rate")) / (F.col("n") + s2)).select("host", "path", "host_rate", "path_rate"), rate
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with as many underscores behind it as it takes to differ from the columns that there are."""
+    while wanted.lower() in {t.lower() for t in taken}:
+        wanted += "_"
+    return wanted
+
+
+@releasing
 def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """``docs`` with p_doc, host_rate, path_rate, score (probability that it is good) and kept, in a struct ``quality``.
+    """``docs`` with p_doc, host_rate, path_rate, score (probability that it is good) and kept, in a struct as the last column.
 
+    The struct's name is ``quality``, with underscores behind it if ``docs`` has such a column.
     ``host`` and ``path`` name a document's site (source and lang); nulls are a site of their own.
     ``labels`` (doc_id, quality) teach; 0 is bad, of several labels of an id the smallest counts.
+    The texts are read once for their evidence; rows with it are staged in the shared folder.
 
     * A null or empty text has no words; it is judged by the features of an empty text.
     * Without labels of both kinds nothing is rejected (everything, if all labels are 0).
     * Rows are neither joined nor dropped by id: repeated rows and null ids stay, each judged alike.
     * All columns of ``docs`` are kept, whatever their names. No rows in, no rows out.
     """
+    return _judged(docs, docs.columns, labels, host, path)
+
+
+@releasing
+def judge_without_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """As :func:`judge`, without the text: so the staged rows are small."""
+    return _judged(docs, [c for c in docs.columns if c.lower() != "text"], labels, None, None)
+
+
+def _judged(docs: DataFrame, names: list[str], labels: DataFrame, host: Column | None, path: Column | None) -> DataFrame:
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
-    sites = evidence(docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), "text"), model).select("host", "path", "p_doc")
-    rates, rate = path_posteriors(sites)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
+    own = stage_table(evidence(packed, model).drop("text"), "evidence")
+    rates, rate = path_posteriors(own.select("host", "path", "p_doc"))
     rates = stage_table(rates.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "host_rate", "path_rate"), "posteriors")
-    names = docs.columns
-    own = evidence(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), "text"), model).drop("text")
     on = F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path"))
     if rates.count() <= BROADCAST_PATTERNS:
         own = own.join(F.broadcast(rates), on, "left")
     else:
         salted = rates.withColumn("s_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        own = own.withColumn("salt", F.pmod(F.xxhash64("row.doc_id", "p_doc"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("salt") == F.col("s_salt")), "left")
+        own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "p_doc"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("salt") == F.col("s_salt")), "left")
     logit = lambda p: F.log(p / (1 - p))
     clip = lambda p: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
     z = logit(clip(F.col("p_doc"))) + SITE_WEIGHT * (logit(clip(F.col("path_rate"))) - math.log(rate / (1 - rate)))
-    bad = 1 / (1 + F.exp(-z))
-    return own.withColumn("bad", bad).select(
-        "row.*", F.struct("p_doc", "host_rate", "path_rate", (1 - F.col("bad")).alias("score"), (F.col("bad") < REJECT).alias("kept")).alias("quality")
-    )
+    own = own.withColumn("bad", 1 / (1 + F.exp(-z)))
+    told = F.struct("p_doc", "host_rate", "path_rate", (1 - F.col("bad")).alias("score"), (F.col("bad") < REJECT).alias("kept"))
+    return own.select("row.*", told.alias(free_name("quality", names)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with their columns (one named quality would be ambiguous; see judge)."""
-    names = docs.columns
-    packed = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in names]).alias("packed"))
-    return judge(packed, labels).where("quality.kept").select("packed.*")
+    """The rows of ``docs`` that aren't rejected, with their columns, whatever their names."""
+    judged = judge(docs, labels)
+    kept = F.col(f"`{judged.columns[-1]}`.kept")
+    return judged.where(kept).select(*[F.col(f"`{c}`") for c in judged.columns[:-1]])

@@ -54,8 +54,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "source", "lang", "quality.*")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return quality.judge_without_text(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "source", "lang", "quality.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
