@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stage_table, whole_text
 
 #: Bound of the labelled sample that the model is fitted on (expected rows), and of its features.
-TRAIN_ROWS, MOST_FEATURES = 24_000, 50_000
+TRAIN_ROWS = 24_000
 #: Strength of the prior; standard errors subtracted; least score and documents of a feature; drift of other tokens.
 PRIOR, CAUTION, LEAST_SCORE, LEAST_DOCS, DRIFT = 50.0, 1.64, 0.5, 3, -0.3
 #: Lengths of the stems, and from which score a document counts as toxic.
@@ -64,7 +64,6 @@ def token_scores(features: list[str], clean: np.ndarray, toxic: np.ndarray, n_cl
     delta = np.log(np.maximum(odds(toxic, n_toxic), 1e-9)) - np.log(np.maximum(odds(clean, n_clean), 1e-9))
     low = delta - CAUTION * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
     take = np.flatnonzero((low >= LEAST_SCORE) & (toxic >= LEAST_DOCS))
-    take = take[np.argsort(-low[take], kind="stable")][:MOST_FEATURES]
     return {features[i]: float(low[i]) for i in take}
 
 
@@ -184,12 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         return Scorer({}, weights=((30.0 if rate else -30.0), 0.0, 0.0))
     counts = train.mapInArrow(_counter, "feature string, c0 bigint, t0 bigint, c1 bigint, t1 bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     kept = counts.where(F.expr("t0 + t1") >= LEAST_DOCS).where(F.expr(f"(t0 + t1) / {n(0, 1) + n(1, 1)} > 1.3 * (c0 + c1) / {n(0, 0) + n(1, 0)}"))
-    table = kept.orderBy(F.expr("(t0 + t1) - (c0 + c1) / 10D").desc(), "feature").limit(8 * MOST_FEATURES).toPandas()
+    table = kept.orderBy("feature").toPandas()  # of the sample's features those that toxic texts have more often
     features, of = table["feature"].tolist(), {c: table[c].to_numpy(float) for c in ("c0", "t0", "c1", "t1")}
     whole = token_scores(features, of["c0"] + of["c1"], of["t0"] + of["t1"], n(0, 0) + n(1, 0), n(0, 1) + n(1, 1))
     parts = [token_scores(features, of[f"c{f}"], of[f"t{f}"], n(f, 0), n(f, 1)) for f in (1, 0)]  # each fold by the other's
     session = docs.sparkSession.sparkContext
-    models = session.broadcast(parts)  # bounded by MOST_FEATURES
+    models = session.broadcast(parts)  # features of TRAIN_ROWS texts at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(p) for p in models.value]
