@@ -1,6 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is cut into pieces: runs of some words inside a paragraph (line). The digests of its pieces
+A text is cut into paragraphs (lines), and these into pieces: a piece ends with its paragraph, or with
+a word whose hash says so, of some words one. So borders depend on the words themselves, and a word
+that comes or goes changes one piece or two. The digests of the pieces
 (the n-th repetition of a piece has a digest of its own) go into the cells of a sketch: each
 digest into one cell of each of three rows; a cell keeps its count, the xor of its digests and the
 xor of their check hashes. Two sketches subtract cell by cell: what both have cancels, and peeling
@@ -24,11 +26,11 @@ from .common import shuffle_width, whole_text
 
 #: Cells of the fingerprint, and of the sub-sketches tried one after the other; three rows of a power of two.
 FIRST_CELLS, RETRY_CELLS = 12, (12, 24, 48, 96)
-#: Expected digests of a sub-sketch, and most buckets of the order by id.
-PART_KEYS, MOST_BUCKETS = 4, 8192
-#: Words of a piece by the text's length in code points: up to the bound, so many.
+#: Expected digests of a sub-sketch, and most buckets of the order by id (their first keys go to the driver, 16 bytes each).
+PART_KEYS, MOST_BUCKETS = 4, 1 << 16
+#: Expected words of a piece by the text's length in code points: up to the bound, so many, and beyond the last so many.
 PIECE_WORDS = ((128, 2), (512, 5), (2048, 10), (8192, 24), (32768, 64))
-LONGEST_PIECE = 160
+MOST_PIECE_WORDS = 160
 _NAMES = itertools.count()
 
 
@@ -44,14 +46,17 @@ def _let(value: str, body: Callable[[str], str]) -> str:
 
 def piece_words(n_chars: str) -> str:
     cases = " ".join(f"when {n_chars} <= {bound} then {words}" for bound, words in PIECE_WORDS)
-    return f"case {cases} else {LONGEST_PIECE} end"
+    return f"case {cases} else {MOST_PIECE_WORDS} end"
 
 
 def digests(text: str, words: str) -> str:
-    """Sorted digests of the text's pieces of ``words`` words; the n-th of equal pieces has its own."""
-    pieces = f"regexp_extract_all({text}, concat(r'(?:[^ \n]++ *+){{1,', {words}, '}}'), 0)"
-    x, i = _fresh("x"), _fresh("i")
-    return _let(f"array_sort(transform({pieces}, {x} -> xxhash64({x}, 31)))", lambda a: f"transform({a}, ({x}, {i}) -> xxhash64({x}, {i} - array_position({a}, {x})))")
+    """Sorted digests of the text's pieces of ``words`` words on average; the n-th of equal pieces has its own."""
+    w, x, i = _fresh("w"), _fresh("x"), _fresh("i")
+    ends = f"filter(sequence(1, size({w})), {x} -> {x} = size({w}) or pmod(xxhash64(get({w}, {x} - 1)), {words}) = 0 or endswith(get({w}, {x} - 1), '\\n'))"
+    pieces = _let(ends, lambda e: f"transform({e}, ({x}, {i}) -> xxhash64(slice({w}, coalesce(get({e}, {i} - 1), 0) + 1, {x} - coalesce(get({e}, {i} - 1), 0)), 31))")
+    split = f"regexp_extract_all({text}, '[^ \\n]++(?: *+\\n)?+', 0)"
+    every = f"get(transform(array({split}), {w} -> if(size({w}) = 0, array(), {pieces})), 0)"
+    return _let(f"array_sort({every})", lambda a: f"transform({a}, ({x}, {i}) -> xxhash64({x}, {i} - array_position({a}, {x})))")
 
 
 def _placed(keys: str, cells: int, sign: int) -> str:
@@ -139,33 +144,33 @@ def as_text(words: str, keys: str, cells: str) -> Column:
     return F.expr(f"lower(concat({words}, ':', size({keys}), ':', array_join(transform({cells}, c -> concat(hex(c.n), '.', hex(c.key), '.', hex(c.check & 65535L))), ',')))")
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """How many bounds the id reaches, by binary search."""
-    table, step, steps = F.array(*[F.lit(b) for b in bounds]), 1, []
-    while step <= len(bounds):
+def _bucket(heads: list[tuple[int, int]]) -> Column:
+    """How many of the ascending ``heads`` (order_id, tie) are below the row's, by binary search."""
+    table = F.from_json(F.lit("[" + ",".join(f'{{"order_id":{i},"tie":{t}}}' for i, t in heads) + "]"), "array<struct<order_id:bigint,tie:bigint>>")
+    step, steps = 1, []
+    while step <= len(heads):
         steps.insert(0, step)
         step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(table, lo + s - 1) <= F.col("order_id")), lo + s).otherwise(lo)
-    )
+    below = lambda at: F.get(table, at - 1) < F.struct("order_id", "tie")
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= len(heads)) & below(lo + s), lo + s).otherwise(lo))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and next_text: of the next document by descending id, after the last the first.
 
-    Null ids come last; rows that repeat an id follow a hash of their text. Ids are dealt into
-    buckets between their quantiles, so the texts move once and no task holds the whole order; the
-    first document of the bucket below is put behind the last of each.
+    Null ids come last; rows that repeat an id follow a hash of their text. Keys are dealt into
+    ranges (four for each shuffle partition), also between rows that repeat an id, so the texts move
+    once and no task holds the whole order; the first document of the range below is put behind the
+    last of each.
     """
     lowest = -(2**63)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     rows = rows.withColumns({"order_id": F.coalesce("doc_id", F.lit(lowest)), "tie": F.xxhash64("text")})
     n = min(MOST_BUCKETS, 4 * shuffle_width(docs.sparkSession))
-    found = rows.agg(F.percentile_approx("order_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"]
-    bounds = sorted(set(found or []))
-    rows = rows.withColumn("bucket", _bucket(bounds) if bounds else F.lit(0))
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("order_id", "tie")).alias("h")).orderBy("bucket").collect()  # at most MOST_BUCKETS
-    below = [(h["bucket"], heads[i - 1]["h"]["order_id"], heads[i - 1]["h"]["tie"]) for i, h in enumerate(heads)]  # the lowest bucket wraps around
+    ranges = rows.select("order_id", "tie").repartitionByRange(n, "order_id", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("order_id", "tie")).alias("h"))
+    heads = sorted((r["h"]["order_id"], r["h"]["tie"]) for r in ranges.collect())  # at most MOST_BUCKETS
+    rows = rows.withColumn("bucket", _bucket(heads) if heads else F.lit(0))
+    below = [(i, *heads[i - 1]) for i in range(len(heads))]  # the lowest range wraps around
     whose = F.lit(None).cast("array<struct<g_bucket:int,g_id:bigint,g_tie:bigint>>")
     if below:
         whose = F.from_json(F.lit("[" + ",".join(f'{{"g_bucket":{b},"g_id":{i},"g_tie":{t}}}' for b, i, t in below) + "]"), "array<struct<g_bucket:int,g_id:bigint,g_tie:bigint>>")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from postmill.llm import bpe, exact, fingerprints, html_wrappers, mixing, ngram_join, quality, suffix, toxicity, urls
@@ -204,10 +205,17 @@ def test_fingerprints(spark, rows):
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
 
     def pieces(t, w):
-        return Counter(re.findall(r"(?:[^ \n]+ *){1,%d}" % w, t))
+        out, piece = Counter(), []
+        for x in re.findall(r"[^ \n]+(?: *\n)?", t):
+            piece.append(x)
+            h = xxhash.xxh64_intdigest(x, seed=42)
+            if x.endswith("\n") or (h - (h >> 63 << 64)) % w == 0:
+                out[tuple(piece)] += 1
+                piece = []
+        return out + Counter([tuple(piece)] if piece else [])
 
     def per(n):
-        return next((w for bound, w in fingerprints.PIECE_WORDS if n <= bound), fingerprints.LONGEST_PIECE)
+        return next((w for bound, w in fingerprints.PIECE_WORDS if n <= bound), fingerprints.MOST_PIECE_WORDS)
 
     def like(a, b):
         w = per(max(len(a), len(b)))
@@ -368,6 +376,26 @@ def test_quality_keeps_the_good(spark):
     assert quality.keep_good(df.limit(0), table).count() == 0
 
 
+def test_fingerprints_of_moved_and_repeated_texts(spark):
+    """A word in front moves one border; rows that repeat an id and long texts are ordered like others."""
+    long = words(random.Random(3), 20_000, "abcdefgh")
+    got = fingerprints.fingerprint_documents(frame(spark, [(2, long), (1, "word " + long)])).collect()
+    assert {r.doc_id for r in got if r.near_next > 0.97} == {1, 2}
+    docs = [(5, f"text {i} of five") for i in range(300)] + [(4, "same")] * 50 + [(None, "x"), (6, "y")]
+    got = fingerprints.with_next(frame(spark, docs)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(docs) and Counter(r.next_text for r in got) == Counter(t for _, t in docs)
+
+
+def test_quality_beside_columns_of_its_names(spark):
+    rows = [(i, "fine words here" if i % 2 else "BAD!! BAD!! $$$", "en", "a", 1, 2, 3) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA + ", quality int, host int, p_doc int")
+    table = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    got = quality.judge(df, table)
+    assert got.columns == [*df.columns, "quality_"] and {r.doc_id % 2 for r in got.where("quality_.kept").collect()} == {1}
+    assert quality.keep_good(df, table).columns == df.columns
+    assert {r.kept for r in quality.judge_without_text(df, table).select("quality_.kept").collect()} == {True, False}
+
+
 def test_quality_counts_all_words():
     at = quality.FEATURES.index("most_common")
     for text in ("buy now " * 2500, "now buy " * 2500, "".join(f"w{i} junk " for i in range(5000)), "a b b"):
