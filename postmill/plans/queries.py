@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import postings as P
 from ..functions.text import blank_to_null
 from ..operators import dedup, html, quality, reports, sets
+from ..session import spread
 from ..sources import crawl, files, payload
 from . import medallion
 from .oracle import CHAIN
@@ -36,7 +37,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").createOrReplaceTempView("orders")
+    spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).createOrReplaceTempView("orders")
     return spark.sql(POSTINGS)
 
 
@@ -121,7 +122,7 @@ def salary_parse(spark, sf_dir):
     return d.select("raw_id", F.col("salary_min").cast("double").alias("salary_min"), F.col("salary_max").cast("double").alias("salary_max"), "salary_currency", "salary_period")
 
 
-_PY_SALARY = r"([$£€])?([A-Z]{2,3})?\s*([\d,]+)(?:\s*[-–]\s*([\d,]+))?(?:\s+per\s+(month|year|hour)|\s*/\s*(month|year|annual|hour))?"
+_PY_SALARY = P.SALARY_PY.removeprefix("(?iU)")
 
 
 @query(

@@ -34,3 +34,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the cluster's cores if its files give fewer tasks than there are cores.
+
+    A small file is one task, however many expressions each of its rows meets; beyond that size the
+    scan has tasks enough and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
