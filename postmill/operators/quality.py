@@ -121,9 +121,9 @@ def evaluate(df: DataFrame, py: bool = False) -> DataFrame:
 
 
 def quality_log(flagged: DataFrame) -> DataFrame:
-    """One row for each firing of a rule."""
+    """One row for each firing of a rule; the id is made of the row and the rule, so that appending again ignores it."""
     rows = flagged.select(F.col("raw_id").alias("job_id"), F.explode("quality_flags").alias("f"))
-    return rows.select(F.uuid().alias("log_id"), "job_id", F.col("f.rule").alias("rule_name"), "f.severity", "f.message", F.current_timestamp().alias("logged_at"))
+    return rows.select(F.sha2(F.concat_ws("|", "job_id", F.col("f.rule")), 256).alias("log_id"), "job_id", F.col("f.rule").alias("rule_name"), "f.severity", "f.message", F.current_timestamp().alias("logged_at"))
 
 
 def rule_ids(flags: str = "quality_flags") -> Column:

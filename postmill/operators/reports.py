@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,19 @@ def unaccepted_values(df: DataFrame, c: str, accepted: list[str]) -> DataFrame:
 
 def run_report(fetched: Column, stored: Column, failed: Column) -> Column:
     return F.struct((fetched - stored).alias("duplicates"), (stored - failed).alias("loaded"), failed.alias("failed"))
+
+
+def layer_counts(layers: dict[str, DataFrame]) -> DataFrame:
+    """(layer, n): how many rows each layer holds."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n") for name, df in layers.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def unexpected(actual: DataFrame, expected: list[str], key: str) -> DataFrame:
+    """Names that are there but aren't expected, as orphaned schemas are."""
+    return actual.where(F.col(key).isNotNull() & ~F.col(key).isin(*expected)).select(key).distinct()
+
+
+def first_rows(df: DataFrame, key: str, k: int) -> DataFrame:
+    """A sample of ``k`` rows that is the same on every run: the first by key."""
+    return df.orderBy(key).limit(k)

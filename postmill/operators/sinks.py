@@ -9,16 +9,33 @@ from ..schemas import RAW_JOBS, RUNS, STATE
 from .dedup import append_new
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def append_ignoring(df: DataFrame, path: str, key: str) -> None:
     """Append rows whose key the table at ``path`` doesn't hold yet."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    existing = spark.read.parquet(path) if there else spark.createDataFrame([], df.schema)
+    existing = spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], df.schema)
     append_new(existing, df, key).write.mode("append").parquet(path)
 
 
+def append_run(run: DataFrame, raw: DataFrame, runs_path: str, raw_path: str) -> None:
+    """Append a run and its rows as one unit: the run's row is written last and commits the rows.
+
+    A run that failed between the two leaves rows without a run; :func:`committed` doesn't read them,
+    and the same run tried again ignores those that are there.
+    """
+    append_ignoring(raw, raw_path, "raw_id")
+    append_ignoring(run, runs_path, "run_id")
+
+
+def committed(raw: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of runs that were appended whole."""
+    return raw.join(runs.select("run_id").distinct(), "run_id", "left_semi").select(*raw.columns)
+
+
 def reload(df: DataFrame, table: str) -> None:
     """Replace a table's rows."""
     df.write.mode("overwrite").saveAsTable(table)
@@ -29,15 +46,47 @@ def complete_run(runs: DataFrame, run_id: str, at: Column) -> DataFrame:
     return runs.withColumn("completed_at", F.when(F.col("run_id") == run_id, at).otherwise(F.col("completed_at")))
 
 
-def csv_export(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The given columns, null as empty; one file, as the consumers of an export expect."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+def csv_export(df: DataFrame, path: str, columns: list[str], parts: int = 1) -> None:
+    """The given columns, null as empty, in ``parts`` files that each begin with a byte order mark.
+
+    The mark stands in front of the first column's name, so each file's first bytes are the mark's.
+    """
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(columns)]
+    df.select(*texts).coalesce(parts).write.mode("overwrite").option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(path, header=True)
 
 
 def json_export(df: DataFrame, path: str) -> None:
+    """One JSON object a line, in as many files as the plan has tasks."""
     df.write.mode("overwrite").json(path)
 
 
+def json_array_export(df: DataFrame, path: str) -> None:
+    """One file that holds a JSON array of the rows; for exports of a size that one consumer reads whole.
+
+    Rows stream through a single task, which adds the brackets and commas: nothing is collected.
+    """
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    end = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))  # so that there is a task if there are no rows
+    rows = rows.unionByName(end).coalesce(1)
+
+    def bracketed(batches):
+        import pyarrow as pa
+
+        last = None  # held back, as the last row has no comma behind it
+        opened = "["
+        for batch in batches:
+            values = ([] if last is None else [last]) + [v for v in batch.column(0).to_pylist() if v is not None]
+            if not values:
+                continue
+            last = values.pop()
+            if values:
+                yield pa.RecordBatch.from_pydict({"value": [(opened if i == 0 else "") + v + "," for i, v in enumerate(values)]})
+                opened = ""
+        yield pa.RecordBatch.from_pydict({"value": [opened + (last or "") + "]"]})
+
+    rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def loadable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to load, rows whose salaries don't fit decimal(15,2)): casts that fail set a row aside, not the load."""
     fits = lambda c: F.col(c).isNull() | F.col(c).try_cast("decimal(15,2)").isNotNull()
@@ -46,6 +95,47 @@ def loadable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wanted.where(ok).withColumns({c: F.col(c).try_cast("decimal(15,2)") for c in ("salary_min", "salary_max")}), wanted.where(~ok)
 
 
+def load(df: DataFrame, path: str) -> DataFrame:
+    """Write the rows to load to ``path``, set those that fail aside in ``path``-failed, and report.
+
+    The report has one row: expected, loaded, failed, stored (rows that the table holds now) and whether they agree.
+    """
+    spark = df.sparkSession
+    good, bad = loadable(df)
+    good.write.mode("overwrite").parquet(path)
+    bad.write.mode("overwrite").parquet(f"{path}-failed")
+    wanted = df.where(~F.coalesce("is_rejected", F.lit(False)) & ~F.coalesce("is_duplicate", F.lit(False)))
+    return load_report(wanted, spark.read.schema(good.schema).parquet(path), spark.read.schema(bad.schema).parquet(f"{path}-failed"))
+
+
+def load_report(expected: DataFrame, stored: DataFrame, failed: DataFrame) -> DataFrame:
+    """expected, loaded (those that didn't fail), failed, stored, and whether loaded and stored agree; one pass of counts."""
+    rows = [d.select(F.lit(name).alias("kind")) for d, name in ((expected, "expected"), (failed, "failed"), (stored, "stored"))]
+    counts = rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("expected", "failed", "stored")])
+    loaded = F.col("expected") - F.col("failed")
+    return counts.select("expected", loaded.alias("loaded"), "failed", "stored", (loaded == F.col("stored")).alias("agrees"))
+
+
+def guarded_update(df: DataFrame, condition: Column, update, expected: int) -> DataFrame:
+    """``update(df)``, unless ``condition`` holds for another number of rows than ``expected``: a dry run before, a check after."""
+    found = df.where(condition).count()
+    if found != expected:
+        raise ValueError(f"{found} rows would change, {expected} were expected")
+    changed = update(df)
+    if changed.count() != df.count():
+        raise ValueError("the update changes the number of rows")
+    return changed
+
+
+def smoke(spark: SparkSession, path: str) -> bool:
+    """Write one row, find it by its key, delete it; whether the place can be written, read and changed."""
+    spark.createDataFrame([("smoke", "x"), ("other", "y")], "id string, value string").write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(path).where("id = 'smoke'").count()
+    left = spark.read.parquet(path).where("id <> 'smoke'").collect()
+    spark.createDataFrame(left, "id string, value string").write.mode("overwrite").parquet(path)
+    return found == 1 and spark.read.parquet(path).where("id = 'smoke'").count() == 0
+
+
 def create_tables(spark: SparkSession, database: str) -> None:
     """The tables of a database, partitioned where scans select by source."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
@@ -57,6 +147,16 @@ def drop_database(spark: SparkSession, database: str) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
 
 
+def rename_database(spark: SparkSession, old: str, new: str) -> list[str]:
+    """Move every table of a database to a new one, then drop the old; the tables moved. Views are left out."""
+    spark.sql(f"CREATE DATABASE {new}")
+    names = [t.name for t in spark.catalog.listTables(old) if t.tableType != "VIEW" and not t.isTemporary]
+    for name in names:
+        spark.table(f"{old}.{name}").write.saveAsTable(f"{new}.{name}")
+    drop_database(spark, old)
+    return names
+
+
 def layer_table(layer: str | None, name: str, default: str = "default") -> str:
     """A table's full name: the layer's own schema if it has one, else the default one."""
     return f"{(layer or default).strip()}.{name}"

@@ -90,3 +90,14 @@ def demo_rows(df: DataFrame) -> DataFrame:
         F.when(~keyless, F.left(blank_to_null(F.trim("posting_date_raw")), F.lit(10))).alias("posting_date"),
         blank_to_null(F.trim("source_url")).alias("source_url"),
     )
+
+
+#: Of each layer's view the relation it is made of.
+VIEWS = {"stg_jobs": payload.staged_union, "int_jobs_cleaned": lambda raw: clean(payload.staged_union(raw)), "int_jobs_silver": silver, "fct_jobs": gold}
+
+
+def create_views(raw: DataFrame) -> list[str]:
+    """A session view for each layer over ``raw``; nothing is computed until one is read."""
+    for name, layer in VIEWS.items():
+        layer(raw).createOrReplaceTempView(name)
+    return list(VIEWS)

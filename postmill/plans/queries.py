@@ -14,6 +14,7 @@ from ..session import spread
 from ..sources import crawl, files, payload
 from . import medallion
 from .oracle import CHAIN
+from .pages_sql import FACTS, LISTINGS, PAGES
 from .postings_sql import POSTINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,17 +397,17 @@ def bag_concat(spark, sf_dir):
     return sets.concatenate(d.select(F.col("lang").alias("v")), d.select(F.col("source").alias("v"))).groupBy("v").agg(F.count("*").alias("n"))
 
 
-@query("select user_id, array_to_string(list(event_type order by first_ts, event_type), ',') as types from (select user_id, event_type, min(ts) as first_ts from events group by 1, 2) group by 1")
+@query("select user_id, array_to_string(list(event_type order by first), ',') as types, sum(n)::bigint as n from (select user_id, event_type, min(struct_pack(ts := ts, id := event_id)) as first, count(*) as n from events group by 1, 2) group by 1")
 def ordered_distinct(spark, sf_dir):
-    firsts = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
-    ordered = firsts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first_ts", "event_type"))).alias("e"))
-    return ordered.select("user_id", F.array_join(sets.ordered_distinct(F.transform("e", lambda x: x["event_type"])), ",").alias("types"))
+    every = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    ordered = read(spark, sf_dir, "events").groupBy("user_id").agg(every.alias("e"))
+    return ordered.select("user_id", F.array_join(sets.ordered_distinct(F.transform("e", lambda x: x["event_type"])), ",").alias("types"), F.size("e").cast("bigint").alias("n"))
 
 
-@query("select distinct user_id from events where user_id not in (select o_custkey from orders)")
+@query("select distinct user_id + 1400 as user_id from events where user_id + 1400 not in (select o_custkey from orders)")
 def id_set_diff(spark, sf_dir):
     ids = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
-    return sets.difference(read(spark, sf_dir, "events"), ids, "user_id")
+    return sets.difference(read(spark, sf_dir, "events").select((F.col("user_id") + 1400).alias("user_id")), ids, "user_id")
 
 
 @query("{chain} select key, count(*) as n from (select unnest(json_keys(raw_payload)) as key from postings) group by 1")
@@ -469,3 +470,102 @@ def window_first_value(spark, sf_dir):
 @query("select doc_id, nullif(trim(source), '') as source, left(text, 10) as head from documents")
 def blank_and_head(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", blank_to_null(F.trim("source")).alias("source"), F.left("text", F.lit(10)).alias("head"))
+
+
+def _detail_pages(spark, sf_dir):
+    spread(read(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    spark.sql(FACTS).createOrReplaceTempView("facts")
+    return spark.sql(PAGES)
+
+
+_PAY = "case when pay = 8 then '5000 a month' when shape = 0 then null when pay < 3 then low || '-' || high || ' SAR' when pay < 5 then low || ' SAR' end"
+
+
+@query(
+    f"with facts as ({FACTS}) select id, title, company, city, posting_date, employment_type, work_mode, experience, gender, {_PAY} as salary, "
+    "case when shape <> 0 and id % 2 = 0 then about else about || ' & more' end as job_description from facts"
+)
+def page_details(spark, sf_dir):
+    job = html.detail_record(F.col("html"))
+    names = ("title", "company", "city", "posting_date", "employment_type", "work_mode", "experience", "gender", "salary", "job_description")
+    return _detail_pages(spark, sf_dir).select("id", *[job[n].alias(n) for n in names])
+
+
+@query(
+    "select cast(floor(o_orderkey / 100) as bigint) as page, array_to_string(list_sort(list_distinct(list(lpad(cast(o_orderkey as varchar), 9, '0')))), ',') as seeds, "
+    "array_to_string(list_sort(list_distinct(list_concat(list(cast(o_orderkey as varchar)), list(cast(o_orderkey % 50 as varchar))))), ',') as links from orders group by 1"
+)
+def page_seeds(spark, sf_dir):
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    found = {"seeds": html.seed_ids(F.col("html")), "links": html.link_ids(F.col("html"))}
+    return spark.sql(LISTINGS).select("page", *[F.array_join(F.array_sort(c), ",").alias(n) for n, c in found.items()])
+
+
+@query(
+    f"with recursive facts as ({FACTS}), edges as (select id as src, (id * 3 + 1) % 400 as dst from facts union select id, (id * 5 + 2) % 400 from facts), "
+    "walk(node, depth) as (select unnest([1, 7, 33])::bigint, 0 union select dst, depth + 1 from walk join edges on src = node where depth < 2), "
+    "capped as (select node, min(depth) as depth from walk group by 1 order by 2, 1 limit 12) select id, depth, title from capped join facts on id = node"
+)
+def crawl_scan(spark, sf_dir):
+    front = spark.range(1).select(F.lit('<a data-job-id="7">x</a><a href="/j/01.html">1</a><a href="/j/033.html">2</a><a href="/j/01.html">3</a>').alias("html"))
+    pages = _detail_pages(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    found = crawl.scan(front, pages, depth=2, most=12, order=F.col("node").cast("bigint"))
+    return found.select(F.col("id").cast("bigint").alias("id"), "depth", "title")
+
+
+# -- loads, layers and guards -------------------------------------------------
+
+
+@query(
+    "{chain} select 'postings' as layer, count(*) as n from postings union all select 'staged', count(*) from staged union all select 'silver', count(*) from silver union all select 'gold', count(*) from gold"
+)
+def layer_counts(spark, sf_dir):
+    raw = postings(spark, sf_dir)
+    silver_rows = medallion.silver(raw)
+    gold_rows = silver_rows.where(~F.col("is_duplicate") & ~F.col("is_rejected"))
+    return reports.layer_counts({"postings": raw, "staged": payload.staged_union(raw), "silver": silver_rows, "gold": gold_rows})
+
+
+@query("{chain}, w as (select * from silver where not is_rejected and not is_duplicate) select count(*) as expected, count(*) as loaded, 0::bigint as failed, count(*) as stored, true as agrees from w")
+def load_check(spark, sf_dir):
+    from ..operators.sinks import load
+    from ..session import scratch
+
+    return load(silver(spark, sf_dir).select("raw_id", "salary_min", "salary_max", "is_rejected", "is_duplicate"), scratch(spark, "load"))
+
+
+@query(
+    "{chain} select run_id, count(*) - count(distinct source_url) as duplicates, count(distinct source_url) - count(distinct source_url) filter (source_job_id = '') as loaded, count(distinct source_url) filter (source_job_id = '') as failed from postings group by 1"
+)
+def run_reports(spark, sf_dir):
+    counts = postings(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("fetched"), F.count_distinct("source_url").alias("stored"), F.count_distinct(F.when(F.col("source_job_id") == "", F.col("source_url"))).alias("failed"))
+    return counts.select("run_id", reports.run_report(F.col("fetched"), F.col("stored"), F.col("failed")).alias("r")).select("run_id", "r.duplicates", "r.loaded", "r.failed")
+
+
+@query("select distinct source from documents where source not in ('src0', 'src1')")
+def unexpected_names(spark, sf_dir):
+    return reports.unexpected(read(spark, sf_dir, "documents"), ["src0", "src1"], "source")
+
+
+@query("{chain} select count(*) as n, count(*) as keys, 0::bigint as null_keys from gold")
+def tests_surrogate(spark, sf_dir):
+    d = medallion.with_surrogates(medallion.gold(postings(spark, sf_dir)))
+    return d.agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("keys"), F.count_if(F.col("job_id").isNull()).alias("null_keys"))
+
+
+@query("{chain} select raw_id, run_id from postings where run_id = (select run_id from postings group by 1 order by min(collected_at) desc, run_id desc limit 1)")
+def latest_run_scan(spark, sf_dir):
+    d = postings(spark, sf_dir).select("raw_id", "run_id", "collected_at")
+    runs = d.groupBy("run_id").agg(F.min("collected_at").alias("started_at"))
+    return files.of_latest_run(d, runs).select("raw_id", "run_id")
+
+
+@query("{chain} select raw_id, title from cleaned order by raw_id limit 3")
+def first_3(spark, sf_dir):
+    return reports.first_rows(cleaned(spark, sf_dir).select("raw_id", "title"), "raw_id", 3)
+
+
+@query("{chain} select source_name, count(*) as n from gold group by 1")
+def view_counts(spark, sf_dir):
+    medallion.create_views(postings(spark, sf_dir))
+    return spark.sql("select source_name, count(*) as n from fct_jobs group by source_name")

@@ -22,18 +22,23 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder (spark.checkpoint.dir) and read it again; cuts the lineage of loops."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder (spark.checkpoint.dir); its files go when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:  # tests
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/postmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; cuts the lineage of loops."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -59,6 +59,23 @@ def of_run(raw: DataFrame, run_id: str) -> DataFrame:
     return raw.where(F.col("run_id") == run_id)
 
 
+def of_latest_run(raw: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of the run that started last; the run's id is one row, so the scan of the others is pruned at run time."""
+    last = runs.agg(F.max(F.struct("started_at", "run_id"))["run_id"].alias("run_id"))
+    return raw.join(F.broadcast(last), "run_id", "left_semi").select(*raw.columns)
+
+
+def with_updated(df: DataFrame, updated: str, started_at: str) -> DataFrame:
+    """collected_at of sources that say when a record was updated; else when the run began."""
+    return df.withColumn("collected_at", F.coalesce(blank_to_null(F.col(updated)), F.lit(started_at)))
+
+
+def bind(tables: dict[str, DataFrame]) -> None:
+    """Name relations for SQL (session views): a model's text names its sources, not their places."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def of_run_prefix(raw: DataFrame, prefix: str) -> DataFrame:
     return raw.where(F.col("run_id").startswith(prefix))
 

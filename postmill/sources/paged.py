@@ -1,15 +1,20 @@
-"""Paged listings as a batch data source: one partition for each page, read until pages are empty.
+"""Paged listings as a batch data source: one partition for each page, read until the listing ends.
 
 Live collection is not part of this library: pages come from a folder of JSON files (page N in
-N.json), as dumped by whatever fetched them.
+N.json), as dumped by whatever fetched them. The folder may be on any file system that Spark reads.
+A page is a list of records, or an object with its records under "jobs" and the number of all
+records under "hits". The scan ends at the first page that is missing, empty or can't be read, when
+the records so far are as many as the hits, and after ``max_pages``; what came before is kept.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "page int, position int, record string"
@@ -34,16 +39,48 @@ class _Reader(DataSourceReader):
         self.folder, self.most = folder, most
 
     def partitions(self) -> list[InputPartition]:
-        pages = []
-        for page in range(1, self.most + 1):
-            path = os.path.join(self.folder, f"{page}.json")
-            if not os.path.exists(path) or os.path.getsize(path) <= 2:  # no page, or an empty list
+        """The pages are opened in order on the driver for where the listing ends; their records are read in tasks."""
+        pages, fetched = [], 0
+        for number in range(1, self.most + 1):
+            page = records_of(_content(self.folder, number))
+            if page is None or not page[0]:
+                break
+            pages.append(InputPartition(number))
+            fetched += len(page[0])
+            if page[1] is not None and fetched >= page[1]:
                 break
-            pages.append(InputPartition(page))
         return pages or [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value:
-            with open(os.path.join(self.folder, f"{partition.value}.json"), encoding="utf-8") as f:
-                for i, record in enumerate(json.load(f)):
-                    yield partition.value, i, json.dumps(record, ensure_ascii=False)
+            records, _ = records_of(_content(self.folder, partition.value)) or ([], None)
+            for i, record in enumerate(records):
+                yield partition.value, i, json.dumps(record, ensure_ascii=False)
+
+
+def _content(folder: str, number: int) -> bytes | None:
+    """A page's bytes, null if it isn't there or can't be read."""
+    store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    try:
+        with store.open_input_stream(f"{root.rstrip('/')}/{number}.json") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def records_of(content: bytes | None) -> tuple[list, int | None] | None:
+    """A page's records and the number of hits it tells, or null if it is no page."""
+    try:
+        page = json.loads(content or b"")
+    except ValueError:
+        return None
+    if isinstance(page, dict):
+        hits = page.get("hits")
+        return page.get("jobs") or [], hits if isinstance(hits, int) else None
+    return (page, None) if isinstance(page, list) else None
+
+
+def search(spark: SparkSession, folder: str, keywords: str, location: str, max_pages: int = 25) -> DataFrame:
+    """The pages of one search, with what was searched for beside each record."""
+    rows = spark.read.format("paged_listing").option("path", folder).option("max_pages", max_pages).load()
+    return rows.withColumns({"keywords": F.lit(keywords), "search_location": F.lit(location)})

@@ -3,13 +3,14 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import dedup, html, quality, reports, sets, sinks
 from postmill.plans import medallion
 from postmill.schemas import CANONICAL, RAW_JOBS, STATE
 from postmill.sources import crawl, files, payload
-from postmill.sources.paged import PagedListing
+from postmill.sources.paged import PagedListing, search
 
 BASE = {
     "raw_id": "r1", "source_name": "jooble", "source_job_id": "n-77", "source_url": "https://jobs.example/n-77", "job_fingerprint": "f0", "title": "Ward Nurse", "company_name": "Palm Clinic",
@@ -182,3 +183,85 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.node: r.depth for r in crawl.reachable(seeds, edges).collect()} == {1: 0, 2: 1, 3: 2}
     nested = spark.createDataFrame([('{"status":"ok","data":[{"a":1},{"a":2}]}',)], "j string")
     assert nested.select(F.size(files.nested_rows(F.col("j")))).first()[0] == 2
+
+
+def test_pages_end_where_the_listing_does(spark, tmp_path):
+    spark.dataSource.register(PagedListing)
+    for name, pages in {"hits": [{"hits": 3, "jobs": [{"a": 1}, {"a": 2}]}, {"hits": 3, "jobs": [{"a": 3}]}, {"hits": 3, "jobs": [{"a": 4}]}], "broken": [[{"a": 1}], "{", [{"a": 2}]], "empty": [[{"a": 1}], [], [{"a": 2}]], "none": []}.items():
+        (tmp_path / name).mkdir()
+        for i, page in enumerate(pages):
+            (tmp_path / name / f"{i + 1}.json").write_text(page if isinstance(page, str) else json.dumps(page))
+    got = {name: search(spark, str(tmp_path / name), "nurse", "Riyadh") for name in ("hits", "broken", "empty", "none")}
+    assert {k: v.count() for k, v in got.items()} == {"hits": 3, "broken": 1, "empty": 1, "none": 0}
+    assert got["hits"].select("keywords", "search_location").distinct().collect() == [("nurse", "Riyadh")]
+    assert search(spark, f"file://{tmp_path}/hits", "", "", max_pages=1).count() == 2
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([("b", 'say "x", y', None), ("a", "line\nbreak", 2)], "id string, text string, n int").coalesce(1)
+    sinks.csv_export(df, str(tmp_path / "csv"), ["id", "text", "n"])
+    (file,) = (tmp_path / "csv").glob("*.csv")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfid,text,n\n")
+    assert files.csv_with_bom(spark, str(tmp_path / "csv")).select("id", "text").collect() == df.select("id", "text").collect()
+    for rows in (df, df.limit(1), df.limit(0), df.unionByName(df).repartition(3)):
+        sinks.json_array_export(rows, str(tmp_path / "json"))
+        (file,) = (tmp_path / "json").glob("*.txt")
+        assert sorted(json.loads(file.read_text()), key=str) == sorted((r.asDict() for r in rows.collect()), key=str)
+        for x in (tmp_path / "json").iterdir():
+            x.unlink()
+        (tmp_path / "json").rmdir()
+
+
+def test_runs_are_appended_whole(spark, tmp_path):
+    runs, raw = str(tmp_path / "runs"), str(tmp_path / "raw")
+    rows = lambda run, n: spark.createDataFrame([(f"{run}-{i}", run) for i in range(n)], "raw_id string, run_id string")
+    run = lambda name: spark.createDataFrame([(name, "t")], "run_id string, started_at string")
+    sinks.append_run(run("a"), rows("a", 3), runs, raw)
+    sinks.append_ignoring(rows("b", 2), raw, "raw_id")  # failed before its run's row
+    assert sinks.committed(spark.read.parquet(raw), spark.read.parquet(runs)).count() == 3
+    sinks.append_run(run("b"), rows("b", 4), runs, raw)
+    assert sinks.committed(spark.read.parquet(raw), spark.read.parquet(runs)).count() == 7 == spark.read.parquet(raw).count()
+    log = spark.createDataFrame([("r1", [("REQ-003", "error", "m"), ("WARN-001", "warning", "n")])], "raw_id string, quality_flags array<struct<rule:string,severity:string,message:string>>")
+    for _ in range(2):
+        sinks.append_ignoring(quality.quality_log(log), str(tmp_path / "log"), "log_id")
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_loads_and_guards(spark, tmp_path):
+    rows = [("a", "1.5", "2", False, False), ("b", "x", None, False, False), ("c", "1", "1", True, False), ("d", None, "1" * 20, False, None), ("e", None, None, None, False)]
+    df = spark.createDataFrame(rows, "raw_id string, salary_min string, salary_max string, is_rejected boolean, is_duplicate boolean")
+    assert sinks.load(df, str(tmp_path / "t")).first() == (4, 2, 2, 2, True)
+    assert spark.read.parquet(str(tmp_path / "t-failed")).count() == 2
+    flag = lambda d: d.withColumn("salary_min", F.lit("0"))
+    assert sinks.guarded_update(df, F.col("salary_min").isNull(), flag, 2).where("salary_min = '0'").count() == 5
+    for change, expected in ((flag, 3), (lambda d: d.limit(1), 2)):
+        with pytest.raises(ValueError):
+            sinks.guarded_update(df, F.col("salary_min").isNull(), change, expected)
+    assert sinks.smoke(spark, str(tmp_path / "smoke"))
+    with pytest.raises(NotImplementedError):
+        files.government_csv(spark)
+    assert sinks.layer_table(" gold ", "jobs") == "gold.jobs" and sinks.layer_table(None, "jobs") == "default.jobs"
+
+
+def test_databases(spark):
+    sinks.create_tables(spark, "old_db")
+    sinks.reload(spark.range(3), "old_db.extra")
+    assert "extra" in sinks.rename_database(spark, "old_db", "new_db")
+    assert spark.table("new_db.extra").count() == 3 and not spark.catalog.databaseExists("old_db")
+    assert set(spark.table("new_db.raw_jobs").columns) == set(spark.createDataFrame([], RAW_JOBS).columns)
+    sinks.drop_database(spark, "new_db")
+    files.bind({"some_source": spark.range(2)})
+    assert spark.sql("select * from some_source").count() == 2
+
+
+def test_updated_times_stand_in(spark):
+    df = spark.createDataFrame([("2026-01-02",), ("",), (None,)], "updated string")
+    assert [r.collected_at for r in files.with_updated(df, "updated", "t0").collect()] == ["2026-01-02", "t0", "t0"]
+
+
+def test_the_crawl_stops_at_its_cap(spark):
+    edges = spark.createDataFrame([(1, i) for i in range(10, 20)] + [(10, 30), (30, 40)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,)], "node long")
+    reach = lambda **k: [(r.node, r.depth) for r in crawl.reachable(seeds, edges, **k).orderBy("depth", "node").collect()]
+    assert reach(most=3) == [(1, 0), (10, 1), (11, 1)]
+    assert len(reach(most=None)) == 12 and (40, 3) in reach(depth=3, most=None)
