@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shuffle_width, stage_table, whole_text
+from .common import ascii_lower, releasing, shuffle_width, stage_table, whole_text
 
 #: Runs that one merge takes.
 FAN = 8
@@ -38,7 +38,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge neighbours with equal keys of a sorted stream; the first of them is retained."""
     held: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_arrays(batch.columns, batch.schema.names)  # every column may be null: so all batches have one schema
         table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
         if not table.num_rows:
             continue
@@ -90,6 +90,7 @@ def _merged(docs: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     return rows, first.select("run", *_KEY).join(top, _KEY)
 
 
+@releasing
 def assign_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), dropped ones too.
 
@@ -107,6 +108,7 @@ def assign_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     )
 
 
+@releasing
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """``docs`` with one row of each group of equal texts, chosen as in :func:`assign_copies`.
 
