@@ -2,8 +2,8 @@
 
 A list entry is a canonical URL prefix (host, path, verdict). It fits its host and all subdomains
 where the path starts with the entry's; the longest that fits wins. Each URL is expanded into the
-keys that could be listed: its host suffixes times its path prefixes of the lengths that occur in
-the list. A blocked Bloom filter (one 256-bit block a key, ``PROBES`` bits in it) passes possible
+keys that could be listed: its host suffixes times its path prefixes, of the numbers of labels and
+the lengths that occur in the list. A blocked Bloom filter (one 256-bit block a key, ``PROBES`` bits in it) passes possible
 hits, and an exact hash join with the list removes its false positives.
 
 The filter is built by one grouped bit_or over the list and has a fixed largest size, whatever the
@@ -12,11 +12,11 @@ list's; a fuller filter passes more rows to the join but changes no result.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ascii_lower
+
 #: Words of 64 bits in a block, bits set for a key, keys for each block when sized, and most blocks (8 MB).
 BLOCK_WORDS, PROBES, KEYS_A_BLOCK, MOST_BLOCKS = 4, 6, 20, 1 << 18
 #: Lists of up to so many entries (some 200 bytes each) are broadcast in the exact join.
@@ -29,7 +29,7 @@ def split_url(df: DataFrame, url: str = "url") -> DataFrame:
     u = F.coalesce(F.col(url).cast("string"), F.lit(""))
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise(F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
+    host = ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     return df.withColumns({"host": host, "path": F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)})
 
 
@@ -75,10 +75,11 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow", id_col:
     * Entries with a null in host or path are ignored. An empty list gives the default to all.
     * Rows that repeat an id are judged each for itself. Other columns of ``pages`` are ignored.
     """
-    listed = entries.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna(subset=["r_host", "r_path"])
+    listed = entries.select(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna(subset=["r_host", "r_path"])
     listed = listed.groupBy("r_host", "r_path").agg(F.min("r_verdict").alias("r_verdict"))
     n = listed.count()
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())  # few: lengths, not entries
+    labels = sorted(r[0] for r in listed.select(F.size(F.split("r_host", r"\.", -1))).distinct().collect())  # few too
     blocks = max(1, min(MOST_BLOCKS, -(-n // KEYS_A_BLOCK)))
     words = bloom_words(listed, blocks)
     filter_ = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
@@ -86,7 +87,8 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow", id_col:
     if not lengths:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     parts = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    counts = F.filter(F.array(*[F.lit(x) for x in labels]), lambda x: x <= F.size(parts))
+    suffixes = F.transform(counts, lambda x: F.array_join(F.slice(parts, F.size(parts) - x + 1, x), "."))
     prefixes = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.length("path")), lambda x: F.substring(F.col("path"), F.lit(1), x)))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("c_host"), p.alias("c_path")))))
 
