@@ -59,6 +59,18 @@ def test_exact_copies_merge_in_rounds(spark):
     assert {(r.keep_id, r.group_size) for r in exact.assign_copies(df).collect()} == {(max(range(k, 400, 7)), len(range(k, 400, 7))) for k in range(7)}
 
 
+def test_exact_copies_in_small_batches(spark):
+    """A task's runs come in many Arrow batches; copies across their borders are one."""
+    df = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("text"))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = exact.assign_copies(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert {(r.keep_id, r.group_size) for r in got} == {(max(range(k, 3000, 700)), len(range(k, 3000, 700))) for k in range(700)}
+
+
 def test_near_duplicates(spark, rows):
     got = ngram_join.near_duplicates(frame(spark, rows))
     sets = []
@@ -251,6 +263,10 @@ def test_url_rules(spark):
         "http://example.com:80/en/": ("example.com:80", "/en/", None, "allow"), "a://b.com/://c.net/es/": ("b.com", "/://c.net/es/", "com/", "allow"), "http://É.com/ÉN": ("É.com", "/ÉN", "com/", "allow"),
     }
     pages = spark.createDataFrame(list(enumerate(cases)), "page_id int, url string").withColumn("host", F.lit("clash"))
+    odd = spark.createDataFrame([("Éa.com", "/", "block"), ("a.b.c.d", "/x/", "block")], "host string, path string, verdict string")
+    asked = [("http://x.Éa.COM/", "block"), ("http://éa.com/", "allow"), ("http://" + "a." * 3000 + "b.c.d/x/", "block"), ("http://b.c.d/x/", "allow")]
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(asked)], "page_id bigint, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(table, odd).collect()} == {i: v for i, (_, v) in enumerate(asked)}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert urls.judge(pages.limit(0), rules).count() == 0
@@ -430,6 +446,23 @@ def test_wrappers(spark):
     assert html_wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("bounds", [{}, {"streams": 1, "broadcast_hosts": 0}])
+def test_wrappers_find_the_truth(spark, tag, bounds):
+    """Pages of many layouts on a host: only their wrapper tells a line of the template in the content's own elements."""
+    rnd = random.Random(6)
+    pages, truth, alone = [], {}, 0
+    for i in range(40):
+        body = [words(rnd, 12) for _ in range(1 + i % 4)]
+        extra = "".join(f"<div class='layout{'xyz'[i % 3] * (1 + i % 5)}'><p>{x}</p></div>" for x in body[1:])
+        page = f"<body><p>Our site since 1990</p><nav><a>home</a></nav><{tag}><h1>Head {i}</h1><p>{body[0]}</p>{extra}<p class=tail>Read it again on our site</p></{tag}><div class=ad>{words(rnd, 9)}</div></body>"
+        pages.append((i, f"http://h{i % 2}.org/{i}", page))
+        truth[i] = "\n".join([f"Head {i}", *body])
+        alone += html_wrappers.main_text(html_wrappers.blocks_of(page), {}) != truth[i]
+    got = html_wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), **bounds).collect()
+    assert {r.page_id: r.text for r in got} == truth and alone == 40  # each page's text is changed by its wrapper
+
+
 def test_copies_of_a_page_are_one_page(spark):
     page = lambda i: f"<body><div id=top><p>Same line everywhere</p></div><div id=main><h1>Title {i}</h1><p>Body {i}</p></div>"
     pages = [(i, "http://copies.org/", page(0)) for i in range(12)]  # copies only
