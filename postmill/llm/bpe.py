@@ -16,10 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table, whole_text
+from .common import releasing, share_file, stage_table, whole_text
 
 #: Most words in the lexicon, and least count of a word in it.
 LEXICON_WORDS, LEAST_COUNT = 1 << 18, 2
@@ -164,17 +161,15 @@ class Lexicon:
     NAMES = ("root", "first", "label", "to", "skip", "final", "at", "ids")
 
     @staticmethod
-    def save(parts: dict[str, np.ndarray], path: str) -> None:
+    def packed(parts: dict[str, np.ndarray]) -> bytes:
+        """The file that workers map: a head that says where each array stands, and the arrays."""
         head, at = {}, 0
         for name in Lexicon.NAMES:
             head[name] = [str(parts[name].dtype), at, len(parts[name])]
             at += parts[name].nbytes + -parts[name].nbytes % 8
         text = json.dumps(head).encode()
         text += b" " * (-(len(text) + 8) % 8)
-        with open(path, "wb") as f:
-            f.write(len(text).to_bytes(8, "little") + text)
-            for name in Lexicon.NAMES:
-                f.write(parts[name].tobytes() + b"\0" * (-parts[name].nbytes % 8))
+        return b"".join([len(text).to_bytes(8, "little"), text, *[parts[name].tobytes() + b"\0" * (-parts[name].nbytes % 8) for name in Lexicon.NAMES]])
 
     def __init__(self, path: str):
         whole = np.memmap(path, np.uint8, "r")
@@ -312,34 +307,30 @@ class Decoder:
         return b"".join(map(of, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def prepare(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) -> str:
-    """Count words, compile the lexicon, and send it and the tokenizer file to all workers; returns the lexicon's name."""
-    spec = json.load(open(tokenizer_path, encoding="utf-8"))
+def prepare(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) -> tuple[str, str]:
+    """Count words and compile the lexicon; names of the lexicon's and the tokenizer's file, which all workers get."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        text = f.read()
+    spec = json.loads(text)
     merges = Merges(spec)
     compiled = compile_lexicon({(b := w.encode()): merges.merge(b) for w in frequent_words(docs, spec, most)})
-    name = f"lexicon-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp()
-    Lexicon.save(compiled, os.path.join(folder, name))
-    with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8") as f:
-        json.dump(spec, f)
-    for part in (name, f"{name}.json"):  # the driver's own folder: addFile serves it to the executors
-        docs.sparkSession.sparkContext.addFile(os.path.join(folder, part))
-    return name
+    return share_file(docs.sparkSession, "lexicon", Lexicon.packed(compiled)), share_file(docs.sparkSession, "tokenizer", text.encode())
 
 
-_LOADED: dict[str, tuple[Encoder, Decoder]] = {}
+_LOADED: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
 
-def _load(name: str) -> tuple[Encoder, Decoder]:
+def _load(names: tuple[str, str]) -> tuple[Encoder, Decoder]:
     """A worker's encoder and decoder; its later tasks find the memo filled."""
-    if name not in _LOADED:
+    if names not in _LOADED:
         _LOADED.clear()
-        with open(SparkFiles.get(f"{name}.json"), encoding="utf-8") as f:
+        with open(SparkFiles.get(names[1]), encoding="utf-8") as f:
             merges = Merges(json.load(f))
-        _LOADED[name] = Encoder(merges, Lexicon(SparkFiles.get(name))), Decoder(merges)
-    return _LOADED[name]
+        _LOADED[names] = Encoder(merges, Lexicon(SparkFiles.get(names[0]))), Decoder(merges)
+    return _LOADED[names]
 
 
+@releasing
 def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, with_decoded: bool | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -350,11 +341,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
     * doc_id is passed through, nulls and repeated ones too. No rows in, no rows out.
     * Texts of any length are encoded whole. Other columns of ``docs`` are ignored.
     """
-    name = prepare(docs, tokenizer_path)
+    files = prepare(docs, tokenizer_path)
     with_decoded = with_ids if with_decoded is None else with_decoded
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _load(name)
+        encoder, decoder = _load(files)
         for batch in batches:
             done = 0
             for texts in _slices(batch.column(1)):

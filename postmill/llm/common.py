@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import string
 import tempfile
 import uuid
@@ -63,6 +64,25 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_file(spark: SparkSession, stem: str, data: bytes) -> str:
+    """Put a file, named by its content, into the shared folder and hand it to every executor; its name.
+
+    The same content is written once; the file goes when the application ends.
+    """
+    name = f"{stem}-{hashlib.sha256(data).hexdigest()[:32]}"
+    files, target = _hadoop_path(spark, f"{shared_dir(spark)}/postmill/{name}")
+    if not files.exists(target):
+        part = target.suffix(f".{uuid.uuid4().hex}")
+        out = files.create(part)
+        for at in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[at : at + (1 << 22)]))
+        out.close()
+        files.rename(part, target)
+    files.deleteOnExit(target)
+    spark.sparkContext.addFile(target.toString())
+    return name
+
+
 def _roots_read(df: DataFrame) -> set[str]:
     """Last parts of the folders that the plan of ``df`` reads."""
     leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
@@ -95,6 +115,19 @@ def releasing(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+@releasing
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, written and read again; all that was staged on the way goes."""
+    return stage_table(make(), label)
+
+
+def drop_tables(df: DataFrame) -> None:
+    """Delete the staged tables that ``df`` reads; for tables whose rows have been written on."""
+    for name in _roots_read(df):
+        files, target = _hadoop_path(df.sparkSession, f"{shared_dir(df.sparkSession)}/postmill/{name}")
+        files.delete(target, True)
+
+
 #: Bits of the bitmaps of documents, at least and at most (1 MB to 8 MB).
 MAP_BITS, MOST_MAP_BITS = 1 << 23, 1 << 26
 

@@ -202,7 +202,7 @@ def test_bpe_is_the_library(spark, rows):
 def test_lexicon_is_minimal_and_exact(tmp_path):
     vocabulary = {w.encode(): [len(w)] * (len(w) % 3) for w in ("car", "cars", "cat", "cats", "dog", "dogs", "do", "")}
     parts = bpe.compile_lexicon(vocabulary)
-    bpe.Lexicon.save(parts, str(tmp_path / "x"))
+    (tmp_path / "x").write_bytes(bpe.Lexicon.packed(parts))
     lexicon = bpe.Lexicon(str(tmp_path / "x"))
     assert lexicon.index(sorted(vocabulary)).tolist() == list(range(len(vocabulary)))
     assert lexicon.index([b"ca", b"carsx", b"zzz", b"d"]).tolist() == [-1] * 4
