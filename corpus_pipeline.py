@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm import bpe, exact, mixing, ngram_join, quality
-from postmill.llm.common import read_table, stage_table
+from postmill.llm.common import drop_tables, read_table, settle
 from postmill.llm.queries import tokenizer_path
 
 
@@ -52,12 +52,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and read again."""
+    """All stages on ``documents``, each written to the shared folder and read again; what a stage staged goes with it.
+
+    * Null texts are empty: judged by the features of an empty text, copies of each other, without
+      shingles, taken by the mix only where it takes their whole source, without tokens.
+    * Null ids, sources and languages are values like others; a copy with an id stays before one without.
+    * Rows that repeat id and text are copies; rows that repeat an id only are documents of their own.
+    * Texts of any length go through whole. An empty table gives no rows.
+    * Columns beyond those of documents go through all stages but the last, whatever their names.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage_table(docs, f"pipeline-{name}")
-    return docs
-
-
+    for name, stage in STAGES[:-1]:
+        kept = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
