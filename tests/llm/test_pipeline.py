@@ -65,3 +65,35 @@ def test_encoding_stage_gives_the_ids(spark, tmp_path):
     want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t in docs)
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
     assert all(r.n_tokens * 4 == len(r.ids) and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in got)
+
+
+CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, quality int, kept boolean, root bigint, size bigint, digest string, h bigint, token string"
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Each stage keeps all columns whatever their names, and takes nulls, repeated rows, a megabyte of text and an empty table."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choices("abcdef", k=rnd.randint(2, 7))) for _ in range(n))
+    long = text(180_000)
+    texts = [(i, text(40)) for i in range(30)]
+    texts += [(None, None), (None, None), (None, texts[3][1]), (5, None), (6, ""), (7, " \n "), texts[8], texts[8], (100, texts[9][1].upper()), (9, text(30)), (200, long), (201, long + " more")]
+    rows = [(i, t, None if (i or 0) % 3 == 0 else "en", None if (i or 0) % 4 == 0 else "a", None, 1, True, 2, 3, "d", 4, "t") for i, t in texts]
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, CLASHING)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name == "encoding":
+            assert out.count() == docs.count()
+            break
+        assert out.columns == docs.columns == none.columns
+        got = out.collect()
+        if name == "exact_dedup":
+            assert Counter((r.text or "").lower() for r in got).most_common(1)[0][1] == 1
+            assert 100 in {r.doc_id for r in got} and None not in {r.doc_id for r in got if r.text == texts[3][1]}
+        if name == "near_dedup":
+            assert {200, 201} & {r.doc_id for r in got} == {200} and {9, 100} <= {r.doc_id for r in got}
+        if name == "mixing":
+            assert max(Counter((r.doc_id, r.text) for r in got).values()) <= 2
+        docs = spark.createDataFrame(got, CLASHING)

@@ -500,3 +500,41 @@ def test_wrapper_alignment():
     one = html_wrappers.fold([item("a", 1), item("p", 2), item("p", 3), item("z", 4)])
     two = html_wrappers.fold([item("a", 1), item("p", 5), item("q", 6), item("z", 7)])
     assert [(x[0], x[1], x[2], x[3]) for x in html_wrappers.align(one, two)] == [("a", False, False, 1), ("p", True, False, 0), ("q", False, True, 6), ("z", False, False, 0)]
+
+
+def test_repeats_beyond_a_chunk(spark):
+    """Texts longer than what is hashed at once: a passage that stands across its border, and one in a text of another length."""
+    rng = np.random.default_rng(2)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    shared, edge = letters(5000), suffix.CHUNK
+    docs = [(1, letters(edge - 2500) + shared + letters(100_000)), (2, letters(700) + shared), (3, letters(2 * edge)), (4, shared[:399])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(frame(spark, docs)).collect()}
+    assert got == {1: (edge + 102_500, 5000, 1), 2: (5700, 5000, 1), 3: (2 * edge, 0, 0), 4: (399, 0, 0)}
+
+
+def test_sketches_are_retried(spark, rows, monkeypatch):
+    """More differences than a sub-sketch is made for: larger ones, and at last the digests themselves, give the same likeness."""
+    near = lambda: sorted((r.doc_id or 0, r.n_chars, r.near_edited, r.near_next) for r in fingerprints.fingerprint_documents(frame(spark, rows)).collect())
+    want = near()
+    for keys in (30, 3000):
+        monkeypatch.setattr(fingerprints, "PART_KEYS", keys)
+        assert near() == want
+
+
+def test_large_sides_are_salted_or_joined(spark, rows, monkeypatch):
+    """What is broadcast behind a count gives the same rows where the count is too large for it."""
+    docs = frame(spark, [(i, t, "en", f"s{(i or 0) % 5}") for i, t in rows])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}example.com/{'en' if i % 3 else 'fr'}/{i}") for i in range(50)], "page_id bigint, url string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+
+    def results():
+        mixed = Counter(map(tuple, mixing.mix_by_source(docs).collect()))
+        judged = Counter((r.doc_id, r.quality.kept, round(r.quality.score, 9)) for r in quality.judge(docs, labels).collect())
+        return mixed, judged, Counter(map(tuple, urls.judge(pages, rules).collect()))
+
+    want = results()
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_PATTERNS", 0)
+    monkeypatch.setattr(urls, "BROADCAST_ENTRIES", 0)
+    assert results() == want
