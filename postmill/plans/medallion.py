@@ -9,6 +9,7 @@ from ..functions import postings as P
 from ..functions.text import blank_to_null, evaluated
 from ..operators import dedup, quality
 from ..schemas import GOLD
+from ..session import stage
 from ..sources import payload
 
 #: Sources whose date is when they were asked, not when a posting appeared.
@@ -34,14 +35,32 @@ def standardize(cleaned: DataFrame) -> DataFrame:
     return evaluated(cleaned, {"career_level": P.career_level(F.col("career_level_raw")), **P.salary(F.col("salary_raw")), "out_of_region": P.out_of_region(F.col("location_country"))})
 
 
+def standardized(raw: DataFrame) -> DataFrame:
+    """All postings, mapped, cleaned and standardized; lazy."""
+    return standardize(clean(payload.staged_union(raw)))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """The same, written to the shared folder: what reads it more than once doesn't parse and clean again."""
+    return stage(standardized(raw), "standardized")
+
+
+def silver_of(rows: DataFrame) -> DataFrame:
+    """Standardized postings with flags; none is dropped. Reads ``rows`` twice: for the originals and for all."""
+    return quality.evaluate(dedup.first_by_fingerprint(rows))
+
+
+def gold_of(rows: DataFrame) -> DataFrame:
+    """Of standardized postings the curated ones: neither duplicate nor rejected."""
+    return silver_of(rows).where(~F.col("is_duplicate") & ~F.col("is_rejected")).select(*GOLD)
+
+
 def silver(raw: DataFrame) -> DataFrame:
-    """All postings with flags; none is dropped."""
-    return quality.evaluate(dedup.first_by_fingerprint(standardize(clean(payload.staged_union(raw)))))
+    return silver_of(parsed(raw))
 
 
 def gold(raw: DataFrame) -> DataFrame:
-    """The curated postings: neither duplicate nor rejected."""
-    return silver(raw).where(~F.col("is_duplicate") & ~F.col("is_rejected")).select(*GOLD)
+    return gold_of(parsed(raw))
 
 
 def with_surrogates(curated: DataFrame) -> DataFrame:
@@ -93,7 +112,7 @@ def demo_rows(df: DataFrame) -> DataFrame:
 
 
 #: Of each layer's view the relation it is made of.
-VIEWS = {"stg_jobs": payload.staged_union, "int_jobs_cleaned": lambda raw: clean(payload.staged_union(raw)), "int_jobs_silver": silver, "fct_jobs": gold}
+VIEWS = {"stg_jobs": payload.staged_union, "int_jobs_cleaned": lambda raw: clean(payload.staged_union(raw)), "int_jobs_silver": lambda raw: silver_of(standardized(raw)), "fct_jobs": lambda raw: gold_of(standardized(raw))}
 
 
 def create_views(raw: DataFrame) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import postings as P
 from ..functions.text import blank_to_null
 from ..operators import dedup, html, quality, reports, sets
-from ..session import spread
+from ..session import spread, stage
 from ..sources import crawl, files, payload
 from . import medallion
 from .oracle import CHAIN
@@ -147,7 +147,8 @@ def out_of_region(spark, sf_dir):
 
 @query("{chain} select raw_id, is_duplicate, duplicate_of_raw_id from deduplicated")
 def dedup_first_by_fp(spark, sf_dir):
-    return dedup.first_by_fingerprint(cleaned(spark, sf_dir)).select("raw_id", "is_duplicate", "duplicate_of_raw_id")
+    keys = stage(cleaned(spark, sf_dir).select("raw_id", "collected_at", "job_fingerprint"), "keys")  # read twice, cleaned once
+    return dedup.first_by_fingerprint(keys).select("raw_id", "is_duplicate", "duplicate_of_raw_id")
 
 
 @query(
@@ -282,18 +283,20 @@ def demo_canonical9(spark, sf_dir):
 # -- reconciliation -----------------------------------------------------------
 
 
-def _other_path(spark, sf_dir):
-    return cleaned(spark, sf_dir).where("source_name <> 'techmap'").select("job_fingerprint")
+def _both_paths(spark, sf_dir):
+    """Gold, and the fingerprints of the other path; both of postings that are cleaned once."""
+    rows = medallion.parsed(postings(spark, sf_dir))
+    return medallion.gold_of(rows), rows.where("source_name <> 'techmap'").select("job_fingerprint")
 
 
 @query("{chain}, other as (select job_fingerprint from printed where source_name <> 'techmap') select count(*) as matched from gold join other using (job_fingerprint)")
 def recon_matched(spark, sf_dir):
-    return reports.matched_pairs(medallion.gold(postings(spark, sf_dir)), _other_path(spark, sf_dir), "job_fingerprint")
+    return reports.matched_pairs(*_both_paths(spark, sf_dir), "job_fingerprint")
 
 
 @query("{chain}, other as (select job_fingerprint from printed where source_name <> 'techmap') select raw_id from gold where job_fingerprint not in (select job_fingerprint from other)")
 def recon_gold_only(spark, sf_dir):
-    return reports.only_left(medallion.gold(postings(spark, sf_dir)), _other_path(spark, sf_dir), "job_fingerprint").select("raw_id")
+    return reports.only_left(*_both_paths(spark, sf_dir), "job_fingerprint").select("raw_id")
 
 
 # -- reports ------------------------------------------------------------------
@@ -521,7 +524,7 @@ def crawl_scan(spark, sf_dir):
 )
 def layer_counts(spark, sf_dir):
     raw = postings(spark, sf_dir)
-    silver_rows = medallion.silver(raw)
+    silver_rows = medallion.silver(raw)  # parsed once for both layers
     gold_rows = silver_rows.where(~F.col("is_duplicate") & ~F.col("is_rejected"))
     return reports.layer_counts({"postings": raw, "staged": payload.staged_union(raw), "silver": silver_rows, "gold": gold_rows})
 

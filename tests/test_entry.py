@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 from postmill.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["stg_union_canonical", "gold_fct", "quality_flags", "dedup_first_by_fp", "late_run_lookup", "salary_parse_py", "column_profile", "frontier_bfs", "key_union"]
+CHECKED = ["stg_union_canonical", "gold_fct", "quality_flags", "dedup_first_by_fp", "late_run_lookup", "salary_parse_py", "column_profile", "frontier_bfs", "key_union", "page_details", "page_seeds", "crawl_scan", "layer_counts", "load_check", "ordered_distinct", "id_set_diff", "latest_run_scan", "tests_surrogate", "view_counts"]
 
 
 @pytest.fixture(scope="module")
