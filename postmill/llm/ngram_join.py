@@ -333,6 +333,14 @@ def _led(entries: DataFrame) -> DataFrame:
     return met.select("gid", "lead").distinct()
 
 
+def _led_inside(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) inside groups of several components: those outside the first member's component with the first of them."""
+    mixed = rooted.where("whole is null")
+    own = mixed.where("sid = gid").select("gid", F.col("root").alias("first"))
+    other = mixed.join(own, "gid").where("root <> first").select("gid", "sid")
+    return other.join(other.groupBy("gid").agg(F.min("sid").alias("b")), "gid").where("sid <> b").select(F.col("sid").alias("a"), "b")
+
+
 def _rest(rows: DataFrame, open_rows: DataFrame, rooted: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of different components: of open groups with all that the bound allows, and inside mixed groups."""
     x = open_rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "r", "whole")])
@@ -359,7 +367,7 @@ def link_sets(docs: DataFrame, rounds: int = ROUNDS, held_tokens: int = HELD) ->
         all_rows, open_rows = _open(entries, rooted)
         if turn == rounds or open_rows.isEmpty():
             break
-        more = members.join(_led(open_rows), "gid").select("a", F.col("lead").alias("b"))
+        more = members.join(_led(open_rows), "gid").select("a", F.col("lead").alias("b")).unionByName(_led_inside(rooted))
         links = stage_table(links.unionByName(_linked(more, grouped)), "links")
     rest = stage_table(_linked(_rest(all_rows, open_rows, rooted), grouped), "rest")
     roots = rooted.select("sid", "root")

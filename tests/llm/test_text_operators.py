@@ -141,6 +141,22 @@ def test_near_copies_of_large_groups(spark, rounds, held):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_groups_of_several_components(spark, rounds):
+    """Sets of one size with one prefix, the rarest shingles of a common head, but two bodies: one group, two components."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    head, joint, texts = word(40), word(4), []
+    for body in (word(100), word(100)):
+        for _ in range(10):
+            own = list(body)
+            own[int(rng.integers(20, 80))] = word(1)[0]
+            texts.append(" ".join(head + joint + own))
+        texts += [" ".join([*word(20 + i), *joint, *body]) for i in range(15)]
+    got = ngram_join.near_duplicates(frame(spark, list(enumerate(texts))), rounds=rounds).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(components_of(texts)))
+
+
 def thue_morse(n):
     bits = [bin(i).count("1") & 1 for i in range(n)]
     return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
