@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_bitmap, key_bitmap, keyed, releasing, shuffle_width, stage_table, whole_text
-from .suffix import CHUNK, Names, blend
+from .suffix import Names, blend
 
 #: Words of a shingle; least similarity in percent; share of a set that the sieve looks at, in percent.
 WORDS, PERCENT, SIEVE = 5, 80, 30
 #: Rounds of leaders before the rest is joined. Changes the work, never the result.
 ROUNDS = 2
-#: Tokens that a task of the sieve holds at once, and bytes of input for each bucket of the sieve.
-HELD, BUCKET_BYTES = 500_000, 1 << 24
+#: Tokens that a task of the sieve holds at once, bytes of input for each bucket of the sieve, bytes that are hashed at once.
+HELD, BUCKET_BYTES, CHUNK = 500_000, 1 << 23, 1 << 16
 
 
 _SIMPLE = np.arange(256, dtype=np.uint8)  # A-Z lower-cased, the six separators as spaces

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import in_bitmap, key_bitmap, keyed, releasing, stage_table
 
 #: Bytes of a repeated string, of a q-gram, offsets of a block in each round, bytes that are hashed at once.
-LENGTH, Q, BLOCK_SIZES, CHUNK = 400, 32, (64, 8, 1), 1 << 19
+LENGTH, Q, BLOCK_SIZES, CHUNK = 400, 32, (64, 8, 1), 1 << 17
 _MASK = np.uint64((1 << 20) - 1)
 
 
@@ -49,28 +49,24 @@ class Names:
     The prime matters: modulo a power of two, sequences such as Thue and Morse's collapse for every base.
     """
 
-    _tables: dict = {}
+    _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def tables(cls, n: int) -> dict:
-        if cls._tables.get("n", 0) < n:
-            n = max(n, CHUNK + 2 * LENGTH)
-            rng = np.random.default_rng(20_240_607)
-            made: dict = {"n": n, "letter": [], "power": [], "inverse": []}
-            for base in _BASES:
-                made["letter"].append(rng.integers(1, _PRIME, 256, dtype=np.uint64))
-                made["power"].append(_powers(base, n))
-                made["inverse"].append(_powers(pow(base, -1, _PRIME), n))
-            cls._tables = made
-        return cls._tables
+    def tables(cls, j: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of polynomial ``j`` the letters' values, the base's powers and their inverses, for ``n`` bytes at least."""
+        if j not in cls._tables or len(cls._tables[j][1]) <= n:
+            n = max(1 << 16, 1 << n.bit_length())
+            letters = np.random.default_rng(20_240_607 + j).integers(1, _PRIME, 256, dtype=np.uint64)
+            cls._tables[j] = letters, _powers(_BASES[j], n), _powers(pow(_BASES[j], -1, _PRIME), n)
+        return cls._tables[j]
 
     def __init__(self, raw: np.ndarray):
         self.raw, self.sums = raw, {}
 
     def _sums(self, j: int) -> np.ndarray:
         if j not in self.sums:
-            t = self.tables(len(self.raw))
-            terms = t["letter"][j][self.raw] * t["power"][j][: len(self.raw)] % np.uint64(_PRIME)
+            letters, powers, _ = self.tables(j, len(self.raw))
+            terms = letters[self.raw] * powers[: len(self.raw)] % np.uint64(_PRIME)
             self.sums[j] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])  # no overflow: 2**33 letters
         return self.sums[j]
 
@@ -79,7 +75,7 @@ class Names:
         part = []
         for j in (2 * k, 2 * k + 1):
             sums = self._sums(j)
-            part.append((sums[start + length] - sums[start]) % np.uint64(_PRIME) * self._tables["inverse"][j][start] % np.uint64(_PRIME))
+            part.append((sums[start + length] - sums[start]) % np.uint64(_PRIME) * self._tables[j][2][start] % np.uint64(_PRIME))
         return mix(part[0] << np.uint64(32) | part[1])
 
 
