@@ -51,11 +51,16 @@ def piece_words(n_chars: str) -> str:
 
 def digests(text: str, words: str) -> str:
     """Sorted digests of the text's pieces of ``words`` words on average; the n-th of equal pieces has its own."""
-    w, x, i = _fresh("w"), _fresh("x"), _fresh("i")
-    ends = f"filter(sequence(1, size({w})), {x} -> {x} = size({w}) or pmod(xxhash64(get({w}, {x} - 1)), {words}) = 0 or endswith(get({w}, {x} - 1), '\\n'))"
-    pieces = _let(ends, lambda e: f"transform({e}, ({x}, {i}) -> xxhash64(slice({w}, coalesce(get({e}, {i} - 1), 0) + 1, {x} - coalesce(get({e}, {i} - 1), 0)), 31))")
-    split = f"regexp_extract_all({text}, '[^ \\n]++(?: *+\\n)?+', 0)"
-    every = f"get(transform(array({split}), {w} -> if(size({w}) = 0, array(), {pieces})), 0)"
+    line, x, i = _fresh("line"), _fresh("x"), _fresh("i")
+
+    def cut(w: str) -> str:
+        inner = f"filter(slice(sequence(1, size({w})), 1, size({w}) - 1), {x} -> pmod(xxhash64(get({w}, {x} - 1)), {words}) = 0)"
+        ends = f"array_append({inner}, size({w}))"
+        pieces = _let(ends, lambda e: f"transform({e}, ({x}, {i}) -> xxhash64(slice({w}, coalesce(get({e}, {i} - 1), 0) + 1, {x} - coalesce(get({e}, {i} - 1), 0)), 31))")
+        return f"if(size({w}) = 0, array(), {pieces})"
+
+    words_of = f"array_remove(split({line}, ' '), '')"
+    every = f"flatten(transform(split({text}, '\\n'), {line} -> {_let(words_of, cut)}))"
     return _let(f"array_sort({every})", lambda a: f"transform({a}, ({x}, {i}) -> xxhash64({x}, {i} - array_position({a}, {x})))")
 
 

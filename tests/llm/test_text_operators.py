@@ -232,14 +232,17 @@ def test_fingerprints(spark, rows):
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
 
     def pieces(t, w):
-        out, piece = Counter(), []
-        for x in re.findall(r"[^ \n]+(?: *\n)?", t):
-            piece.append(x)
-            h = xxhash.xxh64_intdigest(x, seed=42)
-            if x.endswith("\n") or (h - (h >> 63 << 64)) % w == 0:
-                out[tuple(piece)] += 1
-                piece = []
-        return out + Counter([tuple(piece)] if piece else [])
+        out = Counter()
+        for line in t.split("\n"):
+            piece = []
+            for x in filter(None, line.split(" ")):
+                piece.append(x)
+                h = xxhash.xxh64_intdigest(x, seed=42)
+                if (h - (h >> 63 << 64)) % w == 0:
+                    out[tuple(piece)] += 1
+                    piece = []
+            out.update([tuple(piece)] if piece else [])
+        return out
 
     def per(n):
         return next((w for bound, w in fingerprints.PIECE_WORDS if n <= bound), fingerprints.MOST_PIECE_WORDS)
