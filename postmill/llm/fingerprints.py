@@ -122,14 +122,24 @@ def _parted(a: str, b: str) -> str:
         rest = f"named_struct('a', size(array_except({x}, {y})), 'b', size(array_except({y}, {x})))"  # what no sketch recovers
         return f"coalesce({', '.join(tried)}, {rest})"
 
-    def part(g: str, n: str) -> str:
-        k = _fresh("k")
-        pick = lambda keys: f"if({n} = 0, {keys}, filter({keys}, {k} -> cast(shiftrightunsigned({k}, 64 - {n}) as int) = {g}))"
+    def side(keys: str, n: str) -> str:
+        """The sorted digests, their distinct leading bits, and where those begin."""
+        k, g = _fresh("k"), _fresh("g")
+        lead = lambda s: f"transform({s}, {k} -> if({n} = 0, 0, cast(shiftright({k}, 64 - {n}) as int)))"
+        whole = lambda s, t: _let(f"array_distinct({t})", lambda d: f"named_struct('k', {s}, 'lead', {d}, 'at', transform({d}, {g} -> cast(array_position({t}, {g}) as int)))")
+        return _let(f"array_sort({keys})", lambda s: _let(lead(s), lambda t: whole(s, t)))
+
+    def pick(x: str, g: str) -> str:
+        end = lambda i: f"coalesce(get({x}.at, {i}), size({x}.k) + 1)"
+        return _let(f"cast(array_position({x}.lead, {g}) as int)", lambda i: f"if({i} = 0, slice({x}.k, 1, 0), slice({x}.k, get({x}.at, {i} - 1), {end(i)} - get({x}.at, {i} - 1)))")
+
+    def part(sides: str, g: str) -> str:
         same = "named_struct('a', 0, 'b', 0)"
-        return _let(f"named_struct('x', {pick(a)}, 'y', {pick(b)})", lambda s: f"if({s}.x = {s}.y, {same}, {one(s + '.x', s + '.y')})")
+        return _let(f"named_struct('x', {pick(sides + '.a', g)}, 'y', {pick(sides + '.b', g)})", lambda s: f"if({s}.x = {s}.y, {same}, {one(s + '.x', s + '.y')})")
 
     g, s, x = _fresh("g"), _fresh("s"), _fresh("x")
-    parts = _let(bits, lambda n: f"transform(sequence(0, shiftleft(1, {n}) - 1), {g} -> {part(g, n)})")
+    sides = _let(bits, lambda n: f"named_struct('a', {side(a, n)}, 'b', {side(b, n)})")
+    parts = _let(sides, lambda both: f"transform(array_union({both}.a.lead, {both}.b.lead), {g} -> {part(both, g)})")
     return f"aggregate({parts}, named_struct('a', 0, 'b', 0), ({s}, {x}) -> named_struct('a', {s}.a + {x}.a, 'b', {s}.b + {x}.b))"
 
 
