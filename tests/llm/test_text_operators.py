@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, ties, empties and repeated rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -556,3 +557,21 @@ def test_large_sides_are_salted_or_joined(spark, rows, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_PATTERNS", 0)
     monkeypatch.setattr(urls, "BROADCAST_ENTRIES", 0)
     assert results() == want
+
+
+def test_flow_is_largest_and_cheapest():
+    """Against all flows of small instances: first the most words, then the least cost of repeated ones."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        patterns = rnd.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 3)
+        capacity, copies = {p: rnd.randint(0, 3) for p in patterns}, rnd.randint(1, 2)
+        quota = {s: rnd.randint(0, 4) for s in "abc"}
+        cost = lambda f, capacity=capacity: sum(max(0, sum(x for (p, _), x in f.items() if p == q) - n) for q, n in capacity.items())
+        edges = [(p, s) for p in patterns for s in p]
+        best = (0, 0)
+        for amounts in itertools.product(*[range(min(capacity[p] * copies, quota[s]) + 1) for p, s in edges]):
+            f = dict(zip(edges, amounts, strict=True))
+            if all(sum(x for (q, _), x in f.items() if q == p) <= capacity[p] * copies for p in patterns) and all(sum(x for (_, t), x in f.items() if t == s) <= quota[s] for s in quota):
+                best = max(best, (sum(amounts), -cost(f)))
+        got = mixing.min_cost_flow(capacity, quota, copies)
+        assert (sum(got.values()), -cost(got)) == best
