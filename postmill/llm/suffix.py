@@ -35,6 +35,8 @@ from .common import in_bitmap, key_bitmap, keyed, releasing, stage_table
 
 #: Bytes of a repeated string, of a q-gram, offsets of a block in each round, bytes that are hashed at once.
 LENGTH, Q, BLOCK_SIZES, CHUNK = 400, 32, (64, 8, 1), 1 << 17
+#: Bytes of a repeated passage that is told, but not removed: some fifty words.
+PASSAGE = 250
 _MASK = np.uint64((1 << 20) - 1)
 
 
@@ -111,13 +113,13 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], fore[width - 1 : n])
 
 
-def intervals(raw: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
+def intervals(raw: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Intervals of windows with the same q-gram: first and last window, q-gram, and their names.
 
     ``valid``: of each position whether a window starts there.
     """
     names = Names(raw)
-    width = LENGTH - Q + 1
+    width = length - Q + 1
     at = np.arange(len(raw) - Q + 1)
     grams = names(at, Q)
     rank = (grams & ~_MASK) | (_MASK - at.astype(np.uint64))  # rightmost on a tie; positions are below 2**20
@@ -129,11 +131,11 @@ def intervals(raw: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(i))[: len(first)] - 1
     s, e, a = i[first], i[last], gram_at[first]
-    hull = [blend(names(s, e - s + LENGTH, k), a - s, e - s) for k in (0, 1)]
+    hull = [blend(names(s, e - s + length, k), a - s, e - s) for k in (0, 1)]
     return {"s": s, "e": e, "a": a, "gram": grams[a], "hull1": hull[0], "hull2": hull[1]}
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts joined to at most CHUNK bytes; longer ones in overlapping parts.
 
     Yields the bytes, where windows start, and of each part its text, its place in the bytes and in the text.
@@ -146,13 +148,13 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         place = np.cumsum([0, *[len(p) for *_, p in parts]])
         valid = np.zeros(len(raw), bool)
         for (_, _, p), at in zip(parts, place, strict=False):
-            valid[at : at + len(p) - LENGTH + 1] = True
+            valid[at : at + len(p) - length + 1] = True
         return raw, valid, np.array([k for k, *_ in parts]), place[:-1], np.array([o for _, o, _ in parts])
 
     for k, text in enumerate(texts):
-        for offset in range(0, max(1, len(text) - LENGTH + 1), CHUNK - LENGTH + 1):
+        for offset in range(0, max(1, len(text) - length + 1), CHUNK - length + 1):
             part = text[offset : offset + CHUNK]
-            if len(part) < LENGTH:
+            if len(part) < length:
                 continue
             if parts and size + len(part) > CHUNK:
                 yield joined()
@@ -166,38 +168,46 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 _ANCHOR = "k1 bigint, k2 bigint, s int, e int, a int, gram bigint, hull1 bigint, hull2 bigint"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = _ANCHOR.replace(",", "").split()[::2]
-    for batch in batches:
-        k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-        for raw, valid, text, place, offset in _chunks([x.as_py().encode("utf-8", "replace") for x in batch.column(2)]):
-            found = intervals(raw, valid)
-            part = np.searchsorted(place, found["s"], "right") - 1
-            shift = offset[part] - place[part]
-            columns = [pa.array(k1[text[part]]), pa.array(k2[text[part]])]
-            columns += [pa.array((found[n] + shift).astype(np.int32)) for n in "sea"]
-            columns += [pa.array(found[n].view(np.int64)) for n in ("gram", "hull1", "hull2")]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (k1, k2, s, e, ...) with ctx, the bytes that the windows s to e cover."""
-    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted))
+def _anchors(length: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _ANCHOR.replace(",", "").split()[::2]
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            for raw, valid, text, place, offset in _chunks([x.as_py().encode("utf-8", "replace") for x in batch.column(2)], length):
+                found = intervals(raw, valid, length)
+                part = np.searchsorted(place, found["s"], "right") - 1
+                shift = offset[part] - place[part]
+                columns = [pa.array(k1[text[part]]), pa.array(k2[text[part]])]
+                columns += [pa.array((found[n] + shift).astype(np.int32)) for n in "sea"]
+                columns += [pa.array(found[n].view(np.int64)) for n in ("gram", "hull1", "hull2")]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return found
+
+
+def _some(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k1, k2, text), once, of the documents with ``keys``."""
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(keys))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bits.value)))
 
-    own = keyed(docs).select("spot", "k1", "k2", "text").mapInArrow(some, "spot bigint, k1 bigint, k2 bigint, text string").drop("spot")
-    own = own.withColumn("raw", F.col("text").cast("binary")).drop("text").dropDuplicates(["k1", "k2"])
-    span = F.substring("raw", F.col("s") + 1, F.col("e") - F.col("s") + LENGTH)
-    return wanted.join(own, ["k1", "k2"]).withColumn("ctx", span).drop("raw")
+    own = docs.select("spot", "k1", "k2", "text").mapInArrow(some, "spot bigint, k1 bigint, k2 bigint, text string").drop("spot")
+    return own.dropDuplicates(["k1", "k2"])
+
+
+def _contexts(own: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` (k1, k2, s, e, ...) with ctx, the bytes that the windows s to e cover."""
+    raw = _some(own, wanted).withColumn("raw", F.col("text").cast("binary")).drop("text")
+    span = F.substring("raw", F.col("s") + 1, F.col("e") - F.col("s") + length)
+    return wanted.join(raw, ["k1", "k2"]).withColumn("ctx", span).drop("raw")
 
 
 _BLOCK = "cid bigint, lo int, low int, high int, core1 bigint, core2 bigint, hull1 bigint, hull2 bigint, need boolean"
 
 
-def _blocks(size: int):
+def _blocks(size: int, length: int):
     """Names of the blocks of ``size`` offsets inside the wanted larger ones (null: all) of each interval."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +219,7 @@ def _blocks(size: int):
             at = 0
             while at < batch.num_rows:
                 begin, stop, total = at, at, 0
-                while stop < batch.num_rows and (stop == begin or total + 2 * LENGTH < CHUNK):
+                while stop < batch.num_rows and (stop == begin or total + 2 * length < CHUNK):
                     total += len(ctx[stop].as_py())
                     stop += 1
                 pieces = [ctx[i].as_py() for i in range(begin, stop)]
@@ -229,22 +239,22 @@ def _blocks(size: int):
                     continue
                 low, high = np.maximum(lo, d1[row]), np.minimum(lo + size - 1, d2[row])
                 zero = base[row - begin] + d2[row]  # where the q-gram stands in the bytes
-                core = [blend(names(zero - lo, LENGTH - size + 1, k), gram[row], lo) for k in (0, 1)]
-                hull = [blend(names(zero - high, LENGTH + high - low, k), core[k], low - lo, high - lo) for k in (0, 1)]
+                core = [blend(names(zero - lo, length - size + 1, k), gram[row], lo) for k in (0, 1)]
+                hull = [blend(names(zero - high, length + high - low, k), core[k], low - lo, high - lo) for k in (0, 1)]
                 columns = [pa.array(cid[row]), *[pa.array(x.astype(np.int32)) for x in (lo, low, high)], *[pa.array(x.view(np.int64)) for x in (*core, *hull)], pa.array(need[row])]
                 yield pa.RecordBatch.from_arrays(columns, names_of)
 
     return name
 
 
-def _refine(contexts: DataFrame) -> DataFrame:
+def _refine(contexts: DataFrame, length: int) -> DataFrame:
     """(k1, k2, s, e): windows of the intervals in ``contexts`` that repeat."""
     found = []
     pending: DataFrame | None = None
     core, hull = ["core1", "core2"], ["core1", "core2", "hull1", "hull2"]
     for size in BLOCK_SIZES:
         rows = contexts.withColumn("wanted", F.lit(None).cast("array<int>")) if pending is None else contexts.join(pending, "cid")
-        named = stage_table(rows.select("cid", "gram", "d1", "d2", "need", "ctx", "wanted").mapInArrow(_blocks(size), _BLOCK), f"blocks{size}")
+        named = stage_table(rows.select("cid", "gram", "d1", "d2", "need", "ctx", "wanted").mapInArrow(_blocks(size, length), _BLOCK), f"blocks{size}")
         hulls = stage_table(named.groupBy(*hull).agg(F.count("*").alias("n"), F.min("cid").alias("rep")), f"hulls{size}")
         cores = hulls.groupBy(*core).agg(F.sum("n").alias("n_core"), F.count("*").alias("n_hull"))
         judged = named.join(hulls.join(cores, core), hull)
@@ -259,10 +269,9 @@ def _refine(contexts: DataFrame) -> DataFrame:
     return spans.select("k1", "k2", (F.col("a") - F.col("high")).alias("s"), (F.col("a") - F.col("low")).alias("e"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(k1, k2, s, e): windows of LENGTH bytes starting at s to e occur elsewhere too."""
-    own = keyed(docs).select("k1", "k2", "text")
-    anchors = stage_table(own.mapInArrow(_anchors, _ANCHOR), "anchors")
+def repeated_windows(own: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k1, k2, s, e): windows of ``length`` bytes starting at s to e occur elsewhere too; ``own`` as from keyed."""
+    anchors = stage_table(own.select("k1", "k2", "text").mapInArrow(_anchors(length), _ANCHOR), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), (F.min("hull1") != F.max("hull1")).alias("contested"))
     grams = stage_table(grams.where("n > 1").drop("n"), "grams")  # buckets of two suffixes and more; a table of its own, so that the join can split a hot one
     shared = stage_table(anchors.join(grams, "gram"), "shared")
@@ -273,14 +282,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     equal = shared.where("contested").join(hulls.where("n > 1").select(*key), key).select("k1", "k2", "s", "e")
     reps = hulls.select("gram", "m.*", (F.col("n") == 1).alias("need"))
     reps = reps.withColumns({"d1": F.col("a") - F.col("e"), "d2": F.col("a") - F.col("s"), "cid": F.xxhash64("k1", "k2", "a", "s")})
-    contexts = stage_table(_contexts(docs, reps), "contexts")
-    return done.unionByName(equal).unionByName(_refine(contexts))
+    contexts = stage_table(_contexts(own, reps, length), "contexts")
+    return done.unionByName(equal).unionByName(_refine(contexts, length))
 
 
-def removed_spans(n: int, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs (begin, end) of the bytes that windows starting at starts to ends cover."""
+def covered(windows: list, length: int) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of the bytes that windows of ``length`` bytes starting at s to e cover."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(zip(starts.tolist(), (ends + LENGTH).tolist(), strict=True)):
+    for s, e in sorted((x["s"], x["e"] + length) for x in windows):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
@@ -288,56 +297,80 @@ def removed_spans(n: int, starts: np.ndarray, ends: np.ndarray) -> list[tuple[in
     return out
 
 
-_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document with repeated passages: how many bytes they cover, and the longest run of those."""
+    for batch in batches:
+        runs = [covered(w, PASSAGE) for w in batch.column(2).to_pylist()]
+        n, longest = ([f(b - a for a, b in r) for r in runs] for f in (sum, max))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(longest, pa.int64())], ["k1", "k2", "n_shared", "longest"])
+
+
+def _gathered(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("w"))
+
+
+_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint"
 _FULL = _RESULT + ", spans array<struct<begin:int,end:int>>, kept binary"
 
 
 @releasing
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared.
 
     Removes each byte that a string of 400 bytes covers that also starts anywhere else, in the same
-    document or another; matches never cross documents. ``with_kept`` adds spans and kept (binary).
+    document or another; matches never cross documents. ``n_shared`` tells how many bytes strings of
+    250 bytes cover that also start elsewhere: passages of some fifty words, which stay if they are
+    shorter than 400 bytes. ``with_kept`` adds spans and kept (binary).
+
+    Passages are looked for first; what repeats over 400 bytes lies in a run of them as long, so the
+    search for it reads the documents with such runs only.
 
     * A null or empty text has no bytes; texts under 400 bytes lose nothing.
     * Rows that repeat doc_id and text count as two places: both lose what they share.
     * Null ids are ids like others. Ties don't arise: all places of a string are removed.
     * Other columns of ``docs`` are ignored. No rows in, no rows out.
     """
-    spans = stage_table(repeated_windows(docs).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("w")), "spans")
-    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(spans))
-    names = [f.split()[0] for f in (_FULL if with_kept else _RESULT).split(", ")]
+    own = keyed(docs)
+    context = docs.sparkSession.sparkContext
+
+    def passing(bits, told: bool):
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bits.value) == told))
+
+        return chosen
+
+    passages = stage_table(_gathered(repeated_windows(own, PASSAGE)).mapInArrow(_told, "k1 bigint, k2 bigint, n_shared bigint, longest bigint"), "passages")
+    long = context.broadcast(key_bitmap(passages.where(F.col("longest") >= LENGTH)))
+    fields = "spot bigint, doc_id bigint, text string, k1 bigint, k2 bigint"
+    candidates = own.select("spot", "doc_id", "text", "k1", "k2").mapInArrow(passing(long, True), fields)
+    spans = passages.join(_gathered(repeated_windows(candidates)), ["k1", "k2"], "left").select("k1", "k2", "n_shared", "w")
+    spans = stage_table(spans, "spans")
+    bits = context.broadcast(key_bitmap(spans))
+    schema = _FULL if with_kept else _RESULT
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def result(ids: pa.Array, texts: list[bytes], windows: list) -> pa.RecordBatch:
+    def made(ids: pa.Array, texts: list[str], shared: list, windows: list) -> pa.RecordBatch:
         rows = []
-        for text, w in zip(texts, windows, strict=True):
-            runs = removed_spans(len(text), np.array([x["s"] for x in w], np.int64), np.array([x["e"] for x in w], np.int64)) if w else []
+        for text, n, w in zip(texts, shared, windows, strict=True):
+            raw, runs = text.encode("utf-8", "replace"), covered(w or [], LENGTH)
             kept, at = [], 0
             for a, b in runs:
-                kept.append(text[at:a])
+                kept.append(raw[at:a])
                 at = b
-            left = b"".join([*kept, text[at:]])
-            rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), [{"begin": a, "end": b} for a, b in runs], left))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.binary())
-        columns = [ids, *[pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names) - 1)]]
-        return pa.RecordBatch.from_arrays(columns, names)
+            left = b"".join([*kept, raw[at:]])
+            rows.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), n or 0, [{"begin": a, "end": b} for a, b in runs], left))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.binary())
+        return pa.RecordBatch.from_arrays([ids, *[pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names) - 1)]], names)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(~in_bitmap(batch.column(0).to_numpy(), bits.value)))
-            yield result(batch.column(1), [x.as_py().encode("utf-8", "replace") for x in batch.column(2)], [None] * batch.num_rows)
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy(), bits.value)))
+        for batch in passing(bits, False)(batches):
+            yield made(batch.column(1), batch.column(2).to_pylist(), [0] * batch.num_rows, [None] * batch.num_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield result(batch.column(0), [x.as_py().encode("utf-8", "replace") for x in batch.column(1)], batch.column(2).to_pylist())
+            yield made(batch.column(0), *[batch.column(i).to_pylist() for i in (1, 2, 3)])
 
-    schema = _FULL if with_kept else _RESULT
-    own = keyed(docs)
-    without = own.select("spot", "doc_id", "text").mapInArrow(plain, schema)
-    some = own.select("spot", "doc_id", "text", "k1", "k2").mapInArrow(marked, "spot bigint, doc_id bigint, text string, k1 bigint, k2 bigint")
-    some = some.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "w").mapInArrow(cut, schema)
-    return without.unionByName(some)
+    rows = own.select("spot", "doc_id", "text", "k1", "k2")
+    some = rows.mapInArrow(passing(bits, True), fields).join(spans, ["k1", "k2"], "left")
+    return rows.mapInArrow(plain, schema).unionByName(some.select("doc_id", "text", "n_shared", "w").mapInArrow(cut, schema))

@@ -178,19 +178,33 @@ def test_complements_of_thue_morse_have_names_of_their_own(spark):
     assert [r.n_removed for r in sorted(got)] == gone
 
 
+def covered_by_repeats(texts, length):
+    """Of each text, which bytes strings of ``length`` bytes cover that also start elsewhere."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = True
+        out.append(gone)
+    return out
+
+
 def test_repeats(spark, rows):
+    rnd = random.Random(7)
+    short = words(rnd, 90)[:300]  # a passage that is told but stays
+    rows = [*rows, (300, words(rnd, 80) + short + words(rnd, 9)), (301, short), (302, words(rnd, 70) + short[:249])]
     got = suffix.remove_repeats(frame(spark, rows))
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
     want = Counter()
-    for (i, _), t in zip(rows, texts, strict=True):
-        gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 399):
-            if seen[t[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+    for (i, _), t, gone, shared in zip(rows, texts, covered_by_repeats(texts, 400), covered_by_repeats(texts, 250), strict=True):
         starts = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
-        want[i, len(t), int(gone.sum()), starts, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()] += 1
-    assert Counter(tuple(r) for r in got.collect()) == want
+        want[i, len(t), int(gone.sum()), starts, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest(), int(shared.sum())] += 1
+    got = got.collect()
+    assert Counter(tuple(r) for r in got) == want
+    told = {r.doc_id: (r.n_removed, r.n_shared) for r in got}
+    assert told[300] == (0, 300) and told[301] == (0, 300) and told[302] == (0, 0)
     full = suffix.remove_repeats(frame(spark, rows[:20]), with_kept=True).collect()
     assert all(len(r.kept) == r.n_bytes - r.n_removed == r.n_bytes - sum(s.end - s.begin for s in r.spans) for r in full)
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
