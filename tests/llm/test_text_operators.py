@@ -194,7 +194,7 @@ def covered_by_repeats(texts, length):
 def test_repeats(spark, rows):
     rnd = random.Random(7)
     short = words(rnd, 90)[:300]  # a passage that is told but stays
-    rows = [*rows, (300, words(rnd, 80) + short + words(rnd, 9)), (301, short), (302, words(rnd, 70) + short[:200])]
+    rows = [*rows, (9300, words(rnd, 80) + short + words(rnd, 9)), (9301, short), (9302, words(rnd, 70) + short[:200])]
     got = suffix.remove_repeats(frame(spark, rows))
     texts = [(t or "").encode() for _, t in rows]
     want = Counter()
@@ -204,7 +204,7 @@ def test_repeats(spark, rows):
     got = got.collect()
     assert Counter(tuple(r) for r in got) == want
     told = {r.doc_id: (r.n_removed, r.n_shared) for r in got}
-    assert told[300][0] == 0 and told[300][1] >= 300 and told[301] == (0, 300) and told[302] == (0, 0)
+    assert told[9300][0] == 0 and told[9300][1] >= 300 and told[9301] == (0, 300) and told[9302] == (0, 0)
     full = suffix.remove_repeats(frame(spark, rows[:20]), with_kept=True).collect()
     assert all(len(r.kept) == r.n_bytes - r.n_removed == r.n_bytes - sum(s.end - s.begin for s in r.spans) for r in full)
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
