@@ -112,18 +112,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns and p_doc, the classifier's probability that the document is bad."""
+    """``docs`` with all its columns and p_doc, the classifier's probability that the document is bad.
+
+    Only the text goes to the Python workers, the other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.edges, model.weights))  # a few hundred numbers
-    schema = docs.withColumn("p_doc", F.lit(0.0)).schema
-    at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        for batch in batches:
-            x = np.array([features_of(t.as_py() or "") for t in batch.column(at)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.probability(x), pa.float64())], [*batch.schema.names, "p_doc"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what it has had
+        x = np.array([features_of(t.as_py() or "") for t in texts]).reshape(-1, len(FEATURES))
+        return pa.array(Model(*shared.value).probability(x), pa.float64())
 
-    return docs.mapInArrow(score, schema)
+    return docs.withColumn("p_doc", score("text"))
 
 
 def _beta(groups: DataFrame, keys: list[str], prior: Column, strength: Column) -> DataFrame:
