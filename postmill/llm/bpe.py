@@ -32,7 +32,7 @@ from .common import releasing, share_file, stage_table, whole_text
 #: Most words in the lexicon, and least count of a word in it.
 LEXICON_WORDS, LEAST_COUNT = 1 << 18, 2
 #: A worker's counts and memo are emptied beyond so many words, and texts are taken in slices of so many characters.
-WORDS_HELD, SLICE_CHARS = 400_000, 1 << 22
+WORDS_HELD, SLICE_CHARS = 400_000, 1 << 20
 _NONE = 1 << 60
 #: Fixed: the pattern of byte-level BPE that splits text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
