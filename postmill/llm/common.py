@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import string
@@ -42,25 +43,40 @@ def _hadoop_path(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Few rows in an Arrow batch: whole texts and vectors are held by a worker's memory."""
+    rows = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(rows), ARROW_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, rows)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder.
 
-    Cuts the lineage: later readers survive the loss of executors and see the same rows.
     The files go when the operator that staged them has no more need of them (see :func:`releasing`),
     at the latest when the application ends.
     """
-    spark = df.sparkSession
     path = f"{shared_dir(spark)}/postmill/{label}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, str(min(int(rows), ARROW_ROWS)))  # whole texts: few at once in a worker's memory
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW_ROWS, rows)
     files, target = _hadoop_path(spark, path)
     files.deleteOnExit(target)
     if _scopes:
         _scopes[-1].append(path)
+    return path
+
+
+def stage_table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a new path in the shared folder and read it again.
+
+    Cuts the lineage: later readers survive the loss of executors and see the same rows.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
