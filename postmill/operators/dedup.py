@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import logging
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
 
+log = logging.getLogger(__name__)
+
+#: Rounds that decide rows by their keys' first rows, before what is left goes through in order.
+KEY_ROUNDS = 4
+#: Rows that one task goes through in order, about.
+FOLD_ROWS = 100_000
+_UNDECIDED = "_o bigint, raw_id string, _fp string, _url string"
+
 
 def first_by_fingerprint(df: DataFrame, key: str = "job_fingerprint", order: str = "collected_at", row_id: str = "raw_id") -> DataFrame:
     """Add is_duplicate and duplicate_of_raw_id: the earliest row of a fingerprint is the original.
@@ -51,14 +62,119 @@ def with_url_of_other_run(batch: DataFrame, history: DataFrame) -> DataFrame:
     return out.withColumn("url_raw_id", other).drop("_u", "_a", "_next")
 
 
+def _without(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows that share no key with the chosen ones."""
+    behind = rows.join(chosen.select("_url"), "_url", "left_anti")
+    return behind.join(chosen.where("_fp is not null").select("_fp"), "_fp", "left_anti").select(*rows.columns)
+
+
+def _key_round(undecided: DataFrame) -> DataFrame:
+    """The rows that come first for both their keys."""
+    first_fp = undecided.where("_fp is not null").groupBy("_fp").agg(F.min("_o").alias("_fp_first"))
+    first_url = undecided.groupBy("_url").agg(F.min("_o").alias("_url_first"))
+    seen = undecided.join(first_fp, "_fp", "left").join(first_url, "_url")
+    stays = (F.col("_o") == F.col("_url_first")) & F.coalesce(F.col("_o") == F.col("_fp_first"), F.lit(True))
+    return seen.where(stays).select("_o", "raw_id", "_fp", "_url")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``edges`` (a, b): the least node that is reached from it.
+
+    Stars are contracted in rounds: each node's larger neighbours, then its smaller ones, are linked to
+    the least node it knows. That is grouped minima and joins, and halves paths as pointer doubling does,
+    so that a chain takes as many rounds as its length has binary digits, about.
+    """
+    edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        log.debug("round of components")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stage(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a group that share no key with an earlier one that stays."""
+    urls, prints, stays = set(), set(), []
+    rows = rows.sort_values("_o")
+    for url, fp in zip(rows["_url"], rows["_fp"], strict=True):
+        stays.append(url not in urls and (fp is None or fp not in prints))
+        if stays[-1]:
+            urls.add(url)
+            if fp is not None:
+                prints.add(fp)
+    return rows.loc[stays, ["_o", "raw_id", "_fp", "_url"]]
+
+
+def _grouped(undecided: DataFrame) -> DataFrame:
+    """Rows with the group (``_g``) in which they can be visited in order, apart from all others.
+
+    Up to FOLD_ROWS rows are one group. More are grouped by the components of their shared keys.
+    """
+    if undecided.count() <= FOLD_ROWS:
+        return undecided.withColumn("_g", F.lit(0).cast("bigint"))
+    # nodes are keys' hashes: where two keys have one hash, two components are visited as one, which changes nothing
+    node = F.xxhash64(F.concat(F.lit("u"), "_url"))
+    edges = undecided.where("_fp is not null").select(node.alias("a"), F.xxhash64(F.concat(F.lit("f"), "_fp")).alias("b"))
+    found = components(edges).select(F.col("node").alias("_node"), F.col("component").alias("_g"))
+    return stage(undecided.withColumn("_node", node).join(found, "_node", "left").withColumn("_g", F.coalesce("_g", "_node")).drop("_node"), "dedup-groups")
+
+
+def _first_rows(grouped: DataFrame) -> DataFrame:
+    """The first rows of each group, all of a group of up to 2 * FOLD_ROWS: borders are approximate quantiles, nothing is sorted."""
+    parts = 64
+    while True:
+        sizes = grouped.groupBy("_g").agg(F.count("*").alias("_n"), F.percentile_approx("_o", [i / parts for i in range(1, parts + 1)]).alias("_marks"))
+        part = F.greatest(F.lit(1), F.least(F.lit(parts), F.floor(F.lit(parts * FOLD_ROWS) / F.col("_n")).cast("int")))
+        large = sizes.where(F.col("_n") > 2 * FOLD_ROWS).select(F.col("_g"), F.element_at("_marks", part).alias("_cut"))
+        large = stage(large, "dedup-cuts")
+        if large.isEmpty():
+            return grouped
+        before = grouped.count()
+        grouped = stage(grouped.join(large, "_g", "left").where("_cut is null or _o <= _cut").drop("_cut"), "dedup-first")
+        if grouped.count() == before:  # as short as rows with equal order values allow
+            return grouped
+
+
+def _first_comers(undecided: DataFrame) -> DataFrame:
+    """Of rows (_o, raw_id, _fp, _url) in order of ``_o``: those that share neither url nor fingerprint with an earlier one that stays.
+
+    Most rows are decided in parallel, in rounds: a row that comes first for both its keys stays, and rows
+    that share a key with it go. Where rows share url and fingerprint in turn, such rounds would be as many
+    as the chain has links; after KEY_ROUNDS of them what is left is visited in order, components of shared
+    keys beside each other, no more than some FOLD_ROWS rows of one at a time.
+    """
+    undecided = stage(undecided, "dedup-undecided")
+    out = undecided.limit(0)
+    for _ in range(KEY_ROUNDS):
+        if undecided.isEmpty():
+            return out
+        log.debug("round by keys")
+        kept = stage(_key_round(undecided), "dedup-kept")
+        out, undecided = out.unionByName(kept), stage(_without(undecided, kept), "dedup-undecided")
+    groups = _grouped(undecided)
+    while not groups.isEmpty():
+        log.debug("round in order")
+        first = _first_rows(groups)
+        kept = stage(first.groupBy("_g").applyInPandas(_fold, _UNDECIDED), "dedup-kept")
+        out, groups = out.unionByName(kept), stage(_without(groups.join(first.select("_o"), "_o", "left_anti"), kept), "dedup-groups")
+    return out
+
+
 def sequential(batch: DataFrame, history: DataFrame, state: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Visit rows by ``ordinal``; only rows that aren't duplicates register their url and fingerprint.
 
-    Adds is_duplicate and duplicate_of_job_id (a raw_id). This is the greedy choice by order of
-    rows that share no key, found in parallel: in each round a row that comes first for both its
-    keys among the undecided stays, and undecided rows behind one that stays are duplicates. Each
-    round decides at least the first row, usually nearly all; it is grouped minima and joins.
-    Null urls match each other; a fingerprint counts only for rows without a native id.
+    Adds is_duplicate and duplicate_of_job_id (a raw_id). Null urls match each other; a fingerprint
+    counts only for rows without a native id. The order is that of :func:`_first_comers`.
     """
     rows = with_url_of_other_run(with_prior_fingerprint(with_native_id_seen(batch, history), state), history)
     has_id = F.coalesce(F.col("source_job_id") != "", F.lit(False))
@@ -70,24 +186,8 @@ def sequential(batch: DataFrame, history: DataFrame, state: DataFrame, ordinal:
     })
     rows = stage(rows, "dedup-rows")
     blocked = F.col("_native") | F.col("_prior").isNotNull() | F.col("url_raw_id").isNotNull()
-    undecided = rows.where(~blocked).select(F.col(ordinal).alias("_o"), "raw_id", "_fp", "_url")
-    kept: list[DataFrame] = []
-    while True:
-        first_fp = undecided.where("_fp is not null").groupBy("_fp").agg(F.min("_o").alias("_fp_first"))
-        first_url = undecided.groupBy("_url").agg(F.min("_o").alias("_url_first"))
-        seen = undecided.join(first_fp, "_fp", "left").join(first_url, "_url")
-        stays = (F.col("_o") == F.col("_url_first")) & F.coalesce(F.col("_o") == F.col("_fp_first"), F.lit(True))
-        chosen = stage(seen.where(stays).select("_o", "raw_id", "_fp", "_url"), "dedup-kept")
-        kept.append(chosen)
-        behind = undecided.join(chosen.select("_o"), "_o", "left_anti")
-        behind = behind.join(chosen.select("_url"), "_url", "left_anti")
-        behind = behind.join(chosen.where("_fp is not null").select("_fp"), "_fp", "left_anti")
-        undecided = stage(behind.select("_o", "raw_id", "_fp", "_url"), "dedup-undecided")
-        if not undecided.limit(1).count():
-            break
-    registered = kept[0]
-    for more in kept[1:]:
-        registered = registered.unionByName(more)
+    undecided = rows.where(~blocked).select(F.col(ordinal).cast("bigint").alias("_o"), "raw_id", "_fp", "_url")
+    registered = _first_comers(undecided)
     by_fp = registered.where("_fp is not null").select("_fp", F.col("raw_id").alias("_fp_id"), F.col("_o").alias("_fp_o"))
     by_url = registered.select("_url", F.col("raw_id").alias("_url_id"), F.col("_o").alias("_url_o"))
     told = rows.join(by_fp, "_fp", "left").join(by_url, "_url", "left")

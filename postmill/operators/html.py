@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, split_before_capitals, strip_all
+from ..functions.text import blank_to_null, evaluated, split_before_capitals, strip_all
+from . import elements as E
 
 # Words of tags that don't count, employment types, work modes, names of the country, classes of the detail page.
 SKIPPED_TAG_WORDS = ("translat", "arabic", "original", "show", "عربي")
 EMPLOYMENT = ("full time", "part time", "internship", "freelance", "contract", "temporary")
 WORK_MODES = ("on-site", "remote", "hybrid")
 COUNTRY_WORDS = ("saudi", "saudi arabia", "")
-CLASSES = {"title": "job-title-text", "company": "job-meta-company", "item": "job-meta-item", "date": "job-date", "tag": "job-tag", "block": "meta-data", "text": "text-html"}
+CLASSES = {
+    "title": "job-title-text", "company": "job-meta-company", "item": "job-meta-item", "date": "job-date", "tag": "job-tag", "block": "meta-data", "text": "text-html", "apply": "apply-btn", "skills": "*skill",
+}
 DETAIL_KEYS = ("experience", "education", "gender", "category", "industry", "salary")
 SHORTEST_DESCRIPTION = 50
 
@@ -43,9 +46,30 @@ def element_text(page: Column, tag: str) -> Column:
     return blank_to_null(F.trim(F.regexp_replace(F.regexp_extract(page, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"<[^>]+>", "")))
 
 
-def class_text(page: Column, css_class: str) -> Column:
-    found = F.regexp_extract(page, rf'(?is)<(\w+)[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*>(.*?)</\1>', 2)
-    return blank_to_null(F.trim(F.regexp_replace(found, r"<[^>]+>", "")))
+def texts_of(elements: Column, name: str, between: str = "") -> Column:
+    """The whole texts of all elements of a name, in page order; ``elements`` with their parts."""
+    return F.transform(F.filter(elements, lambda e: e["name"] == name), lambda e: F.array_join(e["parts"], between))
+
+
+def first_text(elements: Column, name: str, between: str = "") -> Column:
+    """The whole text of the first element of a name; null if there is none."""
+    return F.get(texts_of(elements, name, between), F.lit(0))
+
+
+def class_body(page: Column, css_class: str) -> Column:
+    """The markup inside the first element of a class, elements of the same name in it included; empty if there is none."""
+    found = E.marked(page, {"x": css_class})
+    return F.when(page.isNotNull(), F.coalesce(F.get(E.bodies(page, found, "x"), F.lit(0)), F.lit("")))
+
+
+def class_text(page: Column, css_class: str, between: str = "") -> Column:
+    """The whole text of the first element of a class; null if it is blank or there is none."""
+    return blank_to_null(first_text(E.with_parts(page, E.marked(page, {"x": css_class})), "x", between))
+
+
+def class_texts(page: Column, css_class: str, between: str = "") -> Column:
+    """The whole texts of all elements of a class."""
+    return texts_of(E.with_parts(page, E.marked(page, {"x": css_class})), "x", between)
 
 
 def job_json(page: Column) -> Column:
@@ -66,11 +90,12 @@ def class_texts(page: Column, css_class: str) -> Column:
     return F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " ")))
 
 
-def title_and_company(page: Column) -> dict[str, Column]:
-    job = job_json(page)
+def title_and_company(elements: Column, job: Column) -> dict[str, Column]:
+    """A marked title counts even if it is blank, a marked company only if it isn't."""
+    there = F.exists(elements, lambda e: e["name"] == "title")
     return {
-        "title": F.coalesce(class_text(page, CLASSES["title"]), from_job(job, "$.title")),
-        "company": F.coalesce(class_text(page, CLASSES["company"]), from_job(job, "$.hiringOrganization.name")),
+        "title": F.when(there, blank_to_null(first_text(elements, "title"))).otherwise(from_job(job, "$.title")),
+        "company": F.coalesce(blank_to_null(first_text(elements, "company")), from_job(job, "$.hiringOrganization.name")),
     }
 
 
@@ -83,9 +108,9 @@ def city(items: Column, job: Column) -> Column:
     return F.coalesce(F.try_element_at(places, F.lit(-1)), from_job(job, f"{address}.addressLocality"), from_job(job, f"{address}.addressRegion"))
 
 
-def posted_on(page: Column, job: Column) -> Column:
-    stamp = F.regexp_extract(page, rf'<[^>]*class="[^"]*\b{CLASSES["date"]}\b[^"]*"[^>]*data-datetime="([^"]*)"', 1)
-    return F.coalesce(blank_to_null(stamp), from_job(job, "$.datePosted"))
+def posted_on(elements: Column, job: Column) -> Column:
+    """The stamp of the first date element, else the JSON-LD date."""
+    return F.coalesce(E.attribute(F.get(E.start_tags(elements, "date"), F.lit(0)), "data-datetime"), from_job(job, "$.datePosted"))
 
 
 def kept_tags(tags: Column) -> Column:
@@ -102,9 +127,9 @@ def work_mode(tags: Column) -> Column:
 
 
 def description(fragment: Column, fallback: Column) -> Column:
-    """The fragment's text, or the fallback where that is under 50 characters."""
-    text = blank_to_null(plain_text(fragment))
-    return F.when(F.length(text) >= SHORTEST_DESCRIPTION, text).otherwise(F.coalesce(blank_to_null(plain_text(fallback)), text))
+    """The fragment's text, or the fallback's (text already) where that is under 50 characters."""
+    text = blank_to_null(E.text_of(fragment, "\n"))
+    return F.when(F.length(text) >= SHORTEST_DESCRIPTION, text).otherwise(F.coalesce(blank_to_null(fallback), text))
 
 
 def key_values(block: Column) -> Column:
@@ -130,21 +155,25 @@ def salary_text(low: Column, high: Column, currency: Column) -> Column:
     return F.when(low.isNotNull() & high.isNotNull(), both).otherwise(F.concat(F.coalesce(low, high), unit))
 
 
-def detail_record(page: Column) -> dict[str, Column]:
-    """All fields of a detail page, by name."""
-    job, tags, values = job_json(page), class_texts(page, CLASSES["tag"]), key_values(plain_text(class_body(page, CLASSES["block"])))
+def detail_record(elements: Column, job: Column, values: Column) -> dict[str, Column]:
+    """All fields of a detail page, by name, from its marked elements with their parts, its JSON-LD object and its key-value block."""
+    tags = texts_of(elements, "tag")
     amount = lambda k: from_job(job, f"$.baseSalary.value.{k}")
     named = {k: detail(values, k) for k in DETAIL_KEYS}
     named["salary"] = F.coalesce(named["salary"], salary_text(amount("minValue"), amount("maxValue"), from_job(job, "$.baseSalary.currency")))
-    return title_and_company(page) | named | {
-        "city": city(class_texts(page, CLASSES["item"]), job),
-        "posting_date": posted_on(page, job),
+    return title_and_company(elements, job) | named | {
+        "city": city(texts_of(elements, "item", " "), job),
+        "posting_date": posted_on(elements, job),
         "employment_type": employment_type(tags),
         "work_mode": work_mode(tags),
-        "job_description": description(from_job(job, "$.description"), class_body(page, CLASSES["text"])),
+        "job_description": description(from_job(job, "$.description"), first_text(elements, "text", "\n")),
+        "required_skills": first_text(elements, "skills", ", "),
+        "apply_path": E.attribute(F.get(E.start_tags(elements, "apply"), F.lit(0)), "data-url"),
     }
 
 
-def class_body(page: Column, css_class: str) -> Column:
-    """The markup inside the first element of a class."""
-    return F.regexp_extract(page, rf'(?is)<(\w+)[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*>(.*?)</\1>', 2)
+def details(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``keep`` of ``pages`` and all fields of :func:`detail_record`; a page's tags are gone through once for all fields."""
+    found = evaluated(pages.select(*keep, F.col(page).alias("_page")), {"_found": E.marked(F.col("_page"), CLASSES), "_job": job_json(F.col("_page"))})
+    found = evaluated(found.select(*keep, "_job", E.with_parts(F.col("_page"), F.col("_found")).alias("_elements")), {"_values": key_values(first_text(F.col("_elements"), "block", "\n"))})
+    return found.select(*keep, *[c.alias(name) for name, c in detail_record(F.col("_elements"), F.col("_job"), F.col("_values")).items()])

@@ -43,6 +43,17 @@ select id, '<html><body><h1>page</h1>'
 from facts
 """
 
+#: Detail pages whose elements hold others of the same name, with comments, scripts and unclosed items in them.
+NESTED_PAGES = """
+select id, '<html><body><div class="page"><div class="head job-title-text"><div>' || title || '<!-- </div> --></div><script>"</div></div>"</script><div> (m/f)</div></div>'
+    || '<div class=job-meta-company><div><div>' || company || '</div></div></div><ul><li class="job-meta-item">Dept, Mecca<li class="job-meta-item">Dept, <span><span>' || city || '</span></span></ul>'
+    || '<div class="meta-data"><div><div>Experience</div><div><div>' || coalesce(experience, 'none') || '</div></div></div></div>'
+    || '<div class="ltr text-html"><div><div>' || about || '</div></div><div><p>one<p title="</div>">two &amp; three</div>end</div><div>after</div>'
+    || '<ul class="my-skills"><li>a &#38; b<li>c<li>d</ul><a class="btn apply-btn" href="#" data-url="/apply/' || id || '">Apply</a>'
+    || '<section class="site"><section>Riyadh</section></section><section class="site"><br>' || city || '<br></section></div></body></html>' as html
+from facts
+"""
+
 #: One listing page for every hundred orders: ids in attributes and in links, some twice.
 LISTINGS = """
 select page, '<ul>' || array_join(array_sort(collect_list('<li data-job-id="' || lpad(cast(k as string), 9, '0') || '"><a href="/x/0' || cast(k as string) || '.html">a</a><a href="/x/0' || cast(k % 50 as string) || '.html">b</a></li>')), '') || '</ul>' as html

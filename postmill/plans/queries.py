@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import postings as P
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, evaluated
 from ..operators import dedup, html, quality, reports, sets
+from ..operators.elements import marked, with_parts
+from ..schemas import STATE
 from ..session import spread, stage
 from ..sources import crawl, files, payload
 from . import medallion
 from .oracle import CHAIN
-from .pages_sql import FACTS, LISTINGS, PAGES
+from .pages_sql import FACTS, LISTINGS, NESTED_PAGES, PAGES
 from .postings_sql import POSTINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +177,20 @@ def _state(spark, sf_dir):
     return d.groupBy(F.col("job_fingerprint").alias("fingerprint")).agg(F.min("raw_id").alias("first_raw_id"), F.lit("x").alias("source_name"), F.lit("y").alias("recorded_at"))
 
 
+@query("select o_orderkey, o_orderkey % 1000 % 2 = 1 as is_duplicate, case when o_orderkey % 1000 % 2 = 1 then o_orderkey - 1 end as duplicate_of from orders")
+def dedup_chain(spark, sf_dir):
+    """Postings of which each shares its url with one neighbour and its fingerprint with the other, a thousand in a chain: every other one stays."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"))
+    fp = F.when(F.col("ordinal") % 1000 == 0, F.lit("")).otherwise(F.concat(F.lit("f"), F.floor((F.col("ordinal") + 1) / 2)))
+    batch = o.select(
+        F.col("ordinal").cast("string").alias("raw_id"), F.lit("run-0").alias("run_id"), F.lit("jooble").alias("source_name"), F.lit("").alias("source_job_id"),
+        F.concat(F.lit("u"), F.floor(F.col("ordinal") / 2)).alias("source_url"), fp.alias("job_fingerprint"), F.lit("t").alias("collected_at"), "ordinal",
+    )
+    none = spark.createDataFrame([], batch.schema)
+    told = dedup.sequential(batch, none, spark.createDataFrame([], STATE))
+    return told.select(F.col("ordinal").alias("o_orderkey"), "is_duplicate", F.col("duplicate_of_job_id").cast("bigint").alias("duplicate_of"))
+
+
 @query()
 def dedup_sequential(spark, sf_dir):
     batch = _batch(spark, sf_dir).where("run_id = 'run-0'")
@@ -444,8 +460,7 @@ def page_text(spark, sf_dir):
 
 @query()
 def page_kv(spark, sf_dir):
-    job = html.detail_record(F.col("html"))
-    return read(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in job.items()])
+    return html.details(spread(read(spark, sf_dir, "pages").select("page_id", "html")), "html", ("page_id",))
 
 
 @query("select page_id, regexp_extract(url, '/(\\d+)', 1) as native_id from pages")
@@ -489,9 +504,24 @@ _PAY = "case when pay = 8 then '5000 a month' when shape = 0 then null when pay
     "case when shape <> 0 and id % 2 = 0 then about else about || ' & more' end as job_description from facts"
 )
 def page_details(spark, sf_dir):
-    job = html.detail_record(F.col("html"))
     names = ("title", "company", "city", "posting_date", "employment_type", "work_mode", "experience", "gender", "salary", "job_description")
-    return _detail_pages(spark, sf_dir).select("id", *[job[n].alias(n) for n in names])
+    return html.details(_detail_pages(spark, sf_dir), "html", ("id",)).select("id", *names)
+
+
+@query(
+    f"with facts as ({FACTS}) select id, title || '(m/f)' as title, company, city, about || chr(10) || 'one' || chr(10) || 'two & three' || chr(10) || 'end' as job_description, coalesce(experience, 'none') as experience, "
+    "'a & b, c, d' as required_skills, '/apply/' || id as apply_path, 'Riyadh' || chr(10) || city as sites, 2 as n_sites from facts"
+)
+def page_nested(spark, sf_dir):
+    """Fields of pages whose elements hold elements of the same name."""
+    names = ("title", "company", "city", "job_description", "experience", "required_skills", "apply_path")
+    spread(read(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    spark.sql(FACTS).createOrReplaceTempView("facts")
+    pages = spark.sql(NESTED_PAGES)
+    sites = evaluated(pages, {"found": with_parts(F.col("html"), marked(F.col("html"), {"site": "site"}))})
+    texts = html.texts_of(F.col("found"), "site", " ")
+    sites = sites.select("id", F.array_join(texts, "\n").alias("sites"), F.size(texts).alias("n_sites"))
+    return html.details(pages, "html", ("id",)).select("id", *names).join(sites, "id")
 
 
 @query(

@@ -37,4 +37,4 @@ def scan(front: DataFrame, pages: DataFrame, depth: int = MOST_DEPTH, most: int
     edges = pages.select(F.col("id").alias("src"), F.explode(html.link_ids(F.col("html"))).alias("dst"))
     reached = reachable(ids(front, "html"), edges, depth, most, order)
     found = reached.join(pages, F.col("node") == F.col("id"))
-    return found.select("id", "depth", *[c.alias(name) for name, c in html.detail_record(F.col("html")).items()])
+    return html.details(found, "html", ("id", "depth"))

@@ -152,7 +152,7 @@ def test_detail_page(spark):
       <h1 class="job-title-text">Cook</h1><span class="job-meta-item">Saudi Arabia,  Jeddah</span><span class="job-meta-item">Saudi Arabia</span>
       <span class="job-tag">Show original</span><span class="job-tag">Full Time</span><span class="job-tag">Remote</span><div class="meta-data"><b>Experience</b><i>2 years</i><b>Gender</b><i>any</i></div>'''
     df = spark.createDataFrame([(page,), ("",), (None,)], "html string")
-    got = df.select(html.seed_ids(F.col("html")).alias("seeds"), html.link_ids(F.col("html")).alias("links"), *[c.alias(n) for n, c in html.detail_record(F.col("html")).items()]).collect()
+    got = html.details(df.withColumns({"seeds": html.seed_ids(F.col("html")), "links": html.link_ids(F.col("html"))}), "html", ("seeds", "links")).collect()
     r = got[0]
     assert (r.seeds, r.links, r.title, r.company, r.city, r.employment_type, r.work_mode) == (["12"], ["345"], "Cook", "Org", "Jeddah", "Full Time", "Remote")
     assert (r.experience, r.gender, r.salary, r.posting_date) == ("2 years", "any", "5-9 USD", "2026-01-02") and r.job_description.startswith("long text")
@@ -265,3 +265,45 @@ def test_the_crawl_stops_at_its_cap(spark):
     reach = lambda **k: [(r.node, r.depth) for r in crawl.reachable(seeds, edges, **k).orderBy("depth", "node").collect()]
     assert reach(most=3) == [(1, 0), (10, 1), (11, 1)]
     assert len(reach(most=None)) == 12 and (40, 3) in reach(depth=3, most=None)
+
+
+def greedy(rows):
+    urls, prints, kept = set(), set(), []
+    for o, _, fp, url in sorted(rows):
+        if url not in urls and (fp is None or fp not in prints):
+            kept.append(o)
+            urls.add(url)
+            prints |= {fp} - {None}
+    return kept
+
+
+def test_a_chain_is_decided_in_few_rounds(spark, caplog):
+    """Rows that share url and fingerprint in turn, 10,000 of them, beside unlinked ones."""
+    rows = [(i, f"r{i}", f"f{(i + 1) // 2}", f"u{i // 2}") for i in range(10_000)] + [(20_000 + i, f"s{i}", None, f"v{i % 700}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "_o bigint, raw_id string, _fp string, _url string").repartition(4)
+    with caplog.at_level("DEBUG", logger="postmill.operators.dedup"):
+        got = sorted(r._o for r in dedup._first_comers(df).collect())
+    assert got == greedy(rows)
+    assert 0 < sum("round" in r.message for r in caplog.records) < 30
+
+
+def test_components_and_parts_of_them_in_order(spark, monkeypatch, caplog):
+    """Chains that no single task may hold: components once, then the first rows of each, again and again."""
+    monkeypatch.setattr(dedup, "FOLD_ROWS", 40)
+    monkeypatch.setattr(dedup, "KEY_ROUNDS", 1)
+    rnd = random.Random(8)
+    rows = [(i, f"r{i}", f"f{(i + 1) // 2}", f"u{i // 2}") for i in range(300)]
+    rows += [(1000 + i, f"s{i}", rnd.choice([None, f"g{rnd.randrange(60)}"]), f"v{rnd.randrange(60)}") for i in range(400)]
+    order = list(range(len(rows)))
+    rnd.shuffle(order)
+    rows = [(o, *r[1:]) for o, r in zip(order, rows, strict=True)]
+    df = spark.createDataFrame(rows, "_o bigint, raw_id string, _fp string, _url string").repartition(4)
+    with caplog.at_level("DEBUG", logger="postmill.operators.dedup"):
+        assert sorted(r._o for r in dedup._first_comers(df).collect()) == greedy(rows)
+    assert sum("components" in r.message for r in caplog.records) <= 12
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (600, 600)], "a bigint, b bigint")
+    got = {r.node: r.component for r in dedup.components(edges).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
