@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +23,6 @@ def append_ignoring(df: DataFrame, path: str, key: str) -> None:
     append_new(existing, df, key).write.mode("append").parquet(path)
 
 
-def append_run(run: DataFrame, raw: DataFrame, runs_path: str, raw_path: str) -> None:
-    """Append a run and its rows as one unit: the run's row is written last and commits the rows.
-
-    A run that failed between the two leaves rows without a run; :func:`committed` doesn't read them,
-    and the same run tried again ignores those that are there.
-    """
-    append_ignoring(raw, raw_path, "raw_id")
-    append_ignoring(run, runs_path, "run_id")
-
-
-def committed(raw: DataFrame, runs: DataFrame) -> DataFrame:
-    """The rows of runs that were appended whole."""
-    return raw.join(runs.select("run_id").distinct(), "run_id", "left_semi").select(*raw.columns)
-
-
 def reload(df: DataFrame, table: str) -> None:
     """Replace a table's rows."""
     df.write.mode("overwrite").saveAsTable(table)
@@ -137,9 +124,9 @@ def smoke(spark: SparkSession, path: str) -> bool:
 
 
 def create_tables(spark: SparkSession, database: str) -> None:
-    """The tables of a database, partitioned where scans select by source."""
+    """The tables of a database, Bronze partitioned as scans select: by run and source."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, schema, by in (("raw_jobs", RAW_JOBS, "source_name"), ("collection_runs", RUNS, None), ("processed_fingerprints", STATE, None)):
+    for name, schema, by in (("raw_jobs", RAW_JOBS, "run_id, source_name"), ("collection_runs", RUNS, None), ("processed_fingerprints", STATE, None)):
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet" + (f" PARTITIONED BY ({by})" if by else ""))
 
 
@@ -148,13 +135,49 @@ def drop_database(spark: SparkSession, database: str) -> None:
 
 
 def rename_database(spark: SparkSession, old: str, new: str) -> list[str]:
-    """Move every table of a database to a new one, then drop the old; the tables moved. Views are left out."""
+    """Move every table and view of a database to a new one, then drop the old; the names moved.
+
+    Tables are copied with their partitions; views are made anew from their text, with the old database's
+    name replaced by the new one's, those first that read no other. The old database is dropped only
+    when every table has as many rows in the new one and every view can be read.
+    """
     spark.sql(f"CREATE DATABASE {new}")
-    names = [t.name for t in spark.catalog.listTables(old) if t.tableType != "VIEW" and not t.isTemporary]
-    for name in names:
-        spark.table(f"{old}.{name}").write.saveAsTable(f"{new}.{name}")
+    found = [t for t in spark.catalog.listTables(old) if not t.isTemporary]
+    tables, views = [t.name for t in found if t.tableType != "VIEW"], [t.name for t in found if t.tableType == "VIEW"]
+    for name in tables:
+        by = [c.name for c in spark.catalog.listColumns(f"{old}.{name}") if c.isPartition]
+        spark.table(f"{old}.{name}").write.partitionBy(*by).saveAsTable(f"{new}.{name}")
+    texts = {v: _view_text(spark, old, v) for v in views}
+    waiting = dict(texts)
+    while waiting:
+        made = [v for v, text in waiting.items() if not any(_names(text, old, other) for other in waiting if other != v)]
+        for v in made:
+            spark.sql(f"CREATE VIEW {new}.{v} AS {_renamed(waiting.pop(v), old, new)}")
+        if not made:
+            raise ValueError(f"views that read each other: {sorted(waiting)}")
+    for name in tables:
+        if spark.table(f"{old}.{name}").count() != spark.table(f"{new}.{name}").count():
+            raise ValueError(f"{name} isn't whole in {new}; {old} stays")
+    for v in views:
+        spark.table(f"{new}.{v}").schema  # noqa: B018  fails if it can't be resolved
     drop_database(spark, old)
-    return names
+    return tables + views
+
+
+def _view_text(spark: SparkSession, database: str, view: str) -> str:
+    rows = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{view}").collect()}
+    return rows["View Text"]
+
+
+def _names(text: str, database: str, table: str) -> bool:
+    """Whether a view's text names a table, with its database or without."""
+    return bool(re.search(rf"(?i)(?<![\w.`])(?:(?:`?spark_catalog`?\.)?`?{re.escape(database)}`?\.)?`?{re.escape(table)}`?(?![\w`])", text))
+
+
+def _renamed(text: str, old: str, new: str) -> str:
+    """A view's text with the database's name replaced, outside of string literals."""
+    parts = re.split(r"('(?:[^'\\]|\\.)*')", text)
+    return "".join(part if i % 2 else re.sub(rf"(?i)(?<![\w.`])(`?spark_catalog`?\.)?`?{re.escape(old)}`?(?=\s*\.)", f"{new}", part) for i, part in enumerate(parts))
 
 
 def layer_table(layer: str | None, name: str, default: str = "default") -> str:

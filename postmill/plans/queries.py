@@ -407,6 +407,72 @@ def loadable_rows(spark, sf_dir):
     return loadable(silver(spark, sf_dir))[0].select("raw_id", "salary_min", "salary_max")
 
 
+@query("select o_orderkey, o_orderkey * 10 + unnest([1, 2]) as item from orders")
+def nested_lists(spark, sf_dir):
+    """Rows of API answers of several shapes, wherever the list of objects stands in them."""
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey"))
+    rows = F.concat(F.lit('[{"id":'), F.col("o_orderkey") * 10 + 1, F.lit('},{"id":'), F.col("o_orderkey") * 10 + 2, F.lit("}]"))
+    shapes = [
+        ('{"tags":["a","b"],"data":', "}"), ('{"data":{"n":[1,2],"jobs":', '},"errors":[{"e":1}]}'), ('{"status":"ok","meta":{"x":{"rows":', "}}}"),
+        ('{"data":{"other":', '},"aa":[[{"id":0}]],"errors":[{"e":1}]}'), ('{"results":', ',"data":{}}'), ("", ""),
+    ]
+    answer = F.coalesce(*[F.when(F.col("o_orderkey") % len(shapes) == i, F.concat(F.lit(a), rows, F.lit(b))) for i, (a, b) in enumerate(shapes)])
+    found = o.select("o_orderkey", F.explode(files.nested_rows(answer)).alias("row"))
+    return found.select("o_orderkey", F.try_variant_get("row", "$.id", "bigint").alias("item"))
+
+
+@query("{chain} select raw_id, run_id, (select count(distinct run_id) from postings) as runs from postings")
+def committed_runs(spark, sf_dir):
+    """Runs and their rows appended in one step each, one of them twice, the second with rows of the first: no row is there twice."""
+    from ..operators.publishing import append_run, read_published
+    from ..schemas import RUNS
+    from ..session import scratch
+
+    raw = stage(postings(spark, sf_dir), "raw")
+    root, schema = scratch(spark, "jobs"), "raw_id string, run_id string"
+    for run in ("run-0", "run-1", "run-1", "run-2"):
+        rows = raw.where(F.col("run_id").isin("run-0", "run-1") if run == "run-1" else F.col("run_id") == run).select("raw_id", "run_id")
+        head = files.run_row(raw.where(F.col("run_id") == run), run, "all", "collected_at")
+        append_run(spark.createDataFrame(head.collect(), RUNS), rows, root)  # one row
+    runs = read_published(spark, root, "collection_runs", RUNS)
+    return read_published(spark, root, "raw_jobs", schema).withColumn("runs", runs.agg(F.count("*")).scalar())
+
+
+@query(
+    "{chain} select raw_id, run_id, case when run_id = 'run-1' and source_name = 'jooble' then 'WARN-005' end as flag from postings where not (run_id = 'run-2' and source_name = 'tanqeeb')"
+)
+def run_changes(spark, sf_dir):
+    """A flag added to some rows of one run and some rows of another deleted in a partitioned table: only those runs are rewritten."""
+    from ..operators.publishing import change_partitions
+    from ..session import scratch
+
+    path = scratch(spark, "jobs")
+    rows = postings(spark, sf_dir).select("raw_id", "source_name", F.lit(None).cast("string").alias("flag"), "run_id")
+    rows.write.partitionBy("run_id").parquet(path)
+    change_partitions(spark, path, (F.col("run_id") == "run-1") & (F.col("source_name") == "jooble"), lambda d: d.withColumn("flag", F.lit("WARN-005")))
+    change_partitions(spark, path, (F.col("run_id") == "run-2") & (F.col("source_name") == "tanqeeb"), lambda d: d.limit(0))
+    return spark.read.schema(rows.schema).parquet(path).select("raw_id", "run_id", "flag")
+
+
+@query(
+    "{chain}, told as (select raw_id, job_fingerprint, first_value(raw_id) over (partition by job_fingerprint order by run_id, raw_id) as first_id from printed where job_fingerprint <> '') "
+    "select raw_id, raw_id <> first_id as is_duplicate, nullif(first_id, raw_id) as duplicate_of_raw_id from told"
+)
+def first_writer_stream(spark, sf_dir):
+    """Postings as a stream of one batch for each run: the first writer of a fingerprint is kept in the state store."""
+    from ..session import scratch
+    from ..streaming.first_writer import first_writers
+
+    rows = stage(cleaned(spark, sf_dir).select("raw_id", "run_id", "source_name", "collected_at", "job_fingerprint"), "writes")
+    rows = rows.withColumn("ordinal", F.substring("raw_id", 5, 9).cast("bigint"))
+    source, out, checkpoint = (scratch(spark, k) for k in ("writes-in", "writes-out", "writes-checkpoint"))
+    for run in ("run-0", "run-1", "run-2"):
+        rows.where(F.col("run_id") == run).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        first_writers(stream).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out).select("raw_id", "is_duplicate", "duplicate_of_raw_id")
+
+
 # -- sets ---------------------------------------------------------------------
 
 

@@ -60,9 +60,9 @@ def of_run(raw: DataFrame, run_id: str) -> DataFrame:
 
 
 def of_latest_run(raw: DataFrame, runs: DataFrame) -> DataFrame:
-    """The rows of the run that started last; the run's id is one row, so the scan of the others is pruned at run time."""
+    """The rows of the run that started last: its id is a scalar subquery, so that a table partitioned by run reads that run's files only."""
     last = runs.agg(F.max(F.struct("started_at", "run_id"))["run_id"].alias("run_id"))
-    return raw.join(F.broadcast(last), "run_id", "left_semi").select(*raw.columns)
+    return raw.where(F.col("run_id") == last.scalar())
 
 
 def with_updated(df: DataFrame, updated: str, started_at: str) -> DataFrame:
@@ -80,10 +80,46 @@ def of_run_prefix(raw: DataFrame, prefix: str) -> DataFrame:
     return raw.where(F.col("run_id").startswith(prefix))
 
 
+#: Fixed: keys under which an answer's rows are looked for, the outer one and those inside it, in this order.
+OUTER, INNER = "data", ("jobs", "results", "job_listings")
+#: How deep a list of rows is looked for.
+MOST_LEVELS = 8
+
+
+def _rows_of(value: Column) -> Column:
+    """A variant as an array of variants if it is a list whose first element is an object; else null."""
+    found = F.try_variant_get(value, "$", "array<variant>")
+    return F.when(F.schema_of_variant(F.try_variant_get(value, "$[0]", "variant")).startswith("OBJECT"), found)
+
+
+def _children(value: Column) -> Column:
+    """The values of an object, in the order of their keys in a variant (by name); null if it isn't one."""
+    return F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+
+
 def nested_rows(json_text: Column) -> Column:
-    """The first list of objects among a JSON object's values, as an array of variants."""
-    lists = F.transform(F.json_object_keys(json_text), lambda k: F.try_variant_get(F.try_parse_json(json_text), F.concat(F.lit("$."), k), "array<variant>"))
-    return F.try_element_at(F.filter(lists, lambda x: x.isNotNull()), F.lit(1))
+    """The rows in an API's answer, as an array of variants; null if there are none.
+
+    First ``data`` itself if it is a list of objects, then ``jobs``, ``results`` or ``job_listings`` in it or beside it; else the
+    first list whose first element is an object, in ``data`` and then anywhere, level by level (MOST_LEVELS at most), by key within
+    a level. Lists of anything else (words, numbers, lists) are passed over, and not looked into.
+    """
+    whole = F.try_parse_json(json_text)
+    data = F.try_variant_get(whole, f"$.{OUTER}", "variant")
+    named = [_rows_of(F.try_variant_get(whole, path, "variant")) for k in INNER for path in (f"$.{OUTER}.{k}", f"$.{k}")]
+    return F.coalesce(_rows_of(whole), _rows_of(data), *named, _searched(data), _searched(whole))
+
+
+def _searched(value: Column) -> Column:
+    """The first list of objects anywhere in an object, level by level."""
+    begin = F.struct(F.array(value).alias("level"), F.lit(None).cast("array<variant>").alias("found"))
+
+    def down(state: Column, _: Column) -> Column:
+        values = F.flatten(F.filter(F.transform(state["level"], _children), lambda x: x.isNotNull()))
+        found = F.get(F.filter(F.transform(values, _rows_of), lambda x: x.isNotNull()), F.lit(0))
+        return F.when(state["found"].isNotNull() | (F.size(state["level"]) == 0), state).otherwise(F.struct(values.alias("level"), found.alias("found")))
+
+    return F.when(value.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), begin, down, lambda s: s["found"]))
 
 
 def filled(c: str) -> Column:

@@ -212,15 +212,7 @@ def test_exports(spark, tmp_path):
         (tmp_path / "json").rmdir()
 
 
-def test_runs_are_appended_whole(spark, tmp_path):
-    runs, raw = str(tmp_path / "runs"), str(tmp_path / "raw")
-    rows = lambda run, n: spark.createDataFrame([(f"{run}-{i}", run) for i in range(n)], "raw_id string, run_id string")
-    run = lambda name: spark.createDataFrame([(name, "t")], "run_id string, started_at string")
-    sinks.append_run(run("a"), rows("a", 3), runs, raw)
-    sinks.append_ignoring(rows("b", 2), raw, "raw_id")  # failed before its run's row
-    assert sinks.committed(spark.read.parquet(raw), spark.read.parquet(runs)).count() == 3
-    sinks.append_run(run("b"), rows("b", 4), runs, raw)
-    assert sinks.committed(spark.read.parquet(raw), spark.read.parquet(runs)).count() == 7 == spark.read.parquet(raw).count()
+def test_quality_logs_are_appended_once(spark, tmp_path):
     log = spark.createDataFrame([("r1", [("REQ-003", "error", "m"), ("WARN-001", "warning", "n")])], "raw_id string, quality_flags array<struct<rule:string,severity:string,message:string>>")
     for _ in range(2):
         sinks.append_ignoring(quality.quality_log(log), str(tmp_path / "log"), "log_id")
@@ -246,9 +238,15 @@ def test_loads_and_guards(spark, tmp_path):
 def test_databases(spark):
     sinks.create_tables(spark, "old_db")
     sinks.reload(spark.range(3), "old_db.extra")
-    assert "extra" in sinks.rename_database(spark, "old_db", "new_db")
+    spark.sql("INSERT INTO old_db.raw_jobs SELECT 'r', 'j', 'u', '{}', 't', concat('run-', id), 'jooble' FROM range(3)")
+    spark.sql("CREATE VIEW old_db.lower AS SELECT id + 1 AS id FROM `old_db`.extra")
+    spark.sql("CREATE VIEW old_db.upper AS SELECT *, 'old_db.extra' AS note FROM old_db.lower")
+    assert sorted(sinks.rename_database(spark, "old_db", "new_db")) == ["collection_runs", "extra", "lower", "processed_fingerprints", "raw_jobs", "upper"]
     assert spark.table("new_db.extra").count() == 3 and not spark.catalog.databaseExists("old_db")
+    assert sorted(tuple(r) for r in spark.table("new_db.upper").collect()) == [(i, "old_db.extra") for i in (1, 2, 3)]
     assert set(spark.table("new_db.raw_jobs").columns) == set(spark.createDataFrame([], RAW_JOBS).columns)
+    assert {c.name for c in spark.catalog.listColumns("new_db.raw_jobs") if c.isPartition} == {"run_id", "source_name"}
+    assert spark.table("new_db.raw_jobs").where("run_id = 'run-1'").count() == 1
     sinks.drop_database(spark, "new_db")
     files.bind({"some_source": spark.range(2)})
     assert spark.sql("select * from some_source").count() == 2
