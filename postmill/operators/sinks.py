@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RAW_JOBS, RUNS, STATE
+from ..session import stage
 from .dedup import append_new
 
 
@@ -74,42 +75,53 @@ def json_array_export(df: DataFrame, path: str) -> None:
     rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
+def _wanted() -> Column:
+    return ~F.coalesce("is_rejected", F.lit(False)) & ~F.coalesce("is_duplicate", F.lit(False))
+
+
+def _fits() -> Column:
+    """Whether the salaries fit decimal(15,2)."""
+    fits = lambda c: F.col(c).isNull() | F.col(c).try_cast("decimal(15,2)").isNotNull()
+    return fits("salary_min") & fits("salary_max")
+
+
 def loadable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to load, rows whose salaries don't fit decimal(15,2)): casts that fail set a row aside, not the load."""
-    fits = lambda c: F.col(c).isNull() | F.col(c).try_cast("decimal(15,2)").isNotNull()
-    ok = fits("salary_min") & fits("salary_max")
-    wanted = df.where(~F.coalesce("is_rejected", F.lit(False)) & ~F.coalesce("is_duplicate", F.lit(False)))
-    return wanted.where(ok).withColumns({c: F.col(c).try_cast("decimal(15,2)") for c in ("salary_min", "salary_max")}), wanted.where(~ok)
+    wanted = df.where(_wanted())
+    return wanted.where(_fits()).withColumns({c: F.col(c).try_cast("decimal(15,2)") for c in ("salary_min", "salary_max")}), wanted.where(~_fits())
 
 
 def load(df: DataFrame, path: str) -> DataFrame:
     """Write the rows to load to ``path``, set those that fail aside in ``path``-failed, and report.
 
-    The report has one row: expected, loaded, failed, stored (rows that the table holds now) and whether they agree.
+    The report has one row: expected, loaded, failed, stored (rows that the table holds now) and whether they
+    agree. What is expected and what fails is counted by the write itself (observed metrics), and those that
+    fail are written only if there are any; stored is counted in the files' footers.
     """
     spark = df.sparkSession
-    good, bad = loadable(df)
+    seen = Observation()
+    good, bad = loadable(df.observe(seen, F.count_if(_wanted()).alias("expected"), F.count_if(_wanted() & ~_fits()).alias("failed")))
     good.write.mode("overwrite").parquet(path)
-    bad.write.mode("overwrite").parquet(f"{path}-failed")
-    wanted = df.where(~F.coalesce("is_rejected", F.lit(False)) & ~F.coalesce("is_duplicate", F.lit(False)))
-    return load_report(wanted, spark.read.schema(good.schema).parquet(path), spark.read.schema(bad.schema).parquet(f"{path}-failed"))
-
-
-def load_report(expected: DataFrame, stored: DataFrame, failed: DataFrame) -> DataFrame:
-    """expected, loaded (those that didn't fail), failed, stored, and whether loaded and stored agree; one pass of counts."""
-    rows = [d.select(F.lit(name).alias("kind")) for d, name in ((expected, "expected"), (failed, "failed"), (stored, "stored"))]
-    counts = rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("expected", "failed", "stored")])
-    loaded = F.col("expected") - F.col("failed")
-    return counts.select("expected", loaded.alias("loaded"), "failed", "stored", (loaded == F.col("stored")).alias("agrees"))
+    found = seen.get
+    aside = loadable(df)[1] if found["failed"] else spark.createDataFrame([], bad.schema)
+    aside.write.mode("overwrite").parquet(f"{path}-failed")
+    stored = spark.read.schema(good.schema).parquet(path).count()
+    loaded = found["expected"] - found["failed"]
+    return spark.createDataFrame([(found["expected"], loaded, found["failed"], stored, loaded == stored)], "expected bigint, loaded bigint, failed bigint, stored bigint, agrees boolean")
 
 
 def guarded_update(df: DataFrame, condition: Column, update, expected: int) -> DataFrame:
-    """``update(df)``, unless ``condition`` holds for another number of rows than ``expected``: a dry run before, a check after."""
-    found = df.where(condition).count()
-    if found != expected:
-        raise ValueError(f"{found} rows would change, {expected} were expected")
-    changed = update(df)
-    if changed.count() != df.count():
+    """``update(df)``, unless ``condition`` holds for another number of rows than ``expected``: a dry run before, a check after.
+
+    The dry run counts the rows and those that would change in one pass; the update is computed once, written
+    and counted by that write, and what is returned reads what was written.
+    """
+    before = df.agg(F.count_if(condition).alias("found"), F.count("*").alias("rows")).first()
+    if before["found"] != expected:
+        raise ValueError(f"{before['found']} rows would change, {expected} were expected")
+    seen = Observation()
+    changed = stage(update(df).observe(seen, F.count("*").alias("rows")), "updated")
+    if seen.get["rows"] != before["rows"]:
         raise ValueError("the update changes the number of rows")
     return changed
 

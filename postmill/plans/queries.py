@@ -633,6 +633,20 @@ def load_check(spark, sf_dir):
     return load(silver(spark, sf_dir).select("raw_id", "salary_min", "salary_max", "is_rejected", "is_duplicate"), scratch(spark, "load"))
 
 
+@query(
+    "{chain}, w as (select raw_id, substr(raw_id, 5)::bigint % 7 = 0 as broken from silver where not is_rejected and not is_duplicate) "
+    "select count(*) as expected, count(*) filter (not broken) as loaded, count(*) filter (broken) as failed, count(*) filter (not broken) as stored, true as agrees from w"
+)
+def load_failures(spark, sf_dir):
+    """A load in which every seventh posting's salary doesn't fit its column: those rows are set aside, the others are loaded."""
+    from ..operators.sinks import load
+    from ..session import scratch
+
+    broken = F.substring("raw_id", 5, 9).cast("bigint") % 7 == 0
+    rows = silver(spark, sf_dir).select("raw_id", F.when(broken, F.lit(1e15)).otherwise(F.col("salary_min").cast("double")).alias("salary_min"), "salary_max", "is_rejected", "is_duplicate")
+    return load(rows, scratch(spark, "load"))
+
+
 @query(
     "{chain} select run_id, count(*) - count(distinct source_url) as duplicates, count(distinct source_url) - count(distinct source_url) filter (source_job_id = '') as loaded, count(distinct source_url) filter (source_job_id = '') as failed from postings group by 1"
 )

@@ -222,7 +222,12 @@ def test_quality_logs_are_appended_once(spark, tmp_path):
 def test_loads_and_guards(spark, tmp_path):
     rows = [("a", "1.5", "2", False, False), ("b", "x", None, False, False), ("c", "1", "1", True, False), ("d", None, "1" * 20, False, None), ("e", None, None, None, False)]
     df = spark.createDataFrame(rows, "raw_id string, salary_min string, salary_max string, is_rejected boolean, is_duplicate boolean")
+    computed = spark.sparkContext.accumulator(0)
+    counted = df.mapInArrow(lambda batches: (computed.add(b.num_rows) or b for b in batches), df.schema)
+    assert sinks.load(counted.where("raw_id <> 'b' and raw_id <> 'd'"), str(tmp_path / "t")).first() == (2, 2, 0, 2, True)
+    assert computed.value == 5  # the input is computed once, by the write
     assert sinks.load(df, str(tmp_path / "t")).first() == (4, 2, 2, 2, True)
+    assert sinks.load(df.limit(0), str(tmp_path / "none")).first() == (0, 0, 0, 0, True)
     assert spark.read.parquet(str(tmp_path / "t-failed")).count() == 2
     flag = lambda d: d.withColumn("salary_min", F.lit("0"))
     assert sinks.guarded_update(df, F.col("salary_min").isNull(), flag, 2).where("salary_min = '0'").count() == 5
