@@ -170,6 +170,22 @@ def _first_comers(undecided: DataFrame) -> DataFrame:
     return out
 
 
+def save_lookups(history: DataFrame, state: DataFrame, database: str, buckets: int) -> None:
+    """Write what batches are looked up in as tables bucketed by the keys that they are joined by.
+
+    seen_ids (source_name, source_job_id), seen_urls (source_url, run_id, raw_id: the least of each) and
+    seen_fingerprints (fingerprint, first_raw_id), one row for each key. The lookups :func:`with_native_id_seen`,
+    :func:`with_url_of_other_run` and :func:`with_prior_fingerprint` read such tables bucket by bucket: only
+    the batch is shuffled, however large history is.
+    """
+    ids = history.where("source_job_id <> ''").select("source_name", "source_job_id").distinct()
+    urls = history.where("source_url is not null").groupBy("source_url", "run_id").agg(F.min("raw_id").alias("raw_id"))
+    prints = state.groupBy("fingerprint").agg(F.min("first_raw_id").alias("first_raw_id"))
+    for name, df, keys in (("seen_ids", ids, ["source_name", "source_job_id"]), ("seen_urls", urls, ["source_url"]), ("seen_fingerprints", prints, ["fingerprint"])):
+        dealt = df.repartition(buckets, *keys)  # one file a bucket
+        dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(f"{database}.{name}")
+
+
 def sequential(batch: DataFrame, history: DataFrame, state: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Visit rows by ``ordinal``; only rows that aren't duplicates register their url and fingerprint.
 

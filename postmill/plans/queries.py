@@ -356,6 +356,24 @@ def dup_count(spark, sf_dir):
     return reports.duplicate_count(postings(spark, sf_dir), "source_url")
 
 
+@query(
+    "{chain}, f as (select coalesce(location_city, '(no city)') as value, count(*) as n from cleaned group by 1), u as (select count(*) as n, count(distinct source_url) as d, count(source_url) as k from postings) "
+    "select 'city' as report, value, n, 100.0::double * n / sum(n) over () as share from f union all select 'rows', 'all', n, null from u union all select 'urls', 'distinct', d, null from u union all select 'urls', 'duplicates', k - d, null from u"
+)
+def reports_by_run(spark, sf_dir):
+    """Frequencies and duplicate counts merged from what each run added, the last run twice; no posting is read again."""
+    from ..operators import run_totals
+    from ..session import scratch
+
+    rows, root = stage(cleaned(spark, sf_dir).select("run_id", "source_url", "location_city"), "totals"), scratch(spark, "totals")
+    for run in ("run-0", "run-1", "run-2", "run-2"):
+        run_totals.add_run(run, rows.where(F.col("run_id") == run), root, ["location_city"], ["source_url"])
+    cities = run_totals.frequencies(spark, root, "location_city", "(no city)").select(F.lit("city").alias("report"), F.col("location_city").alias("value"), "n", F.col("percent").alias("share"))
+    counts = run_totals.duplicate_count(spark, root, "source_url")
+    told = F.inline(F.array(*[F.struct(F.lit(r).alias("report"), F.lit(v).alias("value"), F.col(c).alias("n")) for r, v, c in (("rows", "all", "n"), ("urls", "distinct", "distinct_n"), ("urls", "duplicates", "duplicates"))]))
+    return cities.unionByName(counts.select(told).withColumn("share", F.lit(None).cast("double")))
+
+
 @query("{chain} select raw_id, (title is null)::int + (company_name is null)::int + (location_city is null)::int as missing from cleaned")
 def row_null_count(spark, sf_dir):
     return cleaned(spark, sf_dir).select("raw_id", quality.missing_parts().alias("missing"))

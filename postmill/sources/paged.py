@@ -1,4 +1,4 @@
-"""Paged listings as a batch data source: one partition for each page, read until the listing ends.
+"""Paged listings as a data source. In a batch: one partition for each page, read until the listing ends. As a stream: on from where it ended.
 
 Live collection is not part of this library: pages come from a folder of JSON files (page N in
 N.json), as dumped by whatever fetched them. The folder may be on any file system that Spark reads.
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "page int, position int, record string"
 
@@ -33,6 +33,9 @@ class PagedListing(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], int(self.options.get("max_pages", 25)))
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _StreamReader(self.options["path"], int(self.options.get("max_pages", 25)))
+
 
 class _Reader(DataSourceReader):
     def __init__(self, folder: str, most: int):
@@ -58,6 +61,41 @@ class _Reader(DataSourceReader):
                 yield partition.value, i, json.dumps(record, ensure_ascii=False)
 
 
+class _StreamReader(SimpleDataSourceStreamReader):
+    """A listing that grows, read on from where the last trigger ended: the offset is a page and how many of its records were read.
+
+    A page is opened once by each trigger that gets to it, on the driver; a trigger takes ``max_pages`` pages at most,
+    which bounds what the driver holds. A page that isn't there yet, or can't be read, ends the trigger, not the stream.
+    """
+
+    def __init__(self, folder: str, most: int):
+        self.folder, self.most = folder, most
+
+    def initialOffset(self) -> dict:
+        return {"page": 1, "position": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        number, position, rows = start["page"], start["position"], []
+        for _ in range(self.most):
+            records, _hits = records_of(_content(self.folder, number)) or ([], None)
+            rows += [(number, i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(records[position:], position)]
+            position = max(position, len(records))
+            following = records_of(_content(self.folder, number + 1))
+            if not following or not following[0]:
+                break  # the last page so far may still grow
+            number, position = number + 1, 0
+        return iter(rows), {"page": number, "position": position}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        """The same rows again, after a failure; a page that has grown since gives what it gave then."""
+        for number in range(start["page"], end["page"] + 1):
+            records, _ = records_of(_content(self.folder, number)) or ([], None)
+            first = start["position"] if number == start["page"] else 0
+            last = end["position"] if number == end["page"] else len(records)
+            for i, record in enumerate(records[first:last], first):
+                yield number, i, json.dumps(record, ensure_ascii=False)
+
+
 def _content(folder: str, number: int) -> bytes | None:
     """A page's bytes, null if it isn't there or can't be read."""
     store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)

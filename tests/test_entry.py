@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 from postmill.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["stg_union_canonical", "gold_fct", "quality_flags", "dedup_first_by_fp", "late_run_lookup", "salary_parse_py", "column_profile", "frontier_bfs", "key_union", "page_details", "page_nested", "page_seeds", "dedup_chain", "crawl_scan", "layer_counts", "load_check", "ordered_distinct", "id_set_diff", "latest_run_scan", "nested_lists", "committed_runs", "run_changes", "first_writer_stream", "tests_surrogate", "view_counts"]
+CHECKED = ["stg_union_canonical", "gold_fct", "quality_flags", "dedup_first_by_fp", "late_run_lookup", "salary_parse_py", "column_profile", "frontier_bfs", "key_union", "page_details", "page_nested", "page_seeds", "dedup_chain", "crawl_scan", "layer_counts", "load_check", "load_failures", "reports_by_run", "ordered_distinct", "id_set_diff", "latest_run_scan", "nested_lists", "committed_runs", "run_changes", "first_writer_stream", "tests_surrogate", "view_counts"]
 
 
 @pytest.fixture(scope="module")
