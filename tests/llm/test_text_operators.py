@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -442,7 +443,10 @@ PAGE = "<html><head><title>t</title></head><body><nav><ul><li>Home</li><li>News<
 
 
 def test_html_blocks():
-    text = lambda page: html_wrappers.main_text(html_wrappers.blocks_of(page), {})
+    def text(page):  # by the wrapper of this page alone
+        blocks = html_wrappers.blocks_of(page)
+        return html_wrappers.main_text(blocks, html_wrappers.verdict(html_wrappers.page_items(blocks)))
+
     assert text(PAGE.format("article", 5, "<script>var a='<p>x</p>'</script>")) == "Title 5\nOne & two 5 three\nFour"
     assert text("") == "" and text("plain &lt;b&gt;") == "plain <b>"
     assert text("<article><div class='post-header'><h1>T</h1><p>by me</p></div><p>x</p></article>") == text("<article><header>by me<h1>T</h1></header><p>x</article>") == "T\nx"
@@ -514,6 +518,58 @@ def test_template_texts_inside_article(spark):
         assert by[200 + i] == f"Text {i}\n{'Some pages' if i % 2 else 'have this'}\nText {i}"
 
 
+def test_class_names_that_are_no_marks(spark):
+    """Names that only hold a mark's word are content; names of nothing but marks and places are not."""
+    content = "share-price ad-free notice-of-award search-results banner-year related-work reply-to-critics promo-history".split()
+    marks = "comment-list site-footer cookie-banner ad-slot-1 related-posts-box top-nav".split()
+    page = lambda i: "<body><article>" + "".join(f"<div class='{c}'><p>{c} said {i}</p></div>" for c in [*content, *(m for m in marks if m != "related-posts-box")]) + f"<p>Body {i}</p></article></body>"
+    rows = spark.createDataFrame([(i, "http://n.org/", page(i)) for i in range(7)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == {i: "\n".join([*(f"{c} said {i}" for c in content), f"Body {i}"]) for i in range(7)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 12])
+def test_pages_without_marks_lose_their_menu(spark, n):
+    """Plain elements only: what the pages share is their frame; two pages are enough if they differ in most of their text."""
+    rnd = random.Random(n)
+    body = {i: [words(rnd, 20) for _ in range(2 + i % 3)] for i in range(n)}
+    page = lambda i: "<body><table><tr><td>Start</td><td>Prices</td><td>About us</td></tr></table>" + f"<div>{''.join(f'<p>{x}</p>' for x in body[i])}</div>" + "<div><span>Call us at any time</span></div></body>"
+    rows = spark.createDataFrame([(i, "http://plain.org/", page(i)) for i in range(n)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == {i: "\n".join(body[i]) for i in range(n)}
+
+
+def test_near_copies_of_a_page_keep_their_text(spark):
+    """Pages that agree in nearly everything are versions of one page, not its template."""
+    rnd = random.Random(2)
+    text = [words(rnd, 30) for _ in range(6)]
+    page = lambda i: f"<body><article><h1>Report</h1>{''.join(f'<p>{x}</p>' for x in text)}<p>Version {i}</p></article></body>"
+    rows = spark.createDataFrame([(i, "http://v.org/", page(i)) for i in range(5)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows).collect()} == {i: "\n".join(["Report", *text, f"Version {i}"]) for i in range(5)}
+
+
+def test_matches_are_a_longest_chain_and_wrappers_are_bounded(monkeypatch):
+    rnd = random.Random(9)
+    for _ in range(200):
+        a, b = (rnd.choices("abcdef", k=rnd.randint(0, 12)) for _ in range(2))
+        pairs = html_wrappers._matches(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
+        nth = lambda xs: [(x, xs[:i].count(x)) for i, x in enumerate(xs)]
+        x, y = nth(a), nth(b)
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x[i] == y[j]))
+        assert len(pairs) == best[-1][-1]
+    item = lambda p: [p, False, False, 0, 1, 10]
+    wrapper = [item("keep")]
+    began = time.time()
+    for _ in range(200):  # random layouts: neither the wrapper nor the time for a page grows without bound
+        wrapper = html_wrappers.align(wrapper, [item("keep"), *[item(f"x{rnd.randrange(10**9)}") for _ in range(30)]])
+    assert len(wrapper) <= html_wrappers.MOST_TOKENS and wrapper[0][:3] == ["keep", False, False] and wrapper[0][4] == 201
+    assert time.time() - began < 60
+    one = html_wrappers.page_items(html_wrappers.blocks_of("<body>" + "".join(f"<p class=c{'x' * (i % 50)}>t{i}</p><div>{i}</div>" for i in range(50_000)) + "</body>"))
+    assert len(html_wrappers.align(one, one)) == len(one)  # a page of 100,000 blocks
+
+
 def test_wrapper_alignment():
     item = lambda p, d=0: [p, False, False, d, 1, 10]
     one = html_wrappers.fold([item("a", 1), item("p", 2), item("p", 3), item("z", 4)])
