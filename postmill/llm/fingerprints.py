@@ -1,14 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
 A text is cut into paragraphs (lines), and these into pieces: a piece ends with its paragraph, or with
-a word whose hash says so, of some words one. So borders depend on the words themselves, and a word
-that comes or goes changes one piece or two. The digests of the pieces
+a word whose hash says so: one of FINE words among a text's first FINE_WORDS, one of COARSE behind them
+(what ends a piece there does so here too). That is one rule for all texts, whatever their length: borders
+depend on the words themselves, and a word that comes or goes changes a piece or two. Words of over
+CHUNK bytes (writing without spaces) count as words of CHUNK characters. The digests of the pieces
 (the n-th repetition of a piece has a digest of its own) go into the cells of a sketch: each
 digest into one cell of each of three rows; a cell keeps its count, the xor of its digests and the
 xor of their check hashes. Two sketches subtract cell by cell: what both have cancels, and peeling
 (take a cell that holds one digest, remove that from its other cells, again) recovers the digests
 that differ. The fingerprint is the sketch of FIRST_CELLS cells. Where its difference can't be
-peeled, larger sketches are tried: the digests are parted by their leading bits into sub-sketches
+peeled, larger sketches of the same digests are made: they are parted by their leading bits into sub-sketches
 of 12 cells for a few differences each, and a sub-sketch that fails is retried with 24, 48 and 96
 cells under other hashes. What fails even then (its chance is below 1e-6) is compared digest by
 digest, so that likeness is exact: common pieces to all pieces, repetitions counted.
@@ -28,9 +30,10 @@ from .common import shuffle_width, whole_text
 FIRST_CELLS, RETRY_CELLS = 12, (12, 24, 48, 96)
 #: Expected digests of a sub-sketch, and most buckets of the order by id (their first keys go to the driver, 16 bytes each).
 PART_KEYS, MOST_BUCKETS = 4, 1 << 16
-#: Expected words of a piece by the text's length in code points: up to the bound, so many, and beyond the last so many.
-PIECE_WORDS = ((128, 2), (512, 5), (2048, 10), (8192, 24), (32768, 64))
-MOST_PIECE_WORDS = 160
+#: Expected words of a piece among a text's first FINE_WORDS words (and line breaks), and behind them: a multiple of the former.
+FINE_WORDS, FINE, COARSE = 48, 4, 24
+#: Bytes beyond which a word is cut, into parts of so many characters.
+CHUNK = 32
 _NAMES = itertools.count()
 
 
@@ -44,24 +47,32 @@ def _let(value: str, body: Callable[[str], str]) -> str:
     return f"get(transform(array({value}), {x} -> {body(x)}), 0)"
 
 
-def piece_words(n_chars: str) -> str:
-    cases = " ".join(f"when {n_chars} <= {bound} then {words}" for bound, words in PIECE_WORDS)
-    return f"case {cases} else {MOST_PIECE_WORDS} end"
+def words_of(text: str) -> str:
+    """The words of a text (all but U+0020 and U+0009 to U+000D), line breaks as words of their own, long words in parts."""
+    x = _fresh("x")
+    spaced = f"replace({text}, char(10), concat(' ', char(10), ' '))"
+    plain = f"if({text} rlike '[\\\\x09\\\\x0B-\\\\x0D]', translate({spaced}, concat(char(9), char(11), char(12), char(13)), '    '), {spaced})"
+    parts = lambda w: f"if(exists({w}, {x} -> octet_length({x}) > {CHUNK}), flatten(transform({w}, {x} -> if(octet_length({x}) > {CHUNK}, regexp_extract_all({x}, '(?s).{{1,{CHUNK}}}', 0), array({x})))), {w})"
+    return _let(f"array_remove(split({plain}, ' '), '')", parts)
 
 
-def digests(text: str, words: str) -> str:
-    """Sorted digests of the text's pieces of ``words`` words on average; the n-th of equal pieces has its own."""
-    line, x, i = _fresh("line"), _fresh("x"), _fresh("i")
+def digests(text: str) -> str:
+    """Digests of the text's pieces; the n-th of equal pieces has its own. Linear in the text, but for a sort of its pieces."""
+    x, i, j = _fresh("x"), _fresh("i"), _fresh("j")
 
     def cut(w: str) -> str:
-        inner = f"filter(slice(sequence(1, size({w})), 1, size({w}) - 1), {x} -> pmod(xxhash64(get({w}, {x} - 1)), {words}) = 0)"
-        ends = f"array_append({inner}, size({w}))"
+        border = f"pmod(xxhash64(get({w}, {x} - 1)), if({x} <= {FINE_WORDS}, {FINE}, {COARSE})) = 0"
+        ends = f"filter(sequence(1, size({w})), {x} -> get({w}, {x} - 1) <> char(10) and ({x} = size({w}) or get({w}, {x}) = char(10) or {border}))"
         pieces = _let(ends, lambda e: f"transform({e}, ({x}, {i}) -> xxhash64(slice({w}, coalesce(get({e}, {i} - 1), 0) + 1, {x} - coalesce(get({e}, {i} - 1), 0)), 31))")
-        return f"if(size({w}) = 0, array(), {pieces})"
+        return f"if(size({w}) = 0, cast(array() as array<bigint>), {pieces})"
 
-    words_of = f"array_remove(split({line}, ' '), '')"
-    every = f"flatten(transform(split({text}, '\\n'), {line} -> {_let(words_of, cut)}))"
-    return _let(f"array_sort({every})", lambda a: f"transform({a}, ({x}, {i}) -> xxhash64({x}, {i} - array_position({a}, {x})))")
+    def numbered(a: str) -> str:
+        """The runs of equal pieces of a sorted array, each member numbered."""
+        starts = f"filter(sequence(1, size({a})), {x} -> {x} = 1 or get({a}, {x} - 1) <> get({a}, {x} - 2))"
+        runs = _let(starts, lambda s: f"flatten(transform({s}, ({x}, {i}) -> transform(sequence(0, coalesce(get({s}, {i} + 1), size({a}) + 1) - {x} - 1), {j} -> xxhash64(get({a}, {x} - 1), {j}))))")
+        return f"if(size({a}) = 0, {a}, {runs})"
+
+    return _let(f"array_sort({_let(words_of(text), cut)})", numbered)
 
 
 def _placed(keys: str, cells: int, sign: int) -> str:
@@ -115,7 +126,7 @@ def peel(cells: str, size: int) -> str:
 
 def _parted(a: str, b: str) -> str:
     """How many digests are only in a, and only in b, by sub-sketches of the digests' leading bits."""
-    bits = f"greatest(0, cast(ceil(log2((size({a}) + size({b})) / {PART_KEYS}D)) as int))"
+    bits = f"least(24, greatest(0, cast(ceil(log2((size({a}) + size({b})) / {PART_KEYS}D)) as int)))"
 
     def one(x: str, y: str) -> str:
         tried = [peel(_cells(f"concat({_placed(x, m, 1)}, {_placed(y, m, -1)})", m), m) for m in RETRY_CELLS]
@@ -123,15 +134,16 @@ def _parted(a: str, b: str) -> str:
         return f"coalesce({', '.join(tried)}, {rest})"
 
     def side(keys: str, n: str) -> str:
-        """The sorted digests, their distinct leading bits, and where those begin."""
-        k, g = _fresh("k"), _fresh("g")
-        lead = lambda s: f"transform({s}, {k} -> if({n} = 0, 0, cast(shiftright({k}, 64 - {n}) as int)))"
-        whole = lambda s, t: _let(f"array_distinct({t})", lambda d: f"named_struct('k', {s}, 'lead', {d}, 'at', transform({d}, {g} -> cast(array_position({t}, {g}) as int)))")
-        return _let(f"array_sort({keys})", lambda s: _let(lead(s), lambda t: whole(s, t)))
+        """The sorted digests, and where those of each value of the leading bits begin (and the last end), by binary search."""
+        g, lo, step, i = _fresh("g"), _fresh("lo"), _fresh("step"), _fresh("i")
+        steps = lambda k: f"transform(sequence(cast(ceil(log2(size({k}) + 1)) as int), 0, -1), {i} -> shiftleft(1, {i}))"
+        first = f"shiftleft(cast({g} as bigint) - shiftleft(1L, {n} - 1), 64 - {n})"
+        below = lambda k, by: _let(first, lambda v: f"aggregate({by}, 0, ({lo}, {step}) -> if({lo} + {step} <= size({k}) and get({k}, {lo} + {step} - 1) < {v}, {lo} + {step}, {lo}))")
+        at = lambda k, by: f"transform(sequence(0, shiftleft(1, {n})), {g} -> case when {g} = 0 then 0 when {g} = shiftleft(1, {n}) then size({k}) else {below(k, by)} end)"
+        return _let(f"array_sort({keys})", lambda k: _let(steps(k), lambda by: f"named_struct('k', {k}, 'at', {at(k, by)})"))
 
     def pick(x: str, g: str) -> str:
-        end = lambda i: f"coalesce(get({x}.at, {i}), size({x}.k) + 1)"
-        return _let(f"cast(array_position({x}.lead, {g}) as int)", lambda i: f"if({i} = 0, slice({x}.k, 1, 0), slice({x}.k, get({x}.at, {i} - 1), {end(i)} - get({x}.at, {i} - 1)))")
+        return f"slice({x}.k, get({x}.at, {g}) + 1, get({x}.at, {g} + 1) - get({x}.at, {g}))"
 
     def part(sides: str, g: str) -> str:
         same = "named_struct('a', 0, 'b', 0)"
@@ -139,7 +151,7 @@ def _parted(a: str, b: str) -> str:
 
     g, s, x = _fresh("g"), _fresh("s"), _fresh("x")
     sides = _let(bits, lambda n: f"named_struct('a', {side(a, n)}, 'b', {side(b, n)})")
-    parts = _let(sides, lambda both: f"transform(array_union({both}.a.lead, {both}.b.lead), {g} -> {part(both, g)})")
+    parts = _let(sides, lambda both: f"transform(sequence(0, size({both}.a.at) - 2), {g} -> {part(both, g)})")
     return f"aggregate({parts}, named_struct('a', 0, 'b', 0), ({s}, {x}) -> named_struct('a', {s}.a + {x}.a, 'b', {s}.b + {x}.b))"
 
 
@@ -154,9 +166,16 @@ def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
     return F.expr(_let(differences(a, b, sketch_a, sketch_b), out))
 
 
-def as_text(words: str, keys: str, cells: str) -> Column:
-    """A fingerprint: words of a piece, pieces, and the cells in hexadecimal."""
-    return F.expr(f"lower(concat({words}, ':', size({keys}), ':', array_join(transform({cells}, c -> concat(hex(c.n), '.', hex(c.key), '.', hex(c.check & 65535L))), ',')))")
+def as_text(keys: str, cells: str) -> Column:
+    """A fingerprint: its pieces, and the cells in hexadecimal, whole: what :func:`from_text` reads can be subtracted and peeled."""
+    return F.expr(f"lower(concat(size({keys}), ':', array_join(transform({cells}, c -> concat_ws('.', hex(c.n), hex(c.key), hex(c.check))), ',')))")
+
+
+def from_text(fingerprint: str) -> str:
+    """The cells of a fingerprint that :func:`as_text` wrote."""
+    c, x = _fresh("c"), _fresh("x")
+    number = lambda i: f"cast(conv(get(split({c}, '[.]'), {i}), 16, -10) as bigint)"
+    return f"transform(split(substring_index({fingerprint}, ':', -1), ','), {c} -> named_struct('n', cast({number(0)} as int), 'key', {number(1)}, 'check', {number(2)}))"
 
 
 def _bucket(heads: list[tuple[int, int]]) -> Column:
@@ -170,9 +189,11 @@ def _bucket(heads: list[tuple[int, int]]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= len(heads)) & below(lo + s), lo + s).otherwise(lo))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
     """doc_id, text (null: empty) and next_text: of the next document by descending id, after the last the first.
 
+    ``more``: SQL by name that is computed once for each text and comes beside it, as name and next_name.
+
     Null ids come last; rows that repeat an id follow a hash of their text. Keys are dealt into
     ranges (four for each shuffle partition), also between rows that repeat an id, so the texts move
     once and no task holds the whole order; the first document of the range below is put behind the
@@ -186,45 +207,45 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = sorted((r["h"]["order_id"], r["h"]["tie"]) for r in ranges.collect())  # at most MOST_BUCKETS
     rows = rows.withColumn("bucket", _bucket(heads) if heads else F.lit(0))
     below = [(i, *heads[i - 1]) for i in range(len(heads))]  # the lowest range wraps around
+    more = {name: F.expr(sql) for name, sql in (more or {}).items()}
     whose = F.lit(None).cast("array<struct<g_bucket:int,g_id:bigint,g_tie:bigint>>")
     if below:
         whose = F.from_json(F.lit("[" + ",".join(f'{{"g_bucket":{b},"g_id":{i},"g_tie":{t}}}' for b, i, t in below) + "]"), "array<struct<g_bucket:int,g_id:bigint,g_tie:bigint>>")
     ghosts = docs.sparkSession.range(1).select(F.inline(whose))
     ghosts = rows.join(F.broadcast(ghosts), (F.col("order_id") == F.col("g_id")) & (F.col("tie") == F.col("g_tie"))).dropDuplicates(["g_bucket"])
-    ghosts = ghosts.select("doc_id", "text", "order_id", "tie", F.col("g_bucket").alias("bucket"), F.lit(True).alias("ghost"))
-    both = rows.select("doc_id", "text", "order_id", "tie", "bucket", F.lit(False).alias("ghost")).unionByName(ghosts)
+    ghosts = ghosts.select("doc_id", "text", "order_id", "tie", F.col("g_bucket").alias("bucket"), F.lit(True).alias("ghost")).withColumns(more)
+    both = rows.select("doc_id", "text", "order_id", "tie", "bucket", F.lit(False).alias("ghost")).withColumns(more).unionByName(ghosts)
     order = Window.partitionBy("bucket").orderBy(F.col("ghost"), F.col("order_id").desc(), F.col("tie").desc())
-    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost")).select("doc_id", "text", "next_text")
+    names = ["text", *more]
+    return both.withColumns({f"next_{x}": F.lead(x).over(order) for x in names}).where(~F.col("ghost")).select("doc_id", *names, *[f"next_{x}" for x in names])
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), as the contract of op10 says.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The two
+    fingerprints of a likeness are of one grain: each text's digests are made once.
 
     * A null text is the empty text; two texts without words are alike (1.0), one without isn't like others (0.0).
     * Order: see :func:`with_next`. A table of one row is its own next document.
     * Texts of any length are taken whole. Other columns of ``docs`` are ignored. No rows in, no rows out.
     """
-    rows = with_next(docs).withColumns({"n_chars": F.length("text").cast("bigint"), "next_text": F.coalesce("next_text", F.lit(""))})
+    rows = with_next(docs, {"a": digests("text")}).withColumns({"n_chars": F.length("text").cast("bigint"), "next_text": F.coalesce("next_text", F.lit(""))})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.withColumn("edited", edited)
     steps = [
-        {"u": piece_words("n_chars"), "u_e": piece_words("length(edited)"), "u_p": piece_words("greatest(n_chars, length(next_text))")},
-        {"a": digests("text", "u"), "e": digests("edited", "u_e"), "b": digests("next_text", "u_p")},
-        {"a_p": f"if(u = u_p, a, {digests('text', 'u_p')})", "e_p": f"if(u = u_e, e, {digests('edited', 'u')})"},
+        {"b": "coalesce(next_a, cast(array() as array<bigint>))", "e": digests("edited")},
         {"s_a": sketch("a", FIRST_CELLS), "s_e": sketch("e", FIRST_CELLS), "s_b": sketch("b", FIRST_CELLS)},
-        {"s_ap": f"if(u = u_p, s_a, {sketch('a_p', FIRST_CELLS)})", "s_ep": f"if(u = u_e, s_e, {sketch('e_p', FIRST_CELLS)})"},
     ]
-    for step in steps:  # the pieces of a pair are as long as its longer text asks for
+    for step in steps:
         rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text("u", "a", "s_a").alias("fingerprint"),
-        as_text("u_e", "e", "s_e").alias("edited_fingerprint"),
-        likeness("a", "e_p", "s_a", "s_ep").alias("near_edited"),
-        likeness("a_p", "b", "s_ap", "s_b").alias("near_next"),
+        as_text("a", "s_a").alias("fingerprint"),
+        as_text("e", "s_e").alias("edited_fingerprint"),
+        likeness("a", "e", "s_a", "s_e").alias("near_edited"),
+        likeness("a", "b", "s_a", "s_b").alias("near_next"),
     )

@@ -233,25 +233,19 @@ def test_fingerprints(spark, rows):
     unique = [x for x in order if [y[0] for y in order].count(x[0]) == 1]
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
 
-    def pieces(t, w):
-        out = Counter()
-        for line in t.split("\n"):
-            piece = []
-            for x in filter(None, line.split(" ")):
-                piece.append(x)
-                h = xxhash.xxh64_intdigest(x, seed=42)
-                if (h - (h >> 63 << 64)) % w == 0:
-                    out[tuple(piece)] += 1
-                    piece = []
-            out.update([tuple(piece)] if piece else [])
+    def pieces(t):
+        out, piece = Counter(), []
+        tokens = [x for w in re.findall(r"\n|[^\x20\x09-\x0D]+", t) for x in (re.findall("(?s).{1,32}", w) if len(w.encode()) > 32 else [w])]
+        for i, x in enumerate(tokens, 1):
+            piece.append(x)
+            h = xxhash.xxh64_intdigest(x, seed=42)
+            if x != "\n" and (i == len(tokens) or tokens[i] == "\n" or (h - (h >> 63 << 64)) % (4 if i <= 48 else 24) == 0):
+                out[tuple(piece)] += 1
+                piece = []
         return out
 
-    def per(n):
-        return next((w for bound, w in fingerprints.PIECE_WORDS if n <= bound), fingerprints.MOST_PIECE_WORDS)
-
     def like(a, b):
-        w = per(max(len(a), len(b)))
-        x, y = pieces(a, w), pieces(b, w)
+        x, y = pieces(a), pieces(b)
         return (x & y).total() / (x | y).total() if x | y else 1.0
 
     checked = 0
@@ -274,6 +268,37 @@ def test_fingerprints(spark, rows):
     assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_of_writing_without_spaces(spark):
+    """Unspaced, tabbed and wide-spaced texts are near their own edit (two thirds of four thirds are common, but for borders) and far from the next text."""
+    rnd = random.Random(12)
+    letters = lambda n: "".join(rnd.choices("abcdefghij", k=n))
+    docs = [(i, "".join(rnd.choices("的一是不了人我在有他这中大来上个国", k=1200))) for i in range(4)]
+    docs += [(10 + i, letters(1200)) for i in range(4)]
+    docs += [(20 + i, sep.join(letters(5) for _ in range(300))) for i, sep in enumerate(["\t", "\r", "\x0b", "\x0c", " \t "])]
+    got = fingerprints.fingerprint_documents(frame(spark, docs)).collect()
+    assert all(r.near_edited > 0.2 and r.near_next < 0.05 for r in got), [(r.doc_id, r.near_edited, r.near_next) for r in got]
+
+
+def test_fingerprints_can_be_peeled_from_their_texts(spark):
+    text = words(random.Random(4), 400, "abcdefgh")
+    docs = [(1, text), (2, text[:900] + " other " + text[905:]), (3, text)]
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(frame(spark, docs)).collect()}
+    assert prints[1] == prints[3] != prints[2]
+    told = spark.createDataFrame([(prints[1], prints[2])], "x string, y string").selectExpr(f"{fingerprints.peel(fingerprints.subtract(fingerprints.from_text('x'), fingerprints.from_text('y')), fingerprints.FIRST_CELLS)} as d").first().d
+    count = [int(prints[i].split(":")[0]) for i in (1, 2)]
+    assert 0 < told.a <= 4 and count[0] - told.a == count[1] - told.b
+
+
+def test_fingerprints_of_very_many_lines(spark):
+    rnd = random.Random(13)
+    lines = [f"{rnd.randrange(10**6)} x" for _ in range(50_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["new", *lines[:-5]])), (3, "same\n" * 50_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(spark, docs)).collect()}
+    assert time.time() - began < 120
+    assert got[2].near_next > 0.99 and got[1].near_next < 0.01 and 0.4 < got[1].near_edited < 0.8
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     cases = {
