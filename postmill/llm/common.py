@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import hashlib
+import re
 import string
 import tempfile
 import uuid
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

@@ -162,7 +162,7 @@ def held_out(doc_id: str = "doc_id"):
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows: int) -> DataFrame:
     """(text, y, fold) of about ``rows`` labelled documents at most, by hash of the id; copies of a text once.
 
-    Of an id with several labels the largest counts. The sampled labels are bounded by ``rows``, so they are broadcast.
+    Of an id with several labels the largest counts, and so it does of copies of a text. The sampled labels are bounded by ``rows``, so they are broadcast.
     """
     given = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(usable).groupBy(F.col("doc_id").cast("bigint").alias("l_id")).agg(F.max(label).cast("int").alias("y"))
     n = given.count()
@@ -170,7 +170,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable, rows
     if n > rows:
         given = given.where(share < int(1_000_000 * rows / n))
     found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(given), F.col("doc_id") == F.col("l_id"))
-    return found.select("text", "y", F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(2)).cast("int").alias("fold")).dropDuplicates(["text"])
+    once = found.groupBy("text").agg(F.max("y").alias("y"))
+    return once.select("text", "y", F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(2)).cast("int").alias("fold"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:

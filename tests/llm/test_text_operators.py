@@ -416,6 +416,13 @@ def test_toxicity_learns_without_the_held_out(spark):
     assert toxicity.score_documents(frame(spark, []), table.limit(0)).count() == 0
 
 
+def test_copies_with_several_labels_teach_the_largest(spark):
+    docs = frame(spark, [(i, "one text") for i in range(40)] + [(100 + i, f"text {i}") for i in range(20)]).repartition(5)
+    labels = spark.createDataFrame([(i, int(i == 17)) for i in range(40)] + [(100 + i, 0) for i in range(20)] + [(105, 1), (105, 0)], "doc_id bigint, toxic int")
+    got = {r.text: r.y for r in toxicity.training_sample(docs, labels, "toxic", F.lit(True), 1000).collect()}
+    assert got == {"one text": 1, **{f"text {i}": int(i == 5) for i in range(20)}}
+
+
 def test_quality_keeps_the_good(spark):
     rnd = random.Random(8)
     docs, labels = [], []
