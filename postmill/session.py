@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,9 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder (spark.checkpoint.dir); its files go when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # tests
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/postmill/{label}-{uuid.uuid4().hex}"
