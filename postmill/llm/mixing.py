@@ -16,7 +16,6 @@ is gone through in one task.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -29,6 +28,8 @@ from .common import WORD, stage_table, whole_text
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.5, 2, 20_240_601
 #: Plans of up to so many patterns (some 100 bytes each) are broadcast; above, they are joined by shuffle.
 BROADCAST_PATTERNS = 10_000
+#: More membership patterns than this (a row of some 300 bytes each on the driver) are refused before any is collected; none is left out.
+MOST_PATTERNS = 1_000_000
 #: Salts of the join above that bound.
 SALTS = 32
 #: A pattern with up to so many documents that may still fit is gone through in one task; with more, the descent is repeated.
@@ -52,7 +53,7 @@ def targets_for(sizes: dict, weights=WEIGHTS, share: float = SHARE, cap: float =
     left, free, out = share * sum(sizes.values()), list(order), {}
     while free:
         total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > cap * sizes[s]]
+        over = {s: None for s in free if left * weight[s] / total > cap * sizes[s]}
         if not over:
             out |= {s: left * weight[s] / total for s in free}
             break
@@ -65,57 +66,95 @@ def targets_for(sizes: dict, weights=WEIGHTS, share: float = SHARE, cap: float =
 def min_cost_flow(capacity: dict, quota: dict, copies: int) -> dict:
     """Flow {(pattern, source): words}; patterns are tuples of sources, ``capacity`` their words.
 
-    Successive shortest paths from the start over patterns (a copy at a time, cost rising with
-    each) and sources to the end. Maximal flow, at least cost.
+    Words go from the start over patterns and sources to the end. Only the edges out of the start
+    cost anything, a pattern's copy j costs j a word, and a shortest path never comes back to the
+    start: so successive shortest paths use up copy 0 of all patterns, then copy 1, and so on.
+    Each copy is a largest flow by blocking flows over levels. Maximal flow, at least cost.
     """
-    edges: list[list] = []  # to, capacity left, cost; an edge and its reverse are neighbours
-    out_of: dict = defaultdict(list)
-
-    def edge(a, b, cap, cost):
-        out_of[a].append(len(edges))
-        edges.append([b, cap, cost])
-        out_of[b].append(len(edges))
-        edges.append([a, 0, -cost])
-
-    for i, (pattern, words) in enumerate(capacity.items()):
-        for j in range(copies):
-            edge("start", ("p", i), words, j)
-        for s in pattern:
-            edge(("p", i), ("s", s), words * copies, 0)
-    for s, q in quota.items():
-        edge(("s", s), "end", q, 0)
-    potential: dict = defaultdict(int)
-    while True:
-        distance, through, queue, count = {"start": 0}, {}, [(0, 0, "start")], 0
-        while queue:
-            d, _, a = heapq.heappop(queue)
-            if d > distance.get(a, 1 << 60):
+    order = list(capacity)
+    sources = [[s for s in p if quota.get(s, 0) > 0] for p in order]
+    supply, need = [0] * len(order), dict(quota)
+    sent: dict = {s: {} for s in quota}  # {source: {place of the pattern: words}}
+    for _ in range(copies):
+        for i, p in enumerate(order):
+            supply[i] += capacity[p]
+        while _blocking_flow(supply, need, sources, sent):
+            pass
+    return {(order[i], s): words for s, by in sent.items() for i, words in by.items() if words > 0}
+
+
+def _levels(supply: list, need: dict, sources: list, sent: dict) -> tuple[dict, dict, bool]:
+    """Levels of patterns and sources, breadth first from the patterns with words left, and whether a source with room is met."""
+    frontier = [i for i, words in enumerate(supply) if words > 0]
+    of_pattern, of_source, depth = dict.fromkeys(frontier, 0), {}, 0
+    while frontier:
+        met = []
+        for i in frontier:
+            for s in sources[i]:
+                if s not in of_source:
+                    of_source[s] = depth
+                    met.append(s)
+        if any(need[s] > 0 for s in met):
+            return of_pattern, of_source, True
+        depth += 1
+        frontier = []
+        for s in met:
+            for i, words in sent[s].items():
+                if words > 0 and i not in of_pattern:
+                    of_pattern[i] = depth
+                    frontier.append(i)
+    return of_pattern, of_source, False
+
+
+def _blocking_flow(supply: list, need: dict, sources: list, sent: dict) -> bool:
+    """Send words along shortest paths until each is blocked; whether there was one.
+
+    A path alternates between patterns and sources; from a source it goes back to a pattern that
+    has sent words there, which then sends them elsewhere. An edge found useless is not tried again.
+    """
+    of_pattern, of_source, reached = _levels(supply, need, sources, sent)
+    if not reached:
+        return False
+    givers = {s: [i for i, words in sent[s].items() if words > 0 and of_pattern.get(i) == level + 1] for s, level in of_source.items()}
+    next_source, next_giver = dict.fromkeys(of_pattern, 0), dict.fromkeys(of_source, 0)
+    for root in [i for i, level in of_pattern.items() if level == 0]:
+        path = [root]  # pattern, source, pattern, ...
+        while path and supply[root] > 0:
+            at = path[-1]
+            if len(path) % 2:
+                k, ways, level = next_source[at], sources[at], of_pattern[at]
+                while k < len(ways) and of_source.get(ways[k]) != level:
+                    k += 1
+                next_source[at] = k
+                onward = k < len(ways)
+                if onward:
+                    path.append(ways[k])
+            elif need[at] > 0:
+                step = min(supply[root], need[at], *[sent[s][i] for s, i in zip(path[1:-1:2], path[2::2], strict=True)])
+                supply[root] -= step
+                need[at] -= step
+                for i, s in zip(path[::2], path[1::2], strict=True):
+                    sent[s][i] = sent[s].get(i, 0) + step
+                for s, i in zip(path[1:-1:2], path[2::2], strict=True):
+                    sent[s][i] -= step
+                path = [root]
                 continue
-            for k in out_of[a]:
-                b, cap, cost = edges[k]
-                if cap > 0 and (n := d + cost + potential[a] - potential[b]) < distance.get(b, 1 << 60):
-                    distance[b], through[b] = n, k
-                    count += 1
-                    heapq.heappush(queue, (n, count, b))
-        if "end" not in distance:
-            break
-        far = distance["end"]
-        for a in {x for x in out_of}:
-            potential[a] += min(distance.get(a, far), far)
-        path, b = [], "end"
-        while b != "start":
-            path.append(through[b])
-            b = edges[through[b] ^ 1][0]
-        step = min(edges[k][1] for k in path)
-        for k in path:
-            edges[k][1] -= step
-            edges[k ^ 1][1] += step
-    return {
-        (pattern, edges[k][0][1]): edges[k ^ 1][1]
-        for i, pattern in enumerate(capacity)
-        for k in out_of[("p", i)]
-        if k % 2 == 0 and edges[k ^ 1][1] > 0
-    }
+            else:
+                k, ways = next_giver[at], givers[at]
+                while k < len(ways) and sent[at][ways[k]] <= 0:
+                    k += 1
+                next_giver[at] = k
+                onward = k < len(ways)
+                if onward:
+                    path.append(ways[k])
+            if not onward:  # a dead end: the edge into it is done with
+                path.pop()
+                if path:
+                    if len(path) % 2:
+                        next_source[path[-1]] += 1
+                    else:
+                        next_giver[path[-1]] += 1
+    return True
 
 
 def seeded_hash(seed: int) -> Column:
@@ -227,6 +266,7 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
     * Ties: the order is that of a seeded hash of doc_id and text; rows that repeat both follow
       the order of the input. Reruns over the same input agree.
     * A null doc_id is a value like others. No rows in, no rows out.
+    * More than ``MOST_PATTERNS`` patterns of membership raise a ValueError.
     """
     spark = docs.sparkSession
     mark = F.transform(F.coalesce(members, F.array().cast("array<string>")), lambda x: F.when(x.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), x)))
@@ -240,7 +280,10 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
         ),
         "sizes",
     )
-    total = {tuple(r["pattern"]): r["words"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
+    totals = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
+    if len(totals) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns: their flow doesn't fit the driver")
+    total = {tuple(r["pattern"]): r["words"] for r in sorted(totals, key=lambda r: r["pattern"])}
     name = lambda mark: None if mark == "n" else mark[1:]
     have: dict = defaultdict(int)
     for pattern, words in total.items():
@@ -249,11 +292,10 @@ def mix(docs: DataFrame, members: Column, size: Column, targets=None, copies: in
     wanted = targets(dict(have)) if callable(targets) else dict(targets or {})
     quota = {s: max(0, round(t)) for s, t in wanted.items()}
     flow = min_cost_flow({tuple(map(name, p)): w for p, w in total.items()}, quota, copies)
-    plan_rows = []
-    for p, words in total.items():
-        taken = sum(f for (q, _), f in flow.items() if q == tuple(map(name, p)))
-        full, extra = divmod(taken, words) if words else (0, 0)
-        plan_rows.append((list(p), full, extra))
+    taken: dict = defaultdict(int)
+    for (p, _), words in flow.items():
+        taken[p] += words
+    plan_rows = [(list(p), *(divmod(taken[tuple(map(name, p))], words) if words else (0, 0))) for p, words in total.items()]
     plan = spark.createDataFrame(plan_rows, "pattern array<string>, full bigint, extra bigint")
     patterns = len(plan_rows)
     runs, beside = _take(rows, {tuple(p): extra for p, _, extra in plan_rows})

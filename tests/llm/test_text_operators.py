@@ -663,3 +663,51 @@ def test_flow_is_largest_and_cheapest():
                 best = max(best, (sum(amounts), -cost(f)))
         got = mixing.min_cost_flow(capacity, quota, copies)
         assert (sum(got.values()), -cost(got)) == best
+
+
+def test_flow_of_many_sources():
+    """10,000 sources, each with a pattern of its own and in overlapping ones: seconds, nothing above its bounds, no way left to send more."""
+    rnd = random.Random(3)
+    names = [f"s{i:05}" for i in range(10_000)]
+    capacity = {(s,): rnd.randint(0, 10**9) for s in names}
+    capacity |= {(a, b): rnd.randint(1, 10**9) for a, b in zip(names, names[1:], strict=False)}
+    capacity |= {tuple(sorted(rnd.sample(names, 3))): rnd.randint(1, 10**9) for _ in range(5000)}
+    quota = {s: rnd.randint(0, 4 * 10**9) for s in names}
+    began = time.time()
+    flow = mixing.min_cost_flow(capacity, quota, 2)
+    assert time.time() - began < 60
+    used, into = Counter(), Counter()
+    for (p, s), words in flow.items():
+        assert s in p and words > 0
+        used[p] += words
+        into[s] += words
+    assert all(used[p] <= 2 * capacity[p] for p in capacity) and all(into[s] <= quota[s] for s in names)
+
+    def stuck(free):
+        """Sources that patterns with ``free`` words reach, over patterns that could send elsewhere, are full."""
+        seen, queue = set(), [p for p in capacity if free(p)]
+        senders = defaultdict(list)
+        for p, s in flow:
+            senders[s].append(p)
+        patterns = set(queue)
+        while queue:
+            for s in queue.pop():
+                if s not in seen:
+                    seen.add(s)
+                    queue += [p for p in senders[s] if p not in patterns]
+                    patterns |= set(senders[s])
+        return seen, patterns
+
+    reached, _ = stuck(lambda p: used[p] < 2 * capacity[p])
+    assert all(into[s] == quota[s] for s in reached)  # largest
+    _, patterns = stuck(lambda p: used[p] < capacity[p])
+    assert all(used[p] <= capacity[p] for p in patterns)  # cheapest: no first copy can stand in for a second
+
+
+def test_many_patterns_are_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(5)], "doc_id bigint, text string, source string")
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 5)
+    assert mixing.mix_by_source(docs).count() == 5
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
+    with pytest.raises(ValueError):
+        mixing.mix_by_source(docs)
