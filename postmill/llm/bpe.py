@@ -8,7 +8,7 @@ worker maps into memory; the workers of a machine share its pages. Words that it
 are merged exactly by the ranks, once for each batch.
 
 Counts of words are taken over all texts and whole texts. The lexicon's size is bounded
-(``LEXICON_WORDS``); which words it holds changes the speed, never the ids.
+(``LEXICON_WORDS`` of ``WORD_BYTES`` each); which words it holds changes the speed, never the ids.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import releasing, share_file, stage_table, whole_text
 
 #: Most words in the lexicon, and least count of a word in it.
 LEXICON_WORDS, LEAST_COUNT = 1 << 18, 2
+#: Longer words (UTF-8) are not in the lexicon, and words of more characters are neither counted nor remembered by a worker: so all these are bounded in bytes.
+WORD_BYTES = 64
 #: A worker's counts and memo are emptied beyond so many words, and texts are taken in slices of so many characters.
 WORDS_HELD, SLICE_CHARS = 400_000, 1 << 20
 _NONE = 1 << 60
@@ -48,6 +50,29 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+#: Fixed: settings of a tokenizer file that this module follows; a setting that is absent or null asks for nothing.
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_OFF = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def refuse_other_settings(spec: dict) -> None:
+    """ValueError for a tokenizer file that asks for anything but byte-level BPE as it is done here.
+
+    Read are vocabulary, merges and the contents of added tokens; truncation, padding and the
+    post-processor play no part in encoding without special tokens.
+    """
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [f"model.{k}" for k in _OFF if model.get(k)]
+    wrong += ["model.type"] * (model.get("type", "BPE") != "BPE")
+    wrong += ["normalizer"] * bool(spec.get("normalizer"))
+    wrong += ["pre_tokenizer"] * any(split.get(k, True if k == "use_regex" else None) != v for k, v in _SPLIT.items())
+    wrong += ["decoder"] * ((spec.get("decoder") or {}).get("type") != "ByteLevel")
+    for token in spec.get("added_tokens") or []:
+        wrong += [f"added_tokens.{token['content']}.{k}" for k in ("single_word", "lstrip", "rstrip") if token.get(k)]
+    if wrong:
+        raise ValueError(f"not followed here: {', '.join(wrong)}")
+
+
 class Merges:
     """Ids and ranks of a byte-level tokenizer file; exact merging of single words."""
 
@@ -243,7 +268,7 @@ def _counter(spec: dict):
                 for text in texts:
                     for part in word_pieces(text, merges, pattern):
                         if not isinstance(part, int):
-                            seen.update(part)
+                            seen.update([w for w in part if len(w) <= WORD_BYTES])  # characters; bytes are looked at behind the shuffle
                 if len(seen) > WORDS_HELD:
                     yield out()
                     seen.clear()
@@ -255,10 +280,10 @@ def _counter(spec: dict):
 def frequent_words(docs: DataFrame, spec: dict, most: int = LEXICON_WORDS) -> list[str]:
     """At most ``most`` of the most frequent words of all texts; counted in the tasks before the shuffle.
 
-    All words from a certain count on: steps of counts, not words, are ordered in one place.
+    All words of at most ``WORD_BYTES`` from a certain count on: steps of counts, not words, are ordered in one place.
     """
     counts = docs.select(whole_text().alias("text")).mapInArrow(_counter(_small(spec)), "word string, n bigint")
-    counts = stage_table(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT), "words")
+    counts = stage_table(counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_COUNT) & (F.octet_length("word") <= WORD_BYTES)), "words")
     steps = counts.groupBy("n").agg(F.count("*").alias("words"))
     total = F.sum("words").over(Window.orderBy(F.desc("n")))
     fit = steps.withColumn("step", F.floor(F.log2("n") * 64)).groupBy("step").agg(F.sum("words").alias("words"), F.min("n").alias("n"))  # some thousand steps at most
@@ -279,8 +304,6 @@ class Encoder:
         self.memo: dict[str, np.ndarray] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > WORDS_HELD:
-            self.memo.clear()
         raw = [w.encode("utf-8", "replace") for w in words]
         for w, b, i in zip(words, raw, self.lexicon.index(raw).tolist(), strict=True):
             self.memo[w] = self.lexicon.ids[self.lexicon.at[i] : self.lexicon.at[i + 1]].tobytes() if i >= 0 else np.array(self.merges.merge(b), "<u4").tobytes()
@@ -293,7 +316,11 @@ class Encoder:
             self.memo.clear()
         self.learn([w for w in new if w not in self.memo])
         of = self.memo.__getitem__
-        return [b"".join(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(of, part)) for part in parts) for parts in split]
+        ids = [b"".join(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(of, part)) for part in parts) for parts in split]
+        for w in new:
+            if len(w) > WORD_BYTES:
+                del self.memo[w]
+        return ids
 
 
 class Decoder:
@@ -312,6 +339,7 @@ def prepare(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) ->
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     spec = json.loads(text)
+    refuse_other_settings(spec)
     merges = Merges(spec)
     compiled = compile_lexicon({(b := w.encode()): merges.merge(b) for w in frequent_words(docs, spec, most)})
     return share_file(docs.sparkSession, "lexicon", Lexicon.packed(compiled)), share_file(docs.sparkSession, "tokenizer", text.encode())
@@ -339,7 +367,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
 
     * A null or empty text has no ids; special tokens' strings in a text give their ids.
     * doc_id is passed through, nulls and repeated ones too. No rows in, no rows out.
-    * Texts of any length are encoded whole. Other columns of ``docs`` are ignored.
+    * Texts and words of any length are encoded whole. Other columns of ``docs`` are ignored.
+    * A tokenizer file with settings that aren't followed here raises a ValueError.
     """
     files = prepare(docs, tokenizer_path)
     with_decoded = with_ids if with_decoded is None else with_decoded
@@ -373,7 +402,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """Texts of rows with ids (binary, as :func:`encode_documents` returns them; null: null): doc_id, text."""
-    spec = json.load(open(tokenizer_path, encoding="utf-8"))
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    refuse_other_settings(spec)
     shared = encoded.sparkSession.sparkContext.broadcast(json.dumps(spec))  # one tokenizer file, of fixed size
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import time
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -216,6 +218,47 @@ def test_bpe_is_the_library(spark, rows):
     assert bpe.encode_documents(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_long_words_stay_out_of_lexicon_and_memory(spark):
+    """Words beyond 64 bytes are merged each time: neither the driver nor a worker's memo holds them."""
+    tokenizers = pytest.importorskip("tokenizers")
+    rnd = random.Random(21)
+    blob, han = "".join(rnd.choices("ABCdef", k=200_000)), "日本語文" * 500
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    docs = frame(spark, [(i, f"{blob} {han} short {'日' * 21} {'日' * 22}") for i in range(3)])
+    found = bpe.frequent_words(docs, spec)
+    assert " short" in found and " " + "日" * 21 in found and max(len(w.encode()) for w in found) <= bpe.WORD_BYTES
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    for r in bpe.encode_documents(docs, tokenizer_path(), with_ids=True).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(f"{blob} {han} short {'日' * 21} {'日' * 22}", add_special_tokens=False).ids
+    merges = bpe.Merges(spec)
+    none = SimpleNamespace(index=lambda words: np.full(len(words), -1))
+    encoder = bpe.Encoder(merges, none)
+    encoder.encode([f"{blob} a {han}", han])
+    assert set(encoder.memo) == {" a"}
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": None},
+        {"decoder": None},
+        {"added_tokens": [{"id": 1, "content": "<x>", "lstrip": True}]},
+        {"model": {"type": "WordPiece"}},
+        {"model": {"type": "BPE", "ignore_merges": True}},
+    ],
+)
+def test_other_tokenizer_settings_are_refused(change):
+    fine = {"model": {"type": "BPE", "dropout": None}, "normalizer": None, "added_tokens": [{"id": 0, "content": "<y>"}], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "decoder": {"type": "ByteLevel"}}
+    bpe.refuse_other_settings(fine)
+    with pytest.raises(ValueError):
+        bpe.refuse_other_settings(fine | change)
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     vocabulary = {w.encode(): [len(w)] * (len(w) % 3) for w in ("car", "cars", "cat", "cats", "dog", "dogs", "do", "")}
     parts = bpe.compile_lexicon(vocabulary)
