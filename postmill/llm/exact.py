@@ -5,7 +5,8 @@ digest. Runs meet in rounds of ``FAN``: run r goes to group r // FAN, the group'
 by the sorter (a multiway merge that spills) and equal digests collapse to the retained
 identifier, until one run is left. A round deals its rows by (group, digest), so that no task
 holds a whole run of the upper levels, and a group of copies enters a round with one entry for
-each run at most, whatever its size. The result goes down again by (run, digest), not by digest
+each run at most, whatever its size. Every round is staged: a lost executor costs its share of one
+round, and the round below goes once it is merged. The result goes down again by (run, digest), not by digest
 alone, so that a digest that a third of all rows share meets no single task either.
 
 A digest counts as equal only if SHA-256, byte length and an independent 64-bit hash agree.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, releasing, shuffle_width, stage_table, whole_text
+from .common import ascii_lower, drop_tables, releasing, shuffle_width, stage_table, whole_text
 
 #: Runs that one merge takes.
 FAN = 8
@@ -85,7 +86,9 @@ def _merged(docs: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     first = stage_table(_merge_round(rows.withColumns({"n": F.lit(1).cast("bigint"), "n_same": F.lit(1).cast("bigint")}), 1, keep), "runs")
     top = first
     while runs > 1:
-        top, runs = _merge_round(top, FAN, keep), -(-runs // FAN)
+        below, top, runs = top, stage_table(_merge_round(top, FAN, keep), "runs"), -(-runs // FAN)
+        if below is not first:
+            drop_tables(below)
     top = top.select(*_KEY, F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"), "n_same")
     return rows, first.select("run", *_KEY).join(top, _KEY)
 
