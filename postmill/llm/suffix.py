@@ -272,7 +272,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     hulls = stage_table(shared.where("contested").groupBy(*key).agg(F.count("*").alias("n"), F.min(member).alias("m")), "hulls")
     equal = shared.where("contested").join(hulls.where("n > 1").select(*key), key).select("k1", "k2", "s", "e")
     reps = hulls.select("gram", "m.*", (F.col("n") == 1).alias("need"))
-    reps = reps.withColumns({"d1": F.col("a") - F.col("e"), "d2": F.col("a") - F.col("s"), "cid": F.xxhash64("k1", "k2", "a", "s")})
+    reps = reps.withColumns({"d1": F.col("a") - F.col("e"), "d2": F.col("a") - F.col("s"), "cid": F.monotonically_increasing_id()})  # over a staged table, before any shuffle, and staged at once: a number of its own, the same in a task's rerun
     contexts = stage_table(_contexts(docs, reps), "contexts")
     return done.unionByName(equal).unionByName(_refine(contexts))
 

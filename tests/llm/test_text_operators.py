@@ -199,6 +199,16 @@ def test_repeats(spark, rows):
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_contested_intervals_have_numbers_of_their_own(spark, rows, monkeypatch):
+    """Intervals are joined by a number that no two share; a hash would at some size give two of them one."""
+    seen = []
+    contexts_of = suffix._contexts
+    monkeypatch.setattr(suffix, "_contexts", lambda docs, wanted: seen.append(contexts_of(docs, wanted)) or seen[-1])
+    suffix.repeated_windows(frame(spark, rows))
+    n, own, intervals = seen[0].agg(F.count("*"), F.countDistinct("cid"), F.countDistinct(F.struct("k1", "k2", "a", "s"))).first()
+    assert n == own == intervals > 50
+
+
 def test_bpe_is_the_library(spark, rows):
     tokenizers = pytest.importorskip("tokenizers")
     rnd = random.Random(2)
