@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -201,7 +202,7 @@ class Lexicon:
         n = int.from_bytes(bytes(whole[:8]), "little")
         for name, (kind, at, length) in json.loads(bytes(whole[8 : 8 + n])).items():
             size = np.dtype(kind).itemsize * length
-            setattr(self, name, whole[8 + n + at : 8 + n + at + size].view(kind))
+            setattr(self, name, np.asarray(whole[8 + n + at : 8 + n + at + size].view(kind)))  # still mapped; plain arrays are sliced faster
         self.edge_key = (np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first)) << 8) | self.label  # sorted: states in order, labels in order
 
     def index(self, words: list[bytes]) -> np.ndarray:
@@ -305,16 +306,26 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "replace") for w in words]
-        for w, b, i in zip(words, raw, self.lexicon.index(raw).tolist(), strict=True):
-            self.memo[w] = self.lexicon.ids[self.lexicon.at[i] : self.lexicon.at[i + 1]].tobytes() if i >= 0 else np.array(self.merges.merge(b), "<u4").tobytes()
+        at, merge, found = self.lexicon.index(raw), self.merges.merge, np.zeros((2, len(words)), np.int64)
+        known = at >= 0
+        if known.any():
+            found[0, known], found[1, known] = self.lexicon.at[at[known]], self.lexicon.at[at[known] + 1]
+        for w, b, begin, end in zip(words, raw, *found.tolist(), strict=True):
+            if end:
+                self.memo[w] = self.lexicon.ids[begin:end].tobytes()
+            else:
+                merged = merge(b)
+                self.memo[w] = struct.pack(f"<{len(merged)}I", *merged)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         split = [list(word_pieces(t, self.merges, self.pattern)) for t in texts]
         new = {w for parts in split for part in parts if not isinstance(part, int) for w in part}
-        if len(self.memo) + len(new) > WORDS_HELD:
+        missing = [w for w in new if w not in self.memo]
+        if len(self.memo) + len(missing) > WORDS_HELD:
             self.memo.clear()
-        self.learn([w for w in new if w not in self.memo])
+            missing = list(new)
+        self.learn(missing)
         of = self.memo.__getitem__
         ids = [b"".join(part.to_bytes(4, "little") if isinstance(part, int) else b"".join(map(of, part)) for part in parts) for parts in split]
         for w in new:
