@@ -497,6 +497,60 @@ def test_quality_keeps_the_good(spark):
     assert quality.keep_good(df.limit(0), table).count() == 0
 
 
+def _strength(means, groups):
+    total = sum(n for _, n in groups)
+    seen = sum(n * (bad / n - m) ** 2 for m, (bad, n) in zip(means, groups, strict=True)) / total
+    noise = [m * (1 - m) for m in means]
+    return max(1.0, min(1e5, sum(noise) / len(noise) / max(seen - sum(noise) / total, 1e-6) - 1))
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.3])
+def test_posteriors_equal_a_plain_computation(spark, spread):
+    """Rates by host and path, nulls being sites of their own, against sums in plain Python; sparse paths stay near their host."""
+    rnd = random.Random(88)
+    rows, centre = [], {}
+    for host, path, n in [("a", "x", 300), ("a", "y", 40), ("a", None, 1), ("b", "x", 90), ("b", "y", 2), (None, "x", 25), (None, None, 3), ("c", "x", 1)]:
+        centre[host, path] = 0.4 + spread * rnd.choice([-1, 1]) * rnd.random()
+        rows += [(host, path, min(1.0, max(0.0, rnd.gauss(centre[host, path], 0.1)))) for _ in range(n)]
+    paths, hosts = defaultdict(lambda: (0.0, 0)), defaultdict(lambda: (0.0, 0))
+    for host, path, p in rows:
+        for table, key in ((paths, (host, path)), (hosts, host)):
+            table[key] = (table[key][0] + p, table[key][1] + 1)
+    rate = sum(p for *_, p in rows) / len(rows)
+    s1 = _strength([rate] * len(hosts), list(hosts.values()))
+    by_host = {h: (bad + s1 * rate) / (n + s1) for h, (bad, n) in hosts.items()}
+    s2 = _strength([by_host[h] for h, _ in paths], list(paths.values()))
+    by_path = {k: (bad + s2 * by_host[k[0]]) / (n + s2) for k, (bad, n) in paths.items()}
+    got, got_rate = quality.path_posteriors(spark.createDataFrame(rows, "host string, path string, p_doc double"))
+    got = {(r.host, r.path): (r.host_rate, r.path_rate) for r in got.collect()}
+    assert got_rate == pytest.approx(rate) and got.keys() == paths.keys()
+    for key, (host_rate, path_rate) in got.items():
+        assert (host_rate, path_rate) == pytest.approx((by_host[key[0]], by_path[key]), rel=1e-9)
+        raw = paths[key][0] / paths[key][1]
+        assert min(raw, host_rate) - 1e-12 <= path_rate <= max(raw, host_rate) + 1e-12
+
+
+def test_quality_of_held_out_documents(spark):
+    """A quarter of the labelled documents doesn't teach; the others tell their labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 2
+    want = {r.doc_id: r.quality for r in labels.where(held & F.col("quality").isNotNull()).collect()}
+    got = quality.judge_without_text(docs, labels.where(~held)).select("doc_id", "quality.*").where(held).collect()
+    good, bad = ([r for r in got if want.get(r.doc_id) == y] for y in (1, 0))
+    wins = sum((g.score > b.score) + (g.score == b.score) / 2 for g in good for b in bad)
+    assert len(bad) >= 5 and wins / (len(good) * len(bad)) > 0.98
+    assert all(g.kept for g in good) and sum(not b.kept for b in bad) / len(bad) > 0.8
+
+
+def test_rows_that_repeat_an_id_share_its_label(spark):
+    """Rows of one id under several labels: the smallest label teaches, each row is judged by its own text."""
+    fine, junk = "plain words in a row here", "BUY!! NOW!! $$$ ### @@@"
+    rows = [(i // 2, fine if i // 2 % 2 else junk, "en", "a") for i in range(80)]
+    table = spark.createDataFrame([(i, y) for i in range(40) for y in ([1] if i % 2 else [0, 1])], "doc_id bigint, quality int")
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA), table).collect()
+    assert len(got) == 80 and all(r.quality.kept == (r.text == fine) for r in got)
+
+
 def test_fingerprints_of_moved_and_repeated_texts(spark):
     """A word in front moves one border; rows that repeat an id and long texts are ordered like others."""
     long = words(random.Random(3), 20_000, "abcdefgh")
