@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stage_table, whole_text
 
-#: Bound of the labelled sample that the model is fitted on (expected rows), and of its features.
+#: Bound of the labelled sample that the model is fitted on (expected rows).
 TRAIN_ROWS = 24_000
 #: Strength of the prior; standard errors subtracted; least score and documents of a feature; drift of other tokens.
 PRIOR, CAUTION, LEAST_SCORE, LEAST_DOCS, DRIFT = 50.0, 1.64, 0.5, 3, -0.3
@@ -220,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 def score_documents(docs: DataFrame, labels: DataFrame, with_passages: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    ``labels`` (doc_id, toxic) teach, held-out ids excepted. ``with_passages`` adds passages, an
+    ``labels`` (doc_id, toxic) teach, held-out ids excepted; a copy of a held-out text under an id that
+    isn't held out does teach. ``with_passages`` adds passages, an
     array of (begin, end, significance) in code points.
 
     * A null or empty text is scored as a text without any hit. Texts are scored whole.

@@ -469,6 +469,40 @@ def test_toxicity_learns_without_the_held_out(spark):
     assert toxicity.score_documents(frame(spark, []), table.limit(0)).count() == 0
 
 
+def test_token_scores_equal_a_plain_computation():
+    """Log-odds under the Dirichlet prior less their standard errors, lambda and K, one number at a time."""
+    rng = np.random.default_rng(19)
+    n_clean, n_toxic = 900, 120
+    clean, toxic = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    names = [f"w{i}" for i in range(400)]
+    want = {}
+    for name, c, t in zip(names, clean.tolist(), toxic.tolist(), strict=True):
+        alpha = toxicity.PRIOR * (c + t) / (n_clean + n_toxic) + 0.05
+        odds = [(x + alpha) / (n + toxicity.PRIOR - x - alpha + 0.1) for x, n in ((t, n_toxic), (c, n_clean))]
+        least = np.log(odds[0] / odds[1]) - toxicity.CAUTION * (1 / (t + alpha) + 1 / (c + alpha)) ** 0.5
+        if least >= toxicity.LEAST_SCORE and t >= toxicity.LEAST_DOCS:
+            want[name] = least
+    got = toxicity.token_scores(names, clean.astype(float), toxic.astype(float), float(n_clean), float(n_toxic))
+    assert 10 < len(want) < 400 and got == pytest.approx(want)
+    scores, shares = np.array([-0.3, 0.8, 1.9]), np.array([0.9, 0.07, 0.03])
+    best, m = np.array([0.0, 0.8, 1.6, 1.9]), np.array([10, 50, 90, 400])
+    lam, k = toxicity.extreme_values(scores, shares, best, m)
+    assert lam > 0.1 and sum(p * np.exp(lam * s) for s, p in zip(scores, shares, strict=True)) == pytest.approx(1)
+    assert np.log(k) == pytest.approx(sum(lam * b - np.log(n) for b, n in zip(best[1:], m[1:], strict=True)) / 3 - 0.5772)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Documents that don't teach are told apart: each toxic one against each clean one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    got = toxicity.score_documents(docs, labels).where("held_out").collect()
+    toxic, clean = ([r for r in got if want.get(r.doc_id) == y] for y in (1, 0))
+    wins = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in clean)
+    found, false = sum(r.predicted for r in toxic), sum(r.predicted for r in clean)
+    assert wins / (len(toxic) * len(clean)) > 0.93
+    assert found / len(toxic) > 0.8 and found / (found + false) > 0.85
+
+
 def test_copies_with_several_labels_teach_the_largest(spark):
     docs = frame(spark, [(i, "one text") for i in range(40)] + [(100 + i, f"text {i}") for i in range(20)]).repartition(5)
     labels = spark.createDataFrame([(i, int(i == 17)) for i in range(40)] + [(100 + i, 0) for i in range(20)] + [(105, 1), (105, 0)], "doc_id bigint, toxic int")
