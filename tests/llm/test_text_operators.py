@@ -401,6 +401,19 @@ def test_mixing(spark):
     assert mixing.mix_by_source(frame(spark, [])).count() == 0
 
 
+def test_mixing_beside_columns_of_its_names(spark):
+    """Columns of documents named as those of the mix change nothing and come back as they were."""
+    rnd = random.Random(14)
+    docs = frame(spark, [(i, "w " * rnd.randint(1, 30), "en", rnd.choice("abc")) for i in range(200)] + [(None, None, None, None)])
+    extra = {c: F.lit(f"own {c}") for c in ("h", "rid", "pattern", "size", "copies", "taken", "target", "source_size", "row", "m_id", "again")}
+    plain, clashing = mixing.mix_by_source(docs), mixing.mix_by_source(docs.withColumns(extra))
+    assert clashing.columns == plain.columns and Counter(clashing.collect()) == Counter(plain.collect())
+    got = mixing.repeat_by_source(docs.withColumns(extra))
+    assert got.columns == [*docs.columns, *extra]
+    assert Counter(r[:4] for r in got.collect()) == Counter(tuple(r) for r in mixing.repeat_by_source(docs).collect())
+    assert {tuple(r[4:]) for r in got.collect()} == {tuple(f"own {c}" for c in extra)}
+
+
 def test_mixing_goes_on_behind_a_long_document(spark, monkeypatch):
     """A document of half a source's words at the cut hides no later one that fits: the choice is the fold's, row by row."""
     rnd = random.Random(12)
