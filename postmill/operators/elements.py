@@ -1,10 +1,13 @@
-"""Whole elements of pages, nested ones too: one pass of a stack automaton over a page's tags, as one aggregate."""
+"""Whole elements of pages, nested ones too: one pass of a stack automaton over a page's tags, in an Arrow function."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from html.entities import name2codepoint
+from itertools import accumulate
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,33 +22,122 @@ BLOCKS = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)} | dict.fromkeys(BLOCKS, ("p",))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value in a start tag, in quotes or bare; null if it isn't there or is empty."""
     found = [F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", i) for i in (1, 2, 3)]
     return F.nullif(F.concat(*found), F.lit(""))
 
 
-def _chosen(tag: Column, wanted: dict[str, str]) -> Column:
-    """Names of the selectors that a start tag meets."""
-    css = F.coalesce(attribute(tag, "class"), F.lit(""))
-
-    def meets(css: Column, names: Column) -> Column:
-        hit = lambda s: css.contains(s[1:]) if s.startswith("*") else F.array_contains(names, s)
-        return F.filter(F.array(*[F.when(hit(s), F.lit(k)) for k, s in wanted.items()]), lambda x: x.isNotNull())
-
-    return F.when(tag.rlike("(?i)class"), let(css, lambda c: let(F.split(c, r"\s+"), lambda names: meets(c, names)))).otherwise(F.array().cast("array<string>"))
+#: The same for Python; an element's name, and the whole of a script or style, in groups.
+_TAG = re.compile(r"""<!--.*?-->|<(script|style)\b[^>]*+>.*?</\1\s*>|<[!?][^>]*+>|<(/?)(?=([a-z][^\s/>]*+))[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.I | re.S | re.A)
+_CLASS = re.compile(r"""[\s"']class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I | re.S | re.A)
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ORDER = itemgetter(0, 1, 2, 3)
+_ELEMENT = pa.struct([("at", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("tag", pa.string()), ("parts", pa.list_(pa.string()))])
+
+
+def _reference(m: re.Match) -> str:
+    ref = m[0][1:-1]
+    if not ref.startswith("#"):
+        return _NAMED.get(ref, m[0])
+    code = int(ref[2:], 16) if ref[1] in "xX" else int(ref[1:])
+    return chr(code) if 1 <= code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else m[0]
+
+
+def _tag(m: re.Match, wanted: dict[str, str]) -> tuple:
+    """(name, whether it closes, whether it opens, what it ends, the selectors it meets, the start tag); a comment or a declaration has none."""
+    text, script, slash, name = m.group(0, 1, 2, 3)
+    if name is None and script is None:
+        return None, False, False, (), (), text
+    name = name and name.lower()
+    if slash:
+        return name, True, False, (), (), text
+    if name is None:
+        text = text[: text.index(">") + 1]
+    met = ()
+    if found := _CLASS.search(text):
+        css = found[1] or found[2] or found[3] or ""
+        names = re.split(r"\s+", css, flags=re.A)
+        met = tuple(k for k, s in wanted.items() if (s[1:] in css if s.startswith("*") else s in names))
+    return name, False, name is not None and name not in VOID, ENDS.get(name, ()), met, text
+
+
+def _scan(page: str, wanted: dict[str, str], known: dict[str, tuple]) -> list[tuple]:
+    """The elements of a page as (at, end, name, tag, parts); ``known`` keeps what tags were found to say."""
+    stack: list[str] = []
+    open_: list[tuple] = []  # depth, at, name, tag, parts
+    done, at, n = [], 0, 0
+
+    def close(depth: int, end: int) -> None:
+        while open_ and open_[-1][0] > depth:
+            _, begin, name, tag, parts = open_.pop()
+            done.append((begin, end, name, tag, parts))
+
+    def says(text: str) -> None:
+        if "&" in text:
+            text = _REFERENCES.sub(_reference, text)
+        if text := text.strip(_SPACE):
+            for o in open_:
+                o[4].append(text)
+
+    for m in _TAG.finditer(page):
+        start, inside = m.span()
+        if open_ and start > at:
+            says(page[at:start])
+        at, whole = inside, m[0]
+        if (tag := known.get(whole)) is None:
+            tag = known[whole] = _tag(m, wanted)
+        name, closes, pushes, ends, met, text = tag
+        if closes:
+            if name in stack:
+                while stack.pop() != name:
+                    pass
+                n = len(stack)
+                if open_:
+                    close(n, start)
+            continue
+        if ends and stack and stack[-1] in ends:
+            stack.pop()
+            if stack and stack[-1] in ends:
+                stack.pop()
+            n = len(stack)
+            if open_:
+                close(n, start)
+        for k in met:
+            if pushes:
+                open_.append((n + 1, inside, k, text, []))
+            else:
+                done.append((inside, inside, k, text, []))
+        if pushes:
+            stack.append(name)
+            n += 1
+    if open_:
+        says(page[at:])
+        close(-1, len(page))
+    done.sort(key=_ORDER)
+    return done
+
+
+def _scanned(pages: pa.Array, wanted: dict[str, str]) -> pa.Array:
+    known: dict[str, tuple] = {}
+    out = []
+    for page in pages.to_pylist():
+        if len(known) > 10_000:  # a memo only
+            known.clear()
+        out.append(None if page is None else _scan(page, wanted, known))
+    flat = [e for found in out if found for e in found]
+    ends = list(accumulate((len(found or ()) for found in out), initial=0))
+    columns = zip(*flat, strict=True) if flat else [[]] * 5
+    rows = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ELEMENT, strict=True)], fields=list(_ELEMENT))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=pa.array([found is None for found in out]))
 
 
 def marked(page: Column, wanted: dict[str, str]) -> Column:
-    """All elements that meet a selector, in order of their start: array of struct(at, end, name, tag).
+    """All elements that meet a selector, in order of their start: array of struct(at, end, name, tag, parts).
 
     ``wanted``: selectors by name, a class or, behind ``*``, a part of the class attribute. ``at`` and ``end``
-    bound the element's inside (from 0, in characters), ``tag`` is its start tag.
+    bound the element's inside (from 0, in characters), ``tag`` is its start tag, ``parts`` are the pieces of text
+    inside it as :func:`text_parts` gives them.
 
     The automaton keeps the stack of open elements. An end tag closes the innermost open element of its
     name with all that is open inside it, and is ignored if there is none; a start tag first closes what
@@ -53,58 +145,8 @@ def marked(page: Column, wanted: dict[str, str]) -> Column:
     the end of the page ends there. Tags inside comments, scripts and styles don't count. The pass is
     linear in the tags, times the depth. A page without such elements has an empty array, a null page null.
     """
-    before, tags = F.split(page, TAG, -1), F.regexp_extract_all(page, F.lit(TAG), F.lit(0))
-    token = lambda text, tag: F.struct(
-        F.length(text).alias("text"),
-        F.length(tag).alias("length"),
-        F.lower(F.regexp_extract(tag, r"(?is)^</?([a-z][^\s/>]*+)(?!.*</\1\s*>$)", 1)).alias("name"),
-        tag.startswith("</").alias("closes"),
-        F.when(tag.startswith("</") | tag.isNull(), F.array().cast("array<string>")).otherwise(_chosen(tag, wanted)).alias("chosen"),
-        tag.alias("tag"),
-    )
-    ends = F.create_map(*[x for name, others in ENDS.items() for x in (F.lit(name), F.array(*map(F.lit, others)))])
-    begin = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<at:int,depth:int,name:string,tag:string>>").alias("open"),
-        F.array().cast("array<struct<at:int,end:int,name:string,tag:string>>").alias("done"),
-    )
-
-    def pop(stack: Column, others: Column) -> Column:
-        return let(stack, lambda s: F.when(F.array_contains(others, F.try_element_at(s, F.lit(-1))), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s))
-
-    def kept(stack: Column, t: Column) -> Column:
-        """The stack that stays open at a tag."""
-        inner = F.array_position(F.reverse(stack), t["name"]).cast("int")
-        closed = F.when(inner > 0, F.slice(stack, F.lit(1), F.size(stack) - inner)).otherwise(stack)
-        opened = let(F.coalesce(F.try_element_at(ends, t["name"]), F.array().cast("array<string>")), lambda o: pop(pop(stack, o), o))
-        return F.when(t["name"] == "", stack).when(t["closes"], closed).otherwise(opened)
-
-    def step(state: Column, t: Column) -> Column:
-        at = state["at"] + t["text"]
-        pushes = (t["name"] != "") & ~t["closes"] & ~t["name"].isin(*VOID)
-
-        def after(stack: Column) -> Column:
-            depth = F.size(stack)
-            ended = F.transform(F.filter(state["open"], lambda o: o["depth"] > depth), lambda o: F.struct(o["at"].alias("at"), at.alias("end"), o["name"].alias("name"), o["tag"].alias("tag")))
-            inside = at + t["length"]
-            more = F.transform(t["chosen"], lambda c: F.struct(inside.alias("at"), (depth + 1).alias("depth"), c.alias("name"), t["tag"].alias("tag")))
-            void = F.transform(t["chosen"], lambda c: F.struct(inside.alias("at"), inside.alias("end"), c.alias("name"), t["tag"].alias("tag")))
-            still = F.filter(state["open"], lambda o: o["depth"] <= depth)
-            return F.struct(
-                F.when(pushes, F.array_append(stack, t["name"])).otherwise(stack).alias("stack"),
-                inside.alias("at"),
-                F.when(pushes, F.concat(still, more)).otherwise(still).alias("open"),
-                F.concat(state["done"], ended, F.when(pushes, F.slice(void, 1, 0)).otherwise(void)).alias("done"),
-            )
-
-        return F.when(t["tag"].isNull(), F.struct(state["stack"].alias("stack"), at.alias("at"), state["open"].alias("open"), state["done"].alias("done"))).otherwise(let(kept(state["stack"], t), after))
-
-    def finish(state: Column) -> Column:
-        rest = F.transform(state["open"], lambda o: F.struct(o["at"].alias("at"), state["at"].alias("end"), o["name"].alias("name"), o["tag"].alias("tag")))
-        return F.array_sort(F.concat(state["done"], rest))
-
-    return F.aggregate(F.zip_with(before, tags, token), begin, step, finish)
+    scan = F.arrow_udf(lambda pages: _scanned(pages, wanted), "array<struct<at:int,end:int,name:string,tag:string,parts:array<string>>>")
+    return scan(F.make_valid_utf8(page))
 
 
 def bodies(page: Column, elements: Column, name: str) -> Column:
@@ -117,11 +159,13 @@ def start_tags(elements: Column, name: str) -> Column:
 
 
 _REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_REFERENCES = re.compile(_REFERENCE, re.A)
+_NAMED = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
 
 
 def decoded(text: Column) -> Column:
     """Character references as characters, each once; those that name none stay."""
-    named = F.str_to_map(F.lit("\x02".join(f"{name}\x01{chr(code)}" for name, code in {**name2codepoint, "apos": 39}.items())), F.lit("\x02"), F.lit("\x01"))
+    named = F.str_to_map(F.lit("\x02".join(f"{name}\x01{char}" for name, char in _NAMED.items())), F.lit("\x02"), F.lit("\x01"))
 
     def char(code: Column) -> Column:
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
@@ -150,5 +194,4 @@ def text_of(fragment: Column, between: str = "") -> Column:
 
 def with_parts(page: Column, elements: Column) -> Column:
     """The elements as array of struct(name, tag, parts): the pieces of each one's whole text."""
-    part = lambda e: text_parts(F.substring(page, e["at"] + 1, e["end"] - e["at"]))
-    return F.transform(elements, lambda e: F.struct(e["name"].alias("name"), e["tag"].alias("tag"), part(e).alias("parts")))
+    return F.transform(elements, lambda e: F.struct(e["name"].alias("name"), e["tag"].alias("tag"), e["parts"].alias("parts")))

@@ -172,8 +172,13 @@ def detail_record(elements: Column, job: Column, values: Column) -> dict[str, Co
     }
 
 
-def details(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` of ``pages`` and all fields of :func:`detail_record`; a page's tags are gone through once for all fields."""
-    found = evaluated(pages.select(*keep, F.col(page).alias("_page")), {"_found": E.marked(F.col("_page"), CLASSES), "_job": job_json(F.col("_page"))})
-    found = evaluated(found.select(*keep, "_job", E.with_parts(F.col("_page"), F.col("_found")).alias("_elements")), {"_values": key_values(first_text(F.col("_elements"), "block", "\n"))})
-    return found.select(*keep, *[c.alias(name) for name, c in detail_record(F.col("_elements"), F.col("_job"), F.col("_values")).items()])
+def details(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = (), also: dict[str, str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``pages`` and all fields of :func:`detail_record`; a page's tags are gone through once for all fields.
+
+    ``also``: further selectors by name, each an array of the whole texts of its elements in page order.
+    """
+    also = also or {}
+    found = pages.select(*keep, E.marked(F.col(page), CLASSES | also).alias("_elements"), job_json(F.col(page)).alias("_job"))
+    found = evaluated(found, {"_values": key_values(first_text(F.col("_elements"), "block", "\n"))})
+    fields = detail_record(F.col("_elements"), F.col("_job"), F.col("_values")) | {name: texts_of(F.col("_elements"), name, " ") for name in also}
+    return found.select(*keep, *[c.alias(name) for name, c in fields.items()])

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import postings as P
-from ..functions.text import blank_to_null, evaluated
+from ..functions.text import blank_to_null
 from ..operators import dedup, html, quality, reports, sets
-from ..operators.elements import marked, with_parts
 from ..schemas import STATE
 from ..session import spread, stage
 from ..sources import crawl, files, payload
@@ -602,10 +601,8 @@ def page_nested(spark, sf_dir):
     spread(read(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
     spark.sql(FACTS).createOrReplaceTempView("facts")
     pages = spark.sql(NESTED_PAGES)
-    sites = evaluated(pages, {"found": with_parts(F.col("html"), marked(F.col("html"), {"site": "site"}))})
-    texts = html.texts_of(F.col("found"), "site", " ")
-    sites = sites.select("id", F.array_join(texts, "\n").alias("sites"), F.size(texts).alias("n_sites"))
-    return html.details(pages, "html", ("id",)).select("id", *names).join(sites, "id")
+    found = html.details(pages, "html", ("id",), {"sites": "site"})
+    return found.select("id", *names, F.array_join("sites", "\n").alias("sites"), F.size("sites").alias("n_sites"))
 
 
 @query(

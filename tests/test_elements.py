@@ -83,3 +83,18 @@ def test_elements_of_a_long_page(spark):
     page = "<div class=a>" + "<div><p>x" * 3000 + "</div>" * 3000 + "</div>tail"
     found = spark.createDataFrame([(page,)], "html string").select(html.class_text(F.col("html"), "a").alias("t")).first()
     assert found.t == "x" * 3000
+
+
+def test_marks_in_comments_and_scripts_are_no_elements(spark):
+    page = '<!-- <b class="a">no</b> --><script>x = \'<i class="a">no</i>\'</script><script class="a">no</script><p class="a">yes &amp; <!-- </p> --> so</p><script class="a">open'
+    found = spark.createDataFrame([(page,)], "html string").select(E.marked(F.col("html"), {"a": "a"}).alias("e")).first().e
+    assert [(x.tag, x.parts) for x in found] == [('<script class="a">', []), ('<p class="a">', ["yes &", "so"]), ('<script class="a">', ["open"])]
+
+
+def test_detail_pages_are_read_in_one_pass(spark, tmp_path):
+    """No join of a table with itself, and the elements of a page by one Arrow function."""
+    from postmill.plans import queries as Q
+
+    spark.range(20).selectExpr("id as o_orderkey", "id as o_custkey", "timestamp'2020-01-01' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    plan = Q.QUERIES["page_nested"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
