@@ -11,11 +11,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import AFTER_NON_LETTER, AFTER_SPACE_OR_APOSTROPHE, blank_to_null, squeeze, strip_all, title_case
+from .text import AFTER_NON_LETTER, AFTER_SPACE_OR_APOSTROPHE, blank_to_null, having, squeeze, strip_all, title_case
 
 # Qualifiers, suffixes, abbreviations, places, levels, terms.
 NATIONALS = (r"SAUDI\s*NATIONALS?\s*ONLY", r"SAUDI\s*NATIONALS?", r"Saudi\s*Only", r"Saudis?\s*Only")
 NATIONALS_ARABIC = r"متاح\s*للسعوديين"
+#: What every text with a qualifier, with a legal suffix has in it.
+NATIONAL_WORDS = ("saudi", "متاح")
+SUFFIX_WORDS = ("ltd", "llc", "l.l.c", "co", "inc", "plc", "gmbh", "s.a.")
 LEGAL_SUFFIX = r"\s*,?\s*\b(Ltd\.?|LLC\.?|L\.L\.C\.?|Co\.?|Corp\.?|Inc\.?|PLC\.?|GmbH|S\.A\.)\s*$"
 ABBREVIATIONS = {"Intl": "International", "Mgmt": "Management", "Grp": "Group"}
 COUNTRY_NAMES = ("saudi arabia", "ksa", "المملكة العربية السعودية")
@@ -63,21 +66,24 @@ def _qualifier(lead: str) -> str:
 
 
 def national_only(raw: Column) -> Column:
-    return F.coalesce(raw, F.lit("")).rlike("(?i)" + _qualifier(""))
+    text = F.coalesce(raw, F.lit(""))
+    return having(text, NATIONAL_WORDS, text.rlike("(?i)" + _qualifier("")), F.lit(False))
 
 
 def clean_title(raw: Column) -> Column:
     """The title without nationality qualifiers; empty becomes null."""
-    return blank_to_null(F.trim(squeeze(F.regexp_replace(F.coalesce(raw, F.lit("")), "(?i)" + _qualifier(r"\s*"), ""))))
+    text = F.coalesce(raw, F.lit(""))
+    return blank_to_null(F.trim(squeeze(having(text, NATIONAL_WORDS, F.regexp_replace(text, "(?i)" + _qualifier(r"\s*"), ""), text))))
 
 
 def _expand(c: Column, pattern: str) -> Column:
-    return reduce(lambda x, k: F.regexp_replace(x, "(?i)" + pattern.format(k), ABBREVIATIONS[k]), ABBREVIATIONS, c)
+    return having(c, tuple(k.lower() for k in ABBREVIATIONS), reduce(lambda x, k: F.regexp_replace(x, "(?i)" + pattern.format(k), ABBREVIATIONS[k]), ABBREVIATIONS, c), c)
 
 
 def clean_company(raw: Column) -> Column:
     """Without one legal suffix, abbreviations expanded, in title case; empty becomes null."""
-    bare = F.regexp_replace(F.coalesce(raw, F.lit("")), "(?i)" + LEGAL_SUFFIX, "")
+    text = F.coalesce(raw, F.lit(""))
+    bare = having(text, SUFFIX_WORDS, F.regexp_replace(text, "(?i)" + LEGAL_SUFFIX, ""), text)
     return blank_to_null(F.trim(title_case(_expand(bare, r"\b{}\.?\b"))))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,15 @@ AFTER_NON_LETTER, AFTER_SPACE_OR_APOSTROPHE = r"(?<=\P{L})(?=\p{L})", r"(?<=[ ']
 
 
 def title_case(c: Column, boundary: str = AFTER_NON_LETTER) -> Column:
-    """Upper-case the first letter of each word and lower-case the others."""
+    """Upper-case the first letter of each word and lower-case the others; of letters of ASCII and spaces by the built-in function."""
     words = F.split(c, boundary)
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+    return F.when(c.rlike(r"\A[A-Za-z ]*\z"), F.initcap(c)).otherwise(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), ""))
+
+
+def having(c: Column, words: tuple[str, ...], then: Column, otherwise: Column) -> Column:
+    """``then`` where the lower-cased text has one of the words, which is cheaper to see than whether a pattern with them matches."""
+    low = F.lower(c)
+    return F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), then).otherwise(otherwise)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -44,7 +52,9 @@ def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     A filter or join above a plain projection makes the optimizer copy the projection's expressions
     into the condition, again at every level; long regular-expression chains are then evaluated many
-    times. A generator of one row is a border that conditions don't cross.
+    times. A generator of one row is a border that conditions don't cross; what the columns have in
+    common is computed once in the projection below it.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline_outer(F.array(row)))
+    made = df.select("*", *[c.alias(f"_made_{name}") for name, c in columns.items()])
+    row = F.struct(*[F.col(f"_made_{name}").alias(name) for name in columns])
+    return made.select(*df.columns, F.inline_outer(F.array(row)))

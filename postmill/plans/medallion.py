@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,15 @@ from ..sources import payload
 SOURCES_WITHOUT_DATE = ("careerjet",)
 
 
-def clean(staged: DataFrame) -> DataFrame:
+#: What a fingerprint is made of.
+PRINTED = ("title", "company_name", "location_city")
+
+
+def clean(staged: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """The cleaned columns and the fingerprint, or those of them that ``only`` names: unused ones behind the border of ``evaluated`` would be computed."""
+    wanted = lambda name: only is None or name in only or ("job_fingerprint" in only and name in PRINTED)
     city, country = P.parse_location(F.col("location_raw"))
-    out = evaluated(staged, {
+    made = {
         "title": P.clean_title(F.col("title_raw")),
         "saudi_national_only": P.national_only(F.col("title_raw")),
         "company_name": P.clean_company(F.col("company_raw")),
@@ -26,13 +34,16 @@ def clean(staged: DataFrame) -> DataFrame:
         "location_country": country,
         "posting_date": F.col("posting_date_raw").try_cast("date"),
         "career_level_raw": F.col("title_raw"),
-    })
+    }
+    out = evaluated(staged, {name: c for name, c in made.items() if wanted(name)})
     out = out.withColumnRenamed("company_raw", "company_name_raw").drop("posting_date_raw")
-    return evaluated(out, {"job_fingerprint": P.fingerprint(F.col("title"), F.col("company_name"), F.col("location_city"))})
+    return evaluated(out, {"job_fingerprint": P.fingerprint(*map(F.col, PRINTED))}) if wanted("job_fingerprint") else out
 
 
-def standardize(cleaned: DataFrame) -> DataFrame:
-    return evaluated(cleaned, {"career_level": P.career_level(F.col("career_level_raw")), **P.salary(F.col("salary_raw")), "out_of_region": P.out_of_region(F.col("location_country"))})
+def standardize(cleaned: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """The standardized columns, or those of them that ``only`` names."""
+    made = {"career_level": P.career_level(F.col("career_level_raw")), **P.salary(F.col("salary_raw")), "out_of_region": P.out_of_region(F.col("location_country"))}
+    return evaluated(cleaned, {name: c for name, c in made.items() if only is None or name in only})
 
 
 def standardized(raw: DataFrame) -> DataFrame:

@@ -47,12 +47,9 @@ def staged(spark, sf_dir):
     return payload.staged_union(postings(spark, sf_dir))
 
 
-def cleaned(spark, sf_dir):
-    return medallion.clean(staged(spark, sf_dir))
-
-
-def standardized(spark, sf_dir):
-    return medallion.standardize(cleaned(spark, sf_dir))
+def cleaned(spark, sf_dir, *only):
+    """Cleaned postings; of the columns that are made, those named (all if none is)."""
+    return medallion.clean(staged(spark, sf_dir), only or None)
 
 
 def silver(spark, sf_dir):
@@ -78,12 +75,12 @@ def payload_path_extract(spark, sf_dir):
 
 @query("{chain} select raw_id, title, saudi_national_only from cleaned")
 def clean_title(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("raw_id", "title", "saudi_national_only")
+    return cleaned(spark, sf_dir, "title", "saudi_national_only").select("raw_id", "title", "saudi_national_only")
 
 
 @query("{chain} select raw_id, company_name from cleaned")
 def clean_company(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("raw_id", "company_name")
+    return cleaned(spark, sf_dir, "company_name").select("raw_id", "company_name")
 
 
 @query()
@@ -93,34 +90,34 @@ def clean_company_py(spark, sf_dir):
 
 @query("{chain} select raw_id, location_city, location_country from cleaned")
 def parse_location(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("raw_id", "location_city", "location_country")
+    return cleaned(spark, sf_dir, "location_city", "location_country").select("raw_id", "location_city", "location_country")
 
 
 @query("{chain} select raw_id, job_fingerprint from printed")
 def fingerprint3(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("raw_id", "job_fingerprint")
+    return cleaned(spark, sf_dir, "job_fingerprint").select("raw_id", "job_fingerprint")
 
 
 @query("{chain} select raw_id, case when source_name = 'careerjet' then job_fingerprint else sha256(coalesce(upper(trim(title)), 'NULL') || '|' || coalesce(upper(trim(company_name)), 'NULL') || '|' || coalesce(upper(trim(location_city)), 'NULL') || '|' || coalesce(cast(posting_date as varchar), 'NULL')) end as job_fingerprint from printed")
 def fingerprint4(spark, sf_dir):
     dated = ~F.col("source_name").isin(*medallion.SOURCES_WITHOUT_DATE)
     made = P.fingerprint(F.col("title"), F.col("company_name"), F.col("location_city"), F.col("posting_date").cast("string"), dated)
-    return cleaned(spark, sf_dir).select("raw_id", made.alias("job_fingerprint"))
+    return cleaned(spark, sf_dir, *medallion.PRINTED, "posting_date").select("raw_id", made.alias("job_fingerprint"))
 
 
 @query("{chain} select raw_id, career_level from standardized")
 def career_level(spark, sf_dir):
-    return standardized(spark, sf_dir).select("raw_id", "career_level")
+    return medallion.standardize(cleaned(spark, sf_dir, "career_level_raw"), ["career_level"]).select("raw_id", "career_level")
 
 
 @query("{chain} select raw_id, case when regexp_matches(career_level_raw, 'vp\\b', 'i') and career_level = 'Unspecified' then 'Executive' else career_level end as career_level from standardized")
 def career_level_py(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("raw_id", P.career_level(F.col("career_level_raw"), py=True).alias("career_level"))
+    return cleaned(spark, sf_dir, "career_level_raw").select("raw_id", P.career_level(F.col("career_level_raw"), py=True).alias("career_level"))
 
 
 @query("{chain} select raw_id, cast(salary_min as double) as salary_min, cast(salary_max as double) as salary_max, salary_currency, salary_period from standardized")
 def salary_parse(spark, sf_dir):
-    d = standardized(spark, sf_dir)
+    d = medallion.standardize(cleaned(spark, sf_dir, "career_level_raw"), list(P.salary(F.col("salary_raw"))))
     return d.select("raw_id", F.col("salary_min").cast("double").alias("salary_min"), F.col("salary_max").cast("double").alias("salary_max"), "salary_currency", "salary_period")
 
 
@@ -140,7 +137,7 @@ def salary_parse_py(spark, sf_dir):
 
 @query("{chain} select raw_id, out_of_region from standardized")
 def out_of_region(spark, sf_dir):
-    return standardized(spark, sf_dir).select("raw_id", "out_of_region")
+    return medallion.standardize(cleaned(spark, sf_dir, "location_country"), ["out_of_region"]).select("raw_id", "out_of_region")
 
 
 # -- duplicates ---------------------------------------------------------------
@@ -148,7 +145,7 @@ def out_of_region(spark, sf_dir):
 
 @query("{chain} select raw_id, is_duplicate, duplicate_of_raw_id from deduplicated")
 def dedup_first_by_fp(spark, sf_dir):
-    keys = stage(cleaned(spark, sf_dir).select("raw_id", "collected_at", "job_fingerprint"), "keys")  # read twice, cleaned once
+    keys = stage(cleaned(spark, sf_dir, "job_fingerprint").select("raw_id", "collected_at", "job_fingerprint"), "keys")  # read twice, cleaned once
     return dedup.first_by_fingerprint(keys).select("raw_id", "is_duplicate", "duplicate_of_raw_id")
 
 
@@ -329,7 +326,7 @@ def distinct_urls(spark, sf_dir):
 
 @query("{chain} select coalesce(location_city, '(no city)') as location_city, count(*) as n, 100.0::double * count(*) / sum(count(*)) over () as percent from cleaned group by 1")
 def freq_percent(spark, sf_dir):
-    return reports.frequencies(cleaned(spark, sf_dir), "location_city", "(no city)")
+    return reports.frequencies(cleaned(spark, sf_dir, "location_city"), "location_city", "(no city)")
 
 
 @query("{chain} select min(collected_at) as first, max(collected_at) as last, substr(max(collected_at), 1, 10) as last_day from postings")
@@ -347,7 +344,7 @@ def column_profile(spark, sf_dir):
 
 @query("{chain} select count(*) filter (coalesce(source_job_id, '') <> '') as with_native_id, count(*) filter (coalesce(source_job_id, '') = '' and coalesce(job_fingerprint, '') <> '') as fingerprint_only, count(*) filter (coalesce(source_job_id, '') = '' and coalesce(job_fingerprint, '') = '') as neither from printed")
 def key_coverage(spark, sf_dir):
-    return reports.key_coverage(cleaned(spark, sf_dir))
+    return reports.key_coverage(cleaned(spark, sf_dir, "job_fingerprint"))
 
 
 @query("{chain} select count(*) as n, count(distinct source_url) as distinct_n, count(source_url) - count(distinct source_url) as duplicates from postings")
@@ -364,7 +361,7 @@ def reports_by_run(spark, sf_dir):
     from ..operators import run_totals
     from ..session import scratch
 
-    rows, root = stage(cleaned(spark, sf_dir).select("run_id", "source_url", "location_city"), "totals"), scratch(spark, "totals")
+    rows, root = stage(cleaned(spark, sf_dir, "location_city").select("run_id", "source_url", "location_city"), "totals"), scratch(spark, "totals")
     for run in ("run-0", "run-1", "run-2", "run-2"):
         run_totals.add_run(run, rows.where(F.col("run_id") == run), root, ["location_city"], ["source_url"])
     cities = run_totals.frequencies(spark, root, "location_city", "(no city)").select(F.lit("city").alias("report"), F.col("location_city").alias("value"), "n", F.col("percent").alias("share"))
@@ -375,7 +372,7 @@ def reports_by_run(spark, sf_dir):
 
 @query("{chain} select raw_id, (title is null)::int + (company_name is null)::int + (location_city is null)::int as missing from cleaned")
 def row_null_count(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("raw_id", quality.missing_parts().alias("missing"))
+    return cleaned(spark, sf_dir, *medallion.PRINTED).select("raw_id", quality.missing_parts().alias("missing"))
 
 
 @query("{chain} select run_id, min(collected_at) as started_at from postings group by run_id order by started_at desc, run_id desc limit 1")
@@ -390,7 +387,7 @@ def recent_5(spark, sf_dir):
 
 @query("{chain} select title, count(*) as n from cleaned group by 1 order by n desc, title nulls first limit 10")
 def top_k_freq(spark, sf_dir):
-    return reports.top_k(cleaned(spark, sf_dir), "title", 10)
+    return reports.top_k(cleaned(spark, sf_dir, "title"), "title", 10)
 
 
 @query("{chain} select raw_id, run_id from postings where run_id = 'run-1'")
@@ -480,7 +477,7 @@ def first_writer_stream(spark, sf_dir):
     from ..session import scratch
     from ..streaming.first_writer import first_writers
 
-    rows = stage(cleaned(spark, sf_dir).select("raw_id", "run_id", "source_name", "collected_at", "job_fingerprint"), "writes")
+    rows = stage(cleaned(spark, sf_dir, "job_fingerprint").select("raw_id", "run_id", "source_name", "collected_at", "job_fingerprint"), "writes")
     rows = rows.withColumn("ordinal", F.substring("raw_id", 5, 9).cast("bigint"))
     source, out, checkpoint = (scratch(spark, k) for k in ("writes-in", "writes-out", "writes-checkpoint"))
     for run in ("run-0", "run-1", "run-2"):
@@ -574,7 +571,7 @@ def blank_and_head(spark, sf_dir):
 
 
 def _detail_pages(spark, sf_dir):
-    spread(read(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).createOrReplaceTempView("orders")
     spark.sql(FACTS).createOrReplaceTempView("facts")
     return spark.sql(PAGES)
 
@@ -598,7 +595,7 @@ def page_details(spark, sf_dir):
 def page_nested(spark, sf_dir):
     """Fields of pages whose elements hold elements of the same name."""
     names = ("title", "company", "city", "job_description", "experience", "required_skills", "apply_path")
-    spread(read(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).createOrReplaceTempView("orders")
     spark.sql(FACTS).createOrReplaceTempView("facts")
     pages = spark.sql(NESTED_PAGES)
     found = html.details(pages, "html", ("id",), {"sites": "site"})
@@ -637,7 +634,7 @@ def layer_counts(spark, sf_dir):
     raw = postings(spark, sf_dir)
     silver_rows = medallion.silver(raw)  # parsed once for both layers
     gold_rows = silver_rows.where(~F.col("is_duplicate") & ~F.col("is_rejected"))
-    return reports.layer_counts({"postings": raw, "staged": payload.staged_union(raw), "silver": silver_rows, "gold": gold_rows})
+    return reports.layer_counts({"postings": raw, "staged": payload.known(raw), "silver": silver_rows, "gold": gold_rows})
 
 
 @query("{chain}, w as (select * from silver where not is_rejected and not is_duplicate) select count(*) as expected, count(*) as loaded, 0::bigint as failed, count(*) as stored, true as agrees from w")
@@ -690,7 +687,7 @@ def latest_run_scan(spark, sf_dir):
 
 @query("{chain} select raw_id, title from cleaned order by raw_id limit 3")
 def first_3(spark, sf_dir):
-    return reports.first_rows(cleaned(spark, sf_dir).select("raw_id", "title"), "raw_id", 3)
+    return reports.first_rows(cleaned(spark, sf_dir, "title").select("raw_id", "title"), "raw_id", 3)
 
 
 @query("{chain} select source_name, count(*) as n from gold group by 1")

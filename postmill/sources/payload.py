@@ -21,9 +21,33 @@ def text(key: str) -> Column:
     return blank_to_null(at(key))
 
 
-def place(city: str, country: str) -> Column:
+def _opened(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """``raw`` with the payload's values as columns (see :func:`_at`), each payload parsed once for all keys.
+
+    They are those of :func:`at`: a payload that repeats a key, of which that gives the first, is looked up key by key.
+    """
+    opened = raw.select("*", F.json_tuple("raw_payload", *keys).alias(*map(_column, keys)))
+    names = F.json_object_keys("raw_payload")
+    opened = opened.withColumn("_json_twice", F.size(F.array_distinct(names)) < F.size(names))
+    return opened.withColumns({_column(k): F.when(F.col("_json_twice"), at(k)).otherwise(_at(k)) for k in keys})
+
+
+def _column(key: str) -> str:
+    """The name of a key's column; names of columns don't differ by case alone."""
+    return f"_json_{key}" if key.islower() else f"_json_upper_{key.lower()}"
+
+
+def _at(key: str) -> Column:
+    return F.col(_column(key))
+
+
+def _text(key: str) -> Column:
+    return blank_to_null(_at(key))
+
+
+def _place(city: str, country: str) -> Column:
     """City and country as one text; a city alone is at home."""
-    return F.when(text(city).isNotNull(), F.concat(text(city), F.lit(", "), F.coalesce(text(country), F.lit(HOME)))).otherwise(text(country))
+    return F.when(_text(city).isNotNull(), F.concat(_text(city), F.lit(", "), F.coalesce(_text(country), F.lit(HOME)))).otherwise(_text(country))
 
 
 def nothing() -> Column:
@@ -32,17 +56,30 @@ def nothing() -> Column:
 
 #: Of each source the seven payload columns, in canonical order.
 MAPPINGS = {
-    "careerjet": lambda: (text("title"), text("company"), text("locations"), text("description"), text("salary"), at("date"), nothing()),
-    "jooble": lambda: (text("title"), text("company"), text("location"), text("snippet"), F.nullif(text("salary"), F.lit("null")), at("updated"), at("updated")),
-    "tanqeeb": lambda: (text("job_title"), text("company"), place("city", "country"), text("job_description"), text("salary"), at("scraped_at"), at("posting_date")),
-    "techmap": lambda: (text("title"), text("company"), place("city", "country"), nothing(), nothing(), at("date_created"), at("date_created")),
+    "careerjet": lambda: (_text("title"), _text("company"), _text("locations"), _text("description"), _text("salary"), _at("date"), nothing()),
+    "jooble": lambda: (_text("title"), _text("company"), _text("location"), _text("snippet"), F.nullif(_text("salary"), F.lit("null")), _at("updated"), _at("updated")),
+    "tanqeeb": lambda: (_text("job_title"), _text("company"), _place("city", "country"), _text("job_description"), _text("salary"), _at("scraped_at"), _at("posting_date")),
+    "techmap": lambda: (_text("title"), _text("company"), _place("city", "country"), nothing(), nothing(), _at("date_created"), _at("date_created")),
 }
+#: Of each source the payload's keys that its mapping reads.
+KEYS = {
+    "careerjet": ("title", "company", "locations", "description", "salary", "date"),
+    "jooble": ("title", "company", "location", "snippet", "salary", "updated"),
+    "tanqeeb": ("job_title", "company", "city", "country", "job_description", "salary", "scraped_at", "posting_date"),
+    "techmap": ("title", "company", "city", "country", "date_created"),
+}
+
+
+def known(raw: DataFrame) -> DataFrame:
+    """Rows of sources that have a mapping: as many as the staging relation has."""
+    return raw.where(F.col("source_name").isin(*MAPPINGS))
 
 
 def staged(raw: DataFrame, source: str) -> DataFrame:
     """One source's staging relation; partitions of other sources aren't read."""
     columns = [c.alias(name) for name, c in zip(CANONICAL[6:], MAPPINGS[source](), strict=True)]
-    return require_canonical(raw.where(F.col("source_name") == source).select(*CANONICAL[:6], *columns))
+    rows = _opened(raw.where(F.col("source_name") == source), list(KEYS[source]))
+    return require_canonical(rows.select(*CANONICAL[:6], *columns))
 
 
 def staged_union(raw: DataFrame) -> DataFrame:
@@ -51,23 +88,25 @@ def staged_union(raw: DataFrame) -> DataFrame:
     One scan with the mapping chosen by source, instead of a scan for each source and a union:
     the payload is read and parsed once. Rows of other sources are left out.
     """
-    known = raw.where(F.col("source_name").isin(*MAPPINGS))
+    rows = _opened(known(raw), sorted({k for keys in KEYS.values() for k in keys}))
     mapped = {s: make() for s, make in MAPPINGS.items()}
     columns = []
     for i, name in enumerate(CANONICAL[6:]):
         choice = reduce(lambda c, s: c.when(F.col("source_name") == s, mapped[s][i]), list(mapped)[1:], F.when(F.col("source_name") == list(mapped)[0], mapped[list(mapped)[0]][i]))
         columns.append(choice.alias(name))
-    return require_canonical(known.select(*CANONICAL[:6], *columns))
+    return require_canonical(rows.select(*CANONICAL[:6], *columns))
 
 
 def generic(raw: DataFrame) -> DataFrame:
     """One list of keys for every source, the first present wins."""
-    first = lambda *keys: F.coalesce(*[text(k) for k in keys])
-    return raw.withColumns({
+    first = lambda *keys: F.coalesce(*[_text(k) for k in keys])
+    made = {
         "title_raw": first("title", "Title"),
         "company_raw": first("company", "Company"),
         "location_raw": first("locations", "location", "Location"),
         "description": first("description", "Description"),
         "salary_raw": first("salary", "Salary"),
         "posting_date_raw": first("date", "Date"),
-    })
+    }
+    keys = ["title", "Title", "company", "Company", "locations", "location", "Location", "description", "Description", "salary", "Salary", "date", "Date"]
+    return _opened(raw, keys).select(*[c for c in raw.columns if c not in made], *[c.alias(name) for name, c in made.items()])

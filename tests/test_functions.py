@@ -109,3 +109,47 @@ def test_fingerprints(spark):
 def test_title_case_equals_str_title(spark):
     words = ["o'neil al-faisal", "abc DEF", "x1y2", "ÉCOLE été", "", " a  b "]
     assert [r[0] for r in apply(spark, words, a=T.title_case(x()))] == [w.title() for w in words]
+
+
+def test_payloads_are_parsed_once_with_the_values_of_lookups(spark):
+    """One parse for all keys gives what a lookup of each key gives, on odd payloads too; no lookup is left in the plan of usual rows."""
+    from postmill.sources import payload
+
+    odd = [
+        '{"title":"a","company":"b"}', '{"title":"a","title":"b"}', '{"title":null,"title":"b","Title":"c"}', '{"title":{"x": [1, 2]},"company":[1,"2"],"salary":1.50,"date":1e3}', '{"title":"a","company":"b"', '{"title":"a"} tail',
+        '[{"title":"a"}]', '"title"', "", "{}", "not json", None, '{"title":"","company":true}', '{"title":"\\u00e9\\n\\"q\\"","company":"  b "}', ' {"title" : "a"}', '{"a":{"title":"no"},"title":"yes"}', '{"title":"a","x":"\\z"}', '{"Title":"T","COMPANY":"C"}',
+    ]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(odd)], "i int, raw_payload string")
+    keys = ["title", "Title", "company", "salary", "date"]
+    opened = payload._opened(rows, keys)
+    for r in opened.select("i", *[payload._at(k).alias(f"got{n}") for n, k in enumerate(keys)], *[payload.at(k).alias(f"want{n}") for n, k in enumerate(keys)]).collect():
+        assert r[1 : 1 + len(keys)] == r[1 + len(keys) :], odd[r.i]
+    for source, mapping in payload.KEYS.items():
+        assert set(mapping) == {k for k in ("title", "company", "locations", "location", "description", "snippet", "salary", "date", "updated", "job_title", "job_description", "city", "country", "scraped_at", "posting_date", "date_created") if any(f"_json_{k}" == w for c in payload.MAPPINGS[source]() for w in __import__("re").findall(r"_json_\w+", str(c)))}
+
+
+def test_title_case_of_plain_and_other_texts(spark):
+    from postmill.functions.text import AFTER_SPACE_OR_APOSTROPHE, title_case
+
+    texts = ["", "a", "  two  WORDS ", "o'neil al-faisal", "x\n", "é ABC", "AB1cd", "tab\tb", None, "Saudi", "ﬁne aB"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for boundary in (None, AFTER_SPACE_OR_APOSTROPHE):
+        words = F.split("t", boundary or r"(?<=\P{L})(?=\p{L})")
+        plain = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+        got = title_case(F.col("t"), boundary) if boundary else title_case(F.col("t"))
+        assert [r for r in df.select(got.alias("g"), plain.alias("w")).collect() if r.g != r.w] == []
+
+
+def test_only_the_columns_that_are_asked_for_are_made(spark, tmp_path):
+    """A query of one field evaluates no other, and tasks have a bounded number of rows."""
+    from postmill import session
+    from postmill.plans import queries as Q
+
+    spark.range(450_000).selectExpr("id as o_orderkey", "id as o_custkey", "timestamp'2020-01-01' as o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    orders = spark.read.parquet(str(tmp_path / "orders.parquet"))
+    assert session.spread(orders).rdd.getNumPartitions() == 4  # cores
+    wide = session.spread(orders.unionByName(orders).unionByName(orders))  # 1,350,000 rows
+    sizes = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 7 and max(sizes) <= 1.1 * session.TASK_ROWS
+    plan = Q.QUERIES["out_of_region"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "GmbH" not in plan and "negotiable" not in plan and "sha2" not in plan
