@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ log = logging.getLogger(__name__)
 
 #: Rounds that decide rows by their keys' first rows, before what is left goes through in order.
 KEY_ROUNDS = 4
+#: A round by keys that decides less than this share of its rows is the last: rows that share their keys in turn have as many rounds as links.
+LEAST_DECIDED = 0.1
 #: Rows that one task goes through in order, about.
 FOLD_ROWS = 100_000
 _UNDECIDED = "_o bigint, raw_id string, _fp string, _url string"
@@ -102,6 +105,38 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch of edges (a, b) its nodes with the least node that the batch's edges link them to."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def root(x: int, parent: dict[int, int] = parent) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"node": list(parent), "near": [root(x) for x in parent]})
+
+
+def _near_components(edges: DataFrame, order: str) -> DataFrame:
+    """:func:`components` where edges that belong together are mostly near each other in ``order``.
+
+    Edges are dealt in that order and contracted batch by batch; only nodes of more than one batch link what is
+    left of these, and only that goes through the rounds.
+    """
+    dealt = edges.repartitionByRange(order).sortWithinPartitions(order).select("a", "b")
+    near = stage(dealt.mapInPandas(_contracted, "node bigint, near bigint"), "near")
+    least = near.groupBy("node").agg(F.min("near").alias("least"), F.max("near").alias("_most")).where("least <> _most").drop("_most")
+    links = near.join(least, "node").select(F.col("near").alias("a"), F.col("least").alias("b"))
+    roots = components(links).select(F.col("node").alias("near"), F.col("component").alias("far"))
+    found = near.join(roots, "near", "left").select("node", F.coalesce("far", "near").alias("component"))
+    return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     """Rows of a group that share no key with an earlier one that stays."""
     urls, prints, stays = set(), set(), []
@@ -124,8 +159,8 @@ def _grouped(undecided: DataFrame) -> DataFrame:
         return undecided.withColumn("_g", F.lit(0).cast("bigint"))
     # nodes are keys' hashes: where two keys have one hash, two components are visited as one, which changes nothing
     node = F.xxhash64(F.concat(F.lit("u"), "_url"))
-    edges = undecided.where("_fp is not null").select(node.alias("a"), F.xxhash64(F.concat(F.lit("f"), "_fp")).alias("b"))
-    found = components(edges).select(F.col("node").alias("_node"), F.col("component").alias("_g"))
+    edges = undecided.where("_fp is not null").select("_o", node.alias("a"), F.xxhash64(F.concat(F.lit("f"), "_fp")).alias("b"))
+    found = _near_components(edges, "_o").select(F.col("node").alias("_node"), F.col("component").alias("_g"))
     return stage(undecided.withColumn("_node", node).join(found, "_node", "left").withColumn("_g", F.coalesce("_g", "_node")).drop("_node"), "dedup-groups")
 
 
@@ -154,13 +189,16 @@ def _first_comers(undecided: DataFrame) -> DataFrame:
     keys beside each other, no more than some FOLD_ROWS rows of one at a time.
     """
     undecided = stage(undecided, "dedup-undecided")
-    out = undecided.limit(0)
+    out, left = undecided.limit(0), undecided.count()
     for _ in range(KEY_ROUNDS):
-        if undecided.isEmpty():
+        if not left:
             return out
         log.debug("round by keys")
         kept = stage(_key_round(undecided), "dedup-kept")
         out, undecided = out.unionByName(kept), stage(_without(undecided, kept), "dedup-undecided")
+        before, left = left, undecided.count()
+        if before > FOLD_ROWS and left > (1 - LEAST_DECIDED) * before:
+            break
     groups = _grouped(undecided)
     while not groups.isEmpty():
         log.debug("round in order")

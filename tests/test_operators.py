@@ -310,3 +310,40 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (600, 600)], "a bigint, b bigint")
     got = {r.node: r.component for r in dedup.components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_chains_leave_the_rounds_by_keys_early(spark, monkeypatch):
+    """Rows that share their keys in turn: one round by keys, then components, not a round for every two rows decided."""
+    monkeypatch.setattr(dedup, "FOLD_ROWS", 300)
+    rounds, real = [], dedup._key_round
+    monkeypatch.setattr(dedup, "_key_round", lambda d: rounds.append(1) or real(d))
+    rows = spark.range(2000).selectExpr("id as _o", "cast(id as string) as raw_id", "case when id % 500 > 0 then concat('f', floor((id + 1) / 2)) end as _fp", "concat('u', floor(id / 2)) as _url")
+    assert sorted(r._o for r in dedup._first_comers(rows).collect()) == list(range(0, 2000, 2))
+    assert len(rounds) == 1
+
+
+def test_components_of_near_edges(spark, monkeypatch):
+    rnd = random.Random(8)
+    near = [(i, a := rnd.randrange(3000), a + rnd.choice([0, 1, 2, 700])) for i in range(1500)]
+    want = {x: x for _, *e in near for x in e}
+    for _ in range(60):
+        for _, a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    edges = spark.createDataFrame(near, "_o long, a long, b long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        got = {r.node: r.component for r in dedup._near_components(edges, "_o").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys()
+    assert len({(got[x], want[x]) for x in want}) == len(set(want.values())) == len(set(got.values()))
+
+
+def test_payloads_do_not_go_through_deduplication(spark, monkeypatch, tmp_path):
+    from postmill.plans import queries as Q
+
+    widths, real = [], dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda d, label: widths.append(d.columns) or real(d, label))
+    spark.range(300).selectExpr("id as o_orderkey", "id as o_custkey", "timestamp'2020-01-01' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    assert Q.QUERIES["dedup_sequential"](spark, str(tmp_path)).count() == 100
+    assert widths and not any({"raw_payload", "description", "title"} & set(w) for w in widths)
