@@ -190,6 +190,7 @@ def dedup_chain(spark, sf_dir):
 @query()
 def dedup_sequential(spark, sf_dir):
     batch = _batch(spark, sf_dir).where("run_id = 'run-0'")
+    batch = batch.select("raw_id", "run_id", "source_name", "source_job_id", "source_url", "job_fingerprint", "ordinal")  # payloads and texts would go through every join
     return dedup.sequential(batch, _history(spark, sf_dir), _state(spark, sf_dir)).select("raw_id", "is_duplicate", "duplicate_of_job_id")
 
 
