@@ -55,6 +55,8 @@ def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     times. A generator of one row is a border that conditions don't cross; what the columns have in
     common is computed once in the projection below it.
     """
+    if not columns:
+        return df
     made = df.select("*", *[c.alias(f"_made_{name}") for name, c in columns.items()])
     row = F.struct(*[F.col(f"_made_{name}").alias(name) for name in columns])
     return made.select(*df.columns, F.inline_outer(F.array(row)))

@@ -29,13 +29,26 @@ def first_by_fingerprint(df: DataFrame, key: str = "job_fingerprint", order: str
     fingerprint that very many rows share meets no single sort, unlike in a window. Ties go to the
     smaller id. Null order values come first, as they sort.
     """
-    order_key = F.struct(F.col(order).alias("at"), F.col(row_id).alias("id"))
-    winners = df.groupBy(F.col(key).alias("_key")).agg(F.min(order_key)["id"].alias("_winner"))
-    joined = df.join(winners, F.col(key).eqNullSafe(F.col("_key")))
+    joined = df.join(_winners(df, key, order, row_id), F.col(key).eqNullSafe(F.col("_key")))
     duplicate = ~F.col(row_id).eqNullSafe(F.col("_winner"))
     return joined.withColumns({"is_duplicate": duplicate, "duplicate_of_raw_id": F.when(duplicate, F.col("_winner"))}).drop("_key", "_winner")
 
 
+def _winners(df: DataFrame, key: str, order: str, row_id: str) -> DataFrame:
+    order_key = F.struct(F.col(order).alias("at"), F.col(row_id).alias("id"))
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min(order_key)["id"].alias("_winner"))
+
+
+def originals(df: DataFrame, among: DataFrame | None = None, key: str = "job_fingerprint", order: str = "collected_at", row_id: str = "raw_id") -> DataFrame:
+    """The rows of ``among`` (a part of ``df``; all of it if it is None) that :func:`first_by_fingerprint` of ``df`` finds no duplicates, with its columns.
+
+    Rows meet their winner by fingerprint and id: one that very many rows share is spread over all tasks.
+    """
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(row_id).eqNullSafe(F.col("_winner"))
+    kept = (df if among is None else among).join(_winners(df, key, order, row_id), same, "left_semi")
+    return kept.withColumns({"is_duplicate": F.lit(False), "duplicate_of_raw_id": F.lit(None).cast(df.schema[row_id].dataType)})
+
+
 def with_native_id_seen(batch: DataFrame, history: DataFrame) -> DataFrame:
     """Add native_seen: whether (source_name, source_job_id) occurs in the history."""
     known = history.where("source_job_id <> ''").select(F.col("source_name").alias("_s"), F.col("source_job_id").alias("_j")).distinct().withColumn("_seen", F.lit(True))

@@ -6,6 +6,7 @@ rejection as reason; the ``py`` one stops at fatal rules, knows two more, and gi
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -98,9 +99,18 @@ def py_rules() -> list[Rule]:
     ]
 
 
-def evaluate(df: DataFrame, py: bool = False) -> DataFrame:
-    """Add quality_flags, is_rejected and rejection_reason; a narrow transformation."""
+#: What the default rules add, and the columns that those which reject read.
+JUDGED = ("quality_flags", "is_rejected", "rejection_reason")
+REJECTING = ("title", "source_job_id", "job_fingerprint", "source_url", "collected_at", "salary_min", "salary_max")
+
+
+def evaluate(df: DataFrame, py: bool = False, only: Collection[str] | None = None) -> DataFrame:
+    """Add quality_flags, is_rejected and rejection_reason, or those of them that ``only`` names; a narrow transformation.
+
+    Without the flags, ``df`` needs no more columns than REJECTING and its id."""
     rules = py_rules() if py else default_rules()
+    if only is not None and not py and "quality_flags" not in only:
+        rules = [r for r in rules if r.rejects]
     fires, stopped = {}, F.lit(False)
     for rule in rules:
         fires[rule.id] = F.coalesce(rule.condition, F.lit(False)) & ~stopped
@@ -117,7 +127,8 @@ def evaluate(df: DataFrame, py: bool = False) -> DataFrame:
     else:
         by_id = {r.id: r for r in rejecting}
         reasons = [F.when(fires[i], F.concat(F.lit(f"{i}: "), F.lit(REASONS[i]) if i in REASONS else by_id[i].message)) for i in REASON_ORDER]
-    return evaluated(df, {"quality_flags": flags, "is_rejected": rejected, "rejection_reason": F.coalesce(*reasons)})
+    made = {"quality_flags": flags, "is_rejected": rejected, "rejection_reason": F.coalesce(*reasons)}
+    return evaluated(df, {name: c for name, c in made.items() if only is None or name in only})
 
 
 def quality_log(flagged: DataFrame) -> DataFrame:

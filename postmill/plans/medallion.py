@@ -46,32 +46,71 @@ def standardize(cleaned: DataFrame, only: Collection[str] | None = None) -> Data
     return evaluated(cleaned, {name: c for name, c in made.items() if only is None or name in only})
 
 
-def standardized(raw: DataFrame) -> DataFrame:
-    """All postings, mapped, cleaned and standardized; lazy."""
-    return standardize(clean(payload.staged_union(raw)))
+#: What columns are made of, as far as it isn't itself a column that every posting has.
+MADE_OF = {
+    "quality_flags": (*quality.REJECTING, "location_country", "company_name", "location_raw", "career_level", "posting_date", "location_city"),
+    "is_rejected": quality.REJECTING, "rejection_reason": quality.REJECTING, "job_fingerprint": PRINTED,
+    "career_level": ("career_level_raw",), "out_of_region": ("location_country",), **dict.fromkeys(("salary_min", "salary_max", "salary_currency", "salary_period"), ("salary_raw",)),
+    "title": ("title_raw",), "saudi_national_only": ("title_raw",), "career_level_raw": ("title_raw",), "company_name": ("company_raw",), "company_name_raw": ("company_raw",),
+    "location_city": ("location_raw",), "location_country": ("location_raw",), "posting_date": ("posting_date_raw",),
+}
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """The same, written to the shared folder: what reads it more than once doesn't parse and clean again."""
-    return stage(standardized(raw), "standardized")
+def needed(only: Collection[str]) -> set[str]:
+    """The columns and all that they are made of."""
+    found, new = set(), set(only)
+    while new:
+        found |= new
+        new = {x for name in new for x in MADE_OF.get(name, ())} - found
+    return found
+
+
+def standardized(raw: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """All postings, mapped, cleaned and standardized; lazy. Of the columns those that ``only`` needs (all if it is None)."""
+    names = None if only is None else needed(only)
+    return standardize(clean(payload.staged_union(raw, names), names), names)
+
+
+def judged(raw: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """The same with what the rules say, which doesn't hang on other rows; lazy."""
+    return quality.evaluate(standardized(raw, only), only=only)
+
+
+#: What finding originals reads.
+_KEYS = ("raw_id", "collected_at", "job_fingerprint")
+
+
+def parsed(raw: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Judged postings, written to the shared folder: what reads them more than once doesn't parse and clean again.
+
+    With ``only`` they have the columns that it names, those that duplicates are found by and is_rejected. All work on
+    rows is done before, in tasks of a bounded number of rows; what follows are joins.
+    """
+    if only is None:
+        return stage(judged(raw), "standardized")
+    kept = {*only, *_KEYS, "is_rejected"} - {"is_duplicate", "duplicate_of_raw_id"}
+    rows = judged(raw, kept)
+    return stage(rows.select(*[c for c in rows.columns if c in kept]), "standardized")
 
 
 def silver_of(rows: DataFrame) -> DataFrame:
-    """Standardized postings with flags; none is dropped. Reads ``rows`` twice: for the originals and for all."""
-    return quality.evaluate(dedup.first_by_fingerprint(rows))
+    """Judged postings with their duplicates; none is dropped. Reads ``rows`` twice: for the originals and for all."""
+    found = dedup.first_by_fingerprint(rows)
+    return found.select(*[c for c in found.columns if c not in quality.JUDGED], *[c for c in quality.JUDGED if c in found.columns])
 
 
 def gold_of(rows: DataFrame) -> DataFrame:
-    """Of standardized postings the curated ones: neither duplicate nor rejected."""
-    return silver_of(rows).where(~F.col("is_duplicate") & ~F.col("is_rejected")).select(*GOLD)
+    """Of judged postings the curated ones: neither duplicate nor rejected; those of Gold's columns that ``rows`` has."""
+    kept = dedup.originals(rows, rows.where(~F.col("is_rejected")))
+    return kept.select(*[c for c in GOLD if c in kept.columns])
 
 
-def silver(raw: DataFrame) -> DataFrame:
-    return silver_of(parsed(raw))
+def silver(raw: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    return silver_of(parsed(raw, only))
 
 
-def gold(raw: DataFrame) -> DataFrame:
-    return gold_of(parsed(raw))
+def gold(raw: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    return gold_of(parsed(raw, only))
 
 
 def with_surrogates(curated: DataFrame) -> DataFrame:
@@ -123,11 +162,18 @@ def demo_rows(df: DataFrame) -> DataFrame:
 
 
 #: Of each layer's view the relation it is made of.
-VIEWS = {"stg_jobs": payload.staged_union, "int_jobs_cleaned": lambda raw: clean(payload.staged_union(raw)), "int_jobs_silver": lambda raw: silver_of(standardized(raw)), "fct_jobs": lambda raw: gold_of(standardized(raw))}
+VIEWS = {"stg_jobs": payload.staged_union, "int_jobs_cleaned": lambda raw: clean(payload.staged_union(raw)), "int_jobs_silver": lambda raw: silver_of(judged(raw)), "fct_jobs": lambda raw: gold_of(judged(raw))}
+#: Of the views over postings that are parsed already.
+VIEWS_OF_PARSED = {"int_jobs_silver": silver_of, "fct_jobs": gold_of}
+
 
+def create_views(raw: DataFrame, rows: DataFrame | None = None) -> list[str]:
+    """A session view for each layer over ``raw``; nothing is computed until one is read.
 
-def create_views(raw: DataFrame) -> list[str]:
-    """A session view for each layer over ``raw``; nothing is computed until one is read."""
+    Silver and Gold read postings twice. With ``rows`` (those of :func:`parsed`) they read these instead of
+    parsing and cleaning ``raw`` at each reading, twice.
+    """
     for name, layer in VIEWS.items():
-        layer(raw).createOrReplaceTempView(name)
+        of_parsed = VIEWS_OF_PARSED.get(name) if rows is not None else None
+        (of_parsed(rows) if of_parsed else layer(raw)).createOrReplaceTempView(name)
     return list(VIEWS)

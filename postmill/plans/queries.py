@@ -43,17 +43,22 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(POSTINGS)
 
 
-def staged(spark, sf_dir):
-    return payload.staged_union(postings(spark, sf_dir))
+def staged(spark, sf_dir, only=None):
+    return payload.staged_union(postings(spark, sf_dir), only)
 
 
 def cleaned(spark, sf_dir, *only):
     """Cleaned postings; of the columns that are made, those named (all if none is)."""
-    return medallion.clean(staged(spark, sf_dir), only or None)
+    return medallion.clean(staged(spark, sf_dir, medallion.needed(only) if only else None), only or None)
 
 
-def silver(spark, sf_dir):
-    return medallion.silver(postings(spark, sf_dir))
+def silver(spark, sf_dir, *only):
+    """Silver; with ``only`` no more of its columns than those and what duplicates and rejections need."""
+    return medallion.silver(postings(spark, sf_dir), only or None)
+
+
+def gold(spark, sf_dir, *only):
+    return medallion.gold(postings(spark, sf_dir), only or None)
 
 
 def silver_py(spark, sf_dir):
@@ -85,7 +90,7 @@ def clean_company(spark, sf_dir):
 
 @query()
 def clean_company_py(spark, sf_dir):
-    return staged(spark, sf_dir).select("raw_id", P.clean_company_py(F.col("company_raw")).alias("company_name"))
+    return staged(spark, sf_dir, ("company_raw",)).select("raw_id", P.clean_company_py(F.col("company_raw")).alias("company_name"))
 
 
 @query("{chain} select raw_id, location_city, location_country from cleaned")
@@ -117,7 +122,7 @@ def career_level_py(spark, sf_dir):
 
 @query("{chain} select raw_id, cast(salary_min as double) as salary_min, cast(salary_max as double) as salary_max, salary_currency, salary_period from standardized")
 def salary_parse(spark, sf_dir):
-    d = medallion.standardize(cleaned(spark, sf_dir, "career_level_raw"), list(P.salary(F.col("salary_raw"))))
+    d = medallion.standardized(postings(spark, sf_dir), list(P.salary(F.col("salary_raw"))))
     return d.select("raw_id", F.col("salary_min").cast("double").alias("salary_min"), F.col("salary_max").cast("double").alias("salary_max"), "salary_currency", "salary_period")
 
 
@@ -132,7 +137,7 @@ _PY_SALARY = P.SALARY_PY.removeprefix("(?iU)")
     "case when ok then case lower(m.p || m.q) when 'month' then 'monthly' when 'year' then 'annual' when 'annual' then 'annual' when 'hour' then 'hourly' else 'unspecified' end end as salary_period from g"
 )
 def salary_parse_py(spark, sf_dir):
-    return staged(spark, sf_dir).select("raw_id", *[c.alias(n) for n, c in P.salary_py(F.col("salary_raw")).items()])
+    return staged(spark, sf_dir, ("salary_raw",)).select("raw_id", *[c.alias(n) for n, c in P.salary_py(F.col("salary_raw")).items()])
 
 
 @query("{chain} select raw_id, out_of_region from standardized")
@@ -224,17 +229,17 @@ def native_id_probe(spark, sf_dir):
 @query("{chain} select raw_id, array_to_string(list_transform(quality_flags, lambda f: f.rule), ',') as rules, array_to_string(list_transform(quality_flags, lambda f: f.severity || ':' || f.message), '; ') as messages from silver")
 def quality_flags(spark, sf_dir):
     messages = F.array_join(F.transform("quality_flags", lambda f: F.concat(f["severity"], F.lit(":"), f["message"])), "; ")
-    return silver(spark, sf_dir).select("raw_id", quality.rule_ids().alias("rules"), messages.alias("messages"))
+    return silver(spark, sf_dir, "quality_flags").select("raw_id", quality.rule_ids().alias("rules"), messages.alias("messages"))
 
 
 @query("{chain} select raw_id, is_rejected from silver")
 def is_rejected(spark, sf_dir):
-    return silver(spark, sf_dir).select("raw_id", "is_rejected")
+    return silver(spark, sf_dir, "is_rejected").select("raw_id", "is_rejected")
 
 
 @query("{chain} select raw_id, rejection_reason from silver")
 def rejection_reason(spark, sf_dir):
-    return silver(spark, sf_dir).select("raw_id", "rejection_reason")
+    return silver(spark, sf_dir, "rejection_reason").select("raw_id", "rejection_reason")
 
 
 @query()
@@ -244,7 +249,7 @@ def quality_flags_py(spark, sf_dir):
 
 @query("{chain} select job_id, f.rule as rule_name, f.severity as severity, f.message as message from (select raw_id as job_id, unnest(quality_flags) as f from silver)")
 def quality_log(spark, sf_dir):
-    return quality.quality_log(silver(spark, sf_dir)).select("job_id", "rule_name", "severity", "message")
+    return quality.quality_log(silver(spark, sf_dir, "quality_flags")).select("job_id", "rule_name", "severity", "message")
 
 
 @query(
@@ -258,28 +263,28 @@ def gold_fct(spark, sf_dir):
 @query("{chain} select raw_id, array_to_string(list_transform(quality_flags, lambda f: f.rule), ',') || case when company_name is null and location_city is null and not list_contains(list_transform(quality_flags, lambda f: f.rule), 'WARN-005') then case when len(quality_flags) > 0 then ',' else '' end || 'WARN-005' else '' end as rules from silver")
 def flag_backfill(spark, sf_dir):
     both = F.col("company_name").isNull() & F.col("location_city").isNull()
-    d = quality.append_flag(silver(spark, sf_dir), both, "WARN-005", "warning", "low-confidence fingerprint")
+    d = quality.append_flag(silver(spark, sf_dir, "quality_flags", "company_name", "location_city"), both, "WARN-005", "warning", "low-confidence fingerprint")
     return d.select("raw_id", quality.rule_ids().alias("rules"))
 
 
 @query("{chain} select count(distinct raw_id) as flagged from (select raw_id, unnest(quality_flags) as f from silver) where f.rule = 'WARN-005'")
 def flag_lateral_count(spark, sf_dir):
-    return silver(spark, sf_dir).agg(F.count_if(quality.has_rule("WARN-005")).alias("flagged"))
+    return silver(spark, sf_dir, "quality_flags").agg(F.count_if(quality.has_rule("WARN-005")).alias("flagged"))
 
 
 @query("{chain} select count(*) filter (title is null) as title_nulls, count(*) filter (source_name is null) as source_name_nulls, count(*) filter (collected_at is null) as collected_at_nulls from gold")
 def tests_not_null(spark, sf_dir):
-    return reports.not_null_violations(medallion.gold(postings(spark, sf_dir)), ["title", "source_name", "collected_at"])
+    return reports.not_null_violations(gold(spark, sf_dir, "title", "source_name"), ["title", "source_name", "collected_at"])
 
 
 @query("{chain} select raw_id, count(*) as n from gold group by 1 having count(*) > 1")
 def tests_unique(spark, sf_dir):
-    return reports.unique_violations(medallion.gold(postings(spark, sf_dir)), "raw_id")
+    return reports.unique_violations(gold(spark, sf_dir, "raw_id"), "raw_id")
 
 
 @query("{chain} select source_name, count(*) as n from gold where source_name not in ('careerjet', 'jooble') group by 1")
 def tests_accepted_values(spark, sf_dir):
-    return reports.unaccepted_values(medallion.gold(postings(spark, sf_dir)), "source_name", ["careerjet", "jooble"])
+    return reports.unaccepted_values(gold(spark, sf_dir, "source_name"), "source_name", ["careerjet", "jooble"])
 
 
 @query(
@@ -298,7 +303,7 @@ def demo_canonical9(spark, sf_dir):
 
 def _both_paths(spark, sf_dir):
     """Gold, and the fingerprints of the other path; both of postings that are cleaned once."""
-    rows = medallion.parsed(postings(spark, sf_dir))
+    rows = medallion.parsed(postings(spark, sf_dir), ["source_name", "is_rejected"])
     return medallion.gold_of(rows), rows.where("source_name <> 'techmap'").select("job_fingerprint")
 
 
@@ -419,7 +424,7 @@ def append_ignore(spark, sf_dir):
 def loadable_rows(spark, sf_dir):
     from ..operators.sinks import loadable
 
-    return loadable(silver(spark, sf_dir))[0].select("raw_id", "salary_min", "salary_max")
+    return loadable(silver(spark, sf_dir, "salary_min", "salary_max"))[0].select("raw_id", "salary_min", "salary_max")
 
 
 @query("select o_orderkey, o_orderkey * 10 + unnest([1, 2]) as item from orders")
@@ -633,9 +638,8 @@ def crawl_scan(spark, sf_dir):
 )
 def layer_counts(spark, sf_dir):
     raw = postings(spark, sf_dir)
-    silver_rows = medallion.silver(raw)  # parsed once for both layers
-    gold_rows = silver_rows.where(~F.col("is_duplicate") & ~F.col("is_rejected"))
-    return reports.layer_counts({"postings": raw, "staged": payload.known(raw), "silver": silver_rows, "gold": gold_rows})
+    rows = medallion.parsed(raw, ["is_rejected"])  # parsed once for both layers
+    return reports.layer_counts({"postings": raw, "staged": payload.known(raw), "silver": medallion.silver_of(rows), "gold": medallion.gold_of(rows)})
 
 
 @query("{chain}, w as (select * from silver where not is_rejected and not is_duplicate) select count(*) as expected, count(*) as loaded, 0::bigint as failed, count(*) as stored, true as agrees from w")
@@ -643,7 +647,7 @@ def load_check(spark, sf_dir):
     from ..operators.sinks import load
     from ..session import scratch
 
-    return load(silver(spark, sf_dir).select("raw_id", "salary_min", "salary_max", "is_rejected", "is_duplicate"), scratch(spark, "load"))
+    return load(silver(spark, sf_dir, "salary_min", "salary_max").select("raw_id", "salary_min", "salary_max", "is_rejected", "is_duplicate"), scratch(spark, "load"))
 
 
 @query(
@@ -656,7 +660,7 @@ def load_failures(spark, sf_dir):
     from ..session import scratch
 
     broken = F.substring("raw_id", 5, 9).cast("bigint") % 7 == 0
-    rows = silver(spark, sf_dir).select("raw_id", F.when(broken, F.lit(1e15)).otherwise(F.col("salary_min").cast("double")).alias("salary_min"), "salary_max", "is_rejected", "is_duplicate")
+    rows = silver(spark, sf_dir, "salary_min", "salary_max").select("raw_id", F.when(broken, F.lit(1e15)).otherwise(F.col("salary_min").cast("double")).alias("salary_min"), "salary_max", "is_rejected", "is_duplicate")
     return load(rows, scratch(spark, "load"))
 
 
@@ -693,5 +697,6 @@ def first_3(spark, sf_dir):
 
 @query("{chain} select source_name, count(*) as n from gold group by 1")
 def view_counts(spark, sf_dir):
-    medallion.create_views(postings(spark, sf_dir))
+    raw = postings(spark, sf_dir)
+    medallion.create_views(raw, medallion.parsed(raw))
     return spark.sql("select source_name, count(*) as n from fct_jobs group by source_name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,13 +62,15 @@ MAPPINGS = {
     "tanqeeb": lambda: (_text("job_title"), _text("company"), _place("city", "country"), _text("job_description"), _text("salary"), _at("scraped_at"), _at("posting_date")),
     "techmap": lambda: (_text("title"), _text("company"), _place("city", "country"), nothing(), nothing(), _at("date_created"), _at("date_created")),
 }
-#: Of each source the payload's keys that its mapping reads.
-KEYS = {
-    "careerjet": ("title", "company", "locations", "description", "salary", "date"),
-    "jooble": ("title", "company", "location", "snippet", "salary", "updated"),
-    "tanqeeb": ("job_title", "company", "city", "country", "job_description", "salary", "scraped_at", "posting_date"),
-    "techmap": ("title", "company", "city", "country", "date_created"),
+#: Of each source the payload's keys that each of its seven columns reads.
+FIELDS = {
+    "careerjet": (("title",), ("company",), ("locations",), ("description",), ("salary",), ("date",), ()),
+    "jooble": (("title",), ("company",), ("location",), ("snippet",), ("salary",), ("updated",), ("updated",)),
+    "tanqeeb": (("job_title",), ("company",), ("city", "country"), ("job_description",), ("salary",), ("scraped_at",), ("posting_date",)),
+    "techmap": (("title",), ("company",), ("city", "country"), (), (), ("date_created",), ("date_created",)),
 }
+#: Of each source the payload's keys that its mapping reads.
+KEYS = {source: tuple(dict.fromkeys(k for keys in fields for k in keys)) for source, fields in FIELDS.items()}
 
 
 def known(raw: DataFrame) -> DataFrame:
@@ -82,19 +85,23 @@ def staged(raw: DataFrame, source: str) -> DataFrame:
     return require_canonical(rows.select(*CANONICAL[:6], *columns))
 
 
-def staged_union(raw: DataFrame) -> DataFrame:
+def staged_union(raw: DataFrame, only: Collection[str] | None = None) -> DataFrame:
     """All sources in the canonical shape.
 
     One scan with the mapping chosen by source, instead of a scan for each source and a union:
-    the payload is read and parsed once. Rows of other sources are left out.
+    the payload is read and parsed once. Rows of other sources are left out. Of the payload's columns
+    those that ``only`` names (all if it is None) are made, the others are left out.
     """
-    rows = _opened(known(raw), sorted({k for keys in KEYS.values() for k in keys}))
+    made = [(i, name) for i, name in enumerate(CANONICAL[6:]) if only is None or name in only]
+    keys = sorted({k for fields in FIELDS.values() for i, _ in made for k in fields[i]})
+    rows = _opened(known(raw), keys) if keys else known(raw)
     mapped = {s: make() for s, make in MAPPINGS.items()}
     columns = []
-    for i, name in enumerate(CANONICAL[6:]):
+    for i, name in made:
         choice = reduce(lambda c, s: c.when(F.col("source_name") == s, mapped[s][i]), list(mapped)[1:], F.when(F.col("source_name") == list(mapped)[0], mapped[list(mapped)[0]][i]))
         columns.append(choice.alias(name))
-    return require_canonical(rows.select(*CANONICAL[:6], *columns))
+    out = rows.select(*CANONICAL[:6], *columns)
+    return require_canonical(out) if only is None else out
 
 
 def generic(raw: DataFrame) -> DataFrame:
