@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import releasing, stage_table
@@ -45,7 +45,7 @@ from .urls import split_url
 STREAMS, MERGED = 200, 16
 #: Wrappers of up to so many hosts and bytes are broadcast; more are joined, with a host's pages dealt to so many salts.
 BROADCAST_HOSTS, BROADCAST_BYTES, SALTS = 20_000, 1 << 24, 16
-#: Most tokens of a wrapper beyond those that all pages have; the optional ones on the fewest pages go first.
+#: Most tokens of a wrapper beyond those that all pages have. A host that has more isn't aligned but counted by joins, see :func:`_told`.
 MOST_TOKENS = 4096
 #: How likely it is that a text which two pages share is the template's, inside an article and elsewhere.
 SHARED_INSIDE, SHARED_OUTSIDE = 0.05, 1.0
@@ -245,8 +245,12 @@ def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(a: list[Item], b: list[Item]) -> list[Item]:
-    """The least general wrapper of both: matches stay, texts that differ become slots, the rest optional."""
+def align(a: list[Item], b: list[Item], gone: list[str] | None = None, most: int = MOST_TOKENS) -> list[Item]:
+    """The least general wrapper of both: matches stay, texts that differ become slots, the rest optional.
+
+    Of layouts without end the optional tokens on the fewest pages leave the wrapper; their paths go to ``gone``,
+    which says that this isn't the host's wrapper.
+    """
     if not a or not b:
         return [[*x[:2], True, *x[3:]] for x in a or b]
     out: list[Item] = []
@@ -258,10 +262,12 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
             out.append([x[0], x[1] or y[1], x[2] or y[2], x[3] if x[3] == y[3] else 0, x[4] + y[4], x[5] + y[5], _both(x, y)])
         i, j = k + 1, n + 1
     out = fold(out)
-    if len(out) > MOST_TOKENS:  # layouts without end: what few pages have goes
+    if len(out) > most:
         optional = sorted((x[4], i) for i, x in enumerate(out) if x[2])
-        gone = {i for _, i in optional[: len(out) - MOST_TOKENS]}
-        out = [x for i, x in enumerate(out) if i not in gone]
+        left = {i for _, i in optional[: len(out) - most]}
+        if gone is not None:
+            gone += sorted(out[i][0] for i in left)
+        out = [x for i, x in enumerate(out) if i not in left]
     return out
 
 
@@ -373,11 +379,15 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _wrapped(host: str, wrapper: list[Item]) -> pd.DataFrame:
-    return pd.DataFrame({"host": [host], "wrapper": [json.dumps(wrapper)]})
+#: A wrapper, or that the host has too many tokens for one.
+_WRAPPER = "host string, wrapper string, long boolean, part int"
+
 
+def _wrapped(host: str, wrapper: list[Item] | None, part: int) -> pd.DataFrame:
+    return pd.DataFrame({"host": [host], "wrapper": [json.dumps(wrapper or [])], "long": [wrapper is None], "part": [part]})
 
-def _partial(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+
+def _partial(key: tuple, rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """Align the distinct streams of a part of a host, commonest first."""
     streams = []
     for shape, slots in rows.groupby("shape", sort=True):
@@ -389,28 +399,32 @@ def _partial(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             for p, a, b, n, c, t in zip(paths, *columns, strict=True)
         ]
         streams.append((-items[0][4], shape, items))
-    wrapper = None
+    wrapper, gone = None, []
     for *_, items in sorted(streams, key=lambda x: x[:2]):
-        wrapper = items if wrapper is None else align(wrapper, items)
-    return _wrapped(key[0], wrapper)
+        wrapper = items if wrapper is None else align(wrapper, items, gone, most)
+        if gone:
+            return _wrapped(key[0], None, int(key[1]))
+    return _wrapped(key[0], wrapper, int(key[1]))
 
 
-def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _merged(key: tuple, rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """Align partial wrappers of a host."""
-    wrapper = None
+    wrapper, gone = None, []
     for text in sorted(rows["wrapper"]):
-        wrapper = json.loads(text) if wrapper is None else align(wrapper, json.loads(text))
-    return _wrapped(key[0], wrapper)
+        wrapper = json.loads(text) if wrapper is None else align(wrapper, json.loads(text), gone, most)
+        if gone or rows["long"].any():
+            return _wrapped(key[0], None, int(key[1]))
+    return _wrapped(key[0], wrapper, int(key[1]))
 
 
 def _advice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         told = [json.dumps(verdict(json.loads(x))) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], ["host", "advice"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string()), batch.column(2)], ["a_host", "advice", "long"])
 
 
-def infer_wrappers(pages: DataFrame, streams: int = STREAMS) -> DataFrame:
-    """(host, advice) from (host, html); a task aligns about ``streams`` distinct streams of a host at once."""
+def infer_wrappers(pages: DataFrame, streams: int = STREAMS, most_tokens: int = MOST_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(host, wrapper, long) from (host, html), and the hosts' streams; a task aligns about ``streams`` distinct streams of a host at once."""
     distinct = pages.select("host", "html").mapInArrow(_streams, _STREAM).dropDuplicates(["host", "page"])
     shapes = distinct.select("host", "shape", "digests", "chars", "texts").mapInArrow(_shapes, _SHAPE)
     shapes = stage_table(shapes, "shapes")
@@ -424,20 +438,88 @@ def infer_wrappers(pages: DataFrame, streams: int = STREAMS) -> DataFrame:
     parts = merged.where("slot = 0").groupBy("host").agg(F.ceil(F.count("*") / streams).cast("int").alias("parts"))
     most = parts.agg(F.max("parts")).first()[0] or 1
     dealt = merged.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int")).drop("parts")
-    wrappers = dealt.groupBy("host", "part").applyInPandas(lambda key, rows: _partial(key, rows).assign(part=int(key[1])), "host string, wrapper string, part int")
+    wrappers = dealt.groupBy("host", "part").applyInPandas(lambda key, rows: _partial(key, rows, most_tokens), _WRAPPER)
     while most > 1:
         most = -(-most // MERGED)
         level = wrappers.withColumn("part", F.floor(F.col("part") / MERGED).cast("int"))
-        wrappers = level.groupBy("host", "part").applyInPandas(lambda key, rows: _merged(key, rows).assign(part=int(key[1])), "host string, wrapper string, part int")
-    return wrappers.select("host", "wrapper").mapInArrow(_advice, "host string, advice string")
+        wrappers = level.groupBy("host", "part").applyInPandas(lambda key, rows: _merged(key, rows, most_tokens), _WRAPPER)
+    return wrappers.select("host", "wrapper", "long"), merged
+
+
+def _prefixes(tokens: DataFrame, *keep: str) -> DataFrame:
+    """Every prefix of a path, with the kind of its last element, its number of elements, and whether it is the whole path."""
+    parts = F.split("path", "/")
+    rows = tokens.select(*keep, parts.alias("_parts"), F.posexplode(parts).alias("_n", "_part"))
+    return rows.select(*keep, F.array_join(F.slice("_parts", F.lit(1), F.col("_n") + 1), "/").alias("prefix"), F.split_part("_part", F.lit("."), F.lit(1)).alias("kind"), F.col("_n").alias("depth"), (F.col("_n") + 1 == F.size("_parts")).alias("whole"))
+
+
+def _told(streams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`verdict` says, by joins: for hosts with more tokens than a wrapper takes, however many these are.
+
+    Tokens of equal paths and numbers among those of their path in a page are one; nothing is left out, and neither order
+    nor tasks decide. Gives (host, region), (host, kind, prefix) of articles and mains, and (host, path, text) of the template's texts.
+    """
+    key = ["host", "path", "nth"]
+    line = F.element_at(F.split("shape", "\n"), F.col("slot") + 1)
+    tokens = streams.withColumns({"path": F.substring(line, 2, 1 << 30), "repeated": F.substring(line, 1, 1) == "+", "digest": F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0)})
+    tokens = tokens.withColumn("nth", F.row_number().over(Window.partitionBy("host", "shape", "path").orderBy("slot"))).where(~F.col("path").endswith(MARK))
+    texts = F.when(F.col("repeated"), F.col("texts")).when(F.col("digest") != 0, F.array("digest")).otherwise(F.array().cast("array<bigint>"))
+    tokens = stage_table(tokens.select(*key, "repeated", "digest", "pages", "chars", texts.alias("texts")), "tokens")
+    low, high = F.min("digest"), F.max("digest")
+    sums = [F.bool_or("repeated").alias("repeated"), F.when(low == high, low).otherwise(0).alias("digest"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.count("*").alias("met")]
+    merged = tokens.groupBy(*key).agg(*sums).withColumn("constant", (F.col("digest") != 0) & ~F.col("repeated") & (F.col("pages") > 1))
+    hosts = merged.groupBy("host").agg(F.sum("chars").alias("all_chars"), F.coalesce(F.sum(F.when(F.col("constant"), F.col("chars"))), F.lit(0)).alias("same_chars"))
+    varied = F.when(F.col("all_chars") > 0, 1 - F.col("same_chars") / F.col("all_chars")).otherwise(0.0)
+    shared = F.when(F.col("path").rlike(rf"(^|/)({'|'.join(REGIONS)})(\.[^/]*)?(/|$)"), SHARED_INSIDE).otherwise(SHARED_OUTSIDE)
+    sure = (F.col("pages") > 1) & (F.pow(F.lit(0.5), F.least(F.col("pages") - 1, F.lit(1000))) < shared * varied)
+    merged = stage_table(merged.join(hosts, "host").withColumn("sure", sure).drop("all_chars", "same_chars"), "merged-tokens")
+    every = tokens.select(*key, F.explode("texts").alias("text")).groupBy(*key, "text").agg(F.count("*").alias("n"))
+    drop = every.join(merged.where("sure").select(*key, "met"), key).where("n = met").select("host", "path", "text").distinct()
+    live = merged.where(~(F.col("constant") & F.col("sure"))).select("host", "path", "chars")
+    prefixes = _prefixes(live, "host", "chars")
+    marked = prefixes.where(F.col("kind").isin(*REGIONS)).select("host", "kind", "prefix").distinct()
+    said = live.groupBy("host").agg(F.sum("chars").alias("said"))
+    total = prefixes.where("not whole").groupBy("host", "prefix", "depth").agg(F.sum("chars").alias("n")).join(said, "host")
+    best = total.where(F.col("n") >= F.lit(REGION_SHARE) * F.col("said")).groupBy("host").agg(F.max(F.struct("depth", "prefix"))["prefix"].alias("region"))
+    return hosts.select("host").join(best, "host", "left"), marked, drop
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct paths and texts of a page's blocks that no mark leaves out."""
+    for batch in batches:
+        for host, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = sorted({("/".join(b.path), digest(b.text)) for b in blocks_of(text or "") if not b.left_out})
+            if found:
+                paths, texts = zip(*found, strict=True)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * n), pa.array([page] * n), pa.array(paths), pa.array(texts, pa.int64())], ["host", "page", "path", "text"])
+
+
+def _with_own_advice(rows: DataFrame, streams: DataFrame) -> DataFrame:
+    """Pages of hosts with more tokens than a wrapper takes, with what the host's tokens say of the page's own paths and texts."""
+    hosts, marked, drop = _told(streams)
+    hosts = stage_table(hosts, "long-hosts")
+    rows = rows.join(hosts.select("host"), "host", "left_semi").withColumn("page", F.sha2(F.coalesce("html", F.lit("")), 256))
+    pieces = rows.select("host", "page", "html").dropDuplicates(["host", "page"]).mapInArrow(_pieces, "host string, page string, path string, text bigint")
+    pieces = stage_table(pieces, "pieces")
+    own = _prefixes(pieces.select("host", "page", "path").distinct(), "host", "page").where(F.col("kind").isin(*REGIONS)).select("host", "page", "kind", "prefix").distinct().join(marked, ["host", "kind", "prefix"])
+    lists = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("prefix")))).alias(k) for k in REGIONS]
+    gone = pieces.join(drop, ["host", "path", "text"]).groupBy("host", "page").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("drop"))
+    told = pieces.select("host", "page").distinct().join(own.groupBy("host", "page").agg(*lists), ["host", "page"], "left").join(gone, ["host", "page"], "left").join(hosts, "host")
+    none = F.array().cast("array<string>")
+    regions = F.array(*[F.coalesce(k, none) for k in REGIONS], F.when(F.col("region").isNull(), none).otherwise(F.array("region")))
+    advice = F.to_json(F.struct(regions.alias("regions"), F.coalesce("drop", F.array().cast("array<struct<path:string,text:bigint>>")).alias("drop"), F.lit(True).alias("marks")))
+    told = stage_table(told.select("host", "page", advice.alias("advice")), "own-advice")
+    return rows.join(told, ["host", "page"], "left").select("page_id", "url", "html", F.coalesce("advice", F.lit('{"marks": true}')).alias("advice"))  # a page of marked blocks only
 
 
 @releasing
-def extract(pages: DataFrame, streams: int = STREAMS, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def extract(pages: DataFrame, streams: int = STREAMS, broadcast_hosts: int = BROADCAST_HOSTS, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     ``streams`` (distinct streams that a task aligns at once) and ``broadcast_hosts`` with BROADCAST_BYTES (wrappers
-    that are broadcast) bound memory; beyond them wrappers are merged in rounds and joined by salted host.
+    that are broadcast) bound memory; beyond them wrappers are merged in rounds and joined by salted host. What a host's
+    pages say is counted by joins (:func:`_told`) where its wrapper has more than ``most_tokens`` tokens.
 
     * A null or empty html gives the empty text; a page without blocks too.
     * A null url, or one without ://, belongs to the host "" like all such pages.
@@ -445,7 +527,14 @@ def extract(pages: DataFrame, streams: int = STREAMS, broadcast_hosts: int = BRO
     * Repeated rows and null ids are extracted each for itself. Other columns are ignored.
     """
     rows = split_url(pages.select("page_id", "url", "html")).drop("path")
-    advice = stage_table(infer_wrappers(rows, streams).select(F.col("host").alias("a_host"), "advice"), "wrappers")
+    wrappers, host_streams = infer_wrappers(rows, streams, most_tokens)
+    advice = wrappers.select("host", "wrapper", "long").mapInArrow(_advice, "a_host string, advice string, long boolean")
+    advice, own = stage_table(advice, "wrappers"), None
+    long_hosts = advice.where("long").select(F.col("a_host").alias("host"))
+    if not long_hosts.isEmpty():
+        own = _with_own_advice(*(d.join(long_hosts, "host", "left_semi") for d in (rows, host_streams)))
+        rows = rows.join(long_hosts, "host", "left_anti")
+    advice = advice.where("not long").drop("long")
     size = advice.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("advice") + F.length("a_host")), F.lit(0)).alias("chars")).first()
     if size["n"] <= broadcast_hosts and 4 * size["chars"] <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(advice), F.col("host") == F.col("a_host"), "left")
@@ -460,10 +549,13 @@ def extract(pages: DataFrame, streams: int = STREAMS, broadcast_hosts: int = BRO
             texts = []
             for page, told in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if told not in known:
+                    if len(known) > 10_000:
+                        known.clear()
                     known[told] = json.loads(told) if told else {}
-                    known[told]["drop"] = [tuple(x) for x in known[told].get("drop", ())]
+                    known[told]["drop"] = [(x["path"], x["text"]) if isinstance(x, dict) else tuple(x) for x in known[told].get("drop", ())]
                 texts.append(main_text(blocks_of(page.as_py() or ""), known[told]))
             n = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n)], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "advice").mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint")
+    rows = rows.select("page_id", "url", "html", "advice")
+    return (rows if own is None else rows.unionByName(own)).mapInArrow(read, "page_id bigint, url string, text string, n_chars bigint")

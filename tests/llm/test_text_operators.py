@@ -865,3 +865,18 @@ def test_many_patterns_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
     with pytest.raises(ValueError):
         mixing.mix_by_source(docs)
+
+
+@pytest.mark.parametrize("streams", [1, 200])
+def test_tokens_beyond_a_wrapper_s_length_count(spark, streams):
+    """Texts of the template on paths that few pages have are found however long the layouts of a host together are."""
+    rnd = random.Random(1)
+    lines = {i: [j for j in range(30) if rnd.random() < 0.6] if i < 24 else [] for i in range(30)}
+
+    def page(i):
+        body = "".join(f"<div class=r{'x' * j}><p>Repeated line {j}</p></div><div class=s{'y' * j}><p>{i} own {j}</p></div>" for j in lines[i])
+        return (i, f"https://{'long' if i < 24 else 'short'}/{i}", f"<body><main><h1>Title {i}</h1>{body}<p>Body of {i}</p></main><div class=q{'z' * (i % 5)}>Foot</div></body>")
+
+    rows = spark.createDataFrame([page(i) for i in range(30)] + [(90, "https://long/n", None), (91, "https://long/e", ""), (92, "https://long/m", "<nav>menu</nav>")], "page_id bigint, url string, html string")
+    truth = {i: "\n".join([f"Title {i}", *[f"{i} own {j}" for j in lines[i]], f"Body of {i}"]) for i in range(30)} | {90: "", 91: "", 92: ""}
+    assert {r.page_id: r.text for r in html_wrappers.extract(rows, streams=streams, most_tokens=12).collect()} == truth
