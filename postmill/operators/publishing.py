@@ -1,9 +1,9 @@
 """Tables that are appended to in one step or not at all, by several writers, and changed by whole runs.
 
 A table set is a folder: each append writes its files under an id of its own, then publishes them all by
-creating one small file, the next number in ``published``. Creating a file that mustn't exist yet is
-atomic on HDFS and on local and shared disks, so there is one winner for each number, and readers see
-all tables of an append or none. An append that fails before that has published nothing; it removes
+renaming a small folder with one file to the next number in ``published``. A folder that isn't empty is
+replaced by no rename, on HDFS and on local and shared disks (a file is, on disks: two writers could both
+find its name free), so there is one winner for each number, and readers see all tables of an append or none. An append that fails before that has published nothing; it removes
 its files, and files of a driver that died are never read.
 """
 
@@ -34,15 +34,16 @@ def _published(spark: SparkSession, root: str, after: int = 0) -> dict[int, dict
         return {}
     names = sorted(x.getPath().getName() for x in files.listStatus(folder))
     wanted = [n for n in names if n.isdigit() and int(n) > after]
-    found = spark.read.text([f"{root}/published/{n}" for n in wanted], wholetext=True).select("_metadata.file_name", "value").collect() if wanted else []
+    found = spark.read.text([f"{root}/published/{n}/{n}" for n in wanted], wholetext=True).select("_metadata.file_name", "value").collect() if wanted else []
     return {int(r["file_name"]): json.loads(r["value"]) for r in found}
 
 
 def _publish(spark: SparkSession, root: str, number: int, entry: dict[str, str]) -> bool:
     """Claim ``number`` for an entry; False if another writer has it."""
-    files, target = _hadoop(spark, f"{root}/published/{number:012d}")
-    whole = _hadoop(spark, f"{root}/parts/{uuid.uuid4().hex}")[1]
-    out = files.create(whole)  # whole before it has its name: a reader never sees half an entry
+    name, own = f"{number:012d}", uuid.uuid4().hex
+    files, target = _hadoop(spark, f"{root}/published/{name}")
+    whole = _hadoop(spark, f"{root}/parts/{own}")[1]
+    out = files.create(_hadoop(spark, f"{root}/parts/{own}/{name}")[1])  # whole before it has its name: a reader never sees half an entry
     out.write(bytearray(json.dumps(entry).encode()))
     out.close()
     try:
@@ -52,13 +53,21 @@ def _publish(spark: SparkSession, root: str, number: int, entry: dict[str, str])
         context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
         none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context.rename(context.makeQualified(whole), context.makeQualified(target), none)  # fails if the name is taken
-        return True
+        # a local disk's rename that comes second by an instant copies the folder into the winner's instead
+        inside = _hadoop(spark, f"{root}/published/{name}/{own}")[1]
+        if files.exists(inside):
+            files.delete(inside, True)
+        return _entry(spark, root, name) == entry
     except Py4JJavaError as e:
-        if "FileAlreadyExists" in e.java_exception.getClass().getName():
-            return False
-        raise
+        if files.exists(target):  # whatever the file system says when the name is taken meanwhile
+            return _entry(spark, root, name) == entry
+        raise e
     finally:
-        files.delete(whole, False)
+        files.delete(whole, True)
+
+
+def _entry(spark: SparkSession, root: str, name: str) -> dict[str, str]:
+    return json.loads(spark.read.text(f"{root}/published/{name}/{name}", wholetext=True).first()["value"])
 
 
 def read_published(spark: SparkSession, root: str, table: str, schema: str, after: int = 0) -> DataFrame:

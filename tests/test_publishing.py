@@ -125,3 +125,33 @@ def test_the_latest_runs_files_only_are_read(spark, tmp_path):
 def test_rows_of_an_answer(spark, answer, want):
     found = spark.createDataFrame([(answer,)], "j string").select(F.transform(files.nested_rows(F.col("j")), lambda v: F.try_variant_get(v, "$.id", "int")).alias("ids")).first().ids
     assert found == want
+
+
+def test_one_of_many_writers_gets_a_number(spark, tmp_path):
+    """Eight writers claim each number at the same instant: one is told that it has it, and its entry is what stands there."""
+    root, writers = str(tmp_path / "jobs"), 8
+    for number in range(1, 16):
+        gate, told = threading.Barrier(writers), {}
+
+        def claim(i, number=number, gate=gate, told=told):
+            gate.wait(60)
+            told[i] = publishing._publish(spark, root, number, {"raw_jobs": f"raw_jobs/{i}"})
+
+        threads = [threading.Thread(target=claim, args=(i,)) for i in range(writers)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        winners = [i for i, won in told.items() if won]
+        assert len(told) == writers and len(winners) == 1
+        assert publishing._published(spark, root, number - 1) == {number: {"raw_jobs": f"raw_jobs/{winners[0]}"}}
+    assert not [d for _, folders, _ in os.walk(os.path.join(root, "parts")) for d in folders]
+
+
+def test_a_rename_replaces_no_entry(spark, tmp_path):
+    """Between a writer's look at a number and its rename another may have taken it: the disk's rename has to fail then."""
+    ours, theirs = (str(tmp_path / x) for x in ("ours", "theirs"))
+    assert publishing._publish(spark, ours, 1, {"raw_jobs": "a"}) and publishing._publish(spark, theirs, 1, {"raw_jobs": "b"})
+    with pytest.raises(OSError):
+        os.rename(f"{theirs}/published/000000000001", f"{ours}/published/000000000001")
+    assert publishing._published(spark, ours) == {1: {"raw_jobs": "a"}}
