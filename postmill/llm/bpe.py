@@ -278,8 +278,8 @@ def _counter(spec: dict):
     return count
 
 
-def frequent_words(docs: DataFrame, spec: dict, most: int = LEXICON_WORDS) -> list[str]:
-    """At most ``most`` of the most frequent words of all texts; counted in the tasks before the shuffle.
+def _frequent(docs: DataFrame, spec: dict, most: int) -> DataFrame:
+    """(word): at most ``most`` of the most frequent words of all texts; counted in the tasks before the shuffle.
 
     All words of at most ``WORD_BYTES`` from a certain count on: steps of counts, not words, are ordered in one place.
     """
@@ -289,7 +289,11 @@ def frequent_words(docs: DataFrame, spec: dict, most: int = LEXICON_WORDS) -> li
     total = F.sum("words").over(Window.orderBy(F.desc("n")))
     fit = steps.withColumn("step", F.floor(F.log2("n") * 64)).groupBy("step").agg(F.sum("words").alias("words"), F.min("n").alias("n"))  # some thousand steps at most
     least = fit.withColumn("total", total).where(F.col("total") <= most).agg(F.min("n")).first()[0]
-    return [] if least is None else [r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()]
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
+
+
+def frequent_words(docs: DataFrame, spec: dict, most: int = LEXICON_WORDS) -> list[str]:
+    return [r["word"] for r in _frequent(docs, spec, most).collect()]
 
 
 def _small(spec: dict) -> dict:
@@ -345,15 +349,37 @@ class Decoder:
         return b"".join(map(of, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+#: Bytes of a compiled lexicon in one row.
+_CHUNK = 1 << 21
+
+
+def _compiled(words: DataFrame, tokenizer: str) -> bytes:
+    """The file of the lexicon of ``words``, at most LEXICON_WORDS of WORD_BYTES.
+
+    It is made in one task: ids, states and register of so many words are some hundred MB of Python objects,
+    which the driver hasn't room for. Only the packed arrays come to the driver.
+    """
+
+    def compile_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(SparkFiles.get(tokenizer), encoding="utf-8") as f:
+            merges = Merges(json.load(f))
+        packed = Lexicon.packed(compile_lexicon({(b := w.encode()): merges.merge(b) for batch in batches for w in batch.column(0).to_pylist()}))
+        for at in range(0, len(packed), _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed[at : at + _CHUNK]], pa.binary())], ["at", "part"])
+
+    parts = words.repartition(1).mapInArrow(compile_words, "at bigint, part binary").collect()
+    return b"".join(bytes(r["part"]) for r in sorted(parts, key=lambda r: r["at"])) or Lexicon.packed(compile_lexicon({}))
+
+
 def prepare(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS) -> tuple[str, str]:
     """Count words and compile the lexicon; names of the lexicon's and the tokenizer's file, which all workers get."""
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     spec = json.loads(text)
     refuse_other_settings(spec)
-    merges = Merges(spec)
-    compiled = compile_lexicon({(b := w.encode()): merges.merge(b) for w in frequent_words(docs, spec, most)})
-    return share_file(docs.sparkSession, "lexicon", Lexicon.packed(compiled)), share_file(docs.sparkSession, "tokenizer", text.encode())
+    small, tokenizer = _small(spec), share_file(docs.sparkSession, "tokenizer", text.encode())
+    del spec, text
+    return share_file(docs.sparkSession, "lexicon", _compiled(_frequent(docs, small, most), tokenizer)), tokenizer
 
 
 _LOADED: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}

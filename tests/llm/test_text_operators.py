@@ -1,8 +1,10 @@
 """Corpus operators against brute force on small tables with nulls, ties, empties and repeated rows."""
 
 import hashlib
+import importlib
 import itertools
 import json
+import os
 import random
 import re
 import time
@@ -228,6 +230,29 @@ def test_bpe_is_the_library(spark, rows):
     assert bpe.encode_documents(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_the_driver_compiles_no_lexicon(spark, monkeypatch):
+    """Merges, words and states of a lexicon are hundreds of MB of objects: a task makes them, the driver gets the packed arrays."""
+    tokenizers = pytest.importorskip("tokenizers")
+
+    def only_in_tasks(name, driver=os.getpid()):
+        def make(*args):
+            assert os.getpid() != driver, "made on the driver"
+            return getattr(importlib.import_module("postmill.llm.bpe"), name)(*args)
+
+        return make
+
+    texts = ["one two three one two", "three two one " * 5, None, ""]
+    want = tokenizers.Tokenizer.from_file(tokenizer_path())
+    for name in ("Merges", "compile_lexicon"):
+        monkeypatch.setattr(bpe, name, only_in_tasks(name))
+    for chunk in (bpe._CHUNK, 64):
+        monkeypatch.setattr(bpe, "_CHUNK", chunk)
+        for r in bpe.encode_documents(frame(spark, list(enumerate(texts))), tokenizer_path(), with_ids=True, with_decoded=False).collect():
+            assert np.frombuffer(r.ids, "<u4").tolist() == want.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+    monkeypatch.undo()
+    assert bpe.encode_documents(frame(spark, []), tokenizer_path()).count() == 0  # a lexicon without words needs no task
+
+
 def test_long_words_stay_out_of_lexicon_and_memory(spark):
     """Words beyond 64 bytes are merged each time: neither the driver nor a worker's memo holds them."""
     tokenizers = pytest.importorskip("tokenizers")
