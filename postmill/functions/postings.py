@@ -80,11 +80,20 @@ def _expand(c: Column, pattern: str) -> Column:
     return having(c, tuple(k.lower() for k in ABBREVIATIONS), reduce(lambda x, k: F.regexp_replace(x, "(?i)" + pattern.format(k), ABBREVIATIONS[k]), ABBREVIATIONS, c), c)
 
 
-def clean_company(raw: Column) -> Column:
-    """Without one legal suffix, abbreviations expanded, in title case; empty becomes null."""
+def without_suffix(raw: Column) -> Column:
+    """Without one legal suffix; missing is empty."""
     text = F.coalesce(raw, F.lit(""))
-    bare = having(text, SUFFIX_WORDS, F.regexp_replace(text, "(?i)" + LEGAL_SUFFIX, ""), text)
-    return blank_to_null(F.trim(title_case(_expand(bare, r"\b{}\.?\b"))))
+    return having(text, SUFFIX_WORDS, F.regexp_replace(text, "(?i)" + LEGAL_SUFFIX, ""), text)
+
+
+def expanded(bare: Column) -> Column:
+    """With abbreviations expanded."""
+    return _expand(bare, r"\b{}\.?\b")
+
+
+def clean_company(raw: Column, bare: Column | None = None) -> Column:
+    """Without one legal suffix, abbreviations expanded (``bare``, where that is there as a column), in title case; empty becomes null."""
+    return blank_to_null(F.trim(title_case(expanded(without_suffix(raw)) if bare is None else bare)))
 
 
 def clean_company_py(raw: Column) -> Column:
@@ -97,11 +106,19 @@ def clean_company_py(raw: Column) -> Column:
     return blank_to_null(F.when(F.size(acronyms) > 0, kept).otherwise(titled))
 
 
-def parse_location(raw: Column) -> tuple[Column, Column]:
-    """(city, country): the text before " - ", split at its first comma."""
-    primary = F.trim(F.split_part(F.coalesce(raw, F.lit("")), F.lit(" - "), F.lit(1)))
-    first = F.trim(F.split_part(primary, F.lit(","), F.lit(1)))
-    second = blank_to_null(F.trim(F.regexp_extract(primary, r",\s*(.*)", 1)))
+def primary_place(raw: Column) -> Column:
+    """The text before " - "; missing is empty."""
+    return F.trim(F.substring_index(F.coalesce(raw, F.lit("")), " - ", 1))
+
+
+def place_parts(primary: Column) -> tuple[Column, Column]:
+    """What stands before and behind the first comma; of the latter empty becomes null."""
+    return F.trim(F.substring_index(primary, ",", 1)), blank_to_null(F.trim(F.regexp_extract(primary, r",\s*(.*)", 1)))
+
+
+def parse_location(raw: Column, parts: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """(city, country): the text before " - ", split at its first comma (``parts``, where they are there as columns)."""
+    first, second = place_parts(primary_place(raw)) if parts is None else parts
     aliases = F.create_map(*[F.lit(x) for pair in CITY_ALIASES.items() for x in pair])
     is_country = F.lower(first).isin(*COUNTRY_NAMES)
     city = F.when(raw.isNull() | is_country, F.lit(None)).otherwise(F.coalesce(F.element_at(aliases, F.lower(first)), title_case(first, AFTER_SPACE_OR_APOSTROPHE)))

@@ -116,8 +116,9 @@ def evaluate(df: DataFrame, py: bool = False, only: Collection[str] | None = Non
         fires[rule.id] = F.coalesce(rule.condition, F.lit(False)) & ~stopped
         if rule.stops:
             stopped = stopped | F.coalesce(rule.condition, F.lit(False))
-    flag = lambda r: F.when(fires[r.id], F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), r.message.alias("message")))
-    flags = F.array_compact(F.array(*[flag(r) for r in rules if r.flags])).cast(f"array<{FLAG}>")
+    none = F.array().cast(f"array<{FLAG}>")
+    flag = lambda r: F.array(F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), r.message.alias("message")).cast(FLAG))
+    flags = F.concat(none, *[F.when(fires[r.id], flag(r)).otherwise(none) for r in rules if r.flags])  # a filter's lambda would have all rules interpreted
     rejecting = [r for r in rules if r.rejects]
     rejected = F.lit(False)
     for r in rejecting:

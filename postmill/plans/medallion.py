@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,21 +25,32 @@ PRINTED = ("title", "company_name", "location_city")
 def clean(staged: DataFrame, only: Collection[str] | None = None) -> DataFrame:
     """The cleaned columns and the fingerprint, or those of them that ``only`` names: unused ones behind the border of ``evaluated`` would be computed."""
     wanted = lambda name: only is None or name in only or ("job_fingerprint" in only and name in PRINTED)
-    city, country = P.parse_location(F.col("location_raw"))
+    parts = _parts(staged, wanted)
+    city, country = P.parse_location(F.col("location_raw"), (F.col("_first"), F.col("_second")))
     made = {
         "title": P.clean_title(F.col("title_raw")),
         "saudi_national_only": P.national_only(F.col("title_raw")),
-        "company_name": P.clean_company(F.col("company_raw")),
+        "company_name": P.clean_company(F.col("company_raw"), F.col("_bare")),
         "location_city": city,
         "location_country": country,
         "posting_date": F.col("posting_date_raw").try_cast("date"),
         "career_level_raw": F.col("title_raw"),
     }
-    out = evaluated(staged, {name: c for name, c in made.items() if wanted(name)})
+    out = evaluated(parts, {name: c for name, c in made.items() if wanted(name)}).drop("_suffixless", "_bare", "_primary", "_first", "_second")
     out = out.withColumnRenamed("company_raw", "company_name_raw").drop("posting_date_raw")
     return evaluated(out, {"job_fingerprint": P.fingerprint(*map(F.col, PRINTED))}) if wanted("job_fingerprint") else out
 
 
+def _parts(staged: DataFrame, wanted: Callable[[str], bool]) -> DataFrame:
+    """``staged`` with the texts that cleaned columns read several times, some in branches that share nothing, as columns: made once for a row."""
+    if wanted("company_name"):
+        staged = staged.withColumn("_suffixless", P.without_suffix(F.col("company_raw"))).withColumn("_bare", P.expanded(F.col("_suffixless")))
+    if wanted("location_city") or wanted("location_country"):
+        first, second = P.place_parts(F.col("_primary"))
+        staged = staged.withColumn("_primary", P.primary_place(F.col("location_raw"))).withColumns({"_first": first, "_second": second})
+    return staged
+
+
 def standardize(cleaned: DataFrame, only: Collection[str] | None = None) -> DataFrame:
     """The standardized columns, or those of them that ``only`` names."""
     made = {"career_level": P.career_level(F.col("career_level_raw")), **P.salary(F.col("salary_raw")), "out_of_region": P.out_of_region(F.col("location_country"))}

@@ -57,6 +57,11 @@ def silver(spark, sf_dir, *only):
     return medallion.silver(postings(spark, sf_dir), only or None)
 
 
+def judged(spark, sf_dir, *only):
+    """Silver without what other rows say: one row for each of its rows, so that nothing is written or joined."""
+    return medallion.judged(postings(spark, sf_dir), only)
+
+
 def gold(spark, sf_dir, *only):
     return medallion.gold(postings(spark, sf_dir), only or None)
 
@@ -229,17 +234,17 @@ def native_id_probe(spark, sf_dir):
 @query("{chain} select raw_id, array_to_string(list_transform(quality_flags, lambda f: f.rule), ',') as rules, array_to_string(list_transform(quality_flags, lambda f: f.severity || ':' || f.message), '; ') as messages from silver")
 def quality_flags(spark, sf_dir):
     messages = F.array_join(F.transform("quality_flags", lambda f: F.concat(f["severity"], F.lit(":"), f["message"])), "; ")
-    return silver(spark, sf_dir, "quality_flags").select("raw_id", quality.rule_ids().alias("rules"), messages.alias("messages"))
+    return judged(spark, sf_dir, "quality_flags").select("raw_id", quality.rule_ids().alias("rules"), messages.alias("messages"))
 
 
 @query("{chain} select raw_id, is_rejected from silver")
 def is_rejected(spark, sf_dir):
-    return silver(spark, sf_dir, "is_rejected").select("raw_id", "is_rejected")
+    return judged(spark, sf_dir, "is_rejected").select("raw_id", "is_rejected")
 
 
 @query("{chain} select raw_id, rejection_reason from silver")
 def rejection_reason(spark, sf_dir):
-    return silver(spark, sf_dir, "rejection_reason").select("raw_id", "rejection_reason")
+    return judged(spark, sf_dir, "rejection_reason").select("raw_id", "rejection_reason")
 
 
 @query()
@@ -249,7 +254,7 @@ def quality_flags_py(spark, sf_dir):
 
 @query("{chain} select job_id, f.rule as rule_name, f.severity as severity, f.message as message from (select raw_id as job_id, unnest(quality_flags) as f from silver)")
 def quality_log(spark, sf_dir):
-    return quality.quality_log(silver(spark, sf_dir, "quality_flags")).select("job_id", "rule_name", "severity", "message")
+    return quality.quality_log(judged(spark, sf_dir, "quality_flags")).select("job_id", "rule_name", "severity", "message")
 
 
 @query(
@@ -263,13 +268,13 @@ def gold_fct(spark, sf_dir):
 @query("{chain} select raw_id, array_to_string(list_transform(quality_flags, lambda f: f.rule), ',') || case when company_name is null and location_city is null and not list_contains(list_transform(quality_flags, lambda f: f.rule), 'WARN-005') then case when len(quality_flags) > 0 then ',' else '' end || 'WARN-005' else '' end as rules from silver")
 def flag_backfill(spark, sf_dir):
     both = F.col("company_name").isNull() & F.col("location_city").isNull()
-    d = quality.append_flag(silver(spark, sf_dir, "quality_flags", "company_name", "location_city"), both, "WARN-005", "warning", "low-confidence fingerprint")
+    d = quality.append_flag(judged(spark, sf_dir, "quality_flags", "company_name", "location_city"), both, "WARN-005", "warning", "low-confidence fingerprint")
     return d.select("raw_id", quality.rule_ids().alias("rules"))
 
 
 @query("{chain} select count(distinct raw_id) as flagged from (select raw_id, unnest(quality_flags) as f from silver) where f.rule = 'WARN-005'")
 def flag_lateral_count(spark, sf_dir):
-    return silver(spark, sf_dir, "quality_flags").agg(F.count_if(quality.has_rule("WARN-005")).alias("flagged"))
+    return judged(spark, sf_dir, "quality_flags").agg(F.count_if(quality.has_rule("WARN-005")).alias("flagged"))
 
 
 @query("{chain} select count(*) filter (title is null) as title_nulls, count(*) filter (source_name is null) as source_name_nulls, count(*) filter (collected_at is null) as collected_at_nulls from gold")

@@ -153,3 +153,21 @@ def test_only_the_columns_that_are_asked_for_are_made(spark, tmp_path):
     assert len(sizes) == 7 and max(sizes) <= 1.1 * session.TASK_ROWS
     plan = Q.QUERIES["out_of_region"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "GmbH" not in plan and "negotiable" not in plan and "sha2" not in plan
+
+
+def test_places_are_cut_as_by_parts(spark):
+    """Cut at fixed texts, without a pattern compiled for each row, where split_part cuts; texts that are read twice are columns."""
+    from postmill.plans import medallion
+
+    texts = ["", " - ", "a", "a - b - c", ", X", "a,b,c", " - a, b", "Al Khubar, Ash Sharqiyah - Riyadh", "a -b", ",", "  ", None, "الرياض, Saudi Arabia", "a,\nb", "A - , B"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    primary = F.trim(F.split_part(F.coalesce("t", F.lit("")), F.lit(" - "), F.lit(1)))
+    first = F.trim(F.split_part(primary, F.lit(","), F.lit(1)))
+    got = df.select(P.primary_place(F.col("t")).alias("p"), P.place_parts(P.primary_place(F.col("t")))[0].alias("f"), primary.alias("wp"), first.alias("wf")).collect()
+    assert [(r.p, r.f) for r in got] == [(r.wp, r.wf) for r in got]
+    staged = df.select(F.col("t").alias("location_raw"), F.col("t").alias("company_raw"), F.col("t").alias("title_raw"), F.col("t").alias("posting_date_raw"))
+    cleaned = medallion.clean(staged, ("location_city", "location_country", "company_name"))
+    city, country = P.parse_location(F.col("location_raw"))
+    for r in cleaned.select("*", city.alias("c"), country.alias("d"), P.clean_company(F.col("company_name_raw")).alias("e")).collect():
+        assert (r.location_city, r.location_country, r.company_name) == (r.c, r.d, r.e)
+    assert "split_part" not in (plan := cleaned._jdf.queryExecution().optimizedPlan().toString()) and plan.count("GmbH") == 1 and not [c for c in cleaned.columns if c.startswith("_")]

@@ -166,6 +166,37 @@ def test_rules_are_applied_before_rows_are_written(spark):
     assert "job_fingerprint" in (plan := medallion.gold(df, ["raw_id"])._jdf.queryExecution().optimizedPlan().toString()) and "LeftSemi" in plan and plan[plan.index("LeftSemi") :].split("\n")[0].count("raw_id") > 0
 
 
+def test_rules_have_no_lambda(spark):
+    """A lambda's whole argument is interpreted, row by row: flags are made without one, and are those that a filtered list would have."""
+    df = spark.createDataFrame(odd_rows(), RAW_JOBS)
+    rules = quality.default_rules()
+    rows = medallion.standardized(df).cache()
+    plan = quality.evaluate(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan.split("InMemoryRelation")[0]
+    filtered = F.array_compact(F.array(*[F.when(F.coalesce(r.condition, F.lit(False)), F.struct(F.lit(r.id), F.lit(r.severity), r.message)) for r in rules if r.flags]))
+    got = quality.evaluate(rows).select("quality_flags", filtered.cast(quality_type()).alias("want")).collect()
+    assert [r.quality_flags for r in got] == [r.want for r in got] and any(len(r.want) > 1 for r in got) and any(not r.want for r in got)
+
+
+def quality_type():
+    from postmill.schemas import FLAG
+
+    return f"array<{FLAG}>"
+
+
+def test_what_rules_say_needs_no_other_rows(spark, tmp_path):
+    """Flags, rejections and the log of one posting don't hang on others: no join, and the rows that Silver has, ids and fingerprints repeated or not."""
+    from postmill.plans import queries as Q
+
+    df = spark.createDataFrame(odd_rows(), RAW_JOBS)
+    df = df.unionByName(df)
+    of_silver, alone = (d.select("raw_id", "quality_flags", "is_rejected", "rejection_reason") for d in (medallion.silver(df), medallion.judged(df, quality.JUDGED)))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, of_silver.collect()))
+    spark.range(300).selectExpr("id as o_orderkey", "id as o_custkey", "timestamp'2020-01-01' as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("quality_flags", "quality_log", "is_rejected", "rejection_reason", "flag_backfill", "flag_lateral_count"):
+        assert "Join" not in Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString(), name
+
+
 def test_views_over_parsed_postings_parse_no_more(spark):
     df = spark.createDataFrame(odd_rows(), RAW_JOBS)
     told = {}
